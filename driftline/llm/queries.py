@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe
+from driftline.llm import bpe, langid, minhash, mixing, sharding
 from driftline.llm.common import table
 
 
@@ -21,5 +21,27 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_bpe": op2_bpe}
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+
+
+def held_out(key: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names, prototypes = langid.train(docs.where(~held_out()))
+    return langid.predict(docs.select("doc_id", "text"), names, prototypes).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, num=80, den=100)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op3_sharding": op3_sharding, "op4_language": op4_language, "op9_minhash": op9_minhash, "op10_mixing": op10_mixing}
 ORACLE: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, langid, minhash, mixing, sharding
+from driftline.llm import bpe, egojoin, langid, minhash, mixing, sharding, warc
 from driftline.llm.common import table
 
 
@@ -35,6 +35,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), names, prototypes).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, num=80, den=100)
 
@@ -43,5 +51,35 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_sharding": op3_sharding, "op4_language": op4_language, "op9_minhash": op9_minhash, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op2_bpe": op2_bpe, "op3_sharding": op3_sharding, "op4_language": op4_language, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings,
+    "op9_minhash": op9_minhash, "op10_mixing": op10_mixing,
+}
 ORACLE: dict[str, str] = {}
+
+ORACLE["op5_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), w AS (
+  SELECT payload_digest, payload_bytes, max(page_id) AS winner FROM p WHERE payload_bytes >= 1000 GROUP BY ALL
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN w.winner <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN w.winner <> p.page_id THEN w.winner END AS refers_to
+FROM p LEFT JOIN w ON p.payload_digest = w.payload_digest AND p.payload_bytes = w.payload_bytes
+"""
+
+ORACLE["op6_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+    AND len(list_filter(embedding, lambda y: y <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+), n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.c, e.vec_id) AS component_id, coalesce(c.c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, egojoin, langid, minhash, mixing, sharding, warc
+from driftline.llm import bpe, egojoin, langid, merkle, minhash, mixing, sharding, warc
 from driftline.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return egojoin.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, num=80, den=100)
 
@@ -53,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe": op2_bpe, "op3_sharding": op3_sharding, "op4_language": op4_language, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings,
-    "op9_minhash": op9_minhash, "op10_mixing": op10_mixing,
+    "op7_merkle": op7_merkle, "op9_minhash": op9_minhash, "op10_mixing": op10_mixing,
 }
 ORACLE: dict[str, str] = {}
 

@@ -118,8 +118,8 @@ def with_next(rows: DataFrame, key: str, order: list[str], cols: list[str], stre
     w = Window.partitionBy("stretch").orderBy(at.asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order])
     ahead = dealt.withColumns({f"next_{c}": F.lead(F.struct(c)).over(w) for c in cols})
     # the first row of each stretch: its key by a narrow aggregate, then its columns
-    least = cut(dealt.groupBy("stretch").agg(F.min(F.struct(at.isNotNull().alias("known"), at.alias("at"))).alias("first")).select("stretch", "first.at"), "next-keys")
-    few = dealt.join(least.withColumnRenamed("stretch", "s"), at.eqNullSafe(F.col("at")))
+    least = cut(dealt.groupBy("stretch").agg(F.min(F.struct(at.isNotNull().alias("known"), at.alias("low_key"))).alias("first")).select("stretch", "first.low_key"), "next-keys")
+    few = dealt.join(least.select("low_key"), at.eqNullSafe(F.col("low_key")))
     lead_cols = F.struct(*[x for c in order for x in (F.col(c).isNotNull().alias(f"{c}_known"), F.col(c))])
     firsts = cut(few.groupBy("stretch").agg(F.min_by(F.struct(*cols), lead_cols).alias("first")), "next-firsts")
     after = Window.orderBy("stretch")

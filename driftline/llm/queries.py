@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, egojoin, langid, merkle, minhash, mixing, sharding, warc
+from driftline.llm import bpe, chat, egojoin, langid, lm, merkle, minhash, mixing, sharding, warc
 from driftline.llm.common import table
 
 
@@ -15,6 +15,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, *lm.fit(docs))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -47,6 +52,12 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.format_pairs(chat.swapped_replies(table(spark, sf_dir, "conversations")))
+    runs = lambda c: F.array_join(F.transform(c, lambda r: F.concat(r["chars"].cast("string"), F.when(r["trained"], "+").otherwise("-"))), "")
+    return pairs.withColumns({"chosen_mask": runs("chosen_mask"), "rejected_mask": runs("rejected_mask")})
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, num=80, den=100)
 
@@ -56,8 +67,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_bpe": op2_bpe, "op3_sharding": op3_sharding, "op4_language": op4_language, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings,
-    "op7_merkle": op7_merkle, "op9_minhash": op9_minhash, "op10_mixing": op10_mixing,
+    "op1_pseudo_likelihood": op1_pseudo_likelihood, "op2_bpe": op2_bpe, "op3_sharding": op3_sharding, "op4_language": op4_language, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings,
+    "op7_merkle": op7_merkle, "op8_chat": op8_chat, "op9_minhash": op9_minhash, "op10_mixing": op10_mixing,
 }
 ORACLE: dict[str, str] = {}
 
@@ -87,3 +98,30 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.c, e.vec_id) AS component_id, coalesce(c.c, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
+
+_RENDER = "list_reduce(list_prepend('', list_transform({0}, lambda t: '<|im_start|>' || t.role || chr(10) || t.txt || '<|im_end|>' || chr(10))), lambda a, b: a || b)"
+_MASK = (
+    "list_reduce(list_prepend('', list_transform({0}, lambda t: (length(t.role) + 13) || '-' || (length(t.txt) + 10) || "
+    "(CASE WHEN t.role = 'assistant' THEN '+' ELSE '-' END) || '1-')), lambda a, b: a || b)"
+)
+ORACLE["op8_chat"] = f"""
+WITH t AS (
+  SELECT conv_id, list({{'turn': turn, 'role': coalesce(role, ''), 'txt': coalesce(text, '')}} ORDER BY turn, role, text) AS l,
+         max(turn) FILTER (WHERE role = 'assistant') AS last_turn
+  FROM conversations GROUP BY conv_id
+), c AS (
+  SELECT conv_id, last_turn, list_transform(list_filter(l, lambda x: last_turn IS NULL OR x.turn <= last_turn), lambda x: {{'role': x.role, 'txt': x.txt}}) AS a FROM t
+), r AS (
+  SELECT conv_id, a[len(a)].txt AS reply FROM c WHERE last_turn IS NOT NULL
+), n AS (
+  SELECT conv_id, coalesce(lead(reply) OVER (ORDER BY conv_id), first_value(reply) OVER (ORDER BY conv_id)) AS reply FROM r
+), p AS (
+  SELECT c.conv_id, a, CASE WHEN n.conv_id IS NULL THEN a ELSE list_append(a[1:len(a) - 1], {{'role': 'assistant', 'txt': n.reply}}) END AS b
+  FROM c LEFT JOIN n ON n.conv_id = c.conv_id
+), k AS (
+  SELECT conv_id, a, b, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] IS DISTINCT FROM b[i])) - 1, len(a)) AS k FROM p
+)
+SELECT conv_id, k::INTEGER AS common_turns, {_RENDER.format("a[1:k]")} AS prompt, {_RENDER.format("a[k + 1:]")} AS chosen, {_MASK.format("a[k + 1:]")} AS chosen_mask,
+       {_RENDER.format("b[k + 1:]")} AS rejected, {_MASK.format("b[k + 1:]")} AS rejected_mask
+FROM k
+"""

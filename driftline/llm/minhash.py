@@ -137,25 +137,63 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
+def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit hash of each band; equal values in different bands differ."""
+    sig = sig.reshape(bands, rows)
+    h = np.arange(1, bands + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for r in range(rows):
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, r])
+    return h.view(np.int64)
+
+
+def class_of(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def profile(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
-    """(key, n_shingles, class_key, sig, shingles) per row, written to the shared folder."""
+    """(key, n_shingles, class_key, sig, bands) per row, written; sig has the low byte of each signature value, enough to prune by."""
     n = bands * rows
 
     def run(batches):
         words = WordHashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                sets = [shingle_set(t, width, words) for t in part.column(1).to_pylist()]
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                size, cls, low, met = [], [], [], []
+                for t in part.column(1):
+                    s = shingle_set(t.as_py(), width, words)
+                    sig = signature(s, n) if len(s) else None
+                    size.append(len(s))
+                    cls.append(class_of(s))
+                    low.append(None if sig is None else sig.astype(np.uint8).tobytes())
+                    met.append(None if sig is None else band_hashes(sig, bands, rows))
                 yield pa.RecordBatch.from_pydict({
-                    "key": part.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "class_key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    "sig": pa.array([signature(s, n).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
+                    "key": part.column(0), "n_shingles": pa.array(size, pa.int64()), "class_key": pa.array(cls, pa.binary()),
+                    "sig": pa.array(low, pa.binary()), "bands": pa.array(met, pa.list_(pa.int64())),
                 })
 
     two = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return cut(two.mapInArrow(run, "key long, n_shingles long, class_key binary, sig binary, shingles binary"), "minhash-profile")
+    return cut(two.mapInArrow(run, "key long, n_shingles long, class_key binary, sig binary, bands array<long>"), "minhash-profile")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(node, shingles) of the wanted (node, class_key, member), made anew from the members' texts and written."""
+
+    def run(batches):
+        words = WordHashes()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                sets = [shingle_set(t.as_py(), width, words) for t in part.column("text")]
+                own = [class_of(s) == c for s, c in zip(sets, part.column("class_key").to_pylist(), strict=True)]  # a key may have several texts
+                yield pa.RecordBatch.from_pydict({
+                    "node": part.column("node").filter(pa.array(own)), "shingles": pa.array([s.tobytes() for s, o in zip(sets, own, strict=True) if o], pa.binary()),
+                })
+
+    texts = docs.select(F.col(key).cast("long").alias("member"), F.col(text).alias("text")).join(wanted, "member")
+    made = texts.select("node", "class_key", "text").mapInArrow(run, "node long, shingles binary")
+    return cut(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "minhash-sets")
 
 
 def blocked(groups: DataFrame, block: int) -> DataFrame:
@@ -218,23 +256,11 @@ def joined_up(batches, rows: int = 4096):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def band_groups(profiles: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(group, size, member) of the bands that two or more representatives share, one of those with equal members."""
-
-    def run(batches):
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(keys), bands, rows)
-            h = np.zeros((len(keys), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                for r in range(rows):
-                    h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-            yield pa.RecordBatch.from_pydict({"band": pa.array(h.reshape(-1).view(np.int64)), "member": pa.array(np.repeat(keys, bands))})
-
-    met = cut(profiles.select("key", "sig").mapInArrow(run, "band long, member long"), "minhash-bands")
-    who = F.xxhash64("member").cast("decimal(20,0)")
-    sizes = met.groupBy("band").agg(F.count("*").alias("size"), F.sum(who).alias("who"), F.bit_xor("member").alias("x")).where("size > 1")
-    once = sizes.groupBy("size", "who", "x").agg(F.min("band").alias("band")).select("band", "size")
+def band_groups(classes: DataFrame) -> DataFrame:
+    """(group, size, member) of the bands that two or more classes share, one of those with equal members."""
+    met = classes.select(F.col("node").alias("member"), F.explode("bands").alias("band"))
+    sizes = met.groupBy("band").agg(F.count("*").alias("size"), F.bit_xor("member").alias("x"), F.bit_xor(F.xxhash64("member")).alias("y")).where("size > 1")
+    once = sizes.groupBy("size", "x", "y").agg(F.min("band").alias("band")).select("band", "size")
     return met.join(once, "band").select(F.col("band").alias("group"), "size", "member")
 
 
@@ -251,15 +277,14 @@ def near_duplicates(
     read.  ``width`` words make a shingle.
     """
     rows_ = profile(docs, key, text, width, bands, rows)
-    classes = rows_.where("class_key is not null and key is not null").groupBy("class_key").agg(F.min("key").alias("member"))
-    # a representative is the first row of the smallest key; repeated rows of one key give one
-    one = cut(rows_.join(classes, "class_key").where("key = member").groupBy("class_key", "key").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles")), "minhash-classes")
-    # one key may stand for several texts; classes are told apart by a number of their own
+    able = rows_.where("class_key is not null and key is not null")
+    # one key may stand for several texts, so classes have numbers of their own; what all rows of a class share, any gives
     node = F.xxhash64("class_key")
-    reps = one.select(node.alias("key"), "sig", "shingles")
-    groups = cut(band_groups(reps, bands, rows), "minhash-groups")
+    one = able.groupBy("class_key").agg(F.min("key").alias("member"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    one = cut(one.withColumn("node", node), "minhash-classes")
+    groups = cut(band_groups(one), "minhash-groups")
     need = cutoffs(num / den, bands * rows, min(BATCH, bands * rows), miss)
-    low = reps.select(F.col("key").alias("member"), "sig")
+    low = one.select(F.col("node").alias("member"), "sig")
 
     def connected(batches, sets: bool):
         """(group, a, b) of a forest over each group's survivors, most alike first; with full sets, of verified pairs only."""
@@ -293,31 +318,25 @@ def near_duplicates(
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(ok, pa.bool_())})
 
-    # low bytes of the signature values: enough to prune by, and a quarter of the bytes to move
-    def narrow(batches):
-        for batch in batches:
-            sig = [np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in batch.column("sig").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"member": batch.column("member"), "sig": pa.array(sig, pa.binary())})
-
-    low = low.mapInArrow(narrow, "member long, sig binary")
     members = blocked(groups, block)
     pairs = cut(by_group(members.join(low, "member")).mapInArrow(forest, "group long, a long, b long"), "minhash-pairs")
-    sets = reps.select("key", "shingles")
     distinct = pairs.select("a", "b").distinct()
-    both = distinct.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b").join(
-        sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a"
+    names = one.select("node", "class_key", "member")
+    ends = distinct.select(F.col("a").alias("node")).union(distinct.select(F.col("b").alias("node"))).distinct()
+    sets = full_sets(docs, names.join(ends, "node"), key, text, width)
+    both = distinct.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(
+        sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a"
     )
     checked = cut(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, ok boolean"), "minhash-checked")
     links = checked.where("ok").select("a", "b")
-    failed = pairs.join(checked.where("not ok").select("a", "b"), ["a", "b"]).select("group").distinct()
-    # groups in which a pair failed: the full sets decide among all their survivors
+    # groups in which a pair failed: the full sets decide among all their survivors, which are ends of some forest's pairs
+    failed = cut(pairs.join(checked.where("not ok").select("a", "b"), ["a", "b"]).select("group").distinct(), "minhash-failed")
     full = blocked(groups.join(failed, "group", "left_semi"), block)
-    again = by_group(full.join(low, "member").join(sets.withColumnRenamed("key", "member"), "member")).mapInArrow(whole, "group long, a long, b long")
+    again = by_group(full.join(low, "member").join(sets.withColumnRenamed("node", "member"), "member")).mapInArrow(whole, "group long, a long, b long")
     joined = components(links.unionByName(again.select("a", "b")))
 
-    smallest = one.select(node.alias("node"), "class_key", "key").join(joined, "node", "left")
-    by_class = smallest.select("class_key", "key", F.coalesce("component", "node").alias("component"))
-    least = by_class.groupBy("component").agg(F.min("key").alias("component_id"))
+    by_class = names.join(joined, "node", "left").select("class_key", "member", F.coalesce("component", "node").alias("component"))
+    least = by_class.groupBy("component").agg(F.min("member").alias("component_id"))
     found = by_class.join(least, "component").select("class_key", "component_id")
     narrow_rows = rows_.select("key", "n_shingles", "class_key")
     out = narrow_rows.where("class_key is not null").join(found, "class_key", "left").select("key", "n_shingles", F.coalesce("component_id", "key").alias("component_id"))

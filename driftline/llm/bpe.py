@@ -12,6 +12,7 @@ Tokenizers are read from a file and never trained.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -21,14 +22,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import shuffle_parts
+from driftline.llm.common import cut, shuffle_parts, trim, trimmed
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A block is closed once it holds so many code points; its words and numbers fit a task's memory.
-BLOCK_CHARS = 48_000_000
+BLOCK_CHARS = 32_000_000
 #: Word numbers in one shuffled row.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 300_000
+#: A longer text is split into words piece by piece.
+PIECE_CHARS = 1_000_000
 
 
 class ByteBpe:
@@ -52,28 +55,33 @@ class ByteBpe:
         self.cut_added = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.odd_ranges = disagreeing(self.tok) if odd is None else odd
         self.odd = regex.compile(f"[{self.odd_ranges}]") if self.odd_ranges else None
-
-    def split(self, text: str) -> list[str]:
-        """Pre-tokens of ``text``; each encodes alone as it does in place."""
-        if self.odd is not None and self.odd.search(text):
-            return self._slow(text)
+        least = int(self.odd_ranges[2:10], 16) if self.odd_ranges else 0x110000
+        #: rules out most texts quickly
+        self.high = re.compile(f"[\\U{least:08x}-\\U0010ffff]") if self.odd_ranges else None
+        self.between = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
+
+    def split(self, text: str):
+        """Lists of pre-tokens, together those of ``text``; each pre-token encodes alone as it does in place."""
+        slow = not text.isascii() and self.high is not None and self.high.search(text) and self.odd.search(text)
         if self.cut_added is None or not any(x in text for x in self.added):
-            return self.words.findall(text)
-        out: list[str] = []
+            yield from self._plain(text, slow)
+            return
         for k, part in enumerate(self.cut_added.split(text)):
-            out += [part] if k % 2 else self.words.findall(part)
-        return out
-
-    def _slow(self, text: str) -> list[str]:
-        """As :meth:`split` for text with code points that the two Unicode tables class differently."""
-        parts = self.cut_added.split(text) if self.cut_added else [text]
-        out: list[str] = []
-        for k, part in enumerate(parts):
             if k % 2:
-                out.append(part)
-                continue
-            out += [part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)]
-        return out
+                yield [part]
+            else:
+                yield from self._plain(part, slow)
+
+    def _plain(self, text: str, slow) -> list[list[str]]:
+        """Pre-tokens of a text without added tokens; ``slow``: it has code points that the two Unicode tables class differently."""
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > PIECE_CHARS and (m := self.between.search(text, at + PIECE_CHARS)):
+                end = m.start()  # a letter, then a space before a letter: always a boundary
+            part = text[at:end]
+            yield [part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)] if slow else self.words.findall(part)
+            at = end
 
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)]
@@ -127,50 +135,82 @@ def bucket_of(words: list[str], n: int) -> np.ndarray:
     return np.fromiter((crc(w.encode()) for w in words), np.uint32, len(words)) % np.uint32(n)
 
 
+#: Numbers under ONE take a byte; of others the first byte holds what lies above SHIFT bits, up to 30.
+ONE, SHIFT = 224, 14
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Integers, low and high halves apart so that the small ones cost little."""
-    return pa.compress(values.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes(), "zstd", asbytes=True)
+    """Integers as byte planes: small ones in the first alone, so that numbers by frequency cost little more than their entropy."""
+    v = values.astype(np.uint32, copy=False)
+    top = v >> np.uint32(SHIFT)
+    first = np.where(v < ONE, v, ONE + np.minimum(31, top)).astype(np.uint8)
+    large = v[v >= ONE]
+    huge = (large >> np.uint32(SHIFT))[large >> np.uint32(SHIFT) >= 31]
+    codec = pa.Codec("zstd", compression_level=3)
+    planes = (first, (large & 0xFF).astype(np.uint8), (large >> 8 & 0x3F).astype(np.uint8), huge.astype("<u4"))
+    blobs = [codec.compress(x.tobytes(), asbytes=True) if x.size else b"" for x in planes]
+    return np.array([len(x) for x in blobs] + [len(large), len(huge)], "<u4").tobytes() + b"".join(blobs)
 
 
 def unpack(blob: bytes, n: int) -> np.ndarray:
-    halves = np.frombuffer(pa.decompress(blob, n * 4, "zstd", asbytes=True), "<u2").reshape(2, n)
-    return halves[0].astype(np.uint32) | (halves[1].astype(np.uint32) << np.uint32(16))
+    head = np.frombuffer(blob, "<u4", 6)
+    codec, at, planes = pa.Codec("zstd"), 24, []
+    for size, items, kind in zip(head[:4].tolist(), (n, int(head[4]), int(head[4]), int(head[5])), (np.uint8, np.uint8, np.uint8, "<u4"), strict=True):
+        raw = codec.decompress(blob[at : at + size], items * np.dtype(kind).itemsize, asbytes=True) if items else b""
+        planes.append(np.frombuffer(raw, kind).astype(np.uint32))
+        at += size
+    out, low, high, huge = planes
+    big = out >= ONE
+    top = out[big] - np.uint32(ONE)
+    top[top == 31] = huge
+    out[big] = top << np.uint32(SHIFT) | high << np.uint32(8) | low
+    return out
+
+
+class Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
 
 
 class Blocks:
-    """Splits the rows of one partition into blocks of (keys, word counts, word numbers, sorted distinct words)."""
+    """Splits the rows of one partition into blocks of (keys, word counts, word numbers by frequency, words in bucket order, their buckets and numbers)."""
 
     def __init__(self, path: str, odd: str, buckets: int) -> None:
         self.path, self.odd, self.buckets = path, odd, buckets
 
     def __call__(self, batches):
         bpe, n, chars = load(self.path, self.odd), 0, 0
-        keys: list = []
-        counts: list[int] = []
-        seen: dict[str, int] = {}
-        runs: list[np.ndarray] = []
+        keys, counts, seen, runs = [], [], Numbers(), []
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = bpe.split(text or "")
-                keys.append(key)
-                counts.append(len(words))
-                put = seen.setdefault
-                runs.append(np.fromiter((put(w, len(seen)) for w in words), np.uint32, len(words)))
-                chars += len(text or "")
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                total = 0
+                for words in bpe.split(text):
+                    total += len(words)
+                    runs.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)))
+                keys.append(key.as_py())
+                counts.append(total)
+                chars += len(text)
                 if chars >= BLOCK_CHARS:
                     yield n, *self.closed(keys, counts, seen, runs)
-                    n, chars, keys, counts, seen, runs = n + 1, 0, [], [], {}, []
+                    n, chars, keys, counts, seen, runs = n + 1, 0, [], [], Numbers(), []
         if keys:
             yield n, *self.closed(keys, counts, seen, runs)
 
     def closed(self, keys, counts, seen, runs):
-        words = list(seen)
+        words = sorted(seen)
         at = bucket_of(words, self.buckets)
-        order = np.lexsort((np.array(words, object), at)) if words else np.zeros(0, int)
+        order = np.argsort(at, kind="stable")
+        number = np.fromiter(map(seen.__getitem__, words), np.uint32, len(words))[order]
+        flat = np.concatenate(runs) if runs else np.zeros(0, np.uint32)
+        runs.clear()
+        often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words), dtype=np.uint32)
-        numbers = rank[np.concatenate(runs)] if words else np.zeros(0, np.uint32)
-        return keys, np.array(counts, np.int64), numbers, [words[i] for i in order], at[order]
+        rank[often] = np.arange(len(words), dtype=np.uint32)
+        return keys, np.array(counts, np.int64), rank[flat], [words[i] for i in order], at[order], rank[number]
 
 
 def _block_name(k: int) -> int:
@@ -188,51 +228,56 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     Columns besides the two are not read.  A text of any length is encoded whole; a block holds at
     least one text, so memory follows the longest one.
 
-    ``docs`` is evaluated twice and must give the same partitions and row order both times, as a
-    table scan does; cut anything else first.  A block that disagrees with its words fails the job.
+    The split texts are written to the shared folder as word numbers and word lists, so every block
+    is made once, whatever happens to the executors.
     """
     spark = docs.sparkSession
     n = buckets or 2 * shuffle_parts(spark)
     odd = load(tokenizer).odd_ranges
     two = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-
-    def words_of(batches):
-        for k, _, _, _, words, at in Blocks(tokenizer, odd, n)(batches):
+    kind = two.schema["key"].dataType.simpleString()
+    two_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    made = pa.schema([
+        ("block", pa.int64()), ("bucket", pa.int32()), ("size", pa.int64()), ("words", pa.binary()),
+        ("keys", pa.list_(two_key)), ("counts", pa.list_(pa.int64())), ("distinct", pa.int64()), ("numbers", pa.binary()),
+    ])
+
+    def row(**x):
+        return pa.RecordBatch.from_pydict({f.name: pa.array([x.get(f.name)], f.type) for f in made}, schema=made)
+
+    def split(batches):
+        """A block as rows of words (one a bucket), of word numbers, and one (bucket -1) with the numbers of the words in bucket order."""
+        for k, keys, counts, numbers, words, at, number in Blocks(tokenizer, odd, n)(batches):
+            name = _block_name(k)
             edges = np.searchsorted(at, np.arange(n + 1))
             for b in range(n):
                 if edges[b] < edges[b + 1]:
                     raw = "\0".join(w.replace("\1", "\1\1").replace("\0", "\1\2") for w in words[edges[b] : edges[b + 1]]).encode()
-                    yield pa.RecordBatch.from_pydict({
-                        "bucket": pa.array([b], pa.int32()), "block": pa.array([_block_name(k)], pa.int64()), "size": pa.array([len(raw)], pa.int64()),
-                        "words": pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary()),
-                    })
-
-    def numbers_of(batches):
-        for k, keys, counts, numbers, words, _ in Blocks(tokenizer, odd, n)(batches):
-            ends = np.cumsum(counts)
-            a = 0
+                    yield row(block=name, bucket=b, size=len(raw), words=pa.Codec("zstd", compression_level=9).compress(raw, asbytes=True))
+            distinct = len(words)
+            del words
+            yield row(block=name, bucket=-1, distinct=distinct, numbers=pack(number))
+            ends, a = np.cumsum(counts), 0
             while a < len(keys):
                 lo = ends[a - 1] if a else 0
                 b = max(a + 1, int(np.searchsorted(ends, lo + CHUNK_WORDS, "right")))
-                part = numbers[lo : ends[b - 1]]
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([_block_name(k)], pa.int64()), "keys": pa.array([keys[a:b]], pa.list_(two_key)), "counts": pa.array([counts[a:b].tolist()], pa.list_(pa.int64())),
-                    "distinct": pa.array([len(words)], pa.int64()), "numbers": pa.array([pack(part)], pa.binary()),
-                })
+                yield row(block=name, bucket=a, keys=keys[a:b], counts=counts[a:b].tolist(), distinct=distinct, numbers=pack(numbers[lo : ends[b - 1]]))
                 a = b
 
     def encoded(table: pa.Table) -> pa.Table:
         """The words of one bucket, from all blocks; each distinct one is encoded once."""
         bpe = load(tokenizer, odd)
-        place: dict[str, int] = {}
-        lists = []
+        place, lists = Numbers(), []
         for raw, size in zip(table["words"].to_pylist(), table["size"].to_pylist(), strict=True):
             own = pa.decompress(raw, size, "zstd", asbytes=True).decode().split("\0")
-            put = place.setdefault
-            lists.append(np.fromiter((put(w, len(place)) for w in own), np.int64, len(own)))
-        ids = bpe.encode([w.replace("\1\2", "\0").replace("\1\1", "\1") if "\1" in w else w for w in place])
-        width = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(width.sum()))
+            lists.append(np.fromiter(map(place.__getitem__, own), np.int64, len(own)))
+        words, width, parts = list(place), [], []
+        del place
+        for lo in range(0, len(words), 20_000):
+            ids = bpe.encode([re.sub("\1([\1\2])", lambda m: "\0" if m[1] == "\2" else "\1", w) if "\1" in w else w for w in words[lo : lo + 20_000]])
+            width.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            parts.append(np.fromiter((i for x in ids for i in x), np.uint32, int(width[-1].sum())))
+        width, flat = np.concatenate(width), np.concatenate(parts)
         start = np.cumsum(width) - width
         sizes, blobs, total = [], [], []
         for own in lists:
@@ -240,6 +285,8 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             sizes.append(pack(w))
             blobs.append(pack(flat[spans(start[own], w)]))
             total.append(int(w.sum()))
+        del words, parts, flat, start
+        trim()
         return pa.table({
             "block": table["block"], "bucket": table["bucket"], "n": pa.array([len(x) for x in lists], pa.int64()), "total": pa.array(total, pa.int64()),
             "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(blobs, pa.binary()),
@@ -247,32 +294,37 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def placed(left: pa.Table, right: pa.Table) -> pa.Table:
         """The documents of one block: word numbers become ids."""
+        trim()
         right = right.sort_by("bucket")
         meta = right.select(["n", "total"]).to_pydict()
         width = np.concatenate([unpack(b, c) for b, c in zip(right["sizes"].to_pylist(), meta["n"], strict=True)] or [np.zeros(0, np.uint32)]).astype(np.int64)
         flat = np.concatenate([unpack(b, c) for b, c in zip(right["ids"].to_pylist(), meta["total"], strict=True)] or [np.zeros(0, np.uint32)])
-        start = np.cumsum(width) - width
+        left = left.sort_by("bucket")
+        if left["bucket"][0].as_py() != -1 or left["distinct"][0].as_py() != len(width):
+            raise ValueError("a block and its words don't belong together")
+        number = unpack(left["numbers"][0].as_py(), len(width))
+        place = np.empty(len(width), np.int64)
+        place[number] = np.arange(len(width))
+        start, width = (np.cumsum(width) - width)[place], width[place]
         out_keys, out_n, out_ids = [], [], []
-        for k in range(left.num_rows):
-            row = left.slice(k, 1).to_pydict()
-            counts = np.array(row["counts"][0], np.int64)
-            if row["distinct"][0] != len(width):
-                raise ValueError("a block was evaluated twice with different rows; cut the input before encoding it")
-            numbers = unpack(row["numbers"][0], int(counts.sum())).astype(np.int64)
+        for k in range(1, left.num_rows):
+            counts = np.array(left["counts"][k].as_py(), np.int64)
+            numbers = unpack(left["numbers"][k].as_py(), int(counts.sum()))
             w = width[numbers]
-            ids = flat[spans(start[numbers], w)].astype("<u4")
+            ids = flat[spans(start[numbers], w)].astype("<u4", copy=False)
             ends = np.concatenate([[0], np.cumsum(w)])[np.concatenate([[0], np.cumsum(counts)])]
-            out_keys.append(pa.array(row["keys"][0], two_key))
+            out_keys.append(pa.array(left["keys"][k].as_py(), two_key))
             out_n.append(pa.array(np.diff(ends), pa.int64()))
-            out_ids.append(pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends * 4), pa.py_buffer(ids.tobytes())]).cast(pa.binary()))
+            out_ids.append(pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends * 4), pa.py_buffer(ids)]).cast(pa.binary()))
         return pa.table({"key": pa.chunked_array(out_keys, two_key), "n_tokens": pa.chunked_array(out_n, pa.int64()), "ids": pa.chunked_array(out_ids, pa.binary())})
 
-    kind = two.schema["key"].dataType.simpleString()
-    two_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    lists = two.mapInArrow(words_of, "bucket int, block long, size long, words binary")
-    table = lists.groupBy("bucket").applyInArrow(encoded, "block long, bucket int, n long, total long, sizes binary, ids binary")
-    numbers = two.mapInArrow(numbers_of, f"block long, keys array<{kind}>, counts array<long>, distinct long, numbers binary")
-    out = numbers.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(placed, f"key {kind}, n_tokens long, ids binary")
+    blocks = cut(
+        two.mapInArrow(lambda batches: trimmed(split(batches)), f"block long, bucket int, size long, words binary, keys array<{kind}>, counts array<long>, distinct long, numbers binary"), "bpe-blocks"
+    )
+    words = blocks.where("words is not null").select("block", "bucket", "size", "words")
+    encoded_words = words.groupBy("bucket").applyInArrow(encoded, "block long, bucket int, n long, total long, sizes binary, ids binary")
+    numbers = blocks.where("numbers is not null").select("block", "bucket", "keys", "counts", "distinct", "numbers")
+    out = numbers.groupBy("block").cogroup(encoded_words.groupBy("block")).applyInArrow(placed, f"key {kind}, n_tokens long, ids binary")
     return out.withColumnRenamed("key", key)
 
 
@@ -298,8 +350,8 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", out: str = "dec
     def run(batches):
         pieces = load(tokenizer, odd).pieces()
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
                 texts = []
                 for blob in part.column(ids):
                     if not blob.is_valid:
@@ -310,4 +362,4 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", out: str = "dec
                     texts.append(joined.buffers()[2].to_pybytes()[off[joined.offset] : off[joined.offset + len(joined)]].decode("utf-8", "replace") if len(joined) else "")
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lambda batches: trimmed(run(batches)), schema)

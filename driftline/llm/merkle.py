@@ -97,9 +97,12 @@ def locate(a: Column, b: Column) -> Column:
     return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.filter(at, lambda k: k.isNotNull()))
 
 
-def with_next(rows: DataFrame, key: str, order: list[str], cols: list[str], stretch: int = STRETCH) -> DataFrame:
+def with_next(rows: DataFrame, key: str, order: list[str], cols: list[str], stretch: int = STRETCH, made: dict[str, Column] | None = None) -> DataFrame:
     """``rows`` with next_<col> of the row that follows in order of the whole-number ``key`` and then ``order``; the first follows the last.
 
+    ``made`` are columns to make from the rows' own and to give of the next row too; they are made once a
+    row, behind the shuffle, which doesn't carry them.
+
     Null keys come first.  Rows are dealt into stretches of the key, quantiles of it and even parts of
     these, and ordered within each; a stretch's last row takes the first row of the next stretch that
     has any, of which there is one a stretch.  The rows are shuffled once, and no task orders more than
@@ -116,17 +119,18 @@ def with_next(rows: DataFrame, key: str, order: list[str], cols: list[str], stre
     inside = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((at - low) * F.lit(float(fine)) / F.greatest(F.lit(1), high - low))))
     dealt = rows.withColumn("stretch", F.when(at.isNull(), 0).otherwise(k * fine + inside).cast("long"))
     w = Window.partitionBy("stretch").orderBy(at.asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order])
-    ahead = dealt.withColumns({f"next_{c}": F.lead(F.struct(c)).over(w) for c in cols})
+    cols = [*cols, *(made or {})]
+    ahead = dealt.repartition("stretch").withColumns(made or {}).withColumns({f"next_{c}": F.lead(F.struct(c)).over(w) for c in cols})
     # the first row of each stretch: its key by a narrow aggregate, then its columns
     least = cut(dealt.groupBy("stretch").agg(F.min(F.struct(at.isNotNull().alias("known"), at.alias("low_key"))).alias("first")).select("stretch", "first.low_key"), "next-keys")
     few = dealt.join(least.select("low_key"), at.eqNullSafe(F.col("low_key")))
     lead_cols = F.struct(*[x for c in order for x in (F.col(c).isNotNull().alias(f"{c}_known"), F.col(c))])
-    firsts = cut(few.groupBy("stretch").agg(F.min_by(F.struct(*cols), lead_cols).alias("first")), "next-firsts")
+    firsts = cut(few.withColumns(made or {}).groupBy("stretch").agg(F.min_by(F.struct(*cols), lead_cols).alias("first")), "next-firsts")
     after = Window.orderBy("stretch")
     follow = least.select("stretch", F.lead("stretch").over(after).alias("on"), F.first("stretch").over(after).alias("wrap"))
     step = follow.select(F.col("stretch").alias("s"), F.coalesce("on", "wrap").alias("stretch")).join(firsts, "stretch").select(F.col("s").alias("stretch"), F.col("first").alias("after"))
     out = ahead.join(step, "stretch")
-    return out.select(*rows.columns, *[F.when(F.col(f"next_{c}").isNotNull(), F.col(f"next_{c}")[c]).otherwise(F.col("after")[c]).alias(f"next_{c}") for c in cols])
+    return out.select(*rows.columns, *(made or {}), *[F.when(F.col(f"next_{c}").isNotNull(), F.col(f"next_{c}")[c]).otherwise(F.col("after")[c]).alias(f"next_{c}") for c in cols])
 
 
 def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,7 +144,7 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     edited_paragraphs numbers the lines of the edited text that differ.  Other columns aren't read.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    both = with_next(rows.withColumn("fp", fingerprint(F.col("body"))), "key", ["body"], ["body", "fp"])
+    both = with_next(rows, "key", ["body"], ["body"], made={"fp": fingerprint(F.col("body"))})
     n = F.char_length("body")
     q = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("body"), F.lit(1), n - q), F.substring(F.col("next_body"), F.lit(1), q))

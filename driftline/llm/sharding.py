@@ -5,6 +5,10 @@ hash; each cell differences its groups into one partial partition of k subset su
 partial partitions are differenced once more.  Differencing only ever looks at partial partitions,
 so it may be cut anywhere: what the second level gets is k sums per cell, however many groups the
 cells hold.
+
+A group larger than a cell's even share can't be evened out within a cell.  Such groups, of which
+there are fewer than k a cell, are differenced first, and every cell starts from its part of their
+sums: a partial partition like any other, to whose subsets the cell's own are then tied.
 """
 
 from __future__ import annotations
@@ -79,30 +83,45 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
         "shard-rows",
     )
     groups = cut(rows.groupBy("digest").agg(F.sum("size").alias("size")), "shard-groups")
-    cells = max(1, -(-groups.count() // cell_groups))
-    cell = F.pmod(F.xxhash64("digest"), F.lit(cells)).cast("int")
+    count, total = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    cells = max(1, -(-count // cell_groups))
+    spark = docs.sparkSession
+    large = F.col("size") * (shards * cells) > total if cells > 1 else F.lit(False)
+    first_groups = sorted(((-r["size"], bytes(r["digest"]) if r["digest"] is not None else b"") for r in groups.where(large).collect()) if cells > 1 else [])
+    first = np.zeros((len(first_groups), shards), np.int64)
+    first[:, 0] = [-s for s, _ in first_groups]
+    first_place, _ = difference(first, shards)
+    base = np.bincount(first_place[:, 0], first[:, 0], shards) if len(first) else np.zeros(shards)
+    rest = max(1, total - int(first.sum()))
 
     def partial(batch: pa.Table) -> pa.Table:
         batch = batch.sort_by([("size", "descending"), ("digest", "ascending")])
-        sums = np.zeros((batch.num_rows, shards), np.int64)
-        sums[:, 0] = batch["size"].to_numpy()
+        size = batch["size"].to_numpy()
+        sums = np.zeros((batch.num_rows + 1, shards), np.int64)
+        sums[0] = np.rint(base * (float(size.sum()) / rest))
+        sums[1:, 0] = size
         place, _ = difference(sums, shards)
-        return pa.table({"digest": batch["digest"], "size": batch["size"], "cell": batch["cell"], "part": pa.array(place[:, 0], pa.int32())})
+        tied = np.argsort(place[0])  # the subset of the j-th first sum is shard j
+        return pa.table({"digest": batch["digest"], "size": batch["size"], "cell": batch["cell"], "part": pa.array(tied[place[1:, 0]], pa.int32())})
 
+    cell = F.pmod(F.xxhash64("digest"), F.lit(cells)).cast("int")
     placed = cut(
-        groups.withColumn("cell", cell).groupBy("cell").applyInArrow(partial, "digest binary, size long, cell int, part int"), "shard-parts"
+        groups.where(~large).withColumn("cell", cell).groupBy("cell").applyInArrow(partial, "digest binary, size long, cell int, part int"), "shard-parts"
     )
-    # the second level: k sums a cell, so its input follows the number of cells, not of groups
-    sums = np.zeros((cells, shards), np.int64)
-    for r in placed.groupBy("cell", "part").agg(F.sum("size").alias("size")).toLocalIterator():
-        sums[r["cell"], r["part"]] = r["size"]
-    final, _ = difference(sums, shards)
-    spark = docs.sparkSession
-    names = pa.table({
-        "cell": pa.array(np.repeat(np.arange(cells), shards), pa.int32()), "part": pa.array(np.tile(np.arange(shards), cells), pa.int32()),
-        "shard": pa.array(final.reshape(-1), pa.int32()),
-    })
-    where = placed.join(spark.createDataFrame(names), ["cell", "part"]).select("digest", "shard")
+    if first_groups:
+        names = pa.table({"digest": pa.array([d or None for _, d in first_groups], pa.binary()), "shard": pa.array(first_place[:, 0], pa.int32())})
+        where = placed.select("digest", F.col("part").alias("shard")).unionByName(spark.createDataFrame(names))
+    else:
+        # the second level: k sums a cell, so its input follows the number of cells, not of groups
+        sums = np.zeros((cells, shards), np.int64)
+        for r in placed.groupBy("cell", "part").agg(F.sum("size").alias("size")).toLocalIterator():
+            sums[r["cell"], r["part"]] = r["size"]
+        final, _ = difference(sums, shards)
+        names = pa.table({
+            "cell": pa.array(np.repeat(np.arange(cells), shards), pa.int32()), "part": pa.array(np.tile(np.arange(shards), cells), pa.int32()),
+            "shard": pa.array(final.reshape(-1), pa.int32()),
+        })
+        where = placed.join(spark.createDataFrame(names), ["cell", "part"]).select("digest", "shard")
 
     # slots: counts of (shard, run) give each run its first slot, so no shard is ranked in one task
     run = F.pmod(F.xxhash64("key"), F.lit(8 * cells)).cast("int")

@@ -68,6 +68,19 @@ def embedded(texts: DataFrame, factory: Callable[[], Callable[[list[str]], np.nd
     return texts.select("content_sha256", "text").mapInPandas(run, T.StructType([T.StructField("content_sha256", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
+def stub_embedder() -> Callable[[list[str]], np.ndarray]:
+    return lambda texts: np.array([np.frombuffer(hashlib.md5(t.encode()).digest(), ">u2") / 65536 for t in texts], np.float32)  # noqa: S324
+
+
+def no_embedder() -> Callable[[list[str]], np.ndarray]:
+    """For runs that must find everything in the cache."""
+
+    def refuse(texts: list[str]) -> np.ndarray:
+        raise RuntimeError(f"{len(texts)} texts are not in the cache")
+
+    return refuse
+
+
 def mean_pooled(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Mean of the tokens' vectors that the mask keeps."""
     m = mask[:, :, None].astype(hidden.dtype)

@@ -254,6 +254,19 @@ def emb_cache_audit(spark, sf_dir):
     return setops.cache_audit(cache)
 
 
+@query("SELECT doc_id, sha256(text) AS content_sha256, 8::INTEGER AS dim FROM documents")
+def emb_cache_round(spark, sf_dir):
+    """All documents through the cache twice; the second time nothing is embedded."""
+    from driftline.operators import cache
+
+    path = _scratch(spark, "embeddings")
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    first = cache.embed(d, path, "stub", seams.stub_embedder, "doc_id")
+    again = cache.embed(d, path, "stub", seams.no_embedder, "doc_id")
+    both = first.withColumnRenamed("vector", "v").join(again, "doc_id").where("v = vector")
+    return both.join(d, "doc_id").select("doc_id", tx.content_sha256("text").alias("content_sha256"), F.size("vector").alias("dim"))
+
+
 # --- judging ------------------------------------------------------------------------------------
 
 _TEMPLATE = "Judge {dimension}.\nPrompt: {prompt}\nA: {candidate_a}\nB: {candidate_b}\nReturn only A or B."
@@ -739,21 +752,31 @@ def self_check_window(spark, sf_dir):
 _SEEDS = 8
 
 
-@query(f""", rk AS (SELECT seed, text, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || pair_id), pair_id) - 1 AS pos, count(*) OVER (PARTITION BY seed) // 2 AS half
-  FROM refs, (SELECT unnest(range({_SEEDS})) AS seed)), st AS (SELECT seed, CASE WHEN pos < half THEN 'a' ELSE 'b' END AS side, text FROM rk WHERE pos < 2 * half)""" + _l2("st", "seed")
-       + "SELECT min(token_l2) AS lowest, max(token_l2) AS highest, count(*) AS seeds FROM l2", views=True)
+@query(f""", rk AS (SELECT seed, pair_id, text, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || pair_id), pair_id) - 1 AS pos, count(*) OVER (PARTITION BY seed) // 2 AS half
+  FROM refs, (SELECT unnest(range({_SEEDS})) AS seed)), st AS (SELECT seed, pair_id, CASE WHEN pos < half THEN 'a' ELSE 'b' END AS side, text FROM rk WHERE pos < 2 * half)""" + _l2("st", "seed")
+       + f""", ev AS (SELECT seed, side, pair_id AS id, {_EMB} AS x FROM st),
+kd AS (SELECT p.seed, p.side AS sa, q.side AS sb, exp(-list_sum(list_transform(range(1, 9), lambda i: (p.x[i] - q.x[i]) * (p.x[i] - q.x[i]))) / 2) AS kv FROM ev p JOIN ev q ON p.seed = q.seed AND p.id < q.id),
+ks AS (SELECT seed, sum(kv) FILTER (WHERE sa = 'a' AND sb = 'a') AS aa, sum(kv) FILTER (WHERE sa = 'b' AND sb = 'b') AS bb, sum(kv) FILTER (WHERE sa <> sb) AS ab FROM kd GROUP BY seed),
+kn AS (SELECT seed, count_if(side = 'a') AS n FROM st GROUP BY seed),
+mm AS (SELECT seed, round(2 * aa / (n * (n - 1)) + 2 * bb / (n * (n - 1)) - 2 * ab / (n * n)::DOUBLE, 9) AS mmd2 FROM ks JOIN kn USING (seed))
+SELECT min(token_l2) AS lowest_l2, max(token_l2) AS highest_l2, min(mmd2) AS lowest_mmd, max(mmd2) AS highest_mmd, max(abs(mmd2)) AS largest_mmd, count(*) AS seeds FROM l2 JOIN mm USING (seed)""", views=True)
 def noise_envelope(spark, sf_dir):
-    """Token L2 of half against half over several splits at once: rows carry their seeds, so all splits are one pass."""
-    refs = b.references(spark, sf_dir).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(_SEEDS - 1))))
+    """Both distances of half against half over several splits at once: rows carry their seeds, so all splits are one pass a metric."""
+    refs = b.references(spark, sf_dir)
+    ids = refs.select("pair_id").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(_SEEDS - 1))))
     draw = F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("pair_id")).cast("binary"))
-    # a split orders ids, so texts join after the halves are known
-    ids = refs.select("seed", "pair_id", draw.alias("draw"))
     n = F.floor(F.count("*").over(Window.partitionBy("seed")) / 2)
     at = F.row_number().over(Window.partitionBy("seed").orderBy("draw", "pair_id")) - 1
-    sided = ids.select("seed", "pair_id", at.alias("at"), n.alias("half")).where("at < 2 * half").select("seed", "pair_id", F.when(F.col("at") < F.col("half"), "a").otherwise("b").alias("side"))
-    own = sided.join(b.references(spark, sf_dir), "pair_id")
+    placed = ids.withColumn("draw", draw).select("seed", "pair_id", at.alias("at"), n.alias("half")).where("at < 2 * half")
+    sided = placed.select("seed", "pair_id", F.when(F.col("at") < F.col("half"), "a").otherwise("b").alias("side"))
+    own = sided.join(refs, "pair_id")  # a split orders ids, so texts join after the halves are known
     l2 = rounded(metrics.token_l2(own, ["seed"]), "token_l2")
-    return l2.agg(F.min("token_l2").alias("lowest"), F.max("token_l2").alias("highest"), F.count("*").alias("seeds"))
+    emb = sided.join(refs.select("pair_id", seams.stub_embedding().alias("v")), "pair_id")
+    mmd = rounded(metrics.mmd2(emb, "seed", "side", "v", "pair_id", sigma=1.0), "mmd2").select("seed", "mmd2")
+    return l2.join(mmd, "seed").agg(
+        F.min("token_l2").alias("lowest_l2"), F.max("token_l2").alias("highest_l2"), F.min("mmd2").alias("lowest_mmd"), F.max("mmd2").alias("highest_mmd"),
+        F.max(F.abs("mmd2")).alias("largest_mmd"), F.count("*").alias("seeds"),
+    )
 
 
 @query(""", c AS (SELECT 'documents' AS what, count(*) AS calls, 0.0005::DOUBLE AS each FROM pairs UNION ALL SELECT 'judge', 6 * count(*), 0.0005 FROM drafts UNION ALL SELECT 'detector', count(*), 0.01 FROM rounds WHERE k <= 1)

@@ -272,6 +272,21 @@ def import_drafts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pair_id", F.coalesce("prompt", F.lit("")).alias("prompt"), "text", content_sha256("text").alias("text_sha"))
 
 
+def nascent_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """Bundles of a run, ready to be rewritten; no bundle at all, and one without a draft, are errors."""
+    good, _ = read_tolerant(spark, path, "bundle")
+    if good.isEmpty():
+        raise RecordError(f"{path}: no bundle")
+    if lost := good.where("draft is null or draft.text is null").select("pair_id").limit(5).collect():
+        raise RecordError(f"{path}: no draft for {[r[0] for r in lost]}")
+    return good
+
+
+def write_rounds(rounds: DataFrame, path: str) -> None:
+    """(k, pair_id, text) sets, a folder a round; rounds that the frame lacks are gone afterwards."""
+    rounds.write.mode("overwrite").partitionBy("k").parquet(path)
+
+
 def latest_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """As :func:`last_wins`, by window."""
     w = Window.partitionBy(key).orderBy(F.desc(order))

@@ -44,6 +44,31 @@ def test_cache(spark):
     assert (got["f"]["twice"], got["f"]["dim_spread"], got["f"]["not_finite"]) == (1, 1, 1)
 
 
+def test_cache_embeds_each_content_once(spark, tmp_path):
+    from driftline.operators import cache
+
+    t = texts(spark, [("p1", "x"), ("p2", "x"), ("p3", "y")])
+    path = f"{tmp_path}/cache"
+    assert cache.validate(cache.read(spark, path), "e") is None
+    got = {r["pair_id"]: r["vector"] for r in cache.embed(t, path, "e", seams.stub_embedder).collect()}
+    assert got["p1"] == got["p2"] != got["p3"] and cache.read(spark, path).count() == 2
+    again = {r["pair_id"]: r["vector"] for r in cache.embed(t, path, "e", seams.no_embedder).collect()}
+    assert again == got
+    with pytest.raises(Exception, match="not in the cache"):
+        cache.embed(texts(spark, [("p4", "new")]), path, "e", seams.no_embedder).collect()
+    assert cache.embed(t, path, "other", seams.stub_embedder).count() == 3
+    spark.createDataFrame([("h", [1.0], "e")], cache.SCHEMA).write.mode("append").partitionBy("embedder_id").parquet(path)
+    with pytest.raises(cache.CacheError, match="dim_spread"):
+        cache.embed(t, path, "e", seams.stub_embedder)
+
+
+def test_mean_pooling():
+    import numpy as np
+
+    h = np.array([[[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [[1.0, 1.0], [2.0, 2.0], [3.0, 3.0]]])
+    assert seams.mean_pooled(h, np.array([[1, 1, 0], [0, 0, 0]])).tolist() == [[2.0, 3.0], [0.0, 0.0]]
+
+
 # --- sampling
 
 

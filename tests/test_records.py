@@ -100,6 +100,23 @@ def test_import_of_drafts(spark, tmp_path):
             records.import_drafts(spark, put(tmp_path / f"{name}.jsonl", lines))
 
 
+def test_bundles_of_a_run(spark, tmp_path):
+    full = {"run_id": "r", "pair_id": "p1", "prompt": "q", "draft": {"text": "t", "model_id": "m", "sampling": {"temperature": 0.7, "top_p": 0.9, "seed": 1}}, "rounds": [], "final_round": 0,
+            "degeneration": {}, "adapter_id": "a", "config": {}, "requested_k": 0, "schema_version": 1}
+    ok = put(tmp_path / "ok.jsonl", [json.dumps(full), "{torn"])
+    assert records.nascent_bundles(spark, ok).first()["draft"]["text"] == "t"
+    for name, lines in (("empty", [""]), ("draftless", [json.dumps(full | {"draft": None})])):
+        with pytest.raises(records.RecordError, match="no "):
+            records.nascent_bundles(spark, put(tmp_path / f"{name}.jsonl", lines))
+
+
+def test_shorter_runs_leave_no_rounds_behind(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "p", "a"), (2, "p", "b")], "k int, pair_id string, text string")
+    records.write_rounds(rows, f"{tmp_path}/r")
+    records.write_rounds(rows.where("k = 1"), f"{tmp_path}/r")
+    assert [r["k"] for r in spark.read.parquet(f"{tmp_path}/r").collect()] == [1]
+
+
 def test_files_are_written_together_or_not(tmp_path):
     (tmp_path / "there").mkdir()
     (tmp_path / "old.json").write_text("old")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import cut
 from driftline.llm.merkle import with_next
 
 #: The marks around a turn and the role whose words are trained on.
@@ -77,7 +78,7 @@ def swapped_replies(conversations: DataFrame, key: str = "conv_id", turn: str =
     """
     convs = turns_of(conversations, key, turn, role, text)
     at = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED, i + 1)))
-    marked = convs.withColumn("at", at)
+    marked = cut(convs.withColumn("at", at), "chat-turns")  # read several times from here
     able = marked.where("at is not null").withColumn("reply", F.element_at("turns", F.col("at"))["text"])
     ahead = with_next(able, "key", [], ["reply"])
     before = F.slice("turns", F.lit(1), F.col("at") - 1)

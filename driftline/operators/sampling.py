@@ -76,15 +76,33 @@ def stable_id(corpus: str, position: Column) -> Column:
     return F.format_string(f"{corpus}-%05d", position)
 
 
-def half_split_by_hash(ids: DataFrame, seed: int, key: str = "pair_id") -> DataFrame:
-    """(key, half, place): equal halves in order of hash; with an odd number the last row is dropped (half null)."""
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary"))
-    ranked = ids.select(key).withColumn("at", F.row_number().over(Window.orderBy(draw, key)) - 1)
-    n = F.count("*").over(Window.partitionBy())
-    half = F.floor(n / 2)
-    split = ranked.withColumn("size", half)
-    side = F.when(F.col("at") < F.col("size"), "a").when(F.col("at") < 2 * F.col("size"), "b")
-    return split.select(key, side.alias("half"), F.when(side == "b", F.col("at") - F.col("size")).otherwise(F.col("at")).cast("int").alias("place"))
+def rank_by_hash(rows: DataFrame, draw: Column, tie: str, by: list[str] | None = None) -> DataFrame:
+    """``rows`` with rank (from 0) in order of the hexadecimal ``draw`` and then ``tie``, and total, within each group.
+
+    Hashes spread evenly over their first three digits, so rows are ranked in 4,096 parts a group and the
+    parts are put one after the other by their counts; no task ranks a whole group.
+    """
+    by = by or []
+    own = rows.withColumn("_draw", draw).withColumn("_part", F.substring("_draw", 1, 3))
+    counts = own.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    upto, all_ = Window.partitionBy(*by).orderBy("_part"), Window.partitionBy(*by)
+    first = counts.select(*by, "_part", (F.sum("_n").over(upto) - F.col("_n")).alias("_first"), F.sum("_n").over(all_).alias("total"))
+    inside = Window.partitionBy(*by, "_part").orderBy("_draw", tie)
+    placed = own.withColumn("_at", F.row_number().over(inside) - 1).join(first, [*by, "_part"])
+    return placed.withColumn("rank", F.col("_first") + F.col("_at")).drop("_draw", "_part", "_at", "_first")
+
+
+def half_split_by_hash(ids: DataFrame, seed: int, key: str = "pair_id", by: list[str] | None = None) -> DataFrame:
+    """(by..., key, half, place): equal halves in order of hash; with an odd number the last row is dropped (half null).
+
+    With ``by`` each group is split on its own, by the group's first column for a seed.
+    """
+    by = by or []
+    start = F.lit(str(seed)) if not by else F.col(by[0]).cast("string")
+    ranked = rank_by_hash(ids.select(*by, key), F.md5(F.concat(start, F.lit(":"), F.col(key)).cast("binary")), key, by)
+    half = F.floor(F.col("total") / 2)
+    side = F.when(F.col("rank") < half, "a").when(F.col("rank") < 2 * half, "b")
+    return ranked.select(*by, key, side.alias("half"), F.when(side == "b", F.col("rank") - half).otherwise(F.col("rank")).cast("int").alias("place"))
 
 
 def half_split_by_generator(spark: SparkSession, ids: list[str], seed: int) -> tuple[DataFrame, str | None]:

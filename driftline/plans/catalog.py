@@ -764,11 +764,7 @@ def noise_envelope(spark, sf_dir):
     """Both distances of half against half over several splits at once: rows carry their seeds, so all splits are one pass a metric."""
     refs = b.references(spark, sf_dir)
     ids = refs.select("pair_id").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(_SEEDS - 1))))
-    draw = F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("pair_id")).cast("binary"))
-    n = F.floor(F.count("*").over(Window.partitionBy("seed")) / 2)
-    at = F.row_number().over(Window.partitionBy("seed").orderBy("draw", "pair_id")) - 1
-    placed = ids.withColumn("draw", draw).select("seed", "pair_id", at.alias("at"), n.alias("half")).where("at < 2 * half")
-    sided = placed.select("seed", "pair_id", F.when(F.col("at") < F.col("half"), "a").otherwise("b").alias("side"))
+    sided = sampling.half_split_by_hash(ids, SEED, by=["seed"]).where("half is not null").select("seed", "pair_id", F.col("half").alias("side"))
     own = sided.join(refs, "pair_id")  # a split orders ids, so texts join after the halves are known
     l2 = rounded(metrics.token_l2(own, ["seed"]), "token_l2")
     emb = sided.join(refs.select("pair_id", seams.stub_embedding().alias("v")), "pair_id")

@@ -125,3 +125,54 @@ SELECT conv_id, k::INTEGER AS common_turns, {_RENDER.format("a[1:k]")} AS prompt
        {_RENDER.format("b[k + 1:]")} AS rejected, {_MASK.format("b[k + 1:]")} AS rejected_mask
 FROM k
 """
+
+#: The next document by one window over all; fingerprints of the text, the edited text and the next text by the same cuts.
+ORACLE["op7_merkle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS body, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS nxt
+  FROM documents WINDOW w AS (ORDER BY doc_id NULLS FIRST, coalesce(text, ''))
+), e AS (
+  SELECT *, row_number() OVER () AS r, left(body, length(body) - length(body) // 4) || left(nxt, length(body) // 4) AS edited FROM d
+), t AS (
+  SELECT r, 'a' AS what, body AS x FROM e UNION ALL SELECT r, 'b', edited FROM e UNION ALL SELECT r, 'c', nxt FROM e
+), p AS (
+  SELECT r, what, list_transform(list_transform(string_split(x, chr(10)), lambda l: array_to_string(list_transform(
+    string_split(regexp_replace(l, '([.!?,;:dn] |[^ ]{48})', '\1' || chr(1), 'g'), chr(1)), lambda y: substr(md5(y), 1, 8)), ' ')),
+    lambda q: substr(md5(q), 1, 12) || '(' || q || ')') AS p FROM t
+), j AS (
+  SELECT r, what, array_to_string(list_transform(p, lambda q: q || CASE WHEN starts_with(q, '0') OR starts_with(q, substr(md5(substr(md5(''), 1, 8)), 1, 12)) THEN '|' ELSE ';' END), '') AS j FROM p
+), h AS (
+  SELECT r, what, array_to_string(list_transform(string_split(left(j, length(j) - 1), '|'), lambda s: substr(md5(s), 1, 12) || ':' || s), '|') AS h FROM j
+), f AS (
+  SELECT r, max(f) FILTER (WHERE what = 'a') AS a, max(f) FILTER (WHERE what = 'b') AS b, max(f) FILTER (WHERE what = 'c') AS c
+  FROM (SELECT r, what, sha256(h) || '|' || h AS f FROM h) GROUP BY r
+), l AS (
+  SELECT r, a, b, c, list_distinct(regexp_extract_all(a, '[( ]([0-9a-f]+)', 1)) AS la, list_distinct(regexp_extract_all(b, '[( ]([0-9a-f]+)', 1)) AS lb,
+         list_distinct(regexp_extract_all(c, '[( ]([0-9a-f]+)', 1)) AS lc, string_split(a, '|')[2:] AS sa, string_split(b, '|')[2:] AS sb FROM f
+), k AS (
+  SELECT *, list_transform(sa, lambda s: string_split(s, ':')[1]) AS ka, flatten(list_transform(sa, lambda s: list_transform(string_split(string_split(s, ':')[2], ';'), lambda q: string_split(q, '(')[1]))) AS pa FROM l
+)
+SELECT e.doc_id, length(body)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, a AS fingerprint, b AS edited_fingerprint,
+  CASE WHEN a[1:64] = b[1:64] THEN 1.0 ELSE 2.0 * len(list_intersect(la, lb)) / (len(la) + len(lb)) END::DOUBLE AS near_edited,
+  CASE WHEN a[1:64] = c[1:64] THEN 1.0 ELSE 2.0 * len(list_intersect(la, lc)) / (len(la) + len(lc)) END::DOUBLE AS near_next,
+  CASE WHEN a[1:64] = b[1:64] THEN 0 ELSE coalesce(list_sum(list_transform(sb, lambda s: CASE WHEN list_contains(ka, string_split(s, ':')[1]) THEN 0
+    ELSE len(list_filter(string_split(string_split(s, ':')[2], ';'), lambda q: NOT list_contains(pa, string_split(q, '(')[1]))) END)), 0) END::BIGINT AS edited_paragraphs
+FROM e JOIN k USING (r)
+"""
+
+#: All pairs that share a shingle, then reachability.
+ORACLE["op9_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w
+), u AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS x FROM s),
+met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL
+), links AS (
+  SELECT a, b FROM met WHERE 100 * k >= 80 * (na + nb - k) UNION ALL SELECT b, a FROM met WHERE 100 * k >= 80 * (na + nb - k)
+), reach(a, b) AS (
+  SELECT a, a FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, coalesce(c.c, s.doc_id) AS component_id, coalesce(c.c, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN c ON c.a = s.doc_id
+"""

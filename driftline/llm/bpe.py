@@ -340,11 +340,12 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", out: str = "dec
 
     The piece table is as large as the vocabulary, whatever the corpus; every task holds it.  Bytes
     that are no UTF-8 become U+FFFD.  Special tokens are kept.  Null ids give null, no ids an empty
-    text; an id outside the vocabulary is an error.
+    text; an id outside the vocabulary is an error.  A column named ``out`` is replaced; others stay.
     """
     from pyspark.sql.types import StringType, StructField, StructType
 
     odd = load(tokenizer).odd_ranges
+    encoded = encoded.drop(out)
     schema = StructType([*encoded.schema.fields, StructField(out, StringType())])
 
     def run(batches):

@@ -139,8 +139,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return names, np.round(made, 7).astype(np.float32)
 
 
-def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text", dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """``docs`` with lang_pred and score, both from the whole text alone.
+def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text", dim: int = DIM, seed: int = SEED, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with ``pred`` and ``score``, both from the whole text alone.
 
     score is the cosine with the nearest prototype, 0 where that is negative.  A text that is null or
     has no letter gets ``und`` and 0; so does every text if there is no prototype.  Ties go to the
@@ -148,9 +148,9 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in (pred, score)]
     rows = docs.select(*kept)
-    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*rows.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
 
     def run(batches):
         prof = Profiler(dim, seed)
@@ -162,8 +162,8 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
                 cos = (h @ prototypes.T) / np.maximum(norm, 1e-9)[:, None] if len(names) else np.zeros((len(h), 1))
                 best = cos.argmax(1)
                 known = (norm > 0) & bool(names)
-                score = np.where(known, np.clip(cos.max(1), 0, 1), 0).astype(np.float64)
-                pred = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(np.round(score, 6))], names=[*part.schema.names, "lang_pred", "score"])
+                values = np.where(known, np.clip(cos.max(1), 0, 1), 0).astype(np.float64)
+                labels = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels, pa.string()), pa.array(np.round(values, 6))], names=[*part.schema.names, pred, score])
 
     return rows.mapInArrow(run, schema)

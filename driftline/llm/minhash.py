@@ -9,8 +9,11 @@ miss probability.  Of the pairs that survive, a spanning forest goes on to be ve
 sets, as a group's links need not all be known to know who is reachable.  Where a forest's pair
 fails, the whole group is looked at again with the full sets at hand.
 
-Groups larger than a block are compared block against block, in as many tasks, so that no task holds
-a group of any size and no pair is left out.
+A group larger than a block is first compared with a few of its members, which puts most of a group
+of near copies into one component.  What stays outside is then compared with all of the group, block
+against block in as many tasks: pairs within the one component are the only ones that nobody looks
+at, and they can connect nothing new.  So no task holds a group of any size, no link between
+components is lost, and the work follows the group's size wherever it is what it seems.
 """
 
 from __future__ import annotations
@@ -196,16 +199,35 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: in
     return cut(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "minhash-sets")
 
 
-def blocked(groups: DataFrame, block: int) -> DataFrame:
-    """(group, i, j, side, member) rows: a group's members dealt into blocks, each pair of blocks once.
+def whole_groups(groups: DataFrame) -> DataFrame:
+    """(group, i, j, own, member) rows of groups that a task may hold: all against all."""
+    zero = F.lit(0)
+    return groups.select("group", zero.alias("i"), zero.alias("j"), zero.alias("own"), "member")
 
-    A group no larger than a block is the one pair (0, 0).  Otherwise each member goes to as many
-    pairs as there are blocks, which holds what one task reads.
+
+def outsiders_against_all(big: DataFrame, reached: DataFrame, block: int) -> DataFrame:
+    """(group, i, j, own, member) rows of large groups: blocks i of outsiders (own 0) against blocks j of all members (own 1).
+
+    ``reached`` (node, component) has what links to the groups' leaders connect; a group's outsiders are
+    its members beyond the component that holds most of them.  Without outsiders there is nothing to do.
     """
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    out = groups.withColumn("blocks", blocks).withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("member"), F.col("blocks"))).otherwise(0).cast("int"))
-    out = out.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.select("group", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "member")
+    seen = big.join(reached.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+    counts = seen.groupBy("group", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("all"))
+    marked = seen.join(main.where("outside > 0"), "group")
+    parts = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("member"), n).cast("int")
+    out = marked.where("component <> main").select("group", deal(parts("outside")).alias("i"), F.explode(F.sequence(F.lit(0), parts("all") - 1)).alias("j"), F.lit(0).alias("own"), "member")
+    every = marked.select("group", F.explode(F.sequence(F.lit(0), parts("outside") - 1)).alias("i"), deal(parts("all")).alias("j"), F.lit(1).alias("own"), "member")
+    return out.unionByName(every.select("group", "i", "j", "own", "member"))
+
+
+def leaders(big: DataFrame) -> DataFrame:
+    """(a, b): each member of a large group with up to four of its members, each pair once."""
+    h = F.xxhash64("member")
+    few = big.groupBy("group").agg(F.array_distinct(F.array(F.min("member"), F.max("member"), F.min_by("member", h), F.max_by("member", h))).alias("few"))
+    pairs = big.join(few, "group").select("member", F.explode("few").alias("leader")).where("member <> leader")
+    return pairs.select(F.least("member", "leader").alias("a"), F.greatest("member", "leader").alias("b")).distinct()
 
 
 def by_group(rows: DataFrame) -> DataFrame:
@@ -279,9 +301,8 @@ def near_duplicates(
     rows_ = profile(docs, key, text, width, bands, rows)
     able = rows_.where("class_key is not null and key is not null")
     # one key may stand for several texts, so classes have numbers of their own; what all rows of a class share, any gives
-    node = F.xxhash64("class_key")
     one = able.groupBy("class_key").agg(F.min("key").alias("member"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    one = cut(one.withColumn("node", node), "minhash-classes")
+    one = cut(one.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     groups = cut(band_groups(one), "minhash-groups")
     need = cutoffs(num / den, bands * rows, min(BATCH, bands * rows), miss)
     low = one.select(F.col("node").alias("member"), "sig")
@@ -289,7 +310,9 @@ def near_duplicates(
     def connected(batches, sets: bool):
         """(group, a, b) of a forest over each group's survivors, most alike first; with full sets, of verified pairs only."""
         for group, own, member, sig, shingles in runs(batches, sets):
-            half = int((own == own[0]).sum())
+            half = int((own == 0).sum())
+            if not half:  # a block that no outsider was dealt to
+                continue
             cross = half < len(own)
             x, y, got = survivors(sig[:half], sig[half:] if cross else None, need)
             y = y + half if cross else y
@@ -318,20 +341,31 @@ def near_duplicates(
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(ok, pa.bool_())})
 
-    members = blocked(groups, block)
+    names = one.select("node", "class_key", "member")
+
+    def compared(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b, ok) of the wanted pairs, by their full sets."""
+        both = wanted.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+        return cut(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, ok boolean"), "minhash-checked")
+
+    big = groups.where(F.col("size") > block)
+    members, stars = whole_groups(groups.where(F.col("size") <= block)), None
+    if not big.isEmpty():
+        ends = big.select(F.col("member").alias("node")).distinct()
+        stars = compared(leaders(big), full_sets(docs, names.join(ends, "node"), key, text, width)).where("ok").select("a", "b")
+        members = members.unionByName(outsiders_against_all(big.select("group", "member"), components(stars), block))
+    members = cut(members, "minhash-members")
     pairs = cut(by_group(members.join(low, "member")).mapInArrow(forest, "group long, a long, b long"), "minhash-pairs")
     distinct = pairs.select("a", "b").distinct()
-    names = one.select("node", "class_key", "member")
     ends = distinct.select(F.col("a").alias("node")).union(distinct.select(F.col("b").alias("node"))).distinct()
     sets = full_sets(docs, names.join(ends, "node"), key, text, width)
-    both = distinct.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(
-        sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a"
-    )
-    checked = cut(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, ok boolean"), "minhash-checked")
+    checked = compared(distinct, sets)
     links = checked.where("ok").select("a", "b")
+    if stars is not None:
+        links = links.unionByName(stars)
     # groups in which a pair failed: the full sets decide among all their survivors, which are ends of some forest's pairs
     failed = cut(pairs.join(checked.where("not ok").select("a", "b"), ["a", "b"]).select("group").distinct(), "minhash-failed")
-    full = blocked(groups.join(failed, "group", "left_semi"), block)
+    full = members.join(failed, "group", "left_semi")
     again = by_group(full.join(low, "member").join(sets.withColumnRenamed("node", "member"), "member")).mapInArrow(whole, "group long, a long, b long")
     joined = components(links.unionByName(again.select("a", "b")))
 

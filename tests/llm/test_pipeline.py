@@ -50,6 +50,16 @@ def test_stages(spark, docs, tmp_path):
             assert Counter(r["decoded_sha256"] for r in rows) == Counter(hashlib.sha256(r["text"].encode()).hexdigest() for r in was)
 
 
+def test_columns_of_other_tables_come_through(spark, docs, tmp_path):
+    more = docs.withColumns({c: docs.n_chars for c in ("score", "lang_pred", "size", "times", "nth", "key", "node", "decoded", "ids")}).withColumn("size", docs.doc_id + 5)
+    kept = more
+    for name, stage in pipeline.STAGES[:-1]:
+        stage(spark, kept, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+        assert kept.columns == more.columns and kept.where("size <> doc_id + 5").count() == 0
+    assert pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).count() == kept.count()
+
+
 def test_an_empty_table_goes_through(spark, make, tmp_path):
     kept = make([])
     for name, stage in pipeline.STAGES:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import trimmed
+
 #: Dimensions of a vector.
 DIM = 1024
 GRAM = 3
@@ -26,7 +28,7 @@ TRAIN_ROWS = 3000
 SEED = 5
 UNKNOWN = "und"
 #: n-grams whose vectors a worker keeps; others are bound anew in each batch.
-KEPT_GRAMS = 12_000
+KEPT_GRAMS = 8_000
 
 
 @lru_cache(maxsize=1)
@@ -63,18 +65,17 @@ class Profiler:
     def remembered(self, grams: np.ndarray) -> np.ndarray:
         """As :meth:`vectors`, out of memory where possible."""
         if self.kept is None:
-            self.kept = np.zeros((0, self.dim), np.float32)
+            self.kept = np.zeros((KEPT_GRAMS, self.dim), np.float32)
         at = np.fromiter((self.rows.get(g, -1) for g in grams.tolist()), np.int64, len(grams))
-        new = grams[at < 0]
+        old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
         out = np.empty((len(grams), self.dim), np.float32)
-        out[at >= 0] = self.kept[at[at >= 0]]
+        out[old] = self.kept[at[old]]
         if len(new):
-            made = self.vectors(new)
-            out[at < 0] = made
-            room = KEPT_GRAMS - len(self.kept)
-            if room > 0:
-                self.rows.update({g: len(self.kept) + k for k, g in enumerate(new[:room].tolist())})
-                self.kept = np.concatenate([self.kept, made[:room]])
+            out[new] = self.vectors(grams[new])
+            have = len(self.rows)
+            take = new[: KEPT_GRAMS - have]
+            self.kept[have : have + len(take)] = out[take]
+            self.rows.update({g: have + k for k, g in enumerate(grams[take].tolist())})
         return out
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ class Profiler:
         parts = [self.grams(t) if t else (np.zeros(0, np.int32), np.zeros(0, np.int64)) for t in texts]
         own = np.unique(np.concatenate([g for g, _ in parts])) if parts else np.zeros(0, np.int32)
         out = np.zeros((len(texts), self.dim), np.float32)
-        step = 8192
+        step = 4096
         for lo in range(0, len(own), step):
             some = own[lo : lo + step]
             counts = np.zeros((len(texts), len(some)), np.float32)
@@ -132,7 +133,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "v": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     total: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(run, "lang string, v binary").collect():
+    for r in sample.mapInArrow(lambda batches: trimmed(run(batches)), "lang string, v binary").collect():
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["v"], np.float64)
     names = sorted(total)
     made = np.stack([total[k] / np.linalg.norm(total[k]) for k in names]) if names else np.zeros((0, dim))
@@ -166,4 +167,4 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
                 labels = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels, pa.string()), pa.array(np.round(values, 6))], names=[*part.schema.names, pred, score])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), schema)

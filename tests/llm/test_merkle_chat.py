@@ -111,3 +111,9 @@ def test_longest_common_prefix(spark):
 
 def test_no_conversations(spark):
     assert chat.format_pairs(chat.swapped_replies(convs(spark, []))).collect() == []
+
+
+def test_native_plans_run_no_python(spark, odd):
+    for df in (merkle.compare_edits(odd), chat.format_pairs(chat.swapped_replies(convs(spark, TURNS)))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

@@ -19,6 +19,7 @@ components is lost, and the work follows the group's size wherever it is what it
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import lru_cache
 from math import lgamma
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Forest, components, cut, mix64
+from driftline.llm.common import Forest, components, cut, mix64, trimmed
 
 #: Bands and rows of a band.  A pair at similarity 0.8 shares none of the bands with chance (1 - 0.8^6)^40 = 5e-6.
 BANDS, ROWS = 40, 6
@@ -45,13 +46,23 @@ def word_hash(word: bytes) -> int:
 
 
 class WordHashes(dict):
-    """Hash of each word, remembered; forgotten all at once when there are too many."""
+    """A number for each word met and its hash under that number; all are forgotten at once when there are too many."""
+
+    def __init__(self, most: int = 400_000) -> None:
+        super().__init__()
+        self.most, self.store = most, array("Q")
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        self[word] = n = len(self)
+        self.store.append(word_hash(word))
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
             self.clear()
-        self[word] = h = word_hash(word)
-        return h
+            self.store = array("Q")
+        at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return np.frombuffer(self.store, np.uint64)[at]
 
 
 def shingle_set(text: str | None, width: int, words: WordHashes) -> np.ndarray:
@@ -63,7 +74,7 @@ def shingle_set(text: str | None, width: int, words: WordHashes) -> np.ndarray:
     own = (text or "").encode().lower().split()
     if not own:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, own), np.uint64, len(own))
+    h = words.of(own)
     n = max(1, len(h) - width + 1)
     with np.errstate(over="ignore"):
         out = np.full(n, np.uint64(min(width, len(h))), np.uint64)
@@ -75,17 +86,18 @@ def shingle_set(text: str | None, width: int, words: WordHashes) -> np.ndarray:
 @lru_cache(maxsize=4)
 def permutations(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(seed)
-    return r.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
+    return r.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 def signature(shingles: np.ndarray, n: int) -> np.ndarray:
-    """n 32-bit minima, each under its own multiply-and-shift hash."""
+    """n 32-bit minima of the hashes' high halves, each under its own linear map; pieces fit the processor's cache."""
     a, b = permutations(n)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
     best = np.full(n, 0xFFFFFFFF, np.uint32)
-    with np.errstate(over="ignore"):
-        for k in range(0, len(shingles), 2048):
-            part = shingles[k : k + 2048, None] * a + b
-            best = np.minimum(best, (part >> np.uint64(32)).min(0).astype(np.uint32))
+    for k in range(0, len(x), 192):
+        part = x[k : k + 192, None] * a
+        part += b
+        np.minimum(best, part.min(0), out=best)
     return best
 
 
@@ -177,7 +189,7 @@ def profile(docs: DataFrame, key: str, text: str, width: int, bands: int, rows:
                 })
 
     two = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return cut(two.mapInArrow(run, "key long, n_shingles long, class_key binary, sig binary, bands array<long>"), "minhash-profile")
+    return cut(two.mapInArrow(lambda batches: trimmed(run(batches)), "key long, n_shingles long, class_key binary, sig binary, bands array<long>"), "minhash-profile")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -195,7 +207,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: in
                 })
 
     texts = docs.select(F.col(key).cast("long").alias("member"), F.col(text).alias("text")).join(wanted, "member")
-    made = texts.select("node", "class_key", "text").mapInArrow(run, "node long, shingles binary")
+    made = texts.select("node", "class_key", "text").mapInArrow(lambda batches: trimmed(run(batches)), "node long, shingles binary")
     return cut(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "minhash-sets")
 
 
@@ -330,10 +342,10 @@ def near_duplicates(
                 )
 
     def forest(batches):
-        yield from joined_up(connected(batches, False))
+        yield from trimmed(joined_up(connected(batches, False)))
 
     def whole(batches):
-        yield from joined_up(connected(batches, True))
+        yield from trimmed(joined_up(connected(batches, True)))
 
     def verify(batches):
         for batch in batches:

@@ -142,5 +142,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
+#: Bits of :func:`sifted`'s map: 65,536 rows of 64, whatever the tables hold.
+SIFT_BITS = 22
+
+
+def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't among ``wanted``'s, for a join that would otherwise shuffle them all.
+
+    A map of hash bits, of a fixed size and so broadcast, lets all wanted rows through and others by
+    chance; with very many wanted keys it lets everything through, which costs nothing but the saving.
+    """
+    h = lambda: F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << SIFT_BITS))
+    bits = wanted.select(h().alias("_h")).groupBy(F.shiftright("_h", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_h % 64 as int)))").alias("_bits"))
+    own = rows.withColumn("_h", h()).join(F.broadcast(bits), F.shiftright("_h", 6) == F.col("_word"))
+    return own.where(F.expr("bit_get(_bits, cast(_h % 64 as int)) = 1")).select(*rows.columns)
+
+
 def any_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds)

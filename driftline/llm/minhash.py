@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Forest, components, cut, mix64, trimmed
+from driftline.llm.common import Forest, components, cut, mix64, sifted, trimmed
 
 #: Bands and rows of a band.  A pair at similarity 0.8 shares none of the bands with chance (1 - 0.8^6)^40 = 5e-6.
 BANDS, ROWS = 40, 6
@@ -206,7 +206,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: in
                     "node": part.column("node").filter(pa.array(own)), "shingles": pa.array([s.tobytes() for s, o in zip(sets, own, strict=True) if o], pa.binary()),
                 })
 
-    texts = docs.select(F.col(key).cast("long").alias("member"), F.col(text).alias("text")).join(wanted, "member")
+    texts = sifted(docs.select(F.col(key).cast("long").alias("member"), F.col(text).alias("text")), "member", wanted).join(wanted, "member")
     made = texts.select("node", "class_key", "text").mapInArrow(lambda batches: trimmed(run(batches)), "node long, shingles binary")
     return cut(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "minhash-sets")
 

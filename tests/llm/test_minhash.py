@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from driftline.llm import minhash
-from driftline.llm.common import Forest, components
+from driftline.llm.common import Forest, components, sifted
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -94,3 +94,10 @@ def test_components(spark):
     for n in {x for e in edges if e[0] != e[1] for x in e}:
         assert got[n] == f.root(n)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_sifting_keeps_all_that_is_wanted(spark):
+    rows, wanted = spark.range(20_000).withColumnRenamed("id", "k"), spark.range(0, 20_000, 97).withColumnRenamed("id", "k")
+    got = {r["k"] for r in sifted(rows, "k", wanted).collect()}
+    assert {r["k"] for r in wanted.collect()} <= got and len(got) < 400
+    assert sifted(rows, "k", wanted.limit(0)).count() == 0

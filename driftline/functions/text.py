@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 #: White space as Python's str methods and \s see it, as the inside of a character class.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACES = "".join(chr(k) for k in range(0x3001) if chr(k).isspace())
 #: Fixed value: line ends as str.splitlines sees them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 #: Phrases of navigation and legal lines, in lower case.
@@ -41,7 +43,7 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def words(c: Column | str) -> Column:
@@ -56,7 +58,7 @@ def word_count(c: Column | str) -> Column:
 def non_ascii_fraction(c: Column | str) -> Column:
     """Share of code points above U+007F; null for an empty text."""
     n = F.char_length(col(c))
-    return F.when(n > 0, F.char_length(F.regexp_replace(col(c), r"[\x00-\x7F]", "")) / n)
+    return F.when(n > 0, F.char_length(F.regexp_replace(col(c), r"[\x00-\x7F]+", "")) / n)
 
 
 def looks_english(c: Column | str) -> Column:
@@ -64,10 +66,15 @@ def looks_english(c: Column | str) -> Column:
 
 
 def boilerplate_fraction(c: Column | str) -> Column:
-    """Share of non-blank lines that hold a navigation or legal phrase; null without such a line."""
-    lines = F.filter(F.split(col(c), LINE_END), lambda x: F.char_length(strip(x)) > 0)
-    hits = F.filter(lines, lambda x: F.lower(x).rlike("|".join(BOILERPLATE)))
-    return F.when(F.size(lines) > 0, F.size(hits) / F.size(lines))
+    """Share of non-blank lines that hold a navigation or legal phrase; null without such a line.
+
+    Lines are looked through only in texts that hold a phrase at all.
+    """
+    low = F.lower(col(c))
+    any_phrase = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(m)) for m in BOILERPLATE])
+    lines = F.filter(F.split(low, LINE_END), lambda x: x.rlike(f"[^{SPACE}]"))
+    hits = F.when(any_phrase(low), F.size(F.filter(lines, any_phrase))).otherwise(0)
+    return F.when(F.size(lines) > 0, hits / F.size(lines))
 
 
 def boilerplate_heavy(c: Column | str) -> Column:

@@ -1,21 +1,24 @@
 """Masked pseudo-likelihood: a network over a window on both sides predicts every token of a text.
 
 Words are tokens: the most frequent of the whole corpus have ids of their own, all others share ids
-by hash.  The network adds up the contributions of the two tokens on either side, applies tanh and
-scores all ids.  It is trained in numpy by data-parallel rounds: every document gives windows at the
+by hash, and within an id each has its share of the id's occurrences, from the counts of all words
+of the corpus.  So every word has a probability of its own: its id's given both sides times its share.
+The network adds up the contributions of the two tokens on either side, applies tanh and scores all
+ids.  It is trained in numpy by data-parallel rounds: every document gives windows at the
 same rate, shards of windows train copies of the network, and the copies are averaged.  A document's
 score is the sum over its tokens of the log probability given both sides.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import cut, mix64, trimmed
@@ -30,6 +33,8 @@ ONE_IN = 16
 #: Rounds of averaging, windows of a shard, of a step.
 ROUNDS, SHARD, STEP = 2, 1_000_000, 256
 RATE, SEED = 0.01, 3
+#: A block of documents is scored at once and is complete with so many tokens.
+BLOCK = 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -44,24 +49,55 @@ class Ids(dict):
         return 1 + FREQUENT + zlib.crc32(word) % HASHED
 
 
-def frequent(docs: DataFrame, text: str = "text") -> list[bytes]:
-    """The most frequent words of all documents, by count and then by bytes; the only rows that leave the executors."""
+class Numbers(dict):
+    """A number for each word: frequent ones have their ids, others are numbered on behind these as they are met."""
+
+    def __init__(self, frequent: list[bytes]) -> None:
+        super().__init__({w: 1 + k for k, w in enumerate(frequent)})
+        self.words, self.shared = [], list(range(1 + FREQUENT))
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.shared)
+        self.words.append(word)
+        self.shared.append(1 + FREQUENT + zlib.crc32(word) % HASHED)
+        return n
+
+
+class Vocabulary(list):
+    """The words with ids of their own; ``counts`` (word, n) of all words of the corpus, written, and the occurrences behind each shared id."""
+
+    def __init__(self, words: list[bytes], counts: DataFrame, behind: dict[int, int]) -> None:
+        super().__init__(words)
+        self.counts, self.behind = counts, behind
+
+    def log_share(self, word: Column, n: Column) -> Column:
+        """Log of a word's share of its shared id's occurrences; a word that the corpus lacks (null n) has the share of one more."""
+        logs = F.array(*[F.lit(math.log(self.behind.get(k, 0) + 1)) for k in range(HASHED)])
+        return F.log(F.coalesce(n, F.lit(1))) - F.element_at(logs, (F.crc32(word) % HASHED + 1).cast("int"))
+
+
+def frequent(docs: DataFrame, text: str = "text") -> Vocabulary:
+    """The most frequent words of all documents, by count and then by bytes, and the counts of all words; only the former and one sum a shared id leave the executors."""
 
     def run(batches):
         count: Counter = Counter()
         for batch in batches:
             for x in batch.column(0):
                 count.update(words_of(x.as_py()))
-            if len(count) > 1_000_000:
-                yield out(count)
-                count = Counter()
+                if len(count) > 1_000_000:
+                    yield out(count)
+                    count = Counter()
         yield out(count)
 
     def out(count):
         return pa.RecordBatch.from_pydict({"word": pa.array(list(count), pa.binary()), "n": pa.array(list(count.values()), pa.int64())})
 
-    totals = docs.select(text).mapInArrow(lambda batches: trimmed(run(batches)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in totals.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    parts = docs.select(text).mapInArrow(lambda batches: trimmed(run(batches)), "word binary, n long")
+    totals = cut(parts.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    top = [bytes(r["word"]) for r in totals.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    rest = totals.where(~F.col("word").isin(top)) if top else totals
+    sums = rest.groupBy((F.crc32("word") % HASHED).alias("k")).agg(F.sum("n").alias("n")).collect()
+    return Vocabulary(top, rest, {r["k"]: r["n"] for r in sums})
 
 
 def encode(texts: list[str | None], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +192,7 @@ class Net:
 
 def gather(docs: DataFrame, vocab: list[bytes], text: str = "text", one_in: int = ONE_IN) -> DataFrame:
     """Training windows of all documents as blobs of (context, token) bytes, written: (n, windows)."""
+    vocab = list(vocab)
 
     def run(batches):
         ids = Ids({w: 1 + k for k, w in enumerate(vocab)})
@@ -195,7 +232,7 @@ def added(t: pa.Table) -> pa.Table:
     return pa.table({"shard": t["shard"][:1], "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "net": pa.array([summed.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, one_in: int = ONE_IN) -> tuple[list[bytes], Net]:
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, one_in: int = ONE_IN) -> tuple[Vocabulary, Net]:
     """(vocabulary, network) from all documents.
 
     Shards hold about SHARD windows, so there are as many as the corpus asks for; their networks are
@@ -218,27 +255,64 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, one_in: int =
     return vocab, net
 
 
-def score(docs: DataFrame, vocab: list[bytes], net: Net, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocab: Vocabulary, net: Net, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, pll, pll_per_token) per row, over the whole text.
 
     pll sums the log probabilities of all tokens given the tokens on both sides.  A null text or one
     without words has no tokens, pll 0 and null per token.  Repeated rows score alike.  No rows: an
     empty frame.  Other columns aren't read.
+
+    Blocks of documents are put through the network and list their distinct words without an id of
+    their own; these meet the counts by word, and their shares return to the block by position.
     """
     two = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    own = list(vocab)
+    kind = two.schema["key"].dataType.simpleString()
 
     def run(batches):
-        ids = Ids({w: 1 + k for k, w in enumerate(vocab)})
+        from pyspark import TaskContext
+
+        number, task = 0, TaskContext.get().partitionId()
+
+        def block(numbers, keys, texts):
+            part = np.concatenate([np.zeros(SIDE, np.int32), *(x for t in texts for x in (t, np.zeros(SIDE, np.int32)))])
+            flat = np.array(numbers.shared, np.uint8)[part]
+            n = np.array([len(t) for t in texts], np.int64)
+            sums = np.concatenate([[0.0], np.cumsum(net.log_probs(flat, windows(flat)))])[np.concatenate([[0], np.cumsum(n)])]
+            rest = [t[t > FREQUENT] - (1 + FREQUENT) for t in texts]
+            return pa.RecordBatch.from_arrays([
+                pa.array([f"{task}-{number}"]), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([np.diff(sums).tolist()], pa.list_(pa.float64())),
+                pa.array([[len(x) for x in rest]], pa.list_(pa.int64())), pa.array([np.concatenate(rest).astype(np.int32).tobytes()], pa.binary()), pa.array([numbers.words], pa.list_(pa.binary())),
+            ], names=["block", "keys", "n", "pll", "n_rest", "rest", "words"])
+
+        numbers, keys, texts, held = Numbers(own), [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                flat, ends = encode(part.column(1).to_pylist(), ids)
-                sums = np.concatenate([[0.0], np.cumsum(net.log_probs(flat, windows(flat)))])[np.concatenate([[0], ends])]
-                n, pll = np.diff(np.concatenate([[0], ends])), np.diff(sums)
-                mean = [round(p / k, 6) if k else None for p, k in zip(pll.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({
-                    "key": part.column(0), "n_tokens": pa.array(n, pa.int64()), "pll": pa.array(np.round(pll, 4) + 0.0), "pll_per_token": pa.array(mean, pa.float64()),
-                })
-
-    kind = two.schema["key"].dataType.simpleString()
-    return two.mapInArrow(lambda batches: trimmed(run(batches)), f"key {kind}, n_tokens long, pll double, pll_per_token double").withColumnRenamed("key", key)
+            for k in range(batch.num_rows):
+                w = words_of(batch.column(1)[k].as_py())
+                keys.append(batch.column(0).slice(k, 1))
+                texts.append(np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)))
+                held += len(w) + 10
+                if held >= BLOCK:
+                    yield block(numbers, keys, texts)
+                    number += 1
+                    numbers, keys, texts, held = Numbers(own), [], [], 0
+        if keys:
+            yield block(numbers, keys, texts)
+
+    shape = f"block string, keys array<{kind}>, n array<long>, pll array<double>, n_rest array<long>, rest binary, words array<binary>"
+    blocks = cut(two.mapInArrow(lambda batches: trimmed(run(batches)), shape), "lm-blocks")
+    asked = blocks.select("block", F.posexplode("words").alias("pos", "word"))
+    shares = asked.join(vocab.counts, "word", "left").select(F.col("block").alias("of"), "pos", vocab.log_share(F.col("word"), F.col("n")).alias("share"))
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        share = np.zeros(right.num_rows)
+        share[right.column("pos").to_numpy()] = right.column("share").to_numpy()
+        keys, n, pll, n_rest = (left.column(c).combine_chunks().flatten() for c in ("keys", "n", "pll", "n_rest"))
+        ends = np.concatenate([[0], np.cumsum(n_rest.to_numpy())])
+        at = np.frombuffer(left.column("rest")[0].as_py(), np.int32)
+        pll = pll.to_numpy() + np.diff(np.concatenate([[0.0], np.cumsum(share[at])])[ends])
+        mean = [round(p / k, 6) if k else None for p, k in zip(pll.tolist(), n.to_pylist(), strict=True)]
+        return pa.table({"key": keys, "n_tokens": n, "pll": pa.array(np.round(pll, 4) + 0.0), "pll_per_token": pa.array(mean, pa.float64())})
+
+    out = blocks.drop("words").groupBy("block").cogroup(shares.groupBy("of")).applyInArrow(finish, f"key {kind}, n_tokens long, pll double, pll_per_token double")
+    return out.withColumnRenamed("key", key)

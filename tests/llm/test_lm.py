@@ -74,3 +74,19 @@ def test_the_gradient_lowers_the_loss():
     before = net.log_probs(flat, np.array([3]))[0]
     net.train(rows)
     assert net.log_probs(flat, np.array([3]))[0] > before + 1
+
+
+def test_every_word_has_a_probability_of_its_own(make):
+    often = [f"w{k}" for k in range(lm.FREQUENT)]
+    r = lm.Ids({})
+    bucket = [w for w in (f"rare{k}" for k in range(2000)) if r[w.encode()] == r[b"rare0"]]
+    a, b, never = bucket[:3]
+    vocab, net = lm.fit(make([(k, " ".join(often)) for k in range(9)] + [(20, f"{a} {b} {a} w1 {a}"), (21, f"{b} {a} other")]))
+    assert sorted(vocab) == sorted(w.encode() for w in often)
+    got = {x["doc_id"]: x for x in lm.score(make([(1, a), (2, b), (3, never), (4, "w1"), (5, f"w1 {a} w2 {b} w3"), (6, f"w1 {b} w2 {a} w3"), (None, a)]), vocab, net).collect()}
+    # four, two and no occurrences among the shared id's
+    assert got[1]["pll"] - got[2]["pll"] == pytest.approx(np.log(2), abs=1e-3) and got[2]["pll"] - got[3]["pll"] == pytest.approx(np.log(2), abs=1e-3)
+    all_of_id = sum(c for w, c in ((a, 4), (b, 2), ("other", 1)) if r[w.encode()] == r[a.encode()])
+    assert got[1]["pll"] == pytest.approx(plain(net, [r[a.encode()]]) + np.log(4 / (all_of_id + 1)), abs=1e-2)
+    assert got[4]["pll"] == pytest.approx(plain(net, [1 + vocab.index(b"w1")]), abs=1e-2)
+    assert got[5]["pll"] == pytest.approx(got[6]["pll"], abs=1e-3) and got[None]["pll"] == got[1]["pll"]

@@ -4,8 +4,8 @@ Words are tokens: the most frequent of the whole corpus have ids of their own, a
 by hash, and within an id each has its share of the id's occurrences, from the counts of all words
 of the corpus.  So every word has a probability of its own: its id's given both sides times its share.
 The network adds up the contributions of the two tokens on either side, applies tanh and scores all
-ids.  It is trained in numpy by data-parallel rounds: every document gives windows at the
-same rate, shards of windows train copies of the network, and the copies are averaged.  A document's
+ids.  It is trained in numpy by data-parallel rounds: every token of every document gives a
+window, shards of windows train copies of the network, and the copies are averaged.  A document's
 score is the sum over its tokens of the log probability given both sides.
 """
 
@@ -28,8 +28,10 @@ FREQUENT, HASHED = 191, 64
 VOCAB = 1 + FREQUENT + HASHED
 #: Tokens of context on either side, width of an embedding and of the hidden layer.
 SIDE, EMBED, HIDDEN = 2, 16, 32
-#: One position in so many of every document is a training window.
-ONE_IN = 16
+#: One position in so many is a training window: all of them.
+ONE_IN = 1
+#: Tokens of a blob of training windows, about.
+BLOB = 50_000
 #: Rounds of averaging, windows of a shard, of a step.
 ROUNDS, SHARD, STEP = 2, 1_000_000, 256
 RATE, SEED = 0.01, 3
@@ -150,26 +152,39 @@ class Net:
 
     def train(self, rows: np.ndarray) -> None:
         """One pass of Adam over rows of (context, token)."""
-        first, second = [np.zeros_like(x) for x in self.arrays()], [np.zeros_like(x) for x in self.arrays()]
+        # all parameters, gradients and moments each lie in one array, so that a step is few operations
+        flat = np.concatenate([x.ravel() for x in self.arrays()])
+        grad, first, second = (np.zeros_like(flat) for _ in range(3))
+        at = np.cumsum([0, *(x.size for x in self.arrays())])
+        views = lambda whole: [whole[a:b].reshape(x.shape) for a, b, x in zip(at[:-1], at[1:], self.arrays(), strict=True)]
+        embed, inner, inner_bias, outer, outer_bias = views(flat)
+        own = views(grad)
         for step, lo in enumerate(range(0, len(rows), STEP), 1):
-            part = rows[lo : lo + STEP].astype(np.int64)
-            context, want = part[:, :-1], part[:, -1]
-            x = self.embed[context].reshape(len(part), -1)
-            h = np.tanh(x @ self.inner + self.inner_bias)
-            z = h @ self.outer + self.outer_bias
-            z -= z.max(1, keepdims=True)
+            part = rows[lo : lo + STEP]
+            context, want = part[:, :-1].ravel(), part[:, -1]
+            x = embed[context].reshape(len(part), -1)
+            h = np.tanh(x @ inner + inner_bias)
+            z = h @ outer
+            z += outer_bias
+            if np.abs(outer).sum(0).max() + np.abs(outer_bias).max() > 60:  # as h is at most 1, nothing overflows below
+                z -= z.max(1, keepdims=True)
             np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(part)), want] -= 1
-            z /= len(part)
-            dh = (z @ self.outer.T) * (1 - h * h)
-            dx = (dh @ self.inner.T).reshape(-1, EMBED)
-            de = np.zeros_like(self.embed)
-            np.add.at(de, context.ravel(), dx)
-            for p, g, m, v in zip(self.arrays(), (de, x.T @ dh, dh.sum(0), h.T @ z, z.sum(0)), first, second, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+            z *= (1 / (z.sum(1) * len(part)))[:, None]
+            z[np.arange(len(part)), want] -= np.float32(1 / len(part))
+            dh = (z @ outer.T) * (1 - h * h)
+            dx = (dh @ inner.T).reshape(-1, EMBED)
+            order = context.argsort(kind="stable")
+            starts = np.flatnonzero(np.diff(context[order], prepend=-1))
+            own[0][:] = 0
+            own[0][context[order[starts]]] = np.add.reduceat(dx[order], starts, axis=0)
+            np.matmul(x.T, dh, out=own[1])
+            dh.sum(0, out=own[2])
+            np.matmul(h.T, z, out=own[3])
+            z.sum(0, out=own[4])
+            first += 0.1 * (grad - first)
+            second += 0.001 * (grad * grad - second)
+            flat -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-6)
+        self.embed, self.inner, self.inner_bias, self.outer, self.outer_bias = views(flat)
 
     def log_probs(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log probability of each token given both sides."""
@@ -191,24 +206,44 @@ class Net:
 
 
 def gather(docs: DataFrame, vocab: list[bytes], text: str = "text", one_in: int = ONE_IN) -> DataFrame:
-    """Training windows of all documents as blobs of (context, token) bytes, written: (n, windows)."""
+    """Training windows of all documents as blobs, written: (n, flat, chosen), ids as of :func:`encode` and a bit a token that is one."""
     vocab = list(vocab)
 
+    def blob(texts, ids):
+        flat, ends = encode(texts, ids)
+        at = windows(flat)
+        chosen = np.ones(len(at), bool)
+        if one_in > 1:
+            # which positions: by place within the document and the token before, so that it doesn't matter how rows are batched
+            place = np.arange(len(at)) - np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(np.concatenate([[0], ends])))
+            near = flat[at - 1].astype(np.uint64) << np.uint64(40) | flat[at].astype(np.uint64) << np.uint64(48)
+            chosen = mix64(place.astype(np.uint64) | near) % np.uint64(one_in) == 0
+        return pa.RecordBatch.from_pydict({
+            "n": pa.array([int(chosen.sum())], pa.int64()), "flat": pa.array([flat.tobytes()], pa.binary()), "chosen": pa.array([np.packbits(chosen).tobytes()], pa.binary()),
+        })
+
     def run(batches):
         ids = Ids({w: 1 + k for k, w in enumerate(vocab)})
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                flat, ends = encode(batch.column(0)[lo : lo + 2000].to_pylist(), ids)
-                at = windows(flat)
-                # which positions: by place within the document and the token before, so that it doesn't matter how rows are batched
-                place = np.arange(len(at)) - np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(np.concatenate([[0], ends]))) if len(at) else at
-                near = flat[at - 1].astype(np.uint64) << np.uint64(40) | flat[at].astype(np.uint64) << np.uint64(48)
-                at = at[mix64(place.astype(np.uint64) | near) % np.uint64(one_in) == 0]
-                if len(at):
-                    rows = np.stack([flat[at + k] for k in [*OFFSETS, 0]], 1)
-                    yield pa.RecordBatch.from_pydict({"n": pa.array([len(rows)], pa.int64()), "windows": pa.array([rows.tobytes()], pa.binary())})
+            texts, held = [], 0
+            for x in batch.column(0):
+                texts.append(x.as_py())
+                held += len(texts[-1] or "") // 6
+                if held >= BLOB:
+                    yield blob(texts, ids)
+                    texts, held = [], 0
+            if texts:
+                yield blob(texts, ids)
+
+    return cut(docs.select(text).mapInArrow(lambda batches: trimmed(run(batches)), "n long, flat binary, chosen binary").where("n > 0"), "lm-windows")
+
 
-    return cut(docs.select(text).mapInArrow(lambda batches: trimmed(run(batches)), "n long, windows binary"), "lm-windows")
+def rows_of(flat: bytes, chosen: bytes) -> np.ndarray:
+    """Rows of (context, token) of a blob."""
+    flat = np.frombuffer(flat, np.uint8)
+    at = windows(flat)
+    at = at[np.unpackbits(np.frombuffer(chosen, np.uint8), count=len(at)).astype(bool)]
+    return np.stack([flat[at + k] for k in [*OFFSETS, 0]], 1)
 
 
 def trainer(start: np.ndarray):
@@ -217,7 +252,7 @@ def trainer(start: np.ndarray):
     def trained(t: pa.Table) -> pa.Table:
         t = t.sort_by("order")
         own = Net.from_flat(start)
-        rows = np.frombuffer(b"".join(t["windows"].to_pylist()), np.uint8).reshape(-1, 2 * SIDE + 1)
+        rows = np.concatenate([rows_of(x.as_py(), y.as_py()) for x, y in zip(t["flat"], t["chosen"], strict=True)])
         rows = rows[np.random.default_rng(SEED).permutation(len(rows))]
         own.train(rows)
         return pa.table({"shard": t["shard"][:1], "n": pa.array([len(rows)], pa.int64()), "net": pa.array([(own.flat() * len(rows)).tobytes()], pa.binary())})
@@ -245,7 +280,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, one_in: int =
     if not total:
         return vocab, net
     shards = max(8, -(-total // SHARD))
-    order = F.xxhash64("windows")
+    order = F.xxhash64("flat", "chosen")
     dealt = blobs.withColumn("order", order).withColumn("shard", F.pmod("order", F.lit(shards)).cast("int"))
     kind = "shard int, n long, net binary"
     for _ in range(rounds):

@@ -90,3 +90,20 @@ def test_every_word_has_a_probability_of_its_own(make):
     assert got[1]["pll"] == pytest.approx(plain(net, [r[a.encode()]]) + np.log(4 / (all_of_id + 1)), abs=1e-2)
     assert got[4]["pll"] == pytest.approx(plain(net, [1 + vocab.index(b"w1")]), abs=1e-2)
     assert got[5]["pll"] == pytest.approx(got[6]["pll"], abs=1e-3) and got[None]["pll"] == got[1]["pll"]
+
+
+def test_the_query_trains_on_every_token(make, odd):
+    docs = odd.unionByName(make([(100 + k, "short") for k in range(40)]))
+    words = sum(len(lm.words_of(r["text"])) for r in docs.collect())
+    blobs = lm.gather(docs, [b"short"]).collect()
+    rows = np.concatenate([lm.rows_of(r["flat"], r["chosen"]) for r in blobs])
+    assert sum(r["n"] for r in blobs) == len(rows) == words
+    assert (rows == [0, 0, 0, 0, 1]).all(1).sum() == 40
+
+
+def test_both_sides_tell_order_at_the_query_parameters(make):
+    docs = corpus(make, 4000)
+    line = [f"w{k % 40}" for k in range(60)]
+    mixed = random.Random(1).sample(line, 60)
+    got = {x["doc_id"]: x for x in lm.score(make([(1, " ".join(line)), (2, " ".join(mixed))]), *lm.fit(docs)).collect()}
+    assert got[1]["pll_per_token"] > got[2]["pll_per_token"] + 1.0

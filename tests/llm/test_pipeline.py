@@ -71,3 +71,15 @@ def test_an_empty_table_goes_through(spark, make, tmp_path):
 def test_queries_are_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_near_dedup_keeps_one_row_a_group_whatever_its_doc_id(spark, make):
+    r = random.Random(8)
+    a, b, c, d, e, f = (words(r, "aa", 60) for _ in range(6))
+    docs = make([
+        (None, a), (None, b), (None, b), (None, c), (2, c), (5, d), (5, d), (6, e), (6, f), (3, f + " ende"), (7, None), (None, None),
+    ])
+    kept = dict(pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [(None, a), (None, b), (2, c), (5, d), (6, e), (3, f + " ende"), (7, None), (None, None)]
+    assert Counter((x["doc_id"], x["text"]) for x in kept.collect()) == Counter(want)

@@ -251,5 +251,5 @@ def round_trip(spark: SparkSession, pages: DataFrame, key: str = "page_id", url:
     empty frame.  Columns besides the three aren't read.
     """
     archives = write(plan(pages, key, url, payload), fresh_path(spark, "warc"))
-    out = records(cut(read_chunks(archives, data=False), "warc-chunks"))
+    out = records(cut(read_chunks(archives), "warc-chunks"))
     return out.withColumnRenamed("page_id", key)

@@ -71,3 +71,15 @@ def test_streams_plain_and_zipped_and_refuses_broken_ones():
     for bad in (record(length=50), record(tail=b""), record(length=3), b"HTTP/1.1 200\r\n\r\n", record()[:20], gzip.compress(record())[:-12]):
         with pytest.raises(ValueError):
             read(bad)
+
+
+def test_the_round_trip_carries_the_payloads(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(warc, "cut", lambda df, name, cut=warc.cut: made.setdefault(name, cut(df, name)))
+    texts = ["a" * 200_000, "short", "", None]
+    pages = spark.createDataFrame([(k, f"http://x/{k}", t) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    assert warc.round_trip(spark, pages).count() == len(texts)
+    got = {}
+    for r in made["warc-chunks"].orderBy("page_id", "chunk_no").collect():
+        got[r["page_id"]] = got.get(r["page_id"], b"") + bytes(r["data"])
+    assert got == {k: (t or "").encode() for k, t in enumerate(texts)}

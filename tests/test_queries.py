@@ -38,3 +38,11 @@ def test_query(spark, duck, name):
     want = sorted((tuple(plain(x[names.index(c)]) for c in sorted(names)) for x in r.fetchall()), key=repr)
     assert sorted(df.columns) == sorted(names)
     assert sorted((tuple(plain(x[c]) for c in sorted(names)) for x in rows), key=repr) == want
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_incremental_append_delivers_every_draft_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "_scratch", lambda spark, name: f"{tmp_path}/{name}")
+    got = catalog.QUERIES["incremental_append"](spark, str(DATA)).first()
+    assert got["first"] == got["rows"] > 10 and got["second"] == 0
+    assert spark.read.parquet(f"{tmp_path}/incremental/in").count() == 2 * got["first"]

@@ -57,7 +57,7 @@ def fingerprint(text: Column) -> Column:
 
 
 def root(fp: Column) -> Column:
-    """Equal for equal texts, and only for these up to hash collisions."""
+    """Equal for equal texts, and only for these up to collisions of the cut hashes below: a leaf has 32 bits, so two texts of one clause collide at 2^-32."""
     return F.substring_index(fp, "|", 1)
 
 

@@ -1,42 +1,61 @@
 """Masked pseudo-likelihood: a network over a window on both sides predicts every token of a text.
 
-Words are tokens: the most frequent of the whole corpus have ids of their own, all others share ids
-by hash, and within an id each has its share of the id's occurrences, from the counts of all words
-of the corpus.  So every word has a probability of its own: its id's given both sides times its share.
-The network adds up the contributions of the two tokens on either side, applies tanh and scores all
-ids.  It is trained in numpy by data-parallel rounds: every token of every document gives a
-window, shards of windows train copies of the network, and the copies are averaged.  A document's
-score is the sum over its tokens of the log probability given both sides.
+Words are tokens.  The most frequent of the whole corpus have ids of their own; all others share ids
+by hash, and within such an id each has its share of the id's occurrences, from the counts of all
+words of the corpus.  So every word has a probability of its own.
+
+The network adds up the contributions of the two tokens on either side, applies tanh and predicts the
+id by a hierarchical softmax: the most frequent ids and groups of the others first, then the id within
+its group.  It starts from the ids' counts and is trained in numpy: every token of every document is a
+training window, once.  Windows come in pieces of a text; equal pieces are one piece with a weight, and
+pieces are dealt into shards by their own hash.  Shards train copies of the network, which are averaged;
+the second half of the shards goes on from the average of the first.
+
+A document's score is the sum over its tokens of the log probability given both sides.  The network is
+rounded to a grid on which its sums are exact in single precision, so that neither training nor scores
+depend on how rows are dealt into files, partitions or batches.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut, mix64, trimmed
+from driftline.llm.common import cut, trim, trimmed
 
-#: Ids: 0 stands outside the text, then frequent words, then words by hash.
-FREQUENT, HASHED = 191, 64
-VOCAB = 1 + FREQUENT + HASHED
+#: First softmax: DIRECT ids and GROUPS groups; second: OWN words and HASHED shared ids of a group.
+DIRECT, GROUPS, OWN, HASHED = 64, 64, 96, 32
+WIDTH = OWN + HASHED
+#: Words with ids of their own, ids that the others share, and all ids with 0, which stands outside the text.
+FREQUENT, SHARED = DIRECT + GROUPS * OWN, GROUPS * HASHED
+VOCAB = 1 + DIRECT + GROUPS * WIDTH
 #: Tokens of context on either side, width of an embedding and of the hidden layer.
-SIDE, EMBED, HIDDEN = 2, 16, 32
-#: One position in so many is a training window: all of them.
-ONE_IN = 1
-#: Tokens of a blob of training windows, about.
-BLOB = 50_000
-#: Rounds of averaging, windows of a shard, of a step.
-ROUNDS, SHARD, STEP = 2, 1_000_000, 256
-RATE, SEED = 0.01, 3
+SIDE, EMBED, HIDDEN = 2, 8, 16
+OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
+#: Tokens of a training piece at most.
+PIECE = 1024
+#: Bytes of pieces among which a task looks for equal ones.
+HELD = 32_000_000
+#: Windows of a shard, about, shards at least, and rounds of averaging, each with its share of the shards.
+SHARD, SHARDS, ROUNDS = 2_000_000, 8, 2
+#: Parts of 1 that a network is rounded to for averaging, and windows that weigh 1 there: whole numbers, so that sums don't depend on their order.
+PARTS_SUM, WINDOWS_SUM = 1 << 18, 1000
+#: Rows of a training step: a shard takes about so many steps, of STEP rows at least and at most.
+STEPS, STEP = 400, (64, 4096)
+RATE, SEED = 0.2, 3
 #: A block of documents is scored at once and is complete with so many tokens.
 BLOCK = 2_000_000
+#: Tokens put through the network at once.
+CHUNK = 8192
+#: Parts of 1 that hidden values and weights are rounded to, and bound of the weights: products of both add up to less than 2^24 parts.
+PARTS_H, PARTS_W, BOUND_W = 512, 128, 7.99
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -44,42 +63,67 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def own_id(rank: int) -> int:
+    """Id of a word by its rank: the first have places in the first softmax, the others are dealt into the groups in turn."""
+    if rank < DIRECT:
+        return 1 + rank
+    return 1 + DIRECT + (rank - DIRECT) % GROUPS * WIDTH + (rank - DIRECT) // GROUPS
+
+
+def bucket_of(word: bytes) -> int:
+    return zlib.crc32(word) % SHARED
+
+
+def shared_id(bucket: int) -> int:
+    """Id of a bucket of words without ids of their own."""
+    return 1 + DIRECT + bucket % GROUPS * WIDTH + OWN + bucket // GROUPS
+
+
 class Ids(dict):
     """Id of each word; those not in the vocabulary by hash."""
 
+    def __init__(self, words: list[bytes]) -> None:
+        super().__init__({w: own_id(k) for k, w in enumerate(words)})
+
     def __missing__(self, word: bytes) -> int:
-        return 1 + FREQUENT + zlib.crc32(word) % HASHED
+        return shared_id(bucket_of(word))
 
 
 class Numbers(dict):
-    """A number for each word: frequent ones have their ids, others are numbered on behind these as they are met."""
+    """A number for each word: ids for words that have their own, others are numbered on behind all ids as they are met."""
 
-    def __init__(self, frequent: list[bytes]) -> None:
-        super().__init__({w: 1 + k for k, w in enumerate(frequent)})
-        self.words, self.shared = [], list(range(1 + FREQUENT))
+    def __init__(self, words: list[bytes]) -> None:
+        super().__init__({w: own_id(k) for k, w in enumerate(words)})
+        self.words, self.buckets = [], []
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.shared)
+        self[word] = n = VOCAB + len(self.words)
         self.words.append(word)
-        self.shared.append(1 + FREQUENT + zlib.crc32(word) % HASHED)
+        self.buckets.append(bucket_of(word))
         return n
 
 
 class Vocabulary(list):
-    """The words with ids of their own; ``counts`` (word, n) of all words of the corpus, written, and the occurrences behind each shared id."""
+    """The words with ids of their own, by frequency.
+
+    ``counts`` (word, n) has all other words of the corpus, written; ``own`` the occurrences of the
+    words with ids, ``behind`` those of the words behind each bucket.
+    """
 
-    def __init__(self, words: list[bytes], counts: DataFrame, behind: dict[int, int]) -> None:
+    def __init__(self, words: list[bytes], own: list[int], counts: DataFrame, behind: np.ndarray) -> None:
         super().__init__(words)
-        self.counts, self.behind = counts, behind
+        self.own, self.counts, self.behind = own, counts, behind
 
-    def log_share(self, word: Column, n: Column) -> Column:
-        """Log of a word's share of its shared id's occurrences; a word that the corpus lacks (null n) has the share of one more."""
-        logs = F.array(*[F.lit(math.log(self.behind.get(k, 0) + 1)) for k in range(HASHED)])
-        return F.log(F.coalesce(n, F.lit(1))) - F.element_at(logs, (F.crc32(word) % HASHED + 1).cast("int"))
+    def occurrences(self) -> np.ndarray:
+        """Occurrences of each id."""
+        out = np.zeros(VOCAB)
+        out[[own_id(k) for k in range(len(self))]] = self.own
+        out[[shared_id(b) for b in range(SHARED)]] = self.behind
+        return out
 
 
 def frequent(docs: DataFrame, text: str = "text") -> Vocabulary:
-    """The most frequent words of all documents, by count and then by bytes, and the counts of all words; only the former and one sum a shared id leave the executors."""
+    """The most frequent words of all documents, by count and then by bytes, and the counts of all words; only the former and a sum a bucket leave the executors."""
 
     def run(batches):
         count: Counter = Counter()
@@ -96,29 +140,14 @@ def frequent(docs: DataFrame, text: str = "text") -> Vocabulary:
 
     parts = docs.select(text).mapInArrow(lambda batches: trimmed(run(batches)), "word binary, n long")
     totals = cut(parts.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    top = [bytes(r["word"]) for r in totals.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    rest = totals.where(~F.col("word").isin(top)) if top else totals
-    sums = rest.groupBy((F.crc32("word") % HASHED).alias("k")).agg(F.sum("n").alias("n")).collect()
-    return Vocabulary(top, rest, {r["k"]: r["n"] for r in sums})
-
-
-def encode(texts: list[str | None], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts with SIDE zeros before, between and behind, positions of their tokens' ends among the tokens)."""
-    parts, ends, total = [np.zeros(SIDE, np.uint8)], [], 0
-    for t in texts:
-        w = words_of(t)
-        parts += [np.fromiter(map(ids.__getitem__, w), np.uint8, len(w)), np.zeros(SIDE, np.uint8)]
-        total += len(w)
-        ends.append(total)
-    return np.concatenate(parts), np.array(ends, np.int64)
-
-
-def windows(flat: np.ndarray) -> np.ndarray:
-    """Positions of the tokens in a flat array of :func:`encode`."""
-    return np.flatnonzero(flat)
-
-
-OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
+    top = totals.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    words, own = [bytes(r["word"]) for r in top], [r["n"] for r in top]
+    # what comes behind the last frequent word in that order
+    rest = totals.where((F.col("n") < own[-1]) | ((F.col("n") == own[-1]) & (F.col("word") > F.lit(words[-1])))) if top else totals
+    behind = np.zeros(SHARED, np.int64)
+    for r in rest.groupBy((F.crc32("word") % SHARED).alias("k")).agg(F.sum("n").alias("n")).collect():
+        behind[r["k"]] = r["n"]
+    return Vocabulary(words, own, rest, behind)
 
 
 @dataclass
@@ -126,168 +155,332 @@ class Net:
     embed: np.ndarray
     inner: np.ndarray
     inner_bias: np.ndarray
-    outer: np.ndarray
-    outer_bias: np.ndarray
+    first: np.ndarray
+    first_bias: np.ndarray
+    second: np.ndarray
+    second_bias: np.ndarray
 
     @classmethod
-    def start(cls, seed: int = SEED) -> Net:
+    def start(cls, occurrences: np.ndarray | None = None, seed: int = SEED) -> Net:
+        """A network that knows how often each id occurs, and nothing of contexts."""
         r = np.random.default_rng(seed)
-        n = 2 * SIDE * EMBED
-        made = (r.normal(0, 0.3, (VOCAB, EMBED)), r.normal(0, n**-0.5, (n, HIDDEN)), np.zeros(HIDDEN), r.normal(0, HIDDEN**-0.5, (HIDDEN, VOCAB)), np.zeros(VOCAB))
+        n, k = 2 * SIDE * EMBED, DIRECT + GROUPS
+        often = np.ones(VOCAB) if occurrences is None else occurrences + 0.5
+        groups = often[1 + DIRECT :].reshape(GROUPS, WIDTH)
+        one = np.log(np.concatenate([often[1 : 1 + DIRECT], groups.sum(1)]))
+        two = np.log(groups)
+        made = (
+            r.normal(0, 0.3, (VOCAB, EMBED)), r.normal(0, n**-0.5, (n, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, k)), one - one.mean(),
+            np.zeros((GROUPS, HIDDEN, WIDTH)), two - two.mean(1, keepdims=True),
+        )
         return cls(*(x.astype(np.float32) for x in made))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.embed, self.inner, self.inner_bias, self.outer, self.outer_bias]
+        return [self.embed, self.inner, self.inner_bias, self.first, self.first_bias, self.second, self.second_bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.arrays()]).astype(np.float64)
+        return np.concatenate([x.ravel() for x in self.arrays()])
 
     @classmethod
     def from_flat(cls, flat: np.ndarray) -> Net:
-        out, at = [], 0
-        for x in cls.start().arrays():
-            out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
-        return cls(*out)
-
-    def train(self, rows: np.ndarray) -> None:
-        """One pass of Adam over rows of (context, token)."""
-        # all parameters, gradients and moments each lie in one array, so that a step is few operations
-        flat = np.concatenate([x.ravel() for x in self.arrays()])
-        grad, first, second = (np.zeros_like(flat) for _ in range(3))
-        at = np.cumsum([0, *(x.size for x in self.arrays())])
-        views = lambda whole: [whole[a:b].reshape(x.shape) for a, b, x in zip(at[:-1], at[1:], self.arrays(), strict=True)]
-        embed, inner, inner_bias, outer, outer_bias = views(flat)
-        own = views(grad)
-        for step, lo in enumerate(range(0, len(rows), STEP), 1):
-            part = rows[lo : lo + STEP]
-            context, want = part[:, :-1].ravel(), part[:, -1]
+        return cls(*views(flat.astype(np.float32)))
+
+    def train(self, rows: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """One pass of Adagrad over rows of (context, id), each of which stands for ``weight`` equal ones."""
+        # all parameters, gradients and moments each lie in one array, so that a step is few operations; embeddings come first and change by row
+        flat = self.flat()
+        whole, moments, n = np.zeros_like(flat), np.full_like(flat, 1e-8), self.embed.size
+        embed, inner, inner_bias, first, first_bias, second, second_bias = views(flat)
+        _, g_inner, g_inner_bias, g_first, g_first_bias, g_second, g_second_bias = views(whole)
+        dense, grad, m_embed, m_dense, spare = flat[n:], whole[n:], moments[:n].reshape(embed.shape), moments[n:], np.empty_like(flat[n:])
+        size = min(max(len(rows) // STEPS, STEP[0]), STEP[1])
+        for lo in range(0, len(rows), size):
+            part = rows[lo : lo + size]
+            share = np.full(len(part), 1 / len(part), np.float32) if weight is None else (weight[lo : lo + size] / weight[lo : lo + size].sum()).astype(np.float32)
+            # by group, the ids of the first softmax ahead: then a group's rows are a stretch
+            place = part[:, -1].astype(np.int32) - (1 + DIRECT)
+            group = np.where(place < 0, -1, place // WIDTH).astype(np.int16)
+            order = group.argsort(kind="stable")
+            part, share, place, group = part[order], share[order], place[order], group[order]
+            context = part[:, :-1].ravel()
             x = embed[context].reshape(len(part), -1)
-            h = np.tanh(x @ inner + inner_bias)
-            z = h @ outer
-            z += outer_bias
-            if np.abs(outer).sum(0).max() + np.abs(outer_bias).max() > 60:  # as h is at most 1, nothing overflows below
-                z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z *= (1 / (z.sum(1) * len(part)))[:, None]
-            z[np.arange(len(part)), want] -= np.float32(1 / len(part))
-            dh = (z @ outer.T) * (1 - h * h)
+            h = x @ inner
+            h += inner_bias
+            np.tanh(h, out=h)
+            z = h @ first
+            z += first_bias
+            softmax(z, share)
+            z[np.arange(len(part)), np.where(group < 0, place + DIRECT, DIRECT + group)] -= share
+            dh = z @ first.T
+            np.matmul(h.T, z, out=g_first)
+            z.sum(0, out=g_first_bias)
+            edges = np.searchsorted(group, np.arange(GROUPS + 1))
+            lo2 = edges[0]
+            if lo2 < len(part):
+                z = np.empty((len(part) - lo2, WIDTH), np.float32)
+                stretches = [(g, edges[g], edges[g + 1]) for g in range(GROUPS) if edges[g] < edges[g + 1]]
+                for g, a, b in stretches:
+                    np.matmul(h[a:b], second[g], out=z[a - lo2 : b - lo2])
+                z += second_bias[group[lo2:]]
+                softmax(z, share[lo2:])
+                z[np.arange(len(z)), place[lo2:] % WIDTH] -= share[lo2:]
+                g_second[:] = 0
+                g_second_bias[:] = 0
+                for g, a, b in stretches:
+                    own = z[a - lo2 : b - lo2]
+                    dh[a:b] += own @ second[g].T
+                    np.matmul(h[a:b].T, own, out=g_second[g])
+                    own.sum(0, out=g_second_bias[g])
+            dh *= 1 - h * h
+            np.matmul(x.T, dh, out=g_inner)
+            dh.sum(0, out=g_inner_bias)
             dx = (dh @ inner.T).reshape(-1, EMBED)
-            order = context.argsort(kind="stable")
-            starts = np.flatnonzero(np.diff(context[order], prepend=-1))
-            own[0][:] = 0
-            own[0][context[order[starts]]] = np.add.reduceat(dx[order], starts, axis=0)
-            np.matmul(x.T, dh, out=own[1])
-            dh.sum(0, out=own[2])
-            np.matmul(h.T, z, out=own[3])
-            z.sum(0, out=own[4])
-            first += 0.1 * (grad - first)
-            second += 0.001 * (grad * grad - second)
-            flat -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-6)
-        self.embed, self.inner, self.inner_bias, self.outer, self.outer_bias = views(flat)
+            by = context.argsort(kind="stable")
+            ends = np.flatnonzero(np.diff(context[by], append=VOCAB))
+            met = context[by[ends]]
+            d = np.diff(np.cumsum(dx[by], axis=0, dtype=np.float64)[ends], axis=0, prepend=0).astype(np.float32)
+            m_embed[met] += d * d
+            embed[met] -= RATE * d / np.sqrt(m_embed[met])
+            np.multiply(grad, grad, out=spare)
+            m_dense += spare
+            np.sqrt(m_dense, out=spare)
+            np.divide(grad, spare, out=spare)
+            spare *= RATE
+            dense -= spare
+        self.embed, self.inner, self.inner_bias, self.first, self.first_bias, self.second, self.second_bias = views(flat)
+
+    def rounded(self) -> Scorer:
+        return Scorer(self)
+
+
+def views(flat: np.ndarray) -> list[np.ndarray]:
+    """The arrays of a network within its flat form."""
+    k = DIRECT + GROUPS
+    shapes = [(VOCAB, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, k), (k,), (GROUPS, HIDDEN, WIDTH), (GROUPS, WIDTH)]
+    ends = np.cumsum([int(np.prod(s)) for s in shapes])
+    return [x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+
+
+def softmax(z: np.ndarray, share: np.ndarray) -> None:
+    """Each row's softmax times its share, in place."""
+    if z.max() > 60:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (share / z.sum(1))[:, None]
+
+
+class Scorer:
+    """A network with hidden values and weights rounded to parts of 1, whose products' sums are exact whatever their order."""
+
+    def __init__(self, net: Net) -> None:
+        weights = lambda w: np.rint(np.clip(w, -BOUND_W, BOUND_W) * PARTS_W).astype(np.float32) / np.float32(PARTS_W)
+        self.sides = [np.rint(net.embed.astype(np.float64) @ net.inner[k * EMBED : (k + 1) * EMBED].astype(np.float64) * 4096).astype(np.float32) / np.float32(4096) for k in range(2 * SIDE)]
+        self.sides[0] = self.sides[0] + np.rint(net.inner_bias * 4096).astype(np.float32) / np.float32(4096)
+        self.first, self.second = weights(net.first), weights(net.second)
+        self.first_bias, self.second_bias = net.first_bias, net.second_bias
 
     def log_probs(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log probability of each token given both sides."""
-        tables = [self.embed @ self.inner[k * EMBED : (k + 1) * EMBED] for k in range(2 * SIDE)]
+        """Log probability of the id at each position given both sides."""
         out = np.empty(len(at), np.float64)
-        for lo in range(0, len(at), 2048):
-            p = at[lo : lo + 2048]
-            h = tables[0][flat[p + OFFSETS[0]]]
-            for t, k in zip(tables[1:], OFFSETS[1:], strict=True):
+        for lo in range(0, len(at), CHUNK):
+            p = at[lo : lo + CHUNK]
+            place = flat[p].astype(np.int32) - (1 + DIRECT)
+            group = np.where(place < 0, -1, place // WIDTH).astype(np.int16)
+            order = group.argsort(kind="stable")
+            p, place, group = p[order], place[order], group[order]
+            h = self.sides[0][flat[p + OFFSETS[0]]]
+            for t, k in zip(self.sides[1:], OFFSETS[1:], strict=True):
                 h += t[flat[p + k]]
-            z = np.tanh(h + self.inner_bias) @ self.outer
-            z += self.outer_bias
-            own = z[np.arange(len(p)), flat[p]]
-            top = z.max(1)
-            z -= top[:, None]
-            np.exp(z, out=z)
-            out[lo : lo + 2048] = own - top - np.log(z.sum(1))
+            np.tanh(h, out=h)
+            h *= PARTS_H
+            np.rint(h, out=h)
+            h /= PARTS_H
+            z = h @ self.first
+            z += self.first_bias
+            own = log_of(z, np.where(group < 0, place + DIRECT, DIRECT + group))
+            edges = np.searchsorted(group, np.arange(GROUPS + 1))
+            if edges[0] < len(p):
+                z = np.empty((len(p) - edges[0], WIDTH), np.float32)
+                for g in range(GROUPS):
+                    if edges[g] < edges[g + 1]:
+                        np.matmul(h[edges[g] : edges[g + 1]], self.second[g], out=z[edges[g] - edges[0] : edges[g + 1] - edges[0]])
+                z += self.second_bias[group[edges[0] :]]
+                own[edges[0] :] += log_of(z, place[edges[0] :] % WIDTH)
+            out[lo + order] = own
         return out
 
 
-def gather(docs: DataFrame, vocab: list[bytes], text: str = "text", one_in: int = ONE_IN) -> DataFrame:
-    """Training windows of all documents as blobs, written: (n, flat, chosen), ids as of :func:`encode` and a bit a token that is one."""
-    vocab = list(vocab)
+def log_of(z: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at its column; ``z`` is used up."""
+    own = z[np.arange(len(z)), column].astype(np.float64)
+    top = z.max()
+    if top > 60:  # by rows alone, so that a row's result is its own
+        rest = z.max(1) * (z.max(1) > 60)
+        z -= rest[:, None]
+        own -= rest
+    np.exp(z, out=z)
+    return own - np.log(z.sum(1).astype(np.float64))
 
-    def blob(texts, ids):
-        flat, ends = encode(texts, ids)
-        at = windows(flat)
-        chosen = np.ones(len(at), bool)
-        if one_in > 1:
-            # which positions: by place within the document and the token before, so that it doesn't matter how rows are batched
-            place = np.arange(len(at)) - np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(np.concatenate([[0], ends])))
-            near = flat[at - 1].astype(np.uint64) << np.uint64(40) | flat[at].astype(np.uint64) << np.uint64(48)
-            chosen = mix64(place.astype(np.uint64) | near) % np.uint64(one_in) == 0
-        return pa.RecordBatch.from_pydict({
-            "n": pa.array([int(chosen.sum())], pa.int64()), "flat": pa.array([flat.tobytes()], pa.binary()), "chosen": pa.array([np.packbits(chosen).tobytes()], pa.binary()),
-        })
+
+def numbered(docs: DataFrame, vocab: list[bytes], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents as blocks of word numbers, written: (block, keys, n, numbers, words, buckets).
+
+    A block is a run of rows of one task.  ``n`` has the tokens of each document, ``numbers`` all their
+    words as int32: ids, or numbers from VOCAB on into the block's list of distinct ``words`` without
+    ids of their own, whose ``buckets`` stand beside it.
+    """
+    two = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    own = list(vocab)
+    kind = two.schema["key"].dataType.simpleString()
 
     def run(batches):
-        ids = Ids({w: 1 + k for k, w in enumerate(vocab)})
+        from pyspark import TaskContext
+
+        number, task = 0, TaskContext.get().partitionId()
+
+        def block(names, keys, texts):
+            return pa.RecordBatch.from_arrays([
+                pa.array([f"{task}-{number}"]), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
+                pa.array([np.concatenate(texts).tobytes()], pa.binary()), pa.array([names.words], pa.list_(pa.binary())), pa.array([np.array(names.buckets, np.int16).tobytes()], pa.binary()),
+            ], names=["block", "keys", "n", "numbers", "words", "buckets"])
+
+        names, keys, texts, held = Numbers(own), [], [], 0
         for batch in batches:
-            texts, held = [], 0
-            for x in batch.column(0):
-                texts.append(x.as_py())
-                held += len(texts[-1] or "") // 6
-                if held >= BLOB:
-                    yield blob(texts, ids)
-                    texts, held = [], 0
-            if texts:
-                yield blob(texts, ids)
+            for k in range(batch.num_rows):
+                w = words_of(batch.column(1)[k].as_py())
+                keys.append(batch.column(0).slice(k, 1))
+                texts.append(np.fromiter(map(names.__getitem__, w), np.int32, len(w)))
+                held += len(w) + 10
+                if held >= BLOCK:
+                    yield block(names, keys, texts)
+                    number += 1
+                    names, keys, texts, held = Numbers(own), [], [], 0
+        if keys:
+            yield block(names, keys, texts)
+
+    return cut(two.mapInArrow(lambda batches: trimmed(run(batches)), f"block string, keys array<{kind}>, n array<long>, numbers binary, words array<binary>, buckets binary"), "lm-blocks")
+
+
+def ids_of(numbers: bytes, buckets: bytes) -> np.ndarray:
+    """Ids of a block's tokens."""
+    b = np.frombuffer(buckets, np.int16).astype(np.int32)
+    return np.concatenate([np.arange(VOCAB), shared_id(b)]).astype(np.uint16)[np.frombuffer(numbers, np.int32)]
+
 
-    return cut(docs.select(text).mapInArrow(lambda batches: trimmed(run(batches)), "n long, flat binary, chosen binary").where("n > 0"), "lm-windows")
+def padded(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with SIDE zeros before, between and behind the texts, position of each text's first token)."""
+    starts = np.cumsum(n) - n + SIDE * np.arange(1, len(n) + 1)
+    flat = np.zeros(len(ids) + SIDE * (len(n) + 1), np.uint16)
+    flat[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+    return flat, starts
 
 
-def rows_of(flat: bytes, chosen: bytes) -> np.ndarray:
-    """Rows of (context, token) of a blob."""
-    flat = np.frombuffer(flat, np.uint8)
-    at = windows(flat)
-    at = at[np.unpackbits(np.frombuffer(chosen, np.uint8), count=len(at)).astype(bool)]
-    return np.stack([flat[at + k] for k in [*OFFSETS, 0]], 1)
+def pieces(blocks: DataFrame, shards: int, turn: int, rounds: int) -> DataFrame:
+    """(shard, hash, weight, flat): training pieces of the shards whose turn it is, equal ones put together as far as a task sees them.
+
+    A piece has up to PIECE tokens of a text and SIDE ids, 0 outside the text, on either side.  Pieces
+    start at fixed places of a text and are dealt by their own hash.
+    """
+
+    def out(held):
+        return pa.RecordBatch.from_pydict({
+            "shard": pa.array([int.from_bytes(h[:8], "little") % shards for h in held], pa.int64()), "hash": pa.array(list(held), pa.binary()),
+            "weight": pa.array([w for w, _ in held.values()], pa.int64()), "flat": pa.array([x for _, x in held.values()], pa.binary()),
+        })
+
+    def run(batches):
+        held, size = {}, 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                n = np.array(batch.column("n")[r].as_py(), np.int64)
+                flat, starts = padded(ids_of(batch.column("numbers")[r].as_py(), batch.column("buckets")[r].as_py()), n)
+                for a, k in zip(starts.tolist(), n.tolist(), strict=True):
+                    for lo in range(0, k, PIECE):
+                        x = flat[a + lo - SIDE : a + min(k, lo + PIECE) + SIDE].tobytes()
+                        h = hashlib.blake2b(x, digest_size=16).digest()
+                        if int.from_bytes(h[:8], "little") % shards % rounds != turn:
+                            continue
+                        if h in held:
+                            held[h] = (held[h][0] + 1, x)
+                        else:
+                            held[h] = (1, x)
+                            size += len(x) + 100
+                    if size > HELD:
+                        yield out(held)
+                        held, size = {}, 0
+        if held:
+            yield out(held)
+
+    return blocks.select("n", "numbers", "buckets").mapInArrow(lambda batches: trimmed(run(batches)), "shard long, hash binary, weight long, flat binary")
+
+
+def rows_of(flat: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of context and id, their weights) of pieces."""
+    ids = [np.frombuffer(x, np.uint16) for x in flat]
+    n = np.array([len(x) for x in ids], np.int64) - 2 * SIDE
+    ends = np.cumsum(n + 2 * SIDE)
+    at = np.repeat(ends - SIDE - np.cumsum(n), n) + np.arange(int(n.sum()))
+    whole = np.concatenate(ids)
+    return np.stack([whole[at + k] for k in [*OFFSETS, 0]], 1), np.repeat(weight, n).astype(np.float32)
 
 
 def trainer(start: np.ndarray):
     """What trains one shard from the flat network ``start``."""
 
     def trained(t: pa.Table) -> pa.Table:
-        t = t.sort_by("order")
+        t = t.group_by("hash").aggregate([("weight", "sum"), ("flat", "min")]).sort_by("hash")
+        rows, weight = rows_of(t["flat_min"].to_pylist(), t["weight_sum"].to_numpy())
+        mixed = np.random.default_rng(SEED).permutation(len(rows))
         own = Net.from_flat(start)
-        rows = np.concatenate([rows_of(x.as_py(), y.as_py()) for x, y in zip(t["flat"], t["chosen"], strict=True)])
-        rows = rows[np.random.default_rng(SEED).permutation(len(rows))]
-        own.train(rows)
-        return pa.table({"shard": t["shard"][:1], "n": pa.array([len(rows)], pa.int64()), "net": pa.array([(own.flat() * len(rows)).tobytes()], pa.binary())})
+        own.train(rows[mixed], weight[mixed])
+        share = 1 + int(weight.sum(dtype=np.float64)) // WINDOWS_SUM
+        net = np.rint(own.flat().astype(np.float64) * PARTS_SUM).astype(np.int64) * share
+        del rows, weight, t
+        trim()
+        return pa.table({"n": pa.array([share], pa.int64()), "net": pa.array([net.tobytes()], pa.binary())})
 
     return trained
 
 
-def added(t: pa.Table) -> pa.Table:
-    """Weighted sum of some shards' networks."""
-    t = t.sort_by("shard")
-    summed = sum(np.frombuffer(x, np.float64) for x in t["net"].to_pylist())
-    return pa.table({"shard": t["shard"][:1], "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "net": pa.array([summed.tobytes()], pa.binary())})
+def added(batches):
+    """The sum of a task's networks."""
+    n, net = 0, np.zeros(0, np.int64)
+    for batch in batches:
+        for k, x in zip(batch.column("n").to_pylist(), batch.column("net"), strict=True):
+            own = np.frombuffer(x.as_buffer(), np.int64)
+            n, net = n + k, own + net if n else own.copy()
+    if n:
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "net": pa.array([net.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, one_in: int = ONE_IN) -> tuple[Vocabulary, Net]:
+def train(blocks: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Net:
+    """The network from all tokens of :func:`numbered` documents.
+
+    Shards hold about SHARD windows, so there are as many as the corpus asks for.  Their networks are
+    summed up where they are made and then in sixteen tasks; what comes to the driver is sixteen.
+    """
+    occurrences = vocab.occurrences()
+    net, total = Net.start(occurrences), int(occurrences.sum())
+    shards = max(SHARDS, -(-total // SHARD))
+    kind = "n long, net binary"
+    for turn in range(rounds):
+        each = pieces(blocks, shards, turn, rounds).groupBy("shard").applyInArrow(trainer(net.flat()), kind)
+        got = each.mapInArrow(added, kind).repartition(16).mapInArrow(added, kind).collect()
+        if got:
+            whole = sum(np.frombuffer(r["net"], np.int64) for r in got)
+            net = Net.from_flat(whole / (PARTS_SUM * float(sum(r["n"] for r in got))))
+    return net
+
+
+def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, Net]:
     """(vocabulary, network) from all documents.
 
-    Shards hold about SHARD windows, so there are as many as the corpus asks for; their networks are
-    averaged in two steps, and what comes to the driver is sixteen of them at most.
+    Null texts and texts without words give nothing.  Repeated rows, and equal stretches of texts, weigh
+    as often as they come.  Neither keys nor other columns are read.  No rows: no words and the network
+    that training starts from.
     """
     vocab = frequent(docs, text)
-    blobs = gather(docs, vocab, text, one_in)
-    net = Net.start()
-    total = blobs.agg(F.sum("n")).first()[0]
-    if not total:
-        return vocab, net
-    shards = max(8, -(-total // SHARD))
-    order = F.xxhash64("flat", "chosen")
-    dealt = blobs.withColumn("order", order).withColumn("shard", F.pmod("order", F.lit(shards)).cast("int"))
-    kind = "shard int, n long, net binary"
-    for _ in range(rounds):
-        each = dealt.groupBy("shard").applyInArrow(trainer(net.flat()), kind)
-        got = each.groupBy(F.pmod("shard", F.lit(16))).applyInArrow(added, kind).orderBy("shard").collect()
-        net = Net.from_flat(sum(np.frombuffer(r["net"], np.float64) for r in got) / sum(r["n"] for r in got))
-    return vocab, net
+    return vocab, train(numbered(docs, vocab, text, text), vocab)
 
 
 def score(docs: DataFrame, vocab: Vocabulary, net: Net, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,58 +489,61 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Net, key: str = "doc_id", tex
     pll sums the log probabilities of all tokens given the tokens on both sides.  A null text or one
     without words has no tokens, pll 0 and null per token.  Repeated rows score alike.  No rows: an
     empty frame.  Other columns aren't read.
-
-    Blocks of documents are put through the network and list their distinct words without an id of
-    their own; these meet the counts by word, and their shares return to the block by position.
     """
-    two = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    own = list(vocab)
-    kind = two.schema["key"].dataType.simpleString()
+    return scored(numbered(docs, vocab, key, text), vocab, net).withColumnRenamed("key", key)
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        number, task = 0, TaskContext.get().partitionId()
+def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """:func:`score` of ``docs`` under :func:`fit` of the same, which reads the texts twice instead of three times."""
+    vocab = frequent(docs, text)
+    blocks = numbered(docs, vocab, key, text)
+    return scored(blocks, vocab, train(blocks, vocab)).withColumnRenamed("key", key)
 
-        def block(numbers, keys, texts):
-            part = np.concatenate([np.zeros(SIDE, np.int32), *(x for t in texts for x in (t, np.zeros(SIDE, np.int32)))])
-            flat = np.array(numbers.shared, np.uint8)[part]
-            n = np.array([len(t) for t in texts], np.int64)
-            sums = np.concatenate([[0.0], np.cumsum(net.log_probs(flat, windows(flat)))])[np.concatenate([[0], np.cumsum(n)])]
-            rest = [t[t > FREQUENT] - (1 + FREQUENT) for t in texts]
-            return pa.RecordBatch.from_arrays([
-                pa.array([f"{task}-{number}"]), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([np.diff(sums).tolist()], pa.list_(pa.float64())),
-                pa.array([[len(x) for x in rest]], pa.list_(pa.int64())), pa.array([np.concatenate(rest).astype(np.int32).tobytes()], pa.binary()), pa.array([numbers.words], pa.list_(pa.binary())),
-            ], names=["block", "keys", "n", "pll", "n_rest", "rest", "words"])
 
-        numbers, keys, texts, held = Numbers(own), [], [], 0
-        for batch in batches:
-            for k in range(batch.num_rows):
-                w = words_of(batch.column(1)[k].as_py())
-                keys.append(batch.column(0).slice(k, 1))
-                texts.append(np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)))
-                held += len(w) + 10
-                if held >= BLOCK:
-                    yield block(numbers, keys, texts)
-                    number += 1
-                    numbers, keys, texts, held = Numbers(own), [], [], 0
-        if keys:
-            yield block(numbers, keys, texts)
+def scored(blocks: DataFrame, vocab: Vocabulary, net: Net) -> DataFrame:
+    """:func:`score` of :func:`numbered` documents.
 
-    shape = f"block string, keys array<{kind}>, n array<long>, pll array<double>, n_rest array<long>, rest binary, words array<binary>"
-    blocks = cut(two.mapInArrow(lambda batches: trimmed(run(batches)), shape), "lm-blocks")
-    asked = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    shares = asked.join(vocab.counts, "word", "left").select(F.col("block").alias("of"), "pos", vocab.log_share(F.col("word"), F.col("n")).alias("share"))
+    Blocks are put through the network; their distinct words without ids of their own meet the counts
+    by word, and the words' shares of their ids return to the block by position.
+    """
+    kind = blocks.schema["keys"].dataType.elementType.simpleString()
+    rounded, behind = net.rounded(), np.log(vocab.behind + 1.0)
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                raw, buckets = batch.column("numbers")[r].as_py(), batch.column("buckets")[r].as_py()
+                n = np.array(batch.column("n")[r].as_py(), np.int64)
+                flat, _ = padded(ids_of(raw, buckets), n)
+                numbers = np.frombuffer(raw, np.int32)
+                pll = sums(rounded.log_probs(flat, np.flatnonzero(flat)), n)
+                rest = numbers >= VOCAB
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("block").slice(r, 1), batch.column("keys").slice(r, 1), batch.column("n").slice(r, 1), pa.array([pll.tolist()], pa.list_(pa.float64())),
+                    pa.array([sums(rest, n).astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([(numbers[rest] - VOCAB).tobytes()], pa.binary()), pa.array([buckets], pa.binary()),
+                ], names=["block", "keys", "n", "pll", "n_rest", "rest", "buckets"])
+
+    shape = f"block string, keys array<{kind}>, n array<long>, pll array<double>, n_rest array<long>, rest binary, buckets binary"
+    through = blocks.select("block", "keys", "n", "numbers", "buckets").mapInArrow(lambda batches: trimmed(run(batches)), shape)
+    asked = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("pos", "word"))
+    counts = asked.join(vocab.counts, "word", "left").select("of", "pos", F.coalesce("n", F.lit(1)).alias("count"))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         share = np.zeros(right.num_rows)
-        share[right.column("pos").to_numpy()] = right.column("share").to_numpy()
+        share[right.column("pos").to_numpy()] = np.log(right.column("count").to_numpy())
+        share -= behind[np.frombuffer(left.column("buckets")[0].as_py(), np.int16)]
         keys, n, pll, n_rest = (left.column(c).combine_chunks().flatten() for c in ("keys", "n", "pll", "n_rest"))
-        ends = np.concatenate([[0], np.cumsum(n_rest.to_numpy())])
-        at = np.frombuffer(left.column("rest")[0].as_py(), np.int32)
-        pll = pll.to_numpy() + np.diff(np.concatenate([[0.0], np.cumsum(share[at])])[ends])
+        pll = pll.to_numpy() + sums(share[np.frombuffer(left.column("rest")[0].as_py(), np.int32)], n_rest.to_numpy())
         mean = [round(p / k, 6) if k else None for p, k in zip(pll.tolist(), n.to_pylist(), strict=True)]
         return pa.table({"key": keys, "n_tokens": n, "pll": pa.array(np.round(pll, 4) + 0.0), "pll_per_token": pa.array(mean, pa.float64())})
 
-    out = blocks.drop("words").groupBy("block").cogroup(shares.groupBy("of")).applyInArrow(finish, f"key {kind}, n_tokens long, pll double, pll_per_token double")
-    return out.withColumnRenamed("key", key)
+    return through.groupBy("block").cogroup(counts.groupBy("of")).applyInArrow(finish, f"key {kind}, n_tokens long, pll double, pll_per_token double")
+
+
+def sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs of n values each; a run's sum depends on its values alone."""
+    out = np.zeros(len(n))
+    some = n > 0
+    if some.any():
+        out[some] = np.add.reduceat(values.astype(np.float64, copy=False), (np.cumsum(n) - n)[some])
+    return out

@@ -16,8 +16,7 @@ def tokenizer_path() -> str:
 
 
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm.score(docs, *lm.fit(docs))
+    return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ WIDTH = OWN + HASHED
 FREQUENT, SHARED = DIRECT + GROUPS * OWN, GROUPS * HASHED
 VOCAB = 1 + DIRECT + GROUPS * WIDTH
 #: Tokens of context on either side, width of an embedding and of the hidden layer.
-SIDE, EMBED, HIDDEN = 2, 8, 16
+SIDE, EMBED, HIDDEN = 2, 8, 15
 OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 #: Tokens of a training piece at most.
 PIECE = 1024
@@ -79,27 +79,11 @@ def shared_id(bucket: int) -> int:
     return 1 + DIRECT + bucket % GROUPS * WIDTH + OWN + bucket // GROUPS
 
 
-class Ids(dict):
-    """Id of each word; those not in the vocabulary by hash."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        super().__init__({w: own_id(k) for k, w in enumerate(words)})
-
-    def __missing__(self, word: bytes) -> int:
-        return shared_id(bucket_of(word))
-
-
 class Numbers(dict):
-    """A number for each word: ids for words that have their own, others are numbered on behind all ids as they are met."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        super().__init__({w: own_id(k) for k, w in enumerate(words)})
-        self.words, self.buckets = [], []
+    """Numbers words as they come."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = VOCAB + len(self.words)
-        self.words.append(word)
-        self.buckets.append(bucket_of(word))
+        self[word] = n = len(self)
         return n
 
 
@@ -114,6 +98,9 @@ class Vocabulary(list):
         super().__init__(words)
         self.own, self.counts, self.behind = own, counts, behind
 
+    def ids(self) -> dict[bytes, int]:
+        return {w: own_id(k) for k, w in enumerate(self)}
+
     def occurrences(self) -> np.ndarray:
         """Occurrences of each id."""
         out = np.zeros(VOCAB)
@@ -122,23 +109,50 @@ class Vocabulary(list):
         return out
 
 
-def frequent(docs: DataFrame, text: str = "text") -> Vocabulary:
-    """The most frequent words of all documents, by count and then by bytes, and the counts of all words; only the former and a sum a bucket leave the executors."""
+def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents as blocks of word numbers, written: (block, keys, n, numbers, words, counts, buckets).
+
+    A block is a run of rows of one task.  ``n`` has the tokens of each document, ``numbers`` all their
+    words as int32 places in the block's list of distinct ``words``, beside which stand their
+    occurrences in the block and their buckets.
+    """
+    two = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = two.schema["key"].dataType.simpleString()
 
     def run(batches):
-        count: Counter = Counter()
+        from pyspark import TaskContext
+
+        number, task = 0, TaskContext.get().partitionId()
+
+        def block(names, keys, texts):
+            numbers, words = np.concatenate(texts), list(names)
+            return pa.RecordBatch.from_arrays([
+                pa.array([f"{task}-{number}"]), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
+                pa.array([numbers.tobytes()], pa.binary()), pa.array([words], pa.list_(pa.binary())), pa.array([np.bincount(numbers, minlength=len(words)).tolist()], pa.list_(pa.int64())),
+                pa.array([np.fromiter(map(bucket_of, words), np.int16, len(words)).tobytes()], pa.binary()),
+            ], names=["block", "keys", "n", "numbers", "words", "counts", "buckets"])
+
+        names, keys, texts, held = Numbers(), [], [], 0
         for batch in batches:
-            for x in batch.column(0):
-                count.update(words_of(x.as_py()))
-                if len(count) > 1_000_000:
-                    yield out(count)
-                    count = Counter()
-        yield out(count)
+            for k in range(batch.num_rows):
+                w = words_of(batch.column(1)[k].as_py())
+                keys.append(batch.column(0).slice(k, 1))
+                texts.append(np.fromiter(map(names.__getitem__, w), np.int32, len(w)))
+                held += len(w) + 10
+                if held >= BLOCK:
+                    yield block(names, keys, texts)
+                    number += 1
+                    names, keys, texts, held = Numbers(), [], [], 0
+        if keys:
+            yield block(names, keys, texts)
 
-    def out(count):
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(count), pa.binary()), "n": pa.array(list(count.values()), pa.int64())})
+    shape = f"block string, keys array<{kind}>, n array<long>, numbers binary, words array<binary>, counts array<long>, buckets binary"
+    return cut(two.mapInArrow(lambda batches: trimmed(run(batches)), shape), "lm-blocks")
 
-    parts = docs.select(text).mapInArrow(lambda batches: trimmed(run(batches)), "word binary, n long")
+
+def frequent(blocks: DataFrame) -> Vocabulary:
+    """The most frequent words of all blocks, by count and then by bytes, and the counts of all words; only the former and a sum a bucket leave the executors."""
+    parts = blocks.select(F.inline(F.arrays_zip("words", "counts")).alias("word", "n"))
     totals = cut(parts.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     top = totals.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     words, own = [bytes(r["word"]) for r in top], [r["n"] for r in top]
@@ -156,9 +170,7 @@ class Net:
     inner: np.ndarray
     inner_bias: np.ndarray
     first: np.ndarray
-    first_bias: np.ndarray
     second: np.ndarray
-    second_bias: np.ndarray
 
     @classmethod
     def start(cls, occurrences: np.ndarray | None = None, seed: int = SEED) -> Net:
@@ -170,13 +182,13 @@ class Net:
         one = np.log(np.concatenate([often[1 : 1 + DIRECT], groups.sum(1)]))
         two = np.log(groups)
         made = (
-            r.normal(0, 0.3, (VOCAB, EMBED)), r.normal(0, n**-0.5, (n, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, k)), one - one.mean(),
-            np.zeros((GROUPS, HIDDEN, WIDTH)), two - two.mean(1, keepdims=True),
+            r.normal(0, 0.3, (VOCAB, EMBED)), r.normal(0, n**-0.5, (n, HIDDEN)), np.zeros(HIDDEN), np.concatenate([np.zeros((HIDDEN, k)), (one - one.mean())[None]]),
+            np.concatenate([np.zeros((GROUPS, HIDDEN, WIDTH)), (two - two.mean(1, keepdims=True))[:, None]], 1),
         )
         return cls(*(x.astype(np.float32) for x in made))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.embed, self.inner, self.inner_bias, self.first, self.first_bias, self.second, self.second_bias]
+        return [self.embed, self.inner, self.inner_bias, self.first, self.second]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.arrays()])
@@ -187,12 +199,11 @@ class Net:
 
     def train(self, rows: np.ndarray, weight: np.ndarray | None = None) -> None:
         """One pass of Adagrad over rows of (context, id), each of which stands for ``weight`` equal ones."""
-        # all parameters, gradients and moments each lie in one array, so that a step is few operations; embeddings come first and change by row
+        # parameters, gradients and moments each lie in one array, so that a step is few operations; the last hidden value is a constant, whose weights are the biases
         flat = self.flat()
-        whole, moments, n = np.zeros_like(flat), np.full_like(flat, 1e-8), self.embed.size
-        embed, inner, inner_bias, first, first_bias, second, second_bias = views(flat)
-        _, g_inner, g_inner_bias, g_first, g_first_bias, g_second, g_second_bias = views(whole)
-        dense, grad, m_embed, m_dense, spare = flat[n:], whole[n:], moments[:n].reshape(embed.shape), moments[n:], np.empty_like(flat[n:])
+        grad, moments, spare = np.zeros_like(flat), np.full_like(flat, 1e-8), np.empty_like(flat)
+        embed, inner, inner_bias, first, second = views(flat)
+        g_embed, g_inner, g_inner_bias, g_first, g_second = views(grad)
         size = min(max(len(rows) // STEPS, STEP[0]), STEP[1])
         for lo in range(0, len(rows), size):
             part = rows[lo : lo + size]
@@ -204,50 +215,40 @@ class Net:
             part, share, place, group = part[order], share[order], place[order], group[order]
             context = part[:, :-1].ravel()
             x = embed[context].reshape(len(part), -1)
-            h = x @ inner
-            h += inner_bias
-            np.tanh(h, out=h)
+            h = np.ones((len(part), HIDDEN + 1), np.float32)
+            np.tanh(x @ inner + inner_bias, out=h[:, :-1])
             z = h @ first
-            z += first_bias
             softmax(z, share)
             z[np.arange(len(part)), np.where(group < 0, place + DIRECT, DIRECT + group)] -= share
-            dh = z @ first.T
             np.matmul(h.T, z, out=g_first)
-            z.sum(0, out=g_first_bias)
+            dh = z @ first[:-1].T
             edges = np.searchsorted(group, np.arange(GROUPS + 1))
-            lo2 = edges[0]
-            if lo2 < len(part):
-                z = np.empty((len(part) - lo2, WIDTH), np.float32)
+            direct = edges[0]
+            g_second[:] = 0
+            if direct < len(part):
+                z = np.empty((len(part) - direct, WIDTH), np.float32)
                 stretches = [(g, edges[g], edges[g + 1]) for g in range(GROUPS) if edges[g] < edges[g + 1]]
                 for g, a, b in stretches:
-                    np.matmul(h[a:b], second[g], out=z[a - lo2 : b - lo2])
-                z += second_bias[group[lo2:]]
-                softmax(z, share[lo2:])
-                z[np.arange(len(z)), place[lo2:] % WIDTH] -= share[lo2:]
-                g_second[:] = 0
-                g_second_bias[:] = 0
+                    np.matmul(h[a:b], second[g], out=z[a - direct : b - direct])
+                softmax(z, share[direct:])
+                z[np.arange(len(z)), place[direct:] % WIDTH] -= share[direct:]
                 for g, a, b in stretches:
-                    own = z[a - lo2 : b - lo2]
-                    dh[a:b] += own @ second[g].T
+                    own = z[a - direct : b - direct]
+                    dh[a:b] += own @ second[g, :-1].T
                     np.matmul(h[a:b].T, own, out=g_second[g])
-                    own.sum(0, out=g_second_bias[g])
-            dh *= 1 - h * h
+            dh *= 1 - h[:, :-1] * h[:, :-1]
             np.matmul(x.T, dh, out=g_inner)
             dh.sum(0, out=g_inner_bias)
-            dx = (dh @ inner.T).reshape(-1, EMBED)
-            by = context.argsort(kind="stable")
-            ends = np.flatnonzero(np.diff(context[by], append=VOCAB))
-            met = context[by[ends]]
-            d = np.diff(np.cumsum(dx[by], axis=0, dtype=np.float64)[ends], axis=0, prepend=0).astype(np.float32)
-            m_embed[met] += d * d
-            embed[met] -= RATE * d / np.sqrt(m_embed[met])
+            dx = np.ascontiguousarray((dh @ inner.T).reshape(-1, EMBED).T, np.float64)
+            for k in range(EMBED):
+                g_embed[:, k] = np.bincount(context, dx[k], VOCAB)
             np.multiply(grad, grad, out=spare)
-            m_dense += spare
-            np.sqrt(m_dense, out=spare)
+            moments += spare
+            np.sqrt(moments, out=spare)
             np.divide(grad, spare, out=spare)
             spare *= RATE
-            dense -= spare
-        self.embed, self.inner, self.inner_bias, self.first, self.first_bias, self.second, self.second_bias = views(flat)
+            flat -= spare
+        self.embed, self.inner, self.inner_bias, self.first, self.second = views(flat)
 
     def rounded(self) -> Scorer:
         return Scorer(self)
@@ -256,7 +257,7 @@ class Net:
 def views(flat: np.ndarray) -> list[np.ndarray]:
     """The arrays of a network within its flat form."""
     k = DIRECT + GROUPS
-    shapes = [(VOCAB, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, k), (k,), (GROUPS, HIDDEN, WIDTH), (GROUPS, WIDTH)]
+    shapes = [(VOCAB, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN + 1, k), (GROUPS, HIDDEN + 1, WIDTH)]
     ends = np.cumsum([int(np.prod(s)) for s in shapes])
     return [x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
 
@@ -276,8 +277,8 @@ class Scorer:
         weights = lambda w: np.rint(np.clip(w, -BOUND_W, BOUND_W) * PARTS_W).astype(np.float32) / np.float32(PARTS_W)
         self.sides = [np.rint(net.embed.astype(np.float64) @ net.inner[k * EMBED : (k + 1) * EMBED].astype(np.float64) * 4096).astype(np.float32) / np.float32(4096) for k in range(2 * SIDE)]
         self.sides[0] = self.sides[0] + np.rint(net.inner_bias * 4096).astype(np.float32) / np.float32(4096)
-        self.first, self.second = weights(net.first), weights(net.second)
-        self.first_bias, self.second_bias = net.first_bias, net.second_bias
+        self.first, self.second = weights(net.first[:-1]), weights(net.second[:, :-1])
+        self.first_bias, self.second_bias = net.first[-1], net.second[:, -1]
 
     def log_probs(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log probability of the id at each position given both sides."""
@@ -322,49 +323,10 @@ def log_of(z: np.ndarray, column: np.ndarray) -> np.ndarray:
     return own - np.log(z.sum(1).astype(np.float64))
 
 
-def numbered(docs: DataFrame, vocab: list[bytes], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents as blocks of word numbers, written: (block, keys, n, numbers, words, buckets).
-
-    A block is a run of rows of one task.  ``n`` has the tokens of each document, ``numbers`` all their
-    words as int32: ids, or numbers from VOCAB on into the block's list of distinct ``words`` without
-    ids of their own, whose ``buckets`` stand beside it.
-    """
-    two = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    own = list(vocab)
-    kind = two.schema["key"].dataType.simpleString()
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        number, task = 0, TaskContext.get().partitionId()
-
-        def block(names, keys, texts):
-            return pa.RecordBatch.from_arrays([
-                pa.array([f"{task}-{number}"]), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                pa.array([np.concatenate(texts).tobytes()], pa.binary()), pa.array([names.words], pa.list_(pa.binary())), pa.array([np.array(names.buckets, np.int16).tobytes()], pa.binary()),
-            ], names=["block", "keys", "n", "numbers", "words", "buckets"])
-
-        names, keys, texts, held = Numbers(own), [], [], 0
-        for batch in batches:
-            for k in range(batch.num_rows):
-                w = words_of(batch.column(1)[k].as_py())
-                keys.append(batch.column(0).slice(k, 1))
-                texts.append(np.fromiter(map(names.__getitem__, w), np.int32, len(w)))
-                held += len(w) + 10
-                if held >= BLOCK:
-                    yield block(names, keys, texts)
-                    number += 1
-                    names, keys, texts, held = Numbers(own), [], [], 0
-        if keys:
-            yield block(names, keys, texts)
-
-    return cut(two.mapInArrow(lambda batches: trimmed(run(batches)), f"block string, keys array<{kind}>, n array<long>, numbers binary, words array<binary>, buckets binary"), "lm-blocks")
-
-
-def ids_of(numbers: bytes, buckets: bytes) -> np.ndarray:
-    """Ids of a block's tokens."""
-    b = np.frombuffer(buckets, np.int16).astype(np.int32)
-    return np.concatenate([np.arange(VOCAB), shared_id(b)]).astype(np.uint16)[np.frombuffer(numbers, np.int32)]
+def ids_of(row: dict, own: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of a block's words, whether they are their own)."""
+    ids = np.fromiter(map(own.get, row["words"], repeat(0)), np.int32, len(row["words"]))
+    return np.where(ids > 0, ids, shared_id(np.frombuffer(row["buckets"], np.int16).astype(np.int32))).astype(np.uint16), ids > 0
 
 
 def padded(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,7 +337,7 @@ def padded(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat, starts
 
 
-def pieces(blocks: DataFrame, shards: int, turn: int, rounds: int) -> DataFrame:
+def pieces(blocks: DataFrame, vocab: Vocabulary, shards: int, turn: int, rounds: int) -> DataFrame:
     """(shard, hash, weight, flat): training pieces of the shards whose turn it is, equal ones put together as far as a task sees them.
 
     A piece has up to PIECE tokens of a text and SIDE ids, 0 outside the text, on either side.  Pieces
@@ -388,12 +350,15 @@ def pieces(blocks: DataFrame, shards: int, turn: int, rounds: int) -> DataFrame:
             "weight": pa.array([w for w, _ in held.values()], pa.int64()), "flat": pa.array([x for _, x in held.values()], pa.binary()),
         })
 
+    own = vocab.ids()
+
     def run(batches):
         held, size = {}, 0
         for batch in batches:
-            for r in range(batch.num_rows):
-                n = np.array(batch.column("n")[r].as_py(), np.int64)
-                flat, starts = padded(ids_of(batch.column("numbers")[r].as_py(), batch.column("buckets")[r].as_py()), n)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                n = np.array(row["n"], np.int64)
+                flat, starts = padded(ids_of(row, own)[0][np.frombuffer(row["numbers"], np.int32)], n)
                 for a, k in zip(starts.tolist(), n.tolist(), strict=True):
                     for lo in range(0, k, PIECE):
                         x = flat[a + lo - SIDE : a + min(k, lo + PIECE) + SIDE].tobytes()
@@ -411,7 +376,7 @@ def pieces(blocks: DataFrame, shards: int, turn: int, rounds: int) -> DataFrame:
         if held:
             yield out(held)
 
-    return blocks.select("n", "numbers", "buckets").mapInArrow(lambda batches: trimmed(run(batches)), "shard long, hash binary, weight long, flat binary")
+    return blocks.select("n", "numbers", "words", "buckets").mapInArrow(lambda batches: trimmed(run(batches)), "shard long, hash binary, weight long, flat binary")
 
 
 def rows_of(flat: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -457,15 +422,15 @@ def train(blocks: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Net:
     """The network from all tokens of :func:`numbered` documents.
 
     Shards hold about SHARD windows, so there are as many as the corpus asks for.  Their networks are
-    summed up where they are made and then in sixteen tasks; what comes to the driver is sixteen.
+    summed up where they are made and then in four tasks; what comes to the driver is four.
     """
     occurrences = vocab.occurrences()
     net, total = Net.start(occurrences), int(occurrences.sum())
     shards = max(SHARDS, -(-total // SHARD))
     kind = "n long, net binary"
     for turn in range(rounds):
-        each = pieces(blocks, shards, turn, rounds).groupBy("shard").applyInArrow(trainer(net.flat()), kind)
-        got = each.mapInArrow(added, kind).repartition(16).mapInArrow(added, kind).collect()
+        each = pieces(blocks, vocab, shards, turn, rounds).groupBy("shard").applyInArrow(trainer(net.flat()), kind)
+        got = each.mapInArrow(added, kind).repartition(4).mapInArrow(added, kind).collect()
         if got:
             whole = sum(np.frombuffer(r["net"], np.int64) for r in got)
             net = Net.from_flat(whole / (PARTS_SUM * float(sum(r["n"] for r in got))))
@@ -479,8 +444,9 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, Net]:
     as often as they come.  Neither keys nor other columns are read.  No rows: no words and the network
     that training starts from.
     """
-    vocab = frequent(docs, text)
-    return vocab, train(numbered(docs, vocab, text, text), vocab)
+    blocks = numbered(docs, text, text)
+    vocab = frequent(blocks)
+    return vocab, train(blocks, vocab)
 
 
 def score(docs: DataFrame, vocab: Vocabulary, net: Net, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -490,41 +456,40 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Net, key: str = "doc_id", tex
     without words has no tokens, pll 0 and null per token.  Repeated rows score alike.  No rows: an
     empty frame.  Other columns aren't read.
     """
-    return scored(numbered(docs, vocab, key, text), vocab, net).withColumnRenamed("key", key)
+    return scored(numbered(docs, key, text), vocab, net).withColumnRenamed("key", key)
 
 
 def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """:func:`score` of ``docs`` under :func:`fit` of the same, which reads the texts twice instead of three times."""
-    vocab = frequent(docs, text)
-    blocks = numbered(docs, vocab, key, text)
+    """:func:`score` of ``docs`` under :func:`fit` of the same, which reads the texts once instead of twice."""
+    blocks = numbered(docs, key, text)
+    vocab = frequent(blocks)
     return scored(blocks, vocab, train(blocks, vocab)).withColumnRenamed("key", key)
 
 
 def scored(blocks: DataFrame, vocab: Vocabulary, net: Net) -> DataFrame:
     """:func:`score` of :func:`numbered` documents.
 
-    Blocks are put through the network; their distinct words without ids of their own meet the counts
-    by word, and the words' shares of their ids return to the block by position.
+    Blocks are put through the network; their distinct words meet the counts by word, and the words'
+    shares of their ids return to the block by position.
     """
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
-    rounded, behind = net.rounded(), np.log(vocab.behind + 1.0)
+    rounded, behind, own = net.rounded(), np.log(vocab.behind + 1.0), vocab.ids()
 
     def run(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                raw, buckets = batch.column("numbers")[r].as_py(), batch.column("buckets")[r].as_py()
-                n = np.array(batch.column("n")[r].as_py(), np.int64)
-                flat, _ = padded(ids_of(raw, buckets), n)
-                numbers = np.frombuffer(raw, np.int32)
-                pll = sums(rounded.log_probs(flat, np.flatnonzero(flat)), n)
-                rest = numbers >= VOCAB
+            for k in range(batch.num_rows):
+                row = batch.select(["n", "numbers", "words", "buckets"]).slice(k, 1).to_pylist()[0]
+                n, numbers = np.array(row["n"], np.int64), np.frombuffer(row["numbers"], np.int32)
+                ids, theirs = ids_of(row, own)
+                flat, _ = padded(ids[numbers], n)
+                pll, rest = sums(rounded.log_probs(flat, np.flatnonzero(flat)), n), ~theirs[numbers]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("block").slice(r, 1), batch.column("keys").slice(r, 1), batch.column("n").slice(r, 1), pa.array([pll.tolist()], pa.list_(pa.float64())),
-                    pa.array([sums(rest, n).astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([(numbers[rest] - VOCAB).tobytes()], pa.binary()), pa.array([buckets], pa.binary()),
+                    batch.column("block").slice(k, 1), batch.column("keys").slice(k, 1), batch.column("n").slice(k, 1), pa.array([pll.tolist()], pa.list_(pa.float64())),
+                    pa.array([sums(rest, n).astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([numbers[rest].tobytes()], pa.binary()), pa.array([row["buckets"]], pa.binary()),
                 ], names=["block", "keys", "n", "pll", "n_rest", "rest", "buckets"])
 
     shape = f"block string, keys array<{kind}>, n array<long>, pll array<double>, n_rest array<long>, rest binary, buckets binary"
-    through = blocks.select("block", "keys", "n", "numbers", "buckets").mapInArrow(lambda batches: trimmed(run(batches)), shape)
+    through = blocks.select("block", "keys", "n", "numbers", "words", "buckets").mapInArrow(lambda batches: trimmed(run(batches)), shape)
     asked = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("pos", "word"))
     counts = asked.join(vocab.counts, "word", "left").select("of", "pos", F.coalesce("n", F.lit(1)).alias("count"))
 

@@ -12,6 +12,16 @@ def corpus(make, n=400):
     return make([(k, " ".join(f"w{(s + j) % 40}" for j in range(r.randint(20, 60)))) for k in range(n) for s in [r.randint(0, 39)]])
 
 
+class ids_of(dict):  # noqa: N801
+    """Id of any word."""
+
+    def __init__(self, vocab):
+        super().__init__(vocab.ids())
+
+    def __missing__(self, word):
+        return lm.shared_id(lm.bucket_of(word))
+
+
 def plain(net, ids):
     """Summed log probabilities by the unrounded network, one token at a time."""
     pad = [0] * lm.SIDE + list(ids) + [0] * lm.SIDE
@@ -21,10 +31,11 @@ def plain(net, ids):
         x = np.concatenate([net.embed[pad[p + k]] for k in lm.OFFSETS]).astype(float)
         h = np.tanh(x @ net.inner + net.inner_bias)
         at = pad[p] - 1 - lm.DIRECT
-        out.append(log(h @ net.first + net.first_bias, pad[p] - 1 if at < 0 else lm.DIRECT + at // lm.WIDTH))
+        h = np.append(h, 1.0)
+        out.append(log(h @ net.first, pad[p] - 1 if at < 0 else lm.DIRECT + at // lm.WIDTH))
         if at >= 0:
             g = at // lm.WIDTH
-            out[-1] += log(h @ net.second[g] + net.second_bias[g], at % lm.WIDTH)
+            out[-1] += log(h @ net.second[g], at % lm.WIDTH)
     return sum(out)
 
 
@@ -40,7 +51,7 @@ def test_scores_are_those_of_a_plain_loop(make, odd):
     vocab, net = lm.fit(docs)
     texts = [(x["doc_id"], lm.words_of(x["text"])) for x in docs.collect()]
     counts = Counter(w for _, ws in texts for w in ws)
-    ids, want = lm.Ids(list(vocab)), Counter()
+    ids, want = ids_of(vocab), Counter()
     for k, ws in texts:
         want[k, len(ws), round((plain(net, [ids[w] for w in ws]) + shares(vocab, ws, counts)) / max(1, len(ws)), 1)] += 1
     got = lm.score(docs, vocab, net).collect()
@@ -59,11 +70,11 @@ def test_odd_and_empty_tables(make, odd):
 
 def windows(docs, shards=3):
     """All training windows with their weights, over the rounds."""
-    vocab = lm.frequent(docs)
-    blocks = lm.numbered(docs, vocab)
+    blocks = lm.numbered(docs)
+    vocab = lm.frequent(blocks)
     out = Counter()
     for turn in range(2):
-        for r in lm.pieces(blocks, shards, turn, 2).collect():
+        for r in lm.pieces(blocks, vocab, shards, turn, 2).collect():
             rows, weight = lm.rows_of([bytes(r["flat"])], np.array([r["weight"]]))
             out.update({tuple(x): 0 for x in rows.tolist()})
             for x, w in zip(rows.tolist(), weight.tolist(), strict=True):
@@ -74,7 +85,7 @@ def windows(docs, shards=3):
 def test_every_token_is_a_window_once(make, odd):
     docs = odd.unionByName(corpus(make, 60)).unionByName(make([(100 + k, "short") for k in range(40)]))
     vocab, got = windows(docs)
-    ids, want = lm.Ids(list(vocab)), Counter()
+    ids, want = ids_of(vocab), Counter()
     for r in docs.collect():
         pad = [0] * lm.SIDE + [ids[w] for w in lm.words_of(r["text"])] + [0] * lm.SIDE
         for p in range(lm.SIDE, len(pad) - lm.SIDE):
@@ -139,10 +150,11 @@ def test_the_gradient_is_that_of_the_loss():
         for row in rows.tolist():
             x = np.concatenate([n.embed[c] for c in row[:-1]]).astype(float)
             h, at = np.tanh(x @ n.inner + n.inner_bias), row[-1] - 1 - lm.DIRECT
-            z = h @ n.first + n.first_bias
+            h = np.append(h, 1.0)
+            z = h @ n.first
             total += np.log(np.exp(z).sum()) - z[row[-1] - 1 if at < 0 else lm.DIRECT + at // lm.WIDTH]
             if at >= 0:
-                z = h @ n.second[at // lm.WIDTH] + n.second_bias[at // lm.WIDTH]
+                z = h @ n.second[at // lm.WIDTH]
                 total += np.log(np.exp(z).sum()) - z[at % lm.WIDTH]
         return total
 
@@ -150,7 +162,7 @@ def test_the_gradient_is_that_of_the_loss():
     after.train(rows)
     used = int(rows[0, 0]), int(rows[:, -1].max())
     group = (used[1] - 1 - lm.DIRECT) // lm.WIDTH
-    for k, at in ((0, (used[0], 3)), (1, (5, 7)), (2, (4,)), (3, (2, lm.DIRECT + group)), (4, (lm.DIRECT + group,)), (5, (group, 3, (used[1] - 1 - lm.DIRECT) % lm.WIDTH)), (6, (group, (used[1] - 1 - lm.DIRECT) % lm.WIDTH))):
+    for k, at in ((0, (used[0], 3)), (1, (5, 7)), (2, (4,)), (3, (2, lm.DIRECT + group)), (3, (lm.HIDDEN, lm.DIRECT + group)), (4, (group, 3, (used[1] - 1 - lm.DIRECT) % lm.WIDTH)), (4, (group, lm.HIDDEN, (used[1] - 1 - lm.DIRECT) % lm.WIDTH))):
         moved = after.arrays()[k][at] - net.arrays()[k][at]
         up, down = lm.Net.from_flat(net.flat()), lm.Net.from_flat(net.flat())
         up.arrays()[k][at] += 1e-2
@@ -165,7 +177,7 @@ def test_every_word_has_a_probability_of_its_own(make):
     a, b, never = [w for w in (f"rare{k}" for k in range(20_000)) if lm.bucket_of(w.encode()) == lm.bucket_of(b"rare0")][:3]
     vocab, net = lm.fit(make([(k, " ".join(often)) for k in range(5)] + [(20, f"{a} {b} {a} w1 {a}"), (21, f"{b} {a} other")]))
     assert sorted(vocab) == sorted(w.encode() for w in often)
-    r = lm.Ids(list(vocab))
+    r = ids_of(vocab)
     got = {x["doc_id"]: x for x in lm.score(make([(1, a), (2, b), (3, never), (4, "w1"), (5, f"w1 {a} w2 {b} w3"), (6, f"w1 {b} w2 {a} w3"), (None, a)]), vocab, net).collect()}
     # four, two and no occurrences among the shared id's
     assert got[1]["pll"] - got[2]["pll"] == pytest.approx(np.log(2), abs=1e-3) and got[2]["pll"] - got[3]["pll"] == pytest.approx(np.log(2), abs=1e-3)

@@ -52,6 +52,13 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or a name like it that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -110,33 +117,55 @@ class Forest:
         return True
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Most nodes that count as hubs at a time, and fewest edges of one.
+HUBS, HUB_EDGES = 1 << 16, 1000
+
+
+def with_lowest(edges: DataFrame, low: DataFrame, most: int) -> DataFrame:
+    """``edges`` (u, v) with m of ``low`` (u, n, m), where u has n edges.
+
+    The edges of nodes with more than ``most`` edges stay where they are and are told m: there are at
+    most HUBS such nodes, as ``most`` follows the number of edges.  The others meet m by u.
+    """
+    hubs = low.where(F.col("n") > most).select("u", F.col("m").alias("hub_m"))
+    told = edges.join(F.broadcast(hubs), "u", "left")
+    rest = told.where("hub_m is null").select("u", "v").join(low.where(F.col("n") <= most).select("u", "m"), "u")
+    return rest.unionByName(told.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
+
+
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b); component is its smallest node.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes.  Each
+    Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes; the number
+    of rounds grows with the logarithm of the graph, and more than ``max_rounds`` are an error.  Each
     round is two joins against per-node minima, which are pre-aggregated before they are shuffled;
-    a hub's edges are never gathered into one row.  Every round is written to the shared folder.
-    Nodes without an edge are absent.  No links: an empty frame.
+    a hub's edges are gathered neither into a row nor into a task.  Every round is written to the shared
+    folder.  Nodes without an edge are absent.  No links: an empty frame.
     """
     both = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     links = cut(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
+    state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(max_rounds):
+        if not state[0]:
+            break
+        # neither step makes more edges than there are, and each edge counts at both ends
+        most = max(HUB_EDGES, 2 * state[0] // HUBS)
         # large star: every larger neighbour of u moves to u's smallest neighbour
         sym = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = sym.groupBy("u").agg(F.count("*").alias("n"), F.least(F.min("v"), F.first("u")).alias("m"))
+        large = with_lowest(sym.where("v > u"), low, most).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every smaller neighbour of u, and u itself, moves to u's smallest neighbour
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
         small = (
-            large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            with_lowest(large, low, most).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
         links = cut(small, "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or now[0] == 0:
+        was, state = state, links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if was == state:
             break
-        state = now
+    else:
+        raise RuntimeError(f"no components after {max_rounds} rounds")
     return links.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -187,6 +187,7 @@ def read_chunks(archives: DataFrame, data: bool = True) -> DataFrame:
 
     sha1_so_far is the digest of the payload up to and with the chunk; the last chunk's is the
     payload's.  A record without a body has one empty chunk.  ``data=False`` leaves the bytes out.
+    Archives are read in as many tasks as there are archives.
     """
     shape = pa.schema([
         ("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("header_digest", pa.string()),
@@ -223,7 +224,8 @@ def read_chunks(archives: DataFrame, data: bool = True) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, shape)
 
-    one = archives.select("path").repartition(F.col("path"))
+    # a task an archive; a stated number of partitions is not merged again
+    one = archives.select("path").repartitionByRange(max(1, archives.count()), "path")
     return one.mapInArrow(run, f"{HEADS}, {CHUNKS.removeprefix('record_id string, ')}")
 
 

@@ -83,3 +83,15 @@ def test_the_round_trip_carries_the_payloads(spark, monkeypatch):
     for r in made["warc-chunks"].orderBy("page_id", "chunk_no").collect():
         got[r["page_id"]] = got.get(r["page_id"], b"") + bytes(r["data"])
     assert got == {k: (t or "").encode() for k, t in enumerate(texts)}
+
+
+def test_archives_are_read_in_as_many_tasks(spark, tmp_path):
+    rows = [(k, f"http://a/{k}", f"page {k} " * 200) for k in range(60)]
+    archives = warc.write(warc.plan(pages(spark, rows)).repartition(12), f"file://{tmp_path}/w")
+    n = archives.count()
+    chunks = warc.read_chunks(archives)
+    from pyspark.sql import functions as F
+
+    assert n == 12 and chunks.rdd.getNumPartitions() == n
+    assert chunks.select(F.spark_partition_id().alias("p")).distinct().count() > n // 2
+    assert chunks.select("page_id").distinct().count() == 60

@@ -30,6 +30,8 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 BLOCK_CHARS = 32_000_000
 #: Word numbers in one shuffled row.
 CHUNK_WORDS = 300_000
+#: Bytes of text to a bucket at most; its blocks list about an eighth of it as distinct words.
+BUCKET_BYTES = 128_000_000
 #: A longer text is split into words piece by piece.
 PIECE_CHARS = 1_000_000
 
@@ -213,6 +215,12 @@ class Blocks:
         return keys, np.array(counts, np.int64), rank[flat], [words[i] for i in order], at[order], rank[number]
 
 
+def bucket_count(docs: DataFrame, text: str = "text") -> int:
+    """Buckets of words by the corpus's size: the lists of distinct words of all blocks in one bucket fit a task's memory."""
+    held = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(2 * shuffle_parts(docs.sparkSession), -(-held // BUCKET_BYTES))
+
+
 def _block_name(k: int) -> int:
     from pyspark import TaskContext
 
@@ -231,12 +239,13 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     The split texts are written to the shared folder as word numbers and word lists, so every block
     is made once, whatever happens to the executors.
     """
-    spark = docs.sparkSession
-    n = buckets or 2 * shuffle_parts(spark)
-    odd = load(tokenizer).odd_ranges
+    from pyspark.sql.pandas.types import to_arrow_type
+
     two = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    n = buckets or bucket_count(two)
+    odd = load(tokenizer).odd_ranges
     kind = two.schema["key"].dataType.simpleString()
-    two_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    two_key = to_arrow_type(two.schema["key"].dataType)
     made = pa.schema([
         ("block", pa.int64()), ("bucket", pa.int32()), ("size", pa.int64()), ("words", pa.binary()),
         ("keys", pa.list_(two_key)), ("counts", pa.list_(pa.int64())), ("distinct", pa.int64()), ("numbers", pa.binary()),

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import trimmed
@@ -22,7 +22,7 @@ from driftline.llm.common import trimmed
 DIM = 1024
 GRAM = 3
 #: Letters other than a-z share so many vectors, chosen by code point.
-OTHER = 101
+OTHER = 229
 #: Labelled rows that training reads, a language: at most about so many, chosen by hash of the key.
 TRAIN_ROWS = 3000
 SEED = 5
@@ -106,20 +106,23 @@ class Profiler:
         return out
 
 
+def training_rows(docs: DataFrame, key: str, text: str, lang: str, rows: int, seed: int) -> DataFrame:
+    """(lang, text): of each language all labelled rows, or about ``rows`` of them by hash of key and text."""
+    labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
+    have = labelled.groupBy("lang").agg((F.lit(float(rows)) / F.count("*")).alias("share"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("key"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
+    return labelled.withColumn("draw", draw).join(have, "lang").where("draw < share").select("lang", "text")
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, dim: int = DIM, seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes of length 1) from the rows with a text and a label.
 
     A language with more than ``rows`` labelled rows is trained on about so many, chosen by hash of
-    the key; what comes to the driver is one vector a language and training task, eight tasks in all.
-    Labels are taken to be few.
+    key and text, so null keys do no harm and repeated rows are chosen together; what comes to the
+    driver is one vector a language and training task, eight tasks in all.  Texts without letters teach
+    nothing.  No labelled rows: no languages.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    have = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
-    if not have:
-        return [], np.zeros((0, dim), np.float32)
-    share = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, min(1.0, rows / n))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text")).repartition(8)
+    sample = training_rows(docs, key, text, lang, rows, seed).repartition(8)
 
     def run(batches):
         prof, sums = Profiler(dim, seed), {}
@@ -140,6 +143,31 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return names, np.round(made, 7).astype(np.float32)
 
 
+#: Labelled texts that a class of lengths needs for a limit of its own, and deviations below the mean that the limit lies.
+LEAST_ROWS, DEVIATIONS = 30, 5.0
+
+
+def size_class(text: Column) -> Column:
+    """Class of a text's length in code points: its logarithm to base 2, rounded down."""
+    return F.floor(F.log2(F.greatest(F.char_length(text), F.lit(1)))).cast("int")
+
+
+def limits(docs: DataFrame, names: list[str], prototypes: np.ndarray, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, dim: int = DIM, seed: int = SEED) -> list[float]:
+    """The least score of each class of lengths that is no surprise in a learned language; one row a class comes to the driver.
+
+    The scores of the rows that :func:`train` reads, by their lengths: DEVIATIONS standard deviations
+    below their mean, and 0 where that is negative.  A class with too few rows takes the limit of the next
+    shorter one that has enough, and 0 if there is none.  No rows: no limits.
+    """
+    scores = predict(training_rows(docs, key, text, lang, rows, seed).select("text"), names, prototypes, "text", dim, seed)
+    found = scores.where(F.col("lang_pred") != UNKNOWN).groupBy(size_class(F.col("text")).alias("c")).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).collect()
+    by = {r["c"]: max(0.0, r["mean"] - DEVIATIONS * r["sd"]) for r in found if r["n"] >= LEAST_ROWS}
+    out: list[float] = []
+    for c in range(32):
+        out.append(by.get(c, out[-1] if out else 0.0))
+    return out if found else []
+
+
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text", dim: int = DIM, seed: int = SEED, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with ``pred`` and ``score``, both from the whole text alone.
 

@@ -46,3 +46,19 @@ def test_a_bounded_sample_still_learns(make):
     names, protos = langid.train(docs, rows=20)
     got = langid.predict(docs, names, protos).collect()
     assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.97 * len(got)
+
+
+def test_limits_tell_unlearned_languages_by_length(spark, make):
+    from driftline.llm import stages
+
+    r = random.Random(6)
+    other = lambda n: " ".join("".join(r.choice("жщыфцэюя") for _ in range(6)) for _ in range(n))
+    near = lambda n: " ".join("".join(r.choice(["zyx", "qwo", "vub", "xij"]) for _ in range(2)) for _ in range(n))
+    docs = make(
+        [(k, text(r, (lang := ("aa", "bb", "cc")[k % 3]), r.randint(20, 200)), lang) for k in range(400)]
+        + [(1000 + k, other(300)) for k in range(20)] + [(2000 + k, near(300)) for k in range(20)]
+        + [(3000 + k, text(r, ("aa", "bb", "cc")[k % 3], 120)) for k in range(60)] + [(4000, "12 !?"), (4001, None), (4002, "kato")]
+    )
+    kept = {x["doc_id"] for x in stages.language(spark, docs, "").collect()}
+    assert {k for k in kept if k < 1000} == set(range(400)) and {k for k in kept if 3000 <= k < 4000} == set(range(3000, 3060))
+    assert not {k for k in kept if 1000 <= k < 3000} and 4000 not in kept and 4001 not in kept and 4002 in kept

@@ -51,7 +51,7 @@ def test_stages(spark, docs, tmp_path):
 
 
 def test_columns_of_other_tables_come_through(spark, docs, tmp_path):
-    more = docs.withColumns({c: docs.n_chars for c in ("score", "lang_pred", "size", "times", "nth", "key", "node", "decoded", "ids")}).withColumn("size", docs.doc_id + 5)
+    more = docs.withColumns({c: docs.n_chars for c in ("_score", "_row", "doc", "row", "copy", "score", "lang_pred", "size", "times", "nth", "key", "node", "decoded", "ids")}).withColumn("size", docs.doc_id + 5)
     kept = more
     for name, stage in pipeline.STAGES[:-1]:
         stage(spark, kept, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")

@@ -20,8 +20,10 @@ from driftline.llm.common import cut
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 17
-#: Ranks within a length are counted in so many parts, so that a common length isn't ranked in one task.
-SALTS = 64
+#: Ranks within a length are counted in parts, so that a common length isn't ranked in one task: so many parts at least, and of about so many rows.
+SALTS, SALT_ROWS = 64, 100_000
+#: Bits of the knapsack's table at most; a larger rest is first filled down to this.
+TABLE = 1 << 23
 #: Fixed value: a word is a run of code points other than space, tab, line feed, VT, FF and CR.
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -36,8 +38,8 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many items of each length to take so that their lengths sum up to ``budget`` as nearly as may be, never above.
 
     An even share of every length comes first; then large lengths fill what is left down to twice the
-    largest length; a bounded-knapsack table closes that.  Its state is one bit per sum, and it stops
-    at the first length with which the budget can be met exactly.
+    largest length, or to TABLE; a bounded-knapsack table closes that.  Its state is one bit per sum, and
+    it stops at the first length with which the budget can be met exactly.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
@@ -45,7 +47,7 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
     left = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable")
-    edge = 2 * int(lengths.max())
+    edge = min(2 * int(lengths.max()), TABLE)
     for i in order:
         if left <= edge:
             break
@@ -131,7 +133,9 @@ def mix(
 
     # the seeded rank of a row within its length, counted by salt
     draw = F.xxhash64(F.lit(seed), F.col("key"), F.col("size"))
-    salted = rows.withColumn("draw", draw).withColumn("salt", F.pmod(F.shiftrightunsigned("draw", 3), F.lit(SALTS)).cast("int"))
+    common = lengths.where("size > 0").agg(F.max("n")).first()[0] or 0
+    salts = max(SALTS, -(-common // SALT_ROWS))
+    salted = rows.where("size > 0").withColumn("draw", draw).withColumn("salt", F.pmod(F.shiftrightunsigned("draw", 3), F.lit(salts)).cast("int"))
     counts = salted.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("source", "size").orderBy("salt")
     c = counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
@@ -143,7 +147,7 @@ def mix(
     ranked = salted.withColumn("at", F.row_number().over(inside))
     extra = ranked.join(quota, same(ranked, quota, ["source", "size", "salt"]), "left").select(
         ranked["key"], ranked["source"].alias("src"), ranked["size"], F.when(F.col("at") <= F.col("quota"), 1).otherwise(0).alias("extra")
-    )
+    ).unionByName(rows.where("size = 0").select("key", F.col("source").alias("src"), "size", F.lit(0).alias("extra")))
     out = extra.join(aims, extra["src"].eqNullSafe(aims["source"]))
     return out.select(
         F.col("key").alias(key), "size", F.col("source_size").cast("long").alias("source_size"), "target",

@@ -1,14 +1,12 @@
-"""Shards of near equal bytes by multiway Karmarkar-Karp differencing, in two levels.
+"""Shards of near equal bytes by multiway Karmarkar-Karp differencing, in cells.
 
-Rows with equal texts form a group that isn't divided.  Groups are dealt into cells by content
-hash; each cell differences its groups into one partial partition of k subset sums, and the cells'
-partial partitions are differenced once more.  Differencing only ever looks at partial partitions,
-so it may be cut anywhere: what the second level gets is k sums per cell, however many groups the
-cells hold.
+Rows with equal texts form a group that isn't divided.  Groups are dealt into cells by content hash,
+and each cell differences its groups.  Differencing only ever looks at partial partitions, so a cell
+may start from one: its part of what the shards hold already, to whose subsets its own are tied.  The
+last cell starts from all that the shards hold and so evens out what the others have left.
 
 A group larger than a cell's even share can't be evened out within a cell.  Such groups, of which
-there are fewer than k a cell, are differenced first, and every cell starts from its part of their
-sums: a partial partition like any other, to whose subsets the cell's own are then tied.
+there are fewer than k a cell, are differenced before the others, in cells of their own if they are many.
 """
 
 from __future__ import annotations
@@ -63,6 +61,57 @@ def difference(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return subset[: n * k].reshape(n, k), np.array(total, np.int64)
 
 
+def divided(groups: DataFrame, base: np.ndarray, cell_groups: int) -> tuple[DataFrame, np.ndarray]:
+    """((digest, size, shard) of groups, the shards' sums with ``base``, what they hold already).
+
+    Large groups come first, by the same rule among themselves.  Then come the cells but the last, each
+    from its part of what the shards hold, and at last the last cell from all that they hold by then,
+    so that it evens out what the others have left.  Only the shards' sums come to the driver.
+    """
+    k = len(base)
+    count, total = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    cells = max(1, -(-count // cell_groups))
+
+    def partial(start: np.ndarray, rest: int | None):
+        start = start - start.min()
+
+        def run(batch: pa.Table) -> pa.Table:
+            batch = batch.sort_by([("size", "descending"), ("digest", "ascending")])
+            size = batch["size"].to_numpy()
+            sums = np.zeros((batch.num_rows + 1, k), np.int64)
+            # shards that hold the same take turns, so that cells don't all leave the same ones ahead
+            turn = np.random.default_rng(batch["cell"][0].as_py()).permutation(k)
+            sums[0] = np.rint(start[turn] * (1.0 if rest is None else float(size.sum()) / rest))
+            sums[1:, 0] = size
+            place, _ = difference(sums, k)
+            tied = turn[np.argsort(place[0])]  # the subset of the j-th first sum is shard turn[j]
+            return pa.table({"digest": batch["digest"], "size": batch["size"], "shard": pa.array(tied[place[1:, 0]], pa.int32())})
+
+        return run
+
+    kind = "digest binary, size long, shard int"
+
+    def placed(some: DataFrame, start: np.ndarray, rest: int | None) -> tuple[DataFrame, np.ndarray]:
+        out = cut(some.groupBy("cell").applyInArrow(partial(start, rest), kind), "shard-parts")
+        sums = start.copy()
+        for r in out.groupBy("shard").agg(F.sum("size").alias("size")).collect():
+            sums[r["shard"]] += r["size"]
+        return out, sums
+
+    dealt = groups.withColumn("cell", (F.pmod(F.xxhash64("digest"), F.lit(cells)) if cells > 1 else F.lit(0)).cast("int"))
+    if cells == 1:
+        return placed(dealt, base, None)
+    large = F.col("size") * (k * cells) > total
+    first, held, rest = None, base, total
+    if not groups.where(large).isEmpty():
+        first, held = divided(groups.where(large), base, cell_groups)
+        rest = max(1, total - int(held.sum() - base.sum()))
+    most, held = placed(dealt.where(~large & (F.col("cell") > 0)), held, rest)
+    last, held = placed(dealt.where(~large & (F.col("cell") == 0)), held, None)
+    out = most.unionByName(last)
+    return (out.unionByName(first) if first is not None else out), held
+
+
 def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", cell_groups: int = CELL_GROUPS) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) per row of ``docs``.
 
@@ -83,48 +132,10 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
         "shard-rows",
     )
     groups = cut(rows.groupBy("digest").agg(F.sum("size").alias("size")), "shard-groups")
-    count, total = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    cells = max(1, -(-count // cell_groups))
-    spark = docs.sparkSession
-    large = F.col("size") * (shards * cells) > total if cells > 1 else F.lit(False)
-    first_groups = sorted(((-r["size"], bytes(r["digest"]) if r["digest"] is not None else b"") for r in groups.where(large).collect()) if cells > 1 else [])
-    first = np.zeros((len(first_groups), shards), np.int64)
-    first[:, 0] = [-s for s, _ in first_groups]
-    first_place, _ = difference(first, shards)
-    base = np.bincount(first_place[:, 0], first[:, 0], shards) if len(first) else np.zeros(shards)
-    rest = max(1, total - int(first.sum()))
-
-    def partial(batch: pa.Table) -> pa.Table:
-        batch = batch.sort_by([("size", "descending"), ("digest", "ascending")])
-        size = batch["size"].to_numpy()
-        sums = np.zeros((batch.num_rows + 1, shards), np.int64)
-        sums[0] = np.rint(base * (float(size.sum()) / rest))
-        sums[1:, 0] = size
-        place, _ = difference(sums, shards)
-        tied = np.argsort(place[0])  # the subset of the j-th first sum is shard j
-        return pa.table({"digest": batch["digest"], "size": batch["size"], "cell": batch["cell"], "part": pa.array(tied[place[1:, 0]], pa.int32())})
-
-    cell = F.pmod(F.xxhash64("digest"), F.lit(cells)).cast("int")
-    placed = cut(
-        groups.where(~large).withColumn("cell", cell).groupBy("cell").applyInArrow(partial, "digest binary, size long, cell int, part int"), "shard-parts"
-    )
-    if first_groups:
-        names = pa.table({"digest": pa.array([d or None for _, d in first_groups], pa.binary()), "shard": pa.array(first_place[:, 0], pa.int32())})
-        where = placed.select("digest", F.col("part").alias("shard")).unionByName(spark.createDataFrame(names))
-    else:
-        # the second level: k sums a cell, so its input follows the number of cells, not of groups
-        sums = np.zeros((cells, shards), np.int64)
-        for r in placed.groupBy("cell", "part").agg(F.sum("size").alias("size")).toLocalIterator():
-            sums[r["cell"], r["part"]] = r["size"]
-        final, _ = difference(sums, shards)
-        names = pa.table({
-            "cell": pa.array(np.repeat(np.arange(cells), shards), pa.int32()), "part": pa.array(np.tile(np.arange(shards), cells), pa.int32()),
-            "shard": pa.array(final.reshape(-1), pa.int32()),
-        })
-        where = placed.join(spark.createDataFrame(names), ["cell", "part"]).select("digest", "shard")
+    where = divided(groups, np.zeros(shards, np.int64), cell_groups)[0].select("digest", "shard")
 
     # slots: counts of (shard, run) give each run its first slot, so no shard is ranked in one task
-    run = F.pmod(F.xxhash64("key"), F.lit(8 * cells)).cast("int")
+    run = F.pmod(F.xxhash64("key"), F.lit(8 * max(1, -(-groups.count() // cell_groups)))).cast("int")
     out = rows.join(where, rows["digest"].eqNullSafe(where["digest"])).select("key", "size", "text_crc32", "shard", run.alias("run"))
     out = cut(out, "shard-out")
     before = Window.partitionBy("shard").orderBy("run")

@@ -84,6 +84,34 @@ def test_a_group_beyond_an_even_share_stands_alone(make):
     assert len(hot) == 1 and all(x["doc_id"] >= 1000 for x in rows if x["shard"] in hot) and max(others) - min(others) < 0.01 * sum(others)
 
 
+def spread(rows):
+    size = Counter()
+    for x in rows:
+        size[x["shard"]] += x["size"]
+    return max(size.values()) - min(size.values())
+
+
+@pytest.mark.parametrize("copies", [0, 60, 400])
+def test_cells_even_out_what_one_differencing_does(make, copies):
+    """However the groups are dealt into cells, with and without large groups, against one differencing of all of them."""
+    r = random.Random(4)
+    docs = make([(k, f"{k} " + "x" * r.randint(0, 6000)) for k in range(3000)] + [(10_000 + k, "copy " * 600) for k in range(copies)] + [(20_000 + k, "few " * 500) for k in range(copies // 2)])
+    groups = Counter()
+    for x in docs.collect():
+        groups[x["text"]] += len(x["text"].encode()) + 1
+    sums = np.zeros((len(groups), 8), np.int64)
+    sums[:, 0] = sorted(groups.values(), reverse=True)
+    _, whole = sharding.difference(sums, 8)
+    rows = sharding.shard(docs, cell_groups=400).collect()
+    check(rows, docs.collect())
+    assert spread(rows) <= (whole.max() - whole.min()) + 8
+
+
+def test_cells_of_equal_groups_do_not_add_up(make):
+    docs = make([(k, f"{k:06d} " + "x" * 500) for k in range(2003)])
+    assert spread(sharding.shard(docs, cell_groups=30).collect()) <= 508
+
+
 def brute(lengths, counts, budget):
     best = 0
     for combo in itertools.product(*[range(c + 1) for c in counts]):
@@ -101,11 +129,30 @@ def test_budget_fitting_is_as_near_as_can_be_on_small_cases():
         take = mixing.fill(np.array(lengths), np.array(counts), budget)
         got = int((take * lengths).sum())
         assert (take <= counts).all() and (take >= 0).all() and got <= budget
+        # all that is left behind an even share is within the table's reach here, so it is met as nearly as its items allow
+        total = sum(a * b for a, b in zip(lengths, counts, strict=True))
+        even = [c * budget // total for c in counts] if budget < total else counts
+        left = budget - sum(a * b for a, b in zip(lengths, even, strict=True))
+        if left <= 2 * max(lengths):
+            assert got == budget - left + brute(lengths, [c - e for c, e in zip(counts, even, strict=True)], left)
         assert brute(lengths, counts, budget) - got <= 2 * max(lengths)
     big = mixing.fill(np.arange(1, 400), np.full(399, 50), 1_234_567)
     assert int((big * np.arange(1, 400)).sum()) == 1_234_567
 
 
+def test_a_knapsack_fits_where_taking_the_largest_first_does_not():
+    for lengths, counts, budget, most in (([6, 9, 20], [1, 1, 1], 15, 15), ([5, 7, 8], [2, 2, 1], 14, 14), ([4, 6, 9], [1, 1, 1], 10, 10), ([3, 5, 7], [1, 1, 1], 9, 8)):
+        take = mixing.fill(np.array(lengths), np.array(counts), budget)
+        assert int((take * lengths).sum()) == most == brute(lengths, counts, budget)
+
+
+def test_the_table_is_bounded_whatever_the_lengths(monkeypatch):
+    monkeypatch.setattr(mixing, "TABLE", 1 << 12)
+    lengths = np.array([1, 2, 5, 100, 40_000, 100_000_000])
+    take = mixing.fill(lengths, np.array([9, 9, 9, 900, 30, 3]), 150_123_457)
+    assert int((take * lengths).sum()) <= 150_123_457 and 150_123_457 - int((take * lengths).sum()) < 50_000_000
+
+
 def plain_targets(sizes, weights=(5, 2, 1), most=3):
     order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
     w = {s: weights[k % 3] for k, s in enumerate(order)}
@@ -158,6 +205,19 @@ def test_mix(make):
     assert again == Counter((x["doc_id"], x["size"], x["taken"]) for x in out)
 
 
+def test_common_lengths_are_ranked_in_parts(make, monkeypatch):
+    docs = make([(k, "w w w", "en", "a" if k % 3 else "b") for k in range(900)])
+    want = sorted((x["doc_id"], x["taken"]) for x in mixing.mix(docs).collect())
+    total = Counter()
+    for i, t in want:
+        total["a" if i % 3 else "b"] += t
+    monkeypatch.setattr(mixing, "SALT_ROWS", 5)
+    got = Counter()
+    for x in mixing.mix(docs.withColumns({"size": docs.doc_id, "taken": docs.doc_id, "salt": docs.doc_id, "draw": docs.doc_id})).collect():
+        got["a" if x["doc_id"] % 3 else "b"] += x["taken"]
+    assert got == total
+
+
 def test_mix_of_odd_and_empty_tables(odd):
     out = mixing.mix(odd).collect()
     assert len(out) == odd.count() and all(x["taken"] <= 3 * x["size"] for x in out)

@@ -17,19 +17,25 @@ from driftline.llm.merkle import with_next
 START, END, TRAINED = "<|im_start|>", "<|im_end|>", "assistant"
 
 
+def plain(c: Column) -> Column:
+    """Text in which no mark begins: a space is put into ``<|``."""
+    return F.replace(c, F.lit("<|"), F.lit("< |"))
+
+
 def head(t: Column) -> Column:
-    return F.concat(F.lit(START), t["role"], F.lit("\n"))
+    """The start of a turn; a role is one line."""
+    return F.concat(F.lit(START), F.replace(plain(t["role"]), F.lit("\n"), F.lit(" ")), F.lit("\n"))
 
 
 def render(turns: Column) -> Column:
-    return F.array_join(F.transform(turns, lambda t: F.concat(head(t), t["text"], F.lit(f"{END}\n"))), "")
+    return F.array_join(F.transform(turns, lambda t: F.concat(head(t), plain(t["text"]), F.lit(f"{END}\n"))), "")
 
 
 def mask(turns: Column) -> Column:
     """Run lengths of the rendered turns in code points, (chars, trained), three a turn: head, words with end mark, line end."""
     runs = lambda t: F.array(
         F.struct(F.char_length(head(t)).alias("chars"), F.lit(False).alias("trained")),
-        F.struct((F.char_length(t["text"]) + len(END)).alias("chars"), (t["role"] == TRAINED).alias("trained")),
+        F.struct((F.char_length(plain(t["text"])) + len(END)).alias("chars"), (t["role"] == TRAINED).alias("trained")),
         F.struct(F.lit(1).alias("chars"), F.lit(False).alias("trained")),
     )
     return F.flatten(F.transform(turns, runs))
@@ -55,17 +61,19 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen_turns", rejected: str =
     prompt + chosen is the whole chosen conversation rendered, prompt + rejected the rejected one; the
     masks' run lengths add up to the completions' lengths.  Equal conversations give empty completions,
     as does one that is the other's beginning for the shorter.  Empty arrays are conversations without
-    turns.  Null arrays count as empty.
+    turns.  Null arrays count as empty.  Marks inside of texts and roles are broken up, so that no text
+    forges a turn.  Columns with the names of the results are replaced; other columns stay.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
+    made = ("common_turns", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")
+    keep = [F.col(f"`{c}`") for c in pairs.columns if c not in (chosen, rejected, *made)]
     a, b = F.coalesce(F.col(chosen), none), F.coalesce(F.col(rejected), none)
-    rows = pairs.withColumns({"_a": a, "_b": b}).withColumn("common_turns", common_turns(F.col("_a"), F.col("_b")).cast("int"))
+    rows = pairs.select(F.struct(*keep, F.lit(0).alias("_")).alias("kept"), a.alias("a"), b.alias("b")).withColumn("common_turns", common_turns(F.col("a"), F.col("b")).cast("int"))
     rest = lambda c: F.slice(c, F.col("common_turns") + 1, F.size(c))
     full = lambda c: F.when(F.size(c) > 0, rest(F.col(c))).otherwise(none)
-    keep = [c for c in pairs.columns if c not in (chosen, rejected)]
     return rows.select(
-        *keep, "common_turns", render(F.slice("_a", F.lit(1), F.col("common_turns"))).alias("prompt"),
-        render(full("_a")).alias("chosen"), mask(full("_a")).alias("chosen_mask"), render(full("_b")).alias("rejected"), mask(full("_b")).alias("rejected_mask"),
+        *[F.col(f"kept.`{c}`") for c in pairs.columns if c not in (chosen, rejected, *made)], "common_turns", render(F.slice("a", F.lit(1), F.col("common_turns"))).alias("prompt"),
+        render(full("a")).alias("chosen"), mask(full("a")).alias("chosen_mask"), render(full("b")).alias("rejected"), mask(full("b")).alias("rejected_mask"),
     )
 
 

@@ -12,6 +12,9 @@ hexadecimal digits.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +26,10 @@ LEAF_HEX, NODE_HEX = 8, 12
 SECTION_END = "0"
 #: A leaf ends behind this: a mark or a word's last d or n before a space, or a long run without one.
 LEAF_END = r"([.!?,;:dn] |[^ ]{48})"
-#: Rows of a stretch in key order, about; and quantiles of the key that stretches are made from.
-STRETCH, QUANTILES = 3000, 256
+#: Bytes of a stretch in key order, about; quantiles of the key that stretches are made from; rows that a stretch's quantile is taken from.
+STRETCH, QUANTILES, TAKEN = 1_000_000, 4096, 64
+#: A key that holds so many stretches is divided by the order of its rows, into so many parts.
+HOT, HOT_PARTS = 4, 256
 
 
 def _leaf(x: Column) -> Column:
@@ -53,11 +58,13 @@ def fingerprint(text: Column) -> Column:
     )
     sections = F.split(F.regexp_replace(joined, r"[|;]$", ""), r"\|")
     with_hash = F.array_join(F.transform(sections, lambda s: F.concat(_node(s), F.lit(":"), s)), "|")
-    return F.concat(F.sha2(with_hash.cast("binary"), 256), F.lit("|"), with_hash)
+    # the hashes that are shown are cut short, so the root covers the whole text's as well
+    full = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    return F.concat(F.sha2(F.concat(full, F.lit("|"), with_hash).cast("binary"), 256), F.lit("|"), with_hash)
 
 
 def root(fp: Column) -> Column:
-    """Equal for equal texts, and only for these up to collisions of the cut hashes below: a leaf has 32 bits, so two texts of one clause collide at 2^-32."""
+    """Equal for equal texts, and only for these up to collisions of SHA-256."""
     return F.substring_index(fp, "|", 1)
 
 
@@ -97,38 +104,83 @@ def locate(a: Column, b: Column) -> Column:
     return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.filter(at, lambda k: k.isNotNull()))
 
 
+def above(at: Column, edges: Column) -> Column:
+    """How many of the sorted edges are no larger than ``at``, in two steps of few comparisons each."""
+    most = 64
+    heads = F.filter(edges, lambda e, k: k % most == 0)
+    i = F.size(F.filter(heads, lambda e: e <= at))
+    return F.when(i == 0, 0).otherwise((i - 1) * most + F.size(F.filter(F.slice(edges, (F.greatest(i, F.lit(1)) - 1) * most + 1, F.lit(most)), lambda e: e <= at)))
+
+
+def beginning(c: Column) -> Column:
+    """The first seven bytes of a string as a number, in the strings' order as far as these tell."""
+    return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
 def with_next(rows: DataFrame, key: str, order: list[str], cols: list[str], stretch: int = STRETCH, made: dict[str, Column] | None = None) -> DataFrame:
     """``rows`` with next_<col> of the row that follows in order of the whole-number ``key`` and then ``order``; the first follows the last.
 
     ``made`` are columns to make from the rows' own and to give of the next row too; they are made once a
-    row, behind the shuffle, which doesn't carry them.
-
-    Null keys come first.  Rows are dealt into stretches of the key, quantiles of it and even parts of
-    these, and ordered within each; a stretch's last row takes the first row of the next stretch that
-    has any, of which there is one a stretch.  The rows are shuffled once, and no task orders more than
-    a stretch.
+    row, behind the shuffle, which doesn't carry them.  ``rows`` must not have columns named stretch,
+    after or next_<col>.
+
+    Null keys come first.  Rows are dealt into stretches of about ``stretch`` bytes, by quantiles of the
+    keys weighted by bytes and even parts of these, and a key that holds several stretches by the first
+    bytes of its rows' first ``order`` column, which must be a string.  Each stretch is ordered by itself;
+    its last row takes the first row of the next stretch that has any, of which there is one a stretch.
+    The rows are shuffled once.  What stays together whatever its size is rows of one key whose order
+    begins with the same seven bytes.
     """
-    parts = max(1, -(-rows.count() // stretch))
+    at = F.col(key)
+    weight = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(c), F.lit(0)) for c in cols]) + 100
+    first = F.col(order[0]) if order else F.lit(None).cast("string")
+    narrow = cut(rows.select(at.cast("long").alias("at"), weight.cast("long").alias("weight"), beginning(F.coalesce(first, F.lit(""))).alias("begins")), "next-weights")
+    total = narrow.agg(F.sum("weight")).first()[0] or 0
+    parts = max(1, -(-total // stretch))
     coarse = min(parts, QUANTILES)
-    fine = -(-parts // coarse)
-    edges = rows.select(F.percentile_approx(key, [k / coarse for k in range(coarse + 1)], 10_000)).first()[0] or [0]
-    edges = sorted(set(edges))
-    at, lits = F.col(key), F.array(*[F.lit(int(x)).cast("long") for x in edges])
-    k = F.greatest(F.lit(1), F.size(F.filter(lits, lambda e: e <= at)))
+    # so many rows a stretch, each drawn by its weight
+    unit = max(1, total // (coarse * TAKEN))
+    chance = F.pmod(F.xxhash64("at", "weight", "begins"), F.lit(unit)) < F.col("weight") % unit
+    times = (F.floor(F.col("weight") / unit) + F.when(chance, 1).otherwise(0)).cast("int")
+    drawn = narrow.withColumn("times", times).where("times > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    got = drawn.agg(F.percentile_approx("at", [k / coarse for k in range(coarse + 1)], 100_000), F.count_if(F.col("at").isNull()) / F.greatest(F.count("*"), F.lit(1)) * coarse).first()
+    found = Counter(got[0] or [0])
+    edges = sorted(found)
+    hot = [k for k, n in found.items() if n > HOT] if order else []
+    nulls = order and (got[1] or 0) > HOT
+    fine = max(-(-parts // coarse), HOT_PARTS + 1)
+    lits = F.array(*[F.lit(int(x)).cast("long") for x in edges])
+    k = F.greatest(F.lit(1), above(at, lits))
     low, high = F.element_at(lits, k), F.element_at(lits, F.least(k + 1, F.lit(len(edges))))
-    inside = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((at - low) * F.lit(float(fine)) / F.greatest(F.lit(1), high - low))))
-    dealt = rows.withColumn("stretch", F.when(at.isNull(), 0).otherwise(k * fine + inside).cast("long"))
+    spread = -(-parts // coarse)
+    inside = F.least(F.lit(spread - 1), F.greatest(F.lit(0), F.floor((at - low) * F.lit(float(spread)) / F.greatest(F.lit(1), high - low))))
+    dealt = rows.withColumn("stretch", F.when(at.isNull(), 0).otherwise(k * (2 * fine) + inside).cast("long"))
+    if hot or nulls:
+        # a hot key is an edge, so its rows come before all others of its quantile, which keep behind its parts
+        among = F.col("at").isin(hot) if hot else F.lit(False)
+        wanted = narrow.where((among | F.col("at").isNull()) if nulls else among)
+        # one row a hot key, of which there are at most QUANTILES / HOT and null
+        tops = wanted.groupBy(F.col("at").alias("hot_at")).agg(F.percentile_approx("begins", [j / HOT_PARTS for j in range(1, HOT_PARTS)], 10_000).alias("begin_edges"))
+        met = dealt.join(F.broadcast(tops), at.cast("long").eqNullSafe(F.col("hot_at")), "left")
+        part = above(beginning(F.coalesce(first, F.lit(""))), F.array_sort(F.array_distinct("begin_edges")))
+        behind = F.when(at.isNotNull(), F.lit(fine)).otherwise(0) if hot else F.lit(0)
+        dealt = met.withColumn("stretch", F.when(F.col("begin_edges").isNotNull(), F.floor(F.col("stretch") / (2 * fine)) * (2 * fine) + part).otherwise(F.col("stretch") + behind)).drop("hot_at", "begin_edges")
     w = Window.partitionBy("stretch").orderBy(at.asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order])
     cols = [*cols, *(made or {})]
     ahead = dealt.repartition("stretch").withColumns(made or {}).withColumns({f"next_{c}": F.lead(F.struct(c)).over(w) for c in cols})
     # the first row of each stretch: its key by a narrow aggregate, then its columns
     least = cut(dealt.groupBy("stretch").agg(F.min(F.struct(at.isNotNull().alias("known"), at.alias("low_key"))).alias("first")).select("stretch", "first.low_key"), "next-keys")
-    few = dealt.join(least.select("low_key"), at.eqNullSafe(F.col("low_key")))
-    lead_cols = F.struct(*[x for c in order for x in (F.col(c).isNotNull().alias(f"{c}_known"), F.col(c))])
+    few = dealt.join(least.select(F.col("stretch").alias("of"), "low_key"), at.eqNullSafe(F.col("low_key")) & (F.col("stretch") == F.col("of")))
+    lead_cols = F.struct(*[x for c in order for x in (F.col(c).isNotNull().alias(f"{c}_known"), F.col(c))] or [F.lit(0)])
     firsts = cut(few.withColumns(made or {}).groupBy("stretch").agg(F.min_by(F.struct(*cols), lead_cols).alias("first")), "next-firsts")
-    after = Window.orderBy("stretch")
-    follow = least.select("stretch", F.lead("stretch").over(after).alias("on"), F.first("stretch").over(after).alias("wrap"))
-    step = follow.select(F.col("stretch").alias("s"), F.coalesce("on", "wrap").alias("stretch")).join(firsts, "stretch").select(F.col("s").alias("stretch"), F.col("first").alias("after"))
+    # the stretch behind: within a quantile's, else the first of the next quantile that has any, of which there are QUANTILES at most
+    quantile = F.floor(F.col("stretch") / (2 * fine))
+    own = least.select("stretch", quantile.alias("q")).withColumn("on", F.lead("stretch").over(Window.partitionBy("q").orderBy("stretch")))
+    heads = own.groupBy("q").agg(F.min("stretch").alias("head"))
+    after = Window.orderBy("q")
+    heads = heads.select("q", F.lead("head").over(after).alias("next_head"), F.first("head").over(after).alias("wrap"))
+    follow = own.join(heads, "q").select("stretch", F.coalesce("on", "next_head", "wrap").alias("on"))
+    step = follow.select(F.col("stretch").alias("s"), F.col("on").alias("stretch")).join(firsts, "stretch").select(F.col("s").alias("stretch"), F.col("first").alias("after"))
     out = ahead.join(step, "stretch")
     return out.select(*rows.columns, *(made or {}), *[F.when(F.col(f"next_{c}").isNotNull(), F.col(f"next_{c}")[c]).otherwise(F.col("after")[c]).alias(f"next_{c}") for c in cols])
 

@@ -98,9 +98,10 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.c, e.vec_id) AS compone
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
 
-_RENDER = "list_reduce(list_prepend('', list_transform({0}, lambda t: '<|im_start|>' || t.role || chr(10) || t.txt || '<|im_end|>' || chr(10))), lambda a, b: a || b)"
+_ROLE, _TEXT = "replace(replace(t.role, '<|', '< |'), chr(10), ' ')", "replace(t.txt, '<|', '< |')"
+_RENDER = f"list_reduce(list_prepend('', list_transform({{0}}, lambda t: '<|im_start|>' || {_ROLE} || chr(10) || {_TEXT} || '<|im_end|>' || chr(10))), lambda a, b: a || b)"
 _MASK = (
-    "list_reduce(list_prepend('', list_transform({0}, lambda t: (length(t.role) + 13) || '-' || (length(t.txt) + 10) || "
+    f"list_reduce(list_prepend('', list_transform({{0}}, lambda t: (length({_ROLE}) + 13) || '-' || (length({_TEXT}) + 10) || "
     "(CASE WHEN t.role = 'assistant' THEN '+' ELSE '-' END) || '1-')), lambda a, b: a || b)"
 )
 ORACLE["op8_chat"] = f"""
@@ -135,16 +136,16 @@ WITH d AS (
 ), t AS (
   SELECT r, 'a' AS what, body AS x FROM e UNION ALL SELECT r, 'b', edited FROM e UNION ALL SELECT r, 'c', nxt FROM e
 ), p AS (
-  SELECT r, what, list_transform(list_transform(string_split(x, chr(10)), lambda l: array_to_string(list_transform(
+  SELECT r, what, sha256(x) AS whole, list_transform(list_transform(string_split(x, chr(10)), lambda l: array_to_string(list_transform(
     string_split(regexp_replace(l, '([.!?,;:dn] |[^ ]{48})', '\1' || chr(1), 'g'), chr(1)), lambda y: substr(md5(y), 1, 8)), ' ')),
     lambda q: substr(md5(q), 1, 12) || '(' || q || ')') AS p FROM t
 ), j AS (
-  SELECT r, what, array_to_string(list_transform(p, lambda q: q || CASE WHEN starts_with(q, '0') OR starts_with(q, substr(md5(substr(md5(''), 1, 8)), 1, 12)) THEN '|' ELSE ';' END), '') AS j FROM p
+  SELECT r, what, whole, array_to_string(list_transform(p, lambda q: q || CASE WHEN starts_with(q, '0') OR starts_with(q, substr(md5(substr(md5(''), 1, 8)), 1, 12)) THEN '|' ELSE ';' END), '') AS j FROM p
 ), h AS (
-  SELECT r, what, array_to_string(list_transform(string_split(left(j, length(j) - 1), '|'), lambda s: substr(md5(s), 1, 12) || ':' || s), '|') AS h FROM j
+  SELECT r, what, whole, array_to_string(list_transform(string_split(left(j, length(j) - 1), '|'), lambda s: substr(md5(s), 1, 12) || ':' || s), '|') AS h FROM j
 ), f AS (
   SELECT r, max(f) FILTER (WHERE what = 'a') AS a, max(f) FILTER (WHERE what = 'b') AS b, max(f) FILTER (WHERE what = 'c') AS c
-  FROM (SELECT r, what, sha256(h) || '|' || h AS f FROM h) GROUP BY r
+  FROM (SELECT r, what, sha256(whole || '|' || h) || '|' || h AS f FROM h) GROUP BY r
 ), l AS (
   SELECT r, a, b, c, list_distinct(regexp_extract_all(a, '[( ]([0-9a-f]+)', 1)) AS la, list_distinct(regexp_extract_all(b, '[( ]([0-9a-f]+)', 1)) AS lb,
          list_distinct(regexp_extract_all(c, '[( ]([0-9a-f]+)', 1)) AS lc, string_split(a, '|')[2:] AS sa, string_split(b, '|')[2:] AS sb FROM f

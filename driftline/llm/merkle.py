@@ -104,12 +104,12 @@ def locate(a: Column, b: Column) -> Column:
     return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.filter(at, lambda k: k.isNotNull()))
 
 
-def above(at: Column, edges: Column) -> Column:
-    """How many of the sorted edges are no larger than ``at``, in two steps of few comparisons each."""
-    most = 64
-    heads = F.filter(edges, lambda e, k: k % most == 0)
-    i = F.size(F.filter(heads, lambda e: e <= at))
-    return F.when(i == 0, 0).otherwise((i - 1) * most + F.size(F.filter(F.slice(edges, (F.greatest(i, F.lit(1)) - 1) * most + 1, F.lit(most)), lambda e: e <= at)))
+def above(at: Column, edges: Column, heads: Column | None = None) -> Column:
+    """How many of the sorted edges are no larger than ``at``; with every 64th edge in ``heads``, by few comparisons."""
+    if heads is None:
+        return F.size(F.filter(edges, lambda e: e <= at))
+    i = F.greatest(F.size(F.filter(heads, lambda e: e <= at)), F.lit(1)) - 1
+    return i * 64 + F.size(F.filter(F.slice(edges, i * 64 + 1, F.lit(64)), lambda e: e <= at))
 
 
 def beginning(c: Column) -> Column:
@@ -121,8 +121,8 @@ def with_next(rows: DataFrame, key: str, order: list[str], cols: list[str], stre
     """``rows`` with next_<col> of the row that follows in order of the whole-number ``key`` and then ``order``; the first follows the last.
 
     ``made`` are columns to make from the rows' own and to give of the next row too; they are made once a
-    row, behind the shuffle, which doesn't carry them.  ``rows`` must not have columns named stretch,
-    after or next_<col>.
+    row, behind the shuffle, which doesn't carry them.  ``rows`` must not have columns named quantile_no,
+    stretch, after or next_<col>.
 
     Null keys come first.  Rows are dealt into stretches of about ``stretch`` bytes, by quantiles of the
     keys weighted by bytes and even parts of these, and a key that holds several stretches by the first
@@ -149,12 +149,13 @@ def with_next(rows: DataFrame, key: str, order: list[str], cols: list[str], stre
     hot = [k for k, n in found.items() if n > HOT] if order else []
     nulls = order and (got[1] or 0) > HOT
     fine = max(-(-parts // coarse), HOT_PARTS + 1)
-    lits = F.array(*[F.lit(int(x)).cast("long") for x in edges])
-    k = F.greatest(F.lit(1), above(at, lits))
+    every = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs])
+    lits, k = every(edges), F.col("quantile_no")
     low, high = F.element_at(lits, k), F.element_at(lits, F.least(k + 1, F.lit(len(edges))))
     spread = -(-parts // coarse)
     inside = F.least(F.lit(spread - 1), F.greatest(F.lit(0), F.floor((at - low) * F.lit(float(spread)) / F.greatest(F.lit(1), high - low))))
-    dealt = rows.withColumn("stretch", F.when(at.isNull(), 0).otherwise(k * (2 * fine) + inside).cast("long"))
+    numbered = rows.withColumn("quantile_no", F.greatest(F.lit(1), above(at, lits, every(edges[::64]))))
+    dealt = numbered.withColumn("stretch", F.when(at.isNull(), 0).otherwise(k * (2 * fine) + inside).cast("long")).drop("quantile_no")
     if hot or nulls:
         # a hot key is an edge, so its rows come before all others of its quantile, which keep behind its parts
         among = F.col("at").isin(hot) if hot else F.lit(False)

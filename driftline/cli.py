@@ -142,11 +142,22 @@ def generate(spark: SparkSession, a, clients) -> int:
     return EXIT["ok"]
 
 
+def rewriter_ready(checkout: str | None, make: Callable) -> None:
+    """The rewriter is there and answers, before anything is rewritten: its folder, where one is named, and a client that can be made."""
+    if checkout and not Path(checkout).is_dir():
+        raise Missing(f"no checkout of the rewriter at {checkout}")
+    try:
+        make()
+    except Exception as e:
+        raise Missing(f"the rewriter doesn't answer: {e}") from e
+
+
 def rewrite(spark: SparkSession, a, clients) -> int:
     cascade.check_rounds(a.rounds)
     if bool(a.run) == bool(a.draft_file):
         raise ValueError("give one of --run and --draft-file")
     make = client(clients, "rewriter")
+    rewriter_ready(a.hip_repo, make)
     drafts = records.import_drafts(spark, a.draft_file) if a.draft_file else spark.read.parquet(f"{a.run}/drafts")
     corpora = [r[0] for r in drafts.select(tx.corpus_of("pair_id")).distinct().limit(2).collect()]
     if len(corpora) != 1:
@@ -280,6 +291,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--run")
     c.add_argument("--draft-file")
     c.add_argument("--adapter", default="stub")
+    c.add_argument("--hip-repo", help="checkout of the rewriter; checked before anything is rewritten")
     c.add_argument("--rounds", type=int, default=cascade.ROUNDS_DEFAULT)
     c.add_argument("--temperature", type=float, default=1.0)
     c.add_argument("--top-p", type=float, default=0.95)

@@ -68,13 +68,14 @@ def looks_english(c: Column | str) -> Column:
 def boilerplate_fraction(c: Column | str) -> Column:
     """Share of non-blank lines that hold a navigation or legal phrase; null without such a line.
 
-    Lines are looked through only in texts that hold a phrase at all.
+    Lines are counted, not cut out, and looked through only in texts that hold a phrase at all.
     """
     low = F.lower(col(c))
-    any_phrase = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(m)) for m in BOILERPLATE])
-    lines = F.filter(F.split(low, LINE_END), lambda x: x.rlike(f"[^{SPACE}]"))
-    hits = F.when(any_phrase(low), F.size(F.filter(lines, any_phrase))).otherwise(0)
-    return F.when(F.size(lines) > 0, hits / F.size(lines))
+    ends = LINE_END.partition("|")[2][1:-1]
+    lines = F.regexp_count(low, F.lit(f"[^{SPACE}][^{ends}]*"))
+    any_phrase = reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in BOILERPLATE])
+    hits = F.regexp_count(low, F.lit(f"(?<![^{ends}])[^{ends}]*?(?:{'|'.join(BOILERPLATE)})"))
+    return F.when(lines > 0, F.when(any_phrase, hits).otherwise(0) / lines)
 
 
 def boilerplate_heavy(c: Column | str) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import text as tx
@@ -37,14 +38,46 @@ def stub_probability(text="text"):
     return F.conv(F.substring(F.md5(tx.col(text).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+#: Bins of a group among which its quantiles are looked for.
+LOOK = 4096
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by..., q): the linear quantiles of each group, exact, without gathering a group's values anywhere.
+
+    Counts in LOOK even bins between a group's extremes tell which bins hold the ranks that are asked
+    for; only the distinct values of these are put in order, with how often they come.
+    """
+    v = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    ends = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    width = (F.col("_hi") - F.col("_lo")) / LOOK
+    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(LOOK - 1), F.floor((F.col("_v") - F.col("_lo")) / width))).otherwise(0).cast("int")
+    e = ends.select(*[F.col(c).alias(f"_e_{c}") for c in by], "_lo", "_hi", "_n")
+    binned = v.join(e, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in by], F.lit(True))).select(*by, "_v", "_n", bin_.alias("_bin"))
+    # one row a value from here on
+    counted = binned.groupBy(*by, "_bin", "_v").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+    bins = counted.groupBy(*by, "_bin").agg(F.sum("_k").alias("_k"), F.first("_n").alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_bin")
+    place = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    ranks = F.array_distinct(F.array(*[x.cast("long") for p in shares for x in (F.floor(place(p)), F.ceil(place(p)))]))
+    held = bins.withColumn("_before", F.sum("_k").over(upto) - F.col("_k")).withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_k"))))
+    wanted = held.where(F.size("_ranks") > 0).select(*[F.col(c).alias(f"_w_{c}") for c in by], F.col("_bin").alias("_w_bin"), "_before", "_ranks")
+    inside = counted.join(wanted, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by], F.col("_bin") == F.col("_w_bin")))
+    within = Window.partitionBy(*by, "_bin").orderBy("_v")
+    at = inside.withColumn("_to", F.sum("_k").over(within) + F.col("_before")).withColumn("_hits", F.filter("_ranks", lambda r: (r < F.col("_to")) & (r >= F.col("_to") - F.col("_k"))))
+    found = at.select(*by, "_n", "_v", F.explode("_hits").alias("_rank")).groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"))
+    low, high = (lambda p: F.col("_m")[F.floor(place(p)).cast("long")]), (lambda p: F.col("_m")[F.ceil(place(p)).cast("long")])
+    return found.select(*by, F.array(*[low(p) + (place(p) - F.floor(place(p))) * (high(p) - low(p)) for p in shares]).alias("q"))
+
+
 def summary(rows: DataFrame, by: list[str], value: str = "human_prob") -> DataFrame:
     """(by..., n, mean, median, stdev, minimum, maximum, p25, p50, p75, p90) with the population's deviation and linear quantiles."""
     v = F.col(value)
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9)]))
-    out = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("stdev"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), q.alias("q")
-    )
-    return out.select(*by, "n", "mean", "median", "stdev", "minimum", "maximum", *[F.col("q")[k].alias(f"p{p}") for k, p in enumerate((25, 50, 75, 90))])
+    q = quantiles(rows, by, value, (0.25, 0.5, 0.75, 0.9))
+    own = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stdev"), F.min(v).alias("minimum"), F.max(v).alias("maximum"))
+    q = q.select(*[F.col(c).alias(f"_q_{c}") for c in by], "q")
+    out = own.join(q, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by], F.lit(True)), "left")
+    return out.select(*by, "n", "mean", F.col("q")[1].alias("median"), "stdev", "minimum", "maximum", *[F.col("q")[k].alias(f"p{p}") for k, p in enumerate((25, 50, 75, 90))])
 
 
 def histogram(rows: DataFrame, by: list[str], value: str = "human_prob", bins: int = BINS) -> DataFrame:

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.text import words
+from driftline.session import cut
 
-#: Vectors of a block, and bins of one look for the median.
-BLOCK, BINS = 1024, 4096
+#: Vectors of a block.
+BLOCK = 1024
+#: Values among which the median is looked up at last; looks go by so many bits of the values, the first ones first.
+FEW, BITS = 200_000, (20, 16, 16, 12)
 
 
 def token_counts(rows: DataFrame, by: list[str], text: str = "text", tokens: Column | None = None) -> DataFrame:
@@ -25,7 +28,8 @@ def token_l2(rows: DataFrame, by: list[str], side: str = "side", text: str = "te
     """(by..., token_l2, vocab_size) from rows with side ``a`` or ``b``.
 
     The distance between both sides' frequencies over their joint vocabulary; a side without tokens is
-    the zero vector.  Without any token the distance is 0 over an empty vocabulary.
+    the zero vector.  Without any token the distance is 0 over an empty vocabulary.  As a difference of
+    sums of squares it is good to about 1e-9.
     """
     counts = token_counts(rows, [*by, side], text, tokens)
     one = counts.groupBy(*by, "tok").agg(*[F.sum(F.when(F.col(side) == s, F.col("n")).otherwise(0)).alias(f"n{s}") for s in "ab"])
@@ -63,10 +67,17 @@ def blocks(rows: DataFrame, group: str, side: str, vector: str, key: str, block:
 
 
 def block_pairs(made: DataFrame) -> DataFrame:
-    """Each pair of blocks of a group once: the kernel is a sum over all pairs of vectors, so all of them are needed."""
+    """(g, i, sa, va, j, sb, vb): each pair of blocks of a group once, i <= j.
+
+    The kernel is a sum over all pairs of vectors, so all of them are needed.  Pairs are listed by
+    number and meet their blocks by (g, i) and (g, j), so a group spreads over as many tasks as it has
+    blocks.  ``made`` is read twice and should be written.
+    """
+    i = made.groupBy("g").agg(F.max("b").alias("last")).select("g", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    numbers = i.repartition("g", "i").select("g", "i", F.explode(F.sequence("i", "last")).alias("j"))
     left = made.select("g", F.col("b").alias("i"), F.col("s").alias("sa"), F.col("v").alias("va"))
     right = made.select("g", F.col("b").alias("j"), F.col("s").alias("sb"), F.col("v").alias("vb"))
-    return left.join(right, "g").where("i <= j")
+    return numbers.join(left, ["g", "i"]).join(right, ["g", "j"]).select("g", "i", "sa", "va", "j", "sb", "vb")
 
 
 def _stack(scalar) -> np.ndarray:
@@ -90,83 +101,88 @@ def _distances(batch, r):
 def bandwidth(pairs: DataFrame) -> float:
     """Square root of the median squared distance of all pairs; of those above 0 if the median is 0.
 
-    Exact at any size: counts in bins lead to the bin that holds the median, whose bounds are the next
-    look's, until the bin's values are few enough to be sorted.
+    Exact at any size: counts by the first bits of the numbers lead to those that the median begins
+    with, whose next bits are the next look's, until the values left are few enough to be sorted.
     """
-    def extent(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                d = _distances(batch, r)
-                if len(d):
-                    yield pa.RecordBatch.from_pydict({"n": pa.array([len(d)], pa.int64()), "pos": pa.array([int((d > 0).sum())], pa.int64()), "hi": pa.array([float(d.max())])})
-
-    total = pairs.mapInArrow(extent, "n long, pos long, hi double").agg(F.sum("n"), F.sum("pos"), F.max("hi")).first()
-    n, positive, hi = total[0] or 0, total[1] or 0, total[2] or 0.0
+    seen: dict = {}
+    first = _counts(pairs, 0, None, seen)
+    n, zeros = sum(first.values()), first.get(-1, 0)
     if not n:
         raise ValueError("a bandwidth needs two vectors")
-    if not positive:
+    if zeros == n:
         raise ValueError("all vectors coincide, so there is no bandwidth")
-    zeros = n - positive
-    if zeros > n // 2:
-        ranks, skip = ((positive - 1) // 2, positive // 2), True
-    else:
-        ranks, skip = ((n - 1) // 2, n // 2), False
-    first, second = _ranked(pairs, ranks, 0.0, hi, skip)
-    median = (first + second) / 2
-    return float(np.sqrt(median))
-
-
-def _ranked(pairs: DataFrame, ranks: tuple[int, int], lo: float, hi: float, positive: bool, few: int = 200_000) -> list[float]:
-    """The values at two neighbouring ranks among the squared distances, or those above 0."""
-    before = 0
-    for _ in range(12):
-        width = (hi - lo) / BINS or 1.0
-
-        def histogram(batches, lo=lo, hi=hi, width=width):
-            counts = np.zeros(BINS, np.int64)
-            for batch in batches:
-                for r in range(batch.num_rows):
-                    d = _distances(batch, r)
-                    d = d[(d >= lo) & (d <= hi) & ((d > 0) | (not positive))]
-                    counts += np.bincount(np.minimum(BINS - 1, ((d - lo) / width).astype(np.int64)), minlength=BINS)
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"bin": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
-
-        got = {r[0]: r[1] for r in pairs.mapInArrow(_one(histogram), "bin int, n long").groupBy("bin").agg(F.sum("n")).collect()}
-        seen, span = before, []
-        for b in sorted(got):
-            if seen <= ranks[1] and seen + got[b] > ranks[0]:
-                span.append((b, seen))
-            seen += got[b]
-        inside = sum(got[b] for b, _ in span)
-        # one bin's width to either side guards against rounding at its edges
-        low, high, start = lo + span[0][0] * width, lo + (span[-1][0] + 1) * width, span[0][1]
-        if inside <= few or len(span) > 1 or width <= 1e-15 * max(1.0, hi):
-            break
-        lo, hi, before = low, high, start
-    low, high = low - width * 1e-6, high + width * 1e-6
-
-    def values(batches):
+    positive = n - zeros
+    ranks = (zeros + (positive - 1) // 2, zeros + positive // 2) if zeros > n // 2 else ((n - 1) // 2, n // 2)
+    return float(np.sqrt(sum(_value_at(pairs, r, seen) for r in ranks) / 2))
+
+
+def _bits(d: np.ndarray) -> np.ndarray:
+    """Numbers that are not negative as whole numbers in the same order."""
+    return d.astype(np.float64, copy=False).view(np.int64)
+
+
+def _shift(look: int) -> int:
+    return 64 - sum(BITS[: look + 1])
+
+
+def _counts(pairs: DataFrame, look: int, prefix: int | None, seen: dict) -> dict[int, int]:
+    """Squared distances by their first bits, as many as the look goes by: those that begin with ``prefix``; 0 counts as -1."""
+    if (look, prefix) in seen:
+        return seen[look, prefix]
+
+    def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                d = _distances(batch, r)
-                d = d[(d > 0) | (not positive)]
-                own = d[(d >= low) & (d <= high)]
-                yield pa.RecordBatch.from_pydict({"d": pa.array(own), "under": pa.array([int((d < low).sum())] + [0] * (len(own) - 1) if len(own) else [], pa.int64())})
-                if not len(own) and (d < low).any():
-                    yield pa.RecordBatch.from_pydict({"d": pa.array([None], pa.float64()), "under": pa.array([int((d < low).sum())], pa.int64())})
-
-    rows = pairs.mapInArrow(values, "d double, under long").groupBy("d").agg(F.count("*").alias("n"), F.sum("under").alias("under")).collect()
-    under = sum(r["under"] for r in rows)
-    out, at = [], under
-    for d, n in sorted((r["d"], r["n"]) for r in rows if r["d"] is not None):
-        out += [d] * sum(1 for k in ranks if at <= k < at + n)
-        at += n
-    return out if len(out) == 2 else [out[0], out[0]]
+                key = _bits(_distances(batch, r))
+                if prefix is not None:
+                    key = key[key >> _shift(look - 1) == prefix]
+                zero = int((key == 0).sum()) if prefix is None else 0
+                key = (key[key != 0] if prefix is None else key) >> _shift(look)
+                if len(key):
+                    low = int(key.min())
+                    n = np.bincount(key - low)
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(at + low, pa.int64()), "n": pa.array(n[at], pa.int64())})
+                if zero:
+                    yield pa.RecordBatch.from_pydict({"key": pa.array([-1], pa.int64()), "n": pa.array([zero], pa.int64())})
+
+    got = {r[0]: r[1] for r in pairs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n")).collect()}
+    return seen.setdefault((look, prefix), got)
+
+
+def _value_at(pairs: DataFrame, rank: int, seen: dict) -> float:
+    """The value at a rank among the squared distances."""
+    prefix, before = None, 0
+    for look in range(len(BITS)):
+        counts = _counts(pairs, look, prefix, seen)
+        for key in sorted(counts):
+            if rank < before + counts[key]:
+                break
+            before += counts[key]
+        if key == -1:
+            return 0.0
+        prefix = key
+        if counts[key] <= FEW:
+            for d, n in _values(pairs, look, prefix, seen):
+                if rank < before + n:
+                    return d
+                before += n
+    return float(np.int64(prefix).view(np.float64))
+
+
+def _values(pairs: DataFrame, look: int, prefix: int, seen: dict) -> list[tuple[float, int]]:
+    """(value, times) of the squared distances that begin with ``prefix``, in order."""
 
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                d = _distances(batch, r)
+                d, n = np.unique(d[_bits(d) >> _shift(look) == prefix], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"d": pa.array(d, pa.float64()), "n": pa.array(n, pa.int64())})
 
-def _one(fn):
-    return lambda batches: fn(batches)
+    if ("values", look, prefix) not in seen:
+        seen["values", look, prefix] = sorted((r[0], r[1]) for r in pairs.mapInArrow(run, "d double, n long").groupBy("d").agg(F.sum("n")).collect())
+    return seen["values", look, prefix]
 
 
 def kernel_sums(pairs: DataFrame, sigma: float) -> DataFrame:
@@ -200,13 +216,14 @@ def mmd2(rows: DataFrame, group: str, side: str, vector: str, key: str, sigma: f
     median over the pool; then there must be one group.  A group with under two vectors on a side, or
     with invalid ones, is an error.  Blocks of vectors meet block by block; no task holds a set.
     """
-    made = block_pairs(blocks(rows, group, side, vector, key, block))
+    if sigma is not None and sigma <= 0:
+        raise ValueError(f"a bandwidth must be positive, not {sigma}")
+    written = cut(blocks(rows, group, side, vector, key, block), "vector-blocks")  # read by every look and by the kernel
+    made = block_pairs(written)
     if sigma is None:
-        if rows.select(group).distinct().count() > 1:
+        if written.select("g").distinct().count() > 1:
             raise ValueError("one bandwidth for several groups must be given")
         sigma = bandwidth(made)
-    if sigma <= 0:
-        raise ValueError(f"a bandwidth must be positive, not {sigma}")
     sizes = rows.groupBy(F.col(group).alias("g")).agg(*[F.count_if(F.col(side) == s).alias(n) for s, n in (("a", "n"), ("b", "m"))])
     sums = kernel_sums(made, sigma).groupBy("g").agg(
         *[F.coalesce(F.sum(F.when((F.col("x") == x) & (F.col("y") == y), F.col("total"))), F.lit(0.0)).alias(x + y) for x, y in ("aa", "bb", "ab")]

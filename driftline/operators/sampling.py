@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import text as tx
+from driftline.session import cut
 
 #: Sizes of the tiers, and how many times the target the pool holds, at least how many rows.
 TIERS = {"smoke": 50, "judged": 400, "full": 2000}
@@ -52,6 +53,16 @@ def sample_by_hash(rows: DataFrame, target: int, seed: int, key: str) -> DataFra
     return few.withColumn("position", F.row_number().over(Window.orderBy("_draw", key)) - 1).drop("_draw")
 
 
+def places(rows: DataFrame, order: str) -> DataFrame:
+    """``rows``, written, with their place (from 0) in order of a column that is unique; no task holds more than a part of the order."""
+    own = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "places")
+    # such a number is the part's number and the place within it
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = own.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return own.withColumn("_part", part).join(before, "_part").withColumn("place", (F.col("_before") + inside).cast("long")).drop("_part", "_before", "_at")
+
+
 def sample_by_generator(spark: SparkSession, rows: DataFrame, target: int, seed: int, order: str) -> DataFrame:
     """``target`` rows as ``random.Random(seed).sample`` draws them from the rows in order, with position from 0.
 
@@ -60,9 +71,9 @@ def sample_by_generator(spark: SparkSession, rows: DataFrame, target: int, seed:
     have = rows.count()
     if have < target:
         raise ShortageError(target, have)
-    places = random.Random(seed).sample(range(have), target)  # noqa: S311
-    drawn = spark.createDataFrame([(p, k) for k, p in enumerate(places)], "_place int, position int")
-    return rows.withColumn("_place", F.row_number().over(Window.orderBy(order)) - 1).join(drawn, "_place").drop("_place")
+    taken = random.Random(seed).sample(range(have), target)  # noqa: S311
+    drawn = spark.createDataFrame([(p, k) for k, p in enumerate(taken)], "place long, position int")
+    return places(rows, order).join(drawn, "place").drop("place")
 
 
 def require(rows: DataFrame, target: int) -> DataFrame:

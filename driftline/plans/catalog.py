@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from driftline.functions import text as tx
 from driftline.operators import cascade, detection, judging, metrics, sampling, seams, setops
 from driftline.plans import bindings as b
 from driftline.plans import reports as rp
+from driftline.session import cut, fresh_path
 from driftline.sources import records
 from driftline.sources.records import DIMENSIONS
 
@@ -42,7 +44,7 @@ def sub(sql: str, x: str) -> str:
 _WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _WORDS = f"len(regexp_extract_all(text, '[^{_WS}]+'))"
 _NON_ASCII = r"CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) / length(text)::DOUBLE END"
-_MARKERS = "cookie|privacy policy|all rights reserved|subscribe|sign in|sign up|terms of service|©|copyright|read more|click here"
+_MARKERS = "|".join(tx.BOILERPLATE)
 _LINES = rf"list_filter(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: length(regexp_replace(x, '[{_WS}]', '', 'g')) > 0)"
 _BOILER = f"CASE WHEN len({_LINES}) > 0 THEN len(list_filter({_LINES}, lambda x: regexp_matches(lower(x), '{_MARKERS}'))) / len({_LINES})::DOUBLE END"
 _STRIP = f"regexp_replace(coalesce(text, ''), '^[{_WS}]+|[{_WS}]+$', '', 'g')"
@@ -182,7 +184,21 @@ def doc_degeneration(spark, sf_dir):
     )
 
 
-@query()
+#: Numbers of pairs for which values of generators and hashes that SQL lacks are listed: those of the tables that answers are compared on.
+_LISTED = 2000
+
+
+def listed(value, kind: str) -> str:
+    """SQL list of a function's values for the pairs of numbers 0, 1, ..."""
+    return "[" + ", ".join(str(value(f"{b.CORPUS}-{k:05d}")) for k in range(_LISTED)) + f"]::{kind}[]"
+
+
+_NUMBER = "(regexp_extract(pair_id, '-(\\d+)$', 1)::INTEGER + 1)"
+_PAIR_SEEDS = listed(lambda p: int.from_bytes(hashlib.blake2b(f"{SEED}:{p}".encode(), digest_size=8).digest(), "big") % (1 << 32), "BIGINT")
+_COINS = listed(lambda p: int(random.Random(f"{SEED}:{p}").random() < 0.5), "INTEGER")  # noqa: S311
+
+
+@query(f"SELECT pair_id, ({_PAIR_SEEDS})[{_NUMBER}] AS seed FROM pairs", views=True)
 def pair_seed_blake2b(spark, sf_dir):
     return b.pairs(spark, sf_dir).select("pair_id", tx.pair_seed("pair_id", SEED).alias("seed"))
 
@@ -233,9 +249,10 @@ def drift_strays(spark, sf_dir):
     return setops.strays(b.drafts(spark, sf_dir), planned).select("pair_id")
 
 
-@query("SELECT text FROM documents GROUP BY text HAVING count(DISTINCT lang) > 1")
+@query("SELECT text, count(DISTINCT source) AS n FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
 def homogeneity_violations(spark, sf_dir):
-    return docs(spark, sf_dir).groupBy("text").agg(F.count_distinct("lang").alias("n")).where("n > 1").select("text")
+    """Texts that come from more than one source."""
+    return docs(spark, sf_dir).groupBy("text").agg(F.count_distinct("source").alias("n")).where("n > 1").select("text", "n")
 
 
 @query("""WITH cache AS (SELECT DISTINCT sha256(text) AS s FROM documents WHERE lang = 'en')
@@ -246,8 +263,8 @@ def emb_cache_misses(spark, sf_dir):
     return setops.cache_misses(d, cache, "stub").select("content_sha256")
 
 
-@query("""WITH c AS (SELECT label AS embedder_id, vec_id, len(embedding) AS d FROM embeddings)
-SELECT embedder_id::VARCHAR AS embedder_id, count(*) AS entries, 0::BIGINT AS twice, (max(d) - min(d))::INTEGER AS dim_spread, 0::BIGINT AS not_finite FROM c GROUP BY embedder_id""")
+@query("""WITH c AS (SELECT label AS embedder_id, vec_id, len(embedding) AS d, (len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0)::INTEGER AS odd FROM embeddings)
+SELECT embedder_id::VARCHAR AS embedder_id, count(*) AS entries, (count(*) - count(DISTINCT vec_id))::BIGINT AS twice, (max(d) - min(d))::INTEGER AS dim_spread, sum(odd)::BIGINT AS not_finite FROM c GROUP BY embedder_id""")
 def emb_cache_audit(spark, sf_dir):
     e = b.table(spark, sf_dir, "embeddings")
     cache = e.select(F.col("label").cast("string").alias("embedder_id"), F.col("vec_id").cast("string").alias("content_sha256"), F.col("embedding").alias("vector"))
@@ -259,7 +276,7 @@ def emb_cache_round(spark, sf_dir):
     """All documents through the cache twice; the second time nothing is embedded."""
     from driftline.operators import cache
 
-    path = _scratch(spark, "embeddings")
+    path = fresh_path(spark, "embeddings")
     d = docs(spark, sf_dir).select("doc_id", "text")
     first = cache.embed(d, path, "stub", seams.stub_embedder, "doc_id")
     again = cache.embed(d, path, "stub", seams.no_embedder, "doc_id")
@@ -320,7 +337,7 @@ def judge_order_hash(spark, sf_dir):
     return b.pairs(spark, sf_dir).select("pair_id", tx.order_by_hash("pair_id", SEED).alias("order"))
 
 
-@query()
+@query(f"""SELECT pair_id, CASE WHEN ({_COINS})[{_NUMBER}] = 1 THEN 'model_first' ELSE 'human_first' END AS "order" FROM pairs""", views=True)
 def judge_order_mersenne(spark, sf_dir):
     return b.pairs(spark, sf_dir).select("pair_id", tx.order_by_mersenne("pair_id", SEED).alias("order"))
 
@@ -368,15 +385,22 @@ def jmq_bias_audit(spark, sf_dir):
 @query(_VERDICTS + _SCORES, views=True)
 def jmq_recompute(spark, sf_dir):
     """Scores from verdicts that were written and read again."""
-    path = f"{tempfile.mkdtemp(prefix='driftline-verdicts-')}/verdicts" if not (d := spark.conf.get("spark.checkpoint.dir", None)) else f"{d}/verdicts-{spark.sparkContext.startTime}"
+    path = fresh_path(spark, "verdicts")
     cols = [c.split()[0] for c in records.ENTITIES["verdict"].split(", ")]
     records.write_lines(stub_verdicts(spark, sf_dir).select(*cols), path, "verdict", "overwrite")
     return rounded(judging.scores(records.read_strict(spark, path, "verdict")), "win_rate", "score")
 
 
-@query(_VERDICTS + "SELECT CASE WHEN count(*) = 0 THEN 'gpt-5.4-mini' ELSE 'gpt-5.4-mini' END AS judge_model, count(DISTINCT pair_id) AS n FROM verdicts", views=True)
+@query(_VERDICTS + """, named AS (SELECT pair_id, dimension, CASE WHEN dimension = 'overall' AND substr(md5(pair_id), 1, 1) = '0' THEN 'another-judge' ELSE 'gpt-5.4-mini' END AS m FROM verdicts),
+sets AS (SELECT 'all' AS verdicts, * FROM named UNION ALL SELECT 'clarity', * FROM named WHERE dimension = 'clarity' UNION ALL SELECT 'second', * FROM named WHERE m = 'another-judge')
+SELECT verdicts, CASE WHEN count(DISTINCT m) = 1 THEN min(m) ELSE 'mixed:' || string_agg(DISTINCT m, ',' ORDER BY m) END AS judge_model, count(DISTINCT pair_id) AS n FROM sets GROUP BY verdicts""", views=True)
 def judge_identity(spark, sf_dir):
-    return judging.judge_of(stub_verdicts(spark, sf_dir))
+    """Who judged all verdicts, those of one dimension, and those of a second judge."""
+    second = (F.col("dimension") == "overall") & (F.substring(F.md5(F.col("pair_id").cast("binary")), 1, 1) == "0")
+    v = stub_verdicts(spark, sf_dir).withColumn("judge_model", F.when(second, "another-judge").otherwise(judging.DEFAULT_JUDGE))
+    sets = {"all": v, "clarity": v.where("dimension = 'clarity'"), "second": v.where("judge_model = 'another-judge'")}
+    found = [judging.judge_of(x).where("n > 0").select(F.lit(k).alias("verdicts"), "judge_model", "n") for k, x in sets.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 _FULL = f"""replace(replace(replace({_T}, '{{prompt}}', prompt), '{{candidate_a}}', CASE WHEN "order" = 'model_first' THEN model_text ELSE human_text END),
@@ -476,7 +500,7 @@ SELECT round(2 * aa / (n * (n - 1)) + 2 * bb / (m * (m - 1)) - 2 * ab / (n * m):
 
 @query(_V + _PAIR + _BW + "SELECT round(sigma, 9) AS bandwidth FROM bw")
 def mmd_bandwidth(spark, sf_dir):
-    made = metrics.block_pairs(metrics.blocks(vectors(spark, sf_dir), "g", "side", "embedding", "vec_id"))
+    made = metrics.block_pairs(cut(metrics.blocks(vectors(spark, sf_dir), "g", "side", "embedding", "vec_id"), "vector-blocks"))
     return spark.createDataFrame([(round(metrics.bandwidth(made), 9),)], "bandwidth double")
 
 
@@ -607,19 +631,18 @@ def cascade_summary(spark, sf_dir):
     return cascade.run_summary(b.rounds(spark, sf_dir), REQUESTED)
 
 
-@query()
+@query(", r1 AS (SELECT pair_id, 1 AS k, text || ' [r1]' AS text, length(text) AS prior FROM drafts), " + _runs("r1", "pair_id, k") + f""",
+m1 AS (SELECT r1.pair_id, text, length({_STRIP}) = 0 AS blank, CASE WHEN prior > 0 THEN length(text) / prior::DOUBLE END AS ratio, {_NON_ASCII} AS fraction, coalesce(run, 0) AS run FROM r1 LEFT JOIN runs ON runs.pair_id = r1.pair_id),
+c1 AS (SELECT pair_id, text, {_CHECKS} FROM m1),
+r2 AS (SELECT pair_id, text || ' [r2]' AS text, length(text) AS prior FROM c1 WHERE NOT hard_tripped),
+m2 AS (SELECT pair_id, text, false AS blank, CASE WHEN prior > 0 THEN length(text) / prior::DOUBLE END AS ratio, {_NON_ASCII} AS fraction, 0 AS run FROM r2),
+c2 AS (SELECT pair_id, text, {_CHECKS} FROM m2)
+SELECT pair_id, 0::INTEGER AS k, sha256(text) AS sha, NULL::BOOLEAN AS hard_tripped FROM drafts UNION ALL SELECT pair_id, 1, sha256(text), hard_tripped FROM c1 UNION ALL SELECT pair_id, 2, sha256(text), hard_tripped FROM c2""", views=True)
 def cascade_live(spark, sf_dir):
     """Two batched rounds of the stand-in rewriter over the drafts."""
     from driftline.operators.seams import stub_rewriter
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="driftline-rounds-")
-
-    def save(df, k):
-        path = f"{shared}/rounds-{spark.sparkContext.startTime}-k{k}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    out = cascade.run(b.drafts(spark, sf_dir), stub_rewriter, 2, save)
+    out = cascade.run(b.drafts(spark, sf_dir), stub_rewriter, 2, lambda df, k: cut(df, f"rounds-k{k}"))
     return out.select("pair_id", "k", tx.content_sha256("text").alias("sha"), F.col("report.hard_tripped").alias("hard_tripped"))
 
 
@@ -630,7 +653,8 @@ def cascade_stale(spark, sf_dir):
     return cascade.stale_rounds(spark.createDataFrame([(n,) for n in names], "name string"), 2)
 
 
-@query()
+@query(f""", left_ AS (SELECT pair_id, prompt, ({_PAIR_SEEDS})[{_NUMBER}] AS seed FROM pairs WHERE pair_id NOT IN (SELECT pair_id FROM drafts))
+SELECT pair_id, prompt || ' [draft ' || (seed % 1000) || ']' AS text, seed FROM left_""", views=True)
 def drafts_live(spark, sf_dir):
     """Drafts of the stand-in model for the pairs that have none."""
     p = b.pairs(spark, sf_dir)
@@ -749,7 +773,8 @@ def self_check_window(spark, sf_dir):
     return rounded(spark.createDataFrame([(n,) for n in (1, 9, 25, 200, 2000)], "n long").select("n", lo.alias("lo"), hi.alias("hi")), "lo", "hi")
 
 
-_SEEDS = 8
+#: Fixed value: splits of the envelope.
+_SEEDS = 24
 
 
 @query(f""", rk AS (SELECT seed, pair_id, text, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || pair_id), pair_id) - 1 AS pos, count(*) OVER (PARTITION BY seed) // 2 AS half
@@ -791,15 +816,10 @@ def cost_estimates(spark, sf_dir):
 # --- files and streams --------------------------------------------------------------------------
 
 
-def _scratch(spark, name: str) -> str:
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{d}/{name}-{spark.sparkContext.startTime}" if d else "file://" + tempfile.mkdtemp(prefix=f"driftline-{name}-") + "/out"
-
-
 @query("SELECT pair_id, sha256(text) AS sha FROM refs", views=True)
 def tolerant_read_last_wins(spark, sf_dir):
     """Texts written twice with broken lines between; the later record of a pair stands."""
-    path = _scratch(spark, "tolerant")
+    path = fresh_path(spark, "tolerant")
     t = b.references(spark, sf_dir).select("pair_id", "text")
     first = t.select(F.to_json(F.struct("pair_id", F.lit("old").alias("text"))).alias("value")).unionByName(spark.createDataFrame([("{broken",)], "value string"))
     first.coalesce(1).write.mode("overwrite").text(path + "/a")
@@ -809,7 +829,7 @@ def tolerant_read_last_wins(spark, sf_dir):
     return good.select("pair_id", tx.content_sha256("text").alias("sha"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (NULL, 1::BIGINT), ('keys', 2), ('json', 2)) t(problem, n)")
 def strict_read_errors(spark, sf_dir):
     """Kinds of problems of lines that a strict read refuses."""
     lines = ['{"pair_id": "p", "text": "t"}', '{"pair_id": "p"}', "{broken", '{"pair_id": "p", "text": "t", "more": 1}', "   ", "[1]"]
@@ -821,7 +841,7 @@ def incremental_append(spark, sf_dir):
     """Two deliveries of all drafts into one sink: each pair once."""
     from driftline.streaming import incremental
 
-    base = _scratch(spark, "incremental")
+    base = fresh_path(spark, "incremental")
     d = b.drafts(spark, sf_dir)
     d.write.mode("overwrite").parquet(base + "/in")
     first = incremental.append_new(incremental.documents(spark, base + "/in", d.schema), base + "/sink", base + "/state")

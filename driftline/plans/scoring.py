@@ -14,6 +14,8 @@ from driftline.sources import records
 
 #: The metrics in the order they are reported.
 ALL_METRICS = ("mmd", "token_l2", "jmq")
+#: Fixed value: what the judge is told instead of a prompt when halves of one set are compared, before the pair's name.
+PLACEHOLDER = "self-check pair "
 
 
 def selected(names: str) -> tuple[str, ...]:
@@ -104,7 +106,7 @@ def self_check(
     split, dropped = sampling.half_split_by_generator(reference.sparkSession, ids, seed)
     pairs = sampling.split_pairs(split, reference)
     a, b = pairs.select("pair_id", F.col("model_text").alias("text")), pairs.select("pair_id", F.col("human_text").alias("text"))
-    prompts = pairs.select("pair_id", F.lit("").alias("prompt"))
+    prompts = pairs.select("pair_id", F.concat(F.lit(PLACEHOLDER), F.col("pair_id")).alias("prompt"))
     report = score(
         a, b, names="mmd,token_l2" if skip_judge else "mmd,token_l2,jmq", prompts=prompts, seed=seed, report_id="self-check", sets=("half-a", "half-b"), judge=judge, judge_model=judge_model,
         embedder=embedder, embedder_id=embedder_id, templates=templates, verdicts_path=verdicts_path,

@@ -5,11 +5,38 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it; an own one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="driftline-"))
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    The copy ends the lineage, is computed once however often it is read, and outlives any
+    executor.  Unlike a cached or locally checkpointed frame it cannot be half lost.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def build_session(master: str = "local[*]", parts: int = 8, memory: str = "4g") -> SparkSession:

@@ -50,6 +50,34 @@ def test_bandwidth_known_answers(spark, pool, want):
     assert band(spark, pool) == pytest.approx(want, abs=1e-9)
 
 
+def test_bandwidth_by_narrowing(spark, monkeypatch):
+    """Down to the last bits, with the median's two values in different bins, among ties and zeros."""
+    monkeypatch.setattr(metrics, "FEW", 1)
+    r = np.random.default_rng(3)
+    for pool in (r.normal(size=23), np.array([0.0, 0, 0, 0, 1, 5]), np.array([0.0, 1, 3, 3, 3, 900]), r.integers(0, 4, 20).astype(float), np.array([0, 1e-9, 1, 1e9])):
+        d = (pool[:, None] - pool[None]) ** 2
+        d = np.maximum((pool * pool)[:, None] + (pool * pool)[None] - 2 * pool[:, None] * pool[None], 0) if len(pool) else d
+        d = d[np.triu_indices(len(pool), 1)]
+        median = np.median(d) or np.median(d[d > 0])
+        assert band(spark, pool.tolist(), block=8) == pytest.approx(math.sqrt(median), rel=1e-12)
+
+
+def test_pairs_of_one_group_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from driftline.session import cut
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = cut(metrics.blocks(frame(spark, range(240), []), "g", "side", "v", "id", 8), "test-blocks")
+        pairs = metrics.block_pairs(made)
+        n = made.count()
+        assert pairs.count() == n * (n + 1) // 2 == pairs.select("i", "j").distinct().count()
+        assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_bandwidth_of_coinciding_vectors_is_an_error(spark):
     with pytest.raises(ValueError, match="coincide"):
         band(spark, [1, 1, 1])

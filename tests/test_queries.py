@@ -42,7 +42,16 @@ def test_query(spark, duck, name):
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_incremental_append_delivers_every_draft_again(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(catalog, "_scratch", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(catalog, "fresh_path", lambda spark, name: f"{tmp_path}/{name}")
     got = catalog.QUERIES["incremental_append"](spark, str(DATA)).first()
     assert got["first"] == got["rows"] > 10 and got["second"] == 0
     assert spark.read.parquet(f"{tmp_path}/incremental/in").count() == 2 * got["first"]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["incremental_append", "jmq_recompute", "emb_cache_round"])
+def test_a_query_gives_the_same_again_in_one_session(spark, name):
+    first = catalog.QUERIES[name](spark, str(DATA))  # read only after the second one has run
+    second = catalog.QUERIES[name](spark, str(DATA))
+    rows = [sorted(map(repr, df.collect())) for df in (second, first)]
+    assert rows[0] == rows[1] and rows[0]

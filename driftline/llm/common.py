@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from functools import reduce
 
 import numpy as np
@@ -14,9 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.session import ship
-
-_OWN: dict[str, str] = {}
+from driftline.session import cut, fresh_path, shared_dir, ship  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,30 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; an own one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="driftline-"))
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The copy ends the lineage, is computed once however often it is read, and outlives any
-    executor.  Unlike a cached or locally checkpointed frame it cannot be half lost.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -118,7 +90,7 @@ class Forest:
 
 
 #: Most nodes that count as hubs at a time, and fewest edges of one.
-HUBS, HUB_EDGES = 1 << 16, 1000
+HUBS, HUB_EDGES = 1 << 16, 100
 
 
 def with_lowest(edges: DataFrame, low: DataFrame, most: int) -> DataFrame:

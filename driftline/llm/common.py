@@ -93,16 +93,22 @@ class Forest:
 HUBS, HUB_EDGES = 1 << 16, 100
 
 
-def with_lowest(edges: DataFrame, low: DataFrame, most: int) -> DataFrame:
-    """``edges`` (u, v) with m of ``low`` (u, n, m), where u has n edges.
+def most_rows(total: int) -> int:
+    """Rows of a key beyond which it is hot: of ``total`` rows, at most HUBS keys have so many."""
+    return max(HUB_EDGES, total // HUBS)
 
-    The edges of nodes with more than ``most`` edges stay where they are and are told m: there are at
-    most HUBS such nodes, as ``most`` follows the number of edges.  The others meet m by u.
+
+def joined(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the other columns of ``table`` (key, n, ...), which has one row a key and says how many of the ``total`` rows the key has.
+
+    An inner join that no hot key lands in one task of: for keys with more rows than :func:`most_rows`,
+    of which there are at most HUBS, the table's rows are broadcast and the rows stay where they are.
     """
-    hubs = low.where(F.col("n") > most).select("u", F.col("m").alias("hub_m"))
-    told = edges.join(F.broadcast(hubs), "u", "left")
-    rest = told.where("hub_m is null").select("u", "v").join(low.where(F.col("n") <= most).select("u", "m"), "u")
-    return rest.unionByName(told.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
+    most, cols = most_rows(total), [c for c in table.columns if c not in (key, "n")]
+    hot = table.where(F.col("n") > most).select(key, F.struct(*cols).alias("_hot"))
+    told = rows.join(F.broadcast(hot), key, "left")
+    rest = told.where("_hot is null").drop("_hot").join(table.where(F.col("n") <= most).select(key, *cols), key)
+    return rest.unionByName(told.where("_hot is not null").select(*rows.columns, *[F.col("_hot")[c].alias(c) for c in cols]))
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -121,15 +127,15 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if not state[0]:
             break
         # neither step makes more edges than there are, and each edge counts at both ends
-        most = max(HUB_EDGES, 2 * state[0] // HUBS)
+        total = 2 * state[0]
         # large star: every larger neighbour of u moves to u's smallest neighbour
         sym = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.count("*").alias("n"), F.least(F.min("v"), F.first("u")).alias("m"))
-        large = with_lowest(sym.where("v > u"), low, most).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = joined(sym.where("v > u"), low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every smaller neighbour of u, and u itself, moves to u's smallest neighbour
         low = large.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
         small = (
-            with_lowest(large, low, most).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            joined(large, low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
         links = cut(small, "links")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import Forest, components, cut, mix64, sifted, trimmed
+from driftline.llm.common import Forest, components, cut, joined, mix64, sifted, trimmed
 
 #: Bands and rows of a band.  A pair at similarity 0.8 shares none of the bands with chance (1 - 0.8^6)^40 = 5e-6.
 BANDS, ROWS = 40, 6
@@ -217,7 +217,7 @@ def whole_groups(groups: DataFrame) -> DataFrame:
     return groups.select("group", zero.alias("i"), zero.alias("j"), zero.alias("own"), "member")
 
 
-def outsiders_against_all(big: DataFrame, reached: DataFrame, block: int) -> DataFrame:
+def outsiders_against_all(big: DataFrame, reached: DataFrame, block: int, total: int) -> DataFrame:
     """(group, i, j, own, member) rows of large groups: blocks i of outsiders (own 0) against blocks j of all members (own 1).
 
     ``reached`` (node, component) has what links to the groups' leaders connect; a group's outsiders are
@@ -226,7 +226,7 @@ def outsiders_against_all(big: DataFrame, reached: DataFrame, block: int) -> Dat
     seen = big.join(reached.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
     counts = seen.groupBy("group", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("all"))
-    marked = seen.join(main.where("outside > 0"), "group")
+    marked = joined(seen, main.where("outside > 0").withColumn("n", F.col("all")), "group", total)
     parts = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("member"), n).cast("int")
     out = marked.where("component <> main").select("group", deal(parts("outside")).alias("i"), F.explode(F.sequence(F.lit(0), parts("all") - 1)).alias("j"), F.lit(0).alias("own"), "member")
@@ -234,11 +234,11 @@ def outsiders_against_all(big: DataFrame, reached: DataFrame, block: int) -> Dat
     return out.unionByName(every.select("group", "i", "j", "own", "member"))
 
 
-def leaders(big: DataFrame) -> DataFrame:
+def leaders(big: DataFrame, total: int) -> DataFrame:
     """(a, b): each member of a large group with up to four of its members, each pair once."""
     h = F.xxhash64("member")
-    few = big.groupBy("group").agg(F.array_distinct(F.array(F.min("member"), F.max("member"), F.min_by("member", h), F.max_by("member", h))).alias("few"))
-    pairs = big.join(few, "group").select("member", F.explode("few").alias("leader")).where("member <> leader")
+    few = big.groupBy("group").agg(F.count("*").alias("n"), F.array_distinct(F.array(F.min("member"), F.max("member"), F.min_by("member", h), F.max_by("member", h))).alias("few"))
+    pairs = joined(big.select("group", "member"), few, "group", total).select("member", F.explode("few").alias("leader")).where("member <> leader")
     return pairs.select(F.least("member", "leader").alias("a"), F.greatest("member", "leader").alias("b")).distinct()
 
 
@@ -294,8 +294,9 @@ def band_groups(classes: DataFrame) -> DataFrame:
     """(group, size, member) of the bands that two or more classes share, one of those with equal members."""
     met = classes.select(F.col("node").alias("member"), F.explode("bands").alias("band"))
     sizes = met.groupBy("band").agg(F.count("*").alias("size"), F.bit_xor("member").alias("x"), F.bit_xor(F.xxhash64("member")).alias("y")).where("size > 1")
-    once = sizes.groupBy("size", "x", "y").agg(F.min("band").alias("band")).select("band", "size")
-    return met.join(once, "band").select(F.col("band").alias("group"), "size", "member")
+    once = cut(sizes.groupBy("size", "x", "y").agg(F.min("band").alias("band")).select("band", "size", F.col("size").alias("n")), "minhash-bands")
+    total = once.agg(F.sum("n")).first()[0] or 0
+    return joined(met, once, "band", total).select(F.col("band").alias("group"), "size", "member")
 
 
 def near_duplicates(
@@ -313,7 +314,7 @@ def near_duplicates(
     rows_ = profile(docs, key, text, width, bands, rows)
     able = rows_.where("class_key is not null and key is not null")
     # one key may stand for several texts, so classes have numbers of their own; what all rows of a class share, any gives
-    one = able.groupBy("class_key").agg(F.min("key").alias("member"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    one = able.groupBy("class_key").agg(F.min("key").alias("member"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     one = cut(one.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     groups = cut(band_groups(one), "minhash-groups")
     need = cutoffs(num / den, bands * rows, min(BATCH, bands * rows), miss)
@@ -354,6 +355,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(ok, pa.bool_())})
 
     names = one.select("node", "class_key", "member")
+    total = groups.count()
 
     def compared(wanted: DataFrame, sets: DataFrame) -> DataFrame:
         """(a, b, ok) of the wanted pairs, by their full sets."""
@@ -364,8 +366,8 @@ def near_duplicates(
     members, stars = whole_groups(groups.where(F.col("size") <= block)), None
     if not big.isEmpty():
         ends = big.select(F.col("member").alias("node")).distinct()
-        stars = compared(leaders(big), full_sets(docs, names.join(ends, "node"), key, text, width)).where("ok").select("a", "b")
-        members = members.unionByName(outsiders_against_all(big.select("group", "member"), components(stars), block))
+        stars = compared(leaders(big, total), full_sets(docs, names.join(ends, "node"), key, text, width)).where("ok").select("a", "b")
+        members = members.unionByName(outsiders_against_all(big.select("group", "member"), components(stars), block, total))
     members = cut(members, "minhash-members")
     pairs = cut(by_group(members.join(low, "member")).mapInArrow(forest, "group long, a long, b long"), "minhash-pairs")
     distinct = pairs.select("a", "b").distinct()
@@ -379,12 +381,15 @@ def near_duplicates(
     failed = cut(pairs.join(checked.where("not ok").select("a", "b"), ["a", "b"]).select("group").distinct(), "minhash-failed")
     full = members.join(failed, "group", "left_semi")
     again = by_group(full.join(low, "member").join(sets.withColumnRenamed("node", "member"), "member")).mapInArrow(whole, "group long, a long, b long")
-    joined = components(links.unionByName(again.select("a", "b")))
+    reached = components(links.unionByName(again.select("a", "b")))
 
-    by_class = names.join(joined, "node", "left").select("class_key", "member", F.coalesce("component", "node").alias("component"))
-    least = by_class.groupBy("component").agg(F.min("member").alias("component_id"))
-    found = by_class.join(least, "component").select("class_key", "component_id")
+    by_class = one.select("node", "class_key", "member", "copies").join(reached, "node", "left").select("class_key", "member", "copies", F.coalesce("component", "node").alias("component"))
+    least = by_class.groupBy("component").agg(F.min("member").alias("component_id"), F.count("*").alias("n"))
+    found = joined(by_class, least, "component", one.count()).select("class_key", "component_id", F.col("copies").alias("n"))
     narrow_rows = rows_.select("key", "n_shingles", "class_key")
-    out = narrow_rows.where("class_key is not null").join(found, "class_key", "left").select("key", "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+    # every row with words has a class, but for texts whose rows all have null keys
+    known = narrow_rows.where("class_key is not null")
+    lost = known.where("key is null").join(found.select("class_key"), "class_key", "left_anti").select("key", "n_shingles", F.col("key").alias("component_id"))
+    out = joined(known, found, "class_key", known.count()).select("key", "n_shingles", F.coalesce("component_id", "key").alias("component_id")).unionByName(lost)
     empty = narrow_rows.where("class_key is null").select("key", "n_shingles", F.col("key").alias("component_id"))
     return out.unionByName(empty).select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -69,3 +69,35 @@ def test_distant_halves_are_skipped():
     near = {"id": np.arange(100, 200), "unit": None, "raw": None, "at": np.zeros((100, 2))}
     na, nb, f = egojoin.join_blocks(near, far, 0.93, 0.37)
     assert not na.any() and not nb.any() and not f.up
+
+
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    """A star larger than what counts as a hub, chains, and rounds that don't suffice."""
+    from driftline.llm import common
+
+    edges = [(0, k) for k in range(1, 900)] + [(5000 + k, 5001 + k) for k in range(200)] + [(7, 5100), (9000, 9001), (9001, 9000), (9002, 9002)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    f = Forest()
+    for a, b in edges:
+        if a != b:
+            f.join(a, b)
+    want = {x: f.root(x) for x in list(f.up)}
+    for least in (common.HUB_EDGES, 3, 10**9):
+        monkeypatch.setattr(common, "HUB_EDGES", least)
+        got = [(r["node"], r["component"]) for r in common.components(df).collect()]
+        assert len(got) == len(want) and dict(got) == want
+    with pytest.raises(RuntimeError, match="rounds"):
+        common.components(df, max_rounds=1)
+    assert common.components(df.limit(0)).collect() == []
+
+
+def test_a_join_with_hot_keys_is_a_join(spark, monkeypatch):
+    from driftline.llm import common
+
+    rows = spark.createDataFrame([(k % 5 if k < 90 else None, k) for k in range(100)], "g long, x long")
+    table = spark.createDataFrame([(0, 18, "a"), (1, 18, "b"), (2, 2, "c"), (9, 1, "d")], "g long, n long, name string")
+    want = sorted((r["x"], r["name"]) for r in rows.join(table, "g").collect())
+    for least in (1, 10, 1000):
+        monkeypatch.setattr(common, "HUB_EDGES", least)
+        out = common.joined(rows, table, "g", 100)
+        assert out.columns == ["g", "x", "name"] and sorted((r["x"], r["name"]) for r in out.collect()) == want

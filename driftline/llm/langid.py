@@ -25,6 +25,8 @@ GRAM = 3
 OTHER = 229
 #: Labelled rows that training reads, a language: at most about so many, chosen by hash of the key.
 TRAIN_ROWS = 3000
+#: Languages at most: each has a prototype that every task holds.
+LABELS = 4096
 SEED = 5
 UNKNOWN = "und"
 #: n-grams whose vectors a worker keeps; others are bound anew in each batch.
@@ -109,9 +111,14 @@ class Profiler:
 def training_rows(docs: DataFrame, key: str, text: str, lang: str, rows: int, seed: int) -> DataFrame:
     """(lang, text): of each language all labelled rows, or about ``rows`` of them by hash of key and text."""
     labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    have = labelled.groupBy("lang").agg((F.lit(float(rows)) / F.count("*")).alias("share"))
+    have = labelled.groupBy("lang").count().limit(LABELS + 1).collect()
+    if len(have) > LABELS:
+        raise ValueError(f"more than {LABELS} languages")
+    if not have:
+        return labelled.select("lang", "text")
+    share = F.create_map(*[F.lit(x) for r in have for x in (r["lang"], min(1.0, rows / r["count"]))])
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("key"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.withColumn("draw", draw).join(have, "lang").where("draw < share").select("lang", "text")
+    return labelled.where(draw < share[F.col("lang")]).select("lang", "text")
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, dim: int = DIM, seed: int = SEED) -> tuple[list[str], np.ndarray]:
@@ -120,7 +127,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     A language with more than ``rows`` labelled rows is trained on about so many, chosen by hash of
     key and text, so null keys do no harm and repeated rows are chosen together; what comes to the
     driver is one vector a language and training task, eight tasks in all.  Texts without letters teach
-    nothing.  No labelled rows: no languages.
+    nothing.  No labelled rows: no languages; more than LABELS languages are an error.
     """
     sample = training_rows(docs, key, text, lang, rows, seed).repartition(8)
 

@@ -62,3 +62,42 @@ def test_limits_tell_unlearned_languages_by_length(spark, make):
     kept = {x["doc_id"] for x in stages.language(spark, docs, "").collect()}
     assert {k for k in kept if k < 1000} == set(range(400)) and {k for k in kept if 3000 <= k < 4000} == set(range(3000, 3060))
     assert not {k for k in kept if 1000 <= k < 3000} and 4000 not in kept and 4001 not in kept and 4002 in kept
+
+
+def test_profiles_are_those_of_a_plain_loop(make):
+    """n-grams one by one, each letter's vector rotated by its place, products added up, cosines with the mean of the texts' directions."""
+    import math
+
+    docs = corpus(make, 45)
+    names, protos = langid.train(docs)
+    table = langid.letters(langid.DIM, langid.SEED)
+
+    def bundle(t):
+        out = [0.0] * langid.DIM
+        slot = [int(langid.slots()[ord(c)]) for c in t.lower()]
+        marks = [0]
+        for x in slot:
+            if x or marks[-1]:
+                marks.append(x)
+        marks.append(0)
+        for k in range(1, len(marks) - 1):
+            if marks[k]:
+                a, b, c = (table[p][marks[k - 1 + p]] for p in range(3))
+                for d in range(langid.DIM):
+                    out[d] += float(a[d]) * float(b[d]) * float(c[d])
+        return out
+
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    means = {}
+    for r in docs.collect():
+        v = bundle(r["text"])
+        m = means.setdefault(r["lang"], [0.0] * langid.DIM)
+        for d in range(langid.DIM):
+            m[d] += v[d] / norm(v)
+    some = docs.limit(6)
+    got = {r["doc_id"]: r for r in langid.predict(some, names, protos).collect()}
+    for r in some.collect():
+        v = bundle(r["text"])
+        cos = {k: sum(x * y for x, y in zip(v, m, strict=True)) / norm(v) / norm(m) for k, m in means.items()}
+        best = max(sorted(cos), key=cos.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - cos[best]) < 1e-4

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, egojoin, langid, lm, merkle, minhash, mixing, sharding, warc
+from driftline.llm import bpe, chat, egojoin, langid, lm, merkle, minhash, mixing, phrases, sharding, warc
 from driftline.llm.common import table
 
 
@@ -65,9 +65,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pseudo_likelihood": op1_pseudo_likelihood, "op2_bpe": op2_bpe, "op3_sharding": op3_sharding, "op4_language": op4_language, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings,
-    "op7_merkle": op7_merkle, "op8_chat": op8_chat, "op9_minhash": op9_minhash, "op10_mixing": op10_mixing,
+    "op7_merkle": op7_merkle, "op8_chat": op8_chat, "op9_minhash": op9_minhash, "op10_mixing": op10_mixing, "op11_phrases": op11_phrases,
 }
 ORACLE: dict[str, str] = {}
 
@@ -176,3 +180,25 @@ met AS (
 ), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT s.doc_id, len(s)::BIGINT AS n_shingles, coalesce(c.c, s.doc_id) AS component_id, coalesce(c.c, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN c ON c.a = s.doc_id
 """
+
+#: All phrases of all pieces, all cuts of the candidates, all their shorter parts.
+ORACLE["op11_phrases"] = r"""
+WITH w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), u AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM i, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 30
+), c AS (SELECT *, string_split(phrase, ' ') AS ws FROM g WHERE m >= 2),
+k AS (SELECT *, array_to_string(ws[:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (
+  SELECT k.lang, k.m, k.phrase, k.a, k.k, x.a AS l, y.a AS r, ((2000000::HUGEINT * k.a) // (x.a + y.a))::BIGINT AS score
+  FROM k JOIN g x ON x.lang = k.lang AND x.phrase = k.lp JOIN g y ON y.lang = k.lang AND y.phrase = k.rp
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+q AS (SELECT lang, a, m, ws, unnest(range(2, m)) AS len FROM c WHERE m > 2),
+o AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(ws[j:j + len - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - len + 2)) AS j FROM q)) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN u USING (lang) LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, false)
+QUALIFY rank <= 2000
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, egojoin, langid, lm, merkle, minhash, mixing, phrases, sharding, warc
+from driftline.llm import bpe, chat, egojoin, langid, lm, merkle, minhash, mixing, phrases, secretscan, sharding, warc
 from driftline.llm.common import table
 
 
@@ -69,9 +69,13 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pseudo_likelihood": op1_pseudo_likelihood, "op2_bpe": op2_bpe, "op3_sharding": op3_sharding, "op4_language": op4_language, "op5_warc": op5_warc, "op6_embeddings": op6_embeddings,
-    "op7_merkle": op7_merkle, "op8_chat": op8_chat, "op9_minhash": op9_minhash, "op10_mixing": op10_mixing, "op11_phrases": op11_phrases,
+    "op7_merkle": op7_merkle, "op8_chat": op8_chat, "op9_minhash": op9_minhash, "op10_mixing": op10_mixing, "op11_phrases": op11_phrases, "op12_secrets": op12_secrets,
 }
 ORACLE: dict[str, str] = {}
 
@@ -202,3 +206,44 @@ SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DES
 FROM b JOIN u USING (lang) LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, false)
 QUALIFY rank <= 2000
 """
+
+_NAME = "(?:[Pp][Aa][Ss][Ss](?:[Ww][Oo][Rr][Dd]|[Ww][Dd])|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_PATTERNS = {
+    "assign": _NAME + r"""["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "run": "[A-Za-z0-9+/_.=-]+",
+}
+
+
+def _matches(kind: str) -> str:
+    """All matches of a pattern with their places: what is matched and what lies between alternate."""
+    p = _PATTERNS[kind]
+    return f"""SELECT rid, '{kind}' AS kind, m, (sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m))::BIGINT AS place FROM (
+    SELECT rid, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(regexp_split_to_array(text, '{p}')) AS gap, generate_subscripts(regexp_split_to_array(text, '{p}'), 1) AS i FROM d)
+  WHERE m IS NOT NULL WINDOW w AS (PARTITION BY rid ORDER BY i)"""
+
+
+_VALUE = "regexp_extract(m, '^" + _NAME + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)"""
+#: Matches with their places, the owners of every value, and what is left of the bare ones.
+ORACLE["op12_secrets"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+base AS (
+  SELECT rid, kind, place AS a, place + length(m) AS b, trim(CASE WHEN kind = 'assign' THEN {_VALUE} ELSE m END, '+/_.=-') AS v, false AS mixed
+  FROM ({_matches("assign")} UNION ALL {_matches("access")} UNION ALL {_matches("hex")})
+  WHERE length(CASE WHEN kind = 'assign' THEN {_VALUE} ELSE m END) >= CASE kind WHEN 'assign' THEN 6 WHEN 'access' THEN 20 ELSE 24 END
+), runs AS (
+  SELECT rid, place + length(m) - length(ltrim(m, '+/_.=-')) AS a, trim(m, '+/_.=-') AS v FROM ({_matches("run")}) WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
+), bare AS (
+  SELECT rid, 'owned' AS kind, a, a + length(v) AS b, v, length(v) >= 20 AND len(list_distinct(string_split(v, ''))) >= 10 AND lower(v) <> v AND upper(v) <> v AS mixed
+  FROM runs r WHERE length(v) >= 8 AND NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = r.rid AND x.a < r.a + length(r.v) AND x.b > r.a)
+), found AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
+owners AS (SELECT v, count(DISTINCT {{'s': source}}) AS owners, bool_or(kind = 'assign') AS assigned FROM found JOIN d USING (rid) GROUP BY v),
+s AS (
+  SELECT rid, kind, list_position(['assign', 'access', 'hex', 'owned'], kind) AS k, a, b, owners FROM found JOIN owners USING (v) WHERE kind <> 'owned' OR (owners < 3 AND (assigned OR mixed))
+), t AS (
+  SELECT rid, count_if(kind = 'assign')::BIGINT AS n_assign, count_if(kind = 'access')::BIGINT AS n_access, count_if(kind = 'hex')::BIGINT AS n_hex, count_if(kind = 'owned')::BIGINT AS n_owned,
+         count_if(owners < 3)::BIGINT AS n_live, count_if(owners >= 3)::BIGINT AS n_example,
+         coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (WHERE kind <> 'owned'), '') AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM s GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN t USING (rid)
+"""

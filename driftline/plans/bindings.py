@@ -18,20 +18,28 @@ def pair_id(number) -> F.Column:
     return F.format_string(f"{CORPUS}-%05d", number)
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs_of(conversations: DataFrame, documents: DataFrame) -> DataFrame:
     """(pair_id, conv_id, prompt, reference_text): a conversation's first user turn and the document of the same id."""
-    prompts = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("reference_text"))
+    prompts = conversations.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
+    docs = documents.select("doc_id", F.col("text").alias("reference_text"))
     return prompts.join(docs, F.col("conv_id") == F.col("doc_id")).select(pair_id(F.col("conv_id")).alias("pair_id"), "conv_id", "prompt", "reference_text")
 
 
-def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_of(table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents"))
+
+
+def rounds_of(conversations: DataFrame) -> DataFrame:
     """(pair_id, k, text): assistant turns in order; round 0 is the draft."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    own = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("k", F.row_number().over(w) - 1)
+    own = conversations.where("role = 'assistant'").withColumn("k", F.row_number().over(w) - 1)
     return own.select(pair_id(F.col("conv_id")).alias("pair_id"), "k", "text")
 
 
+def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds_of(table(spark, sf_dir, "conversations"))
+
+
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds(spark, sf_dir).where("k = 0").select("pair_id", "text")
 

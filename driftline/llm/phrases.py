@@ -29,10 +29,10 @@ from driftline.llm.common import cut, joined, shuffle_parts, text_or_empty, trim
 
 #: Words of a phrase at most, and levels of a trie: the language is the first.
 WORDS, LEVELS = 4, 5
-#: Bytes of text that a shard's trie is made of; a longer text is a shard of its own.
-SHARD_BYTES = 12_000_000
+#: Bytes of text that a shard's trie is made of; a longer text is a shard of its own, of under 2^31 words.
+SHARD_BYTES = 5_000_000
 #: Bytes of text for a prefix range at least, the most ranges, and sampled positions for each.
-RANGE_BYTES, RANGES, POINTS = 16_000_000, 20_000, 50
+RANGE_BYTES, RANGES, POINTS = 6_000_000, 20_000, 50
 #: Bytes of text that the positions of one range are sampled from.
 SAMPLE_BYTES = 20_000
 #: Bounds are made of words of so many bytes at most.
@@ -80,21 +80,21 @@ class Words:
         self.vocab, rank = in_order(coded.dictionary)
         self.ids = rank[coded.indices.to_numpy()]
         per_text = np.diff(np.append(np.searchsorted(starts, first), self.n))
-        doc = np.repeat(np.arange(len(texts)), per_text)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), per_text)
         ends = np.add.reduceat(kind == 2, starts) > 0
         ends[:-1] |= doc[1:] != doc[:-1]
         ends[-1] = True
         last = np.flatnonzero(ends)
         #: number of the first word behind each word's piece
-        self.stop = np.repeat(last + 1, np.diff(np.append(-1, last)))
+        self.stop = np.repeat((last + 1).astype(np.int32), np.diff(np.append(-1, last)))
         number = {x: k for k, x in enumerate(self.langs)}
-        self.lang = np.array([number[x.encode()] for x in langs])[doc]
+        self.lang = np.array([number[x.encode()] for x in langs], np.int32)[doc]
 
 
 def in_order(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(values by their bytes, the place there of each value before)."""
     order = pc.sort_indices(values).to_numpy()
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
     return values.take(pa.array(order)), rank
 
@@ -104,24 +104,24 @@ class Trie:
 
     def __init__(self, words: Words) -> None:
         self.langs, self.words = words.langs, words.vocab
-        width, at = len(words.vocab), np.arange(words.n)
+        width, at = len(words.vocab), np.arange(words.n, dtype=np.int32)
         n = np.bincount(words.lang, minlength=len(words.langs))
-        self.up, self.word, self.n = [np.zeros(len(n), np.int64)], [np.arange(len(n))], [n]
+        self.up, self.word, self.n = [np.zeros(len(n), np.int32)], [np.arange(len(n), dtype=np.int32)], [n]
         node = words.lang
         for d in range(1, LEVELS):
             fits = at + d <= words.stop[at]
             at, node = at[fits], node[fits]
-            key = node * width + words.ids[at + d - 1]
+            key = node.astype(np.int64) * width + words.ids[at + d - 1]
             order = np.argsort(key, kind="stable") if d < LEVELS - 1 else None
             key = np.sort(key) if order is None else key[order]
             new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
             begin = np.flatnonzero(new)
-            self.up.append(key[begin] // width)
-            self.word.append(key[begin] % width)
-            self.n.append(np.diff(np.append(begin, len(key))))
+            self.up.append((key[begin] // width).astype(np.int32))
+            self.word.append((key[begin] % width).astype(np.int32))
+            self.n.append(np.diff(np.append(begin, len(key))).astype(np.int32))
             if order is not None:
-                node = np.empty(len(key), np.int64)
-                node[order] = np.cumsum(new) - 1
+                node = np.empty(len(key), np.int32)
+                node[order] = np.cumsum(new, dtype=np.int32) - 1
 
     def place(self, bound: tuple[bytes, ...], langs: list[bytes], words: list[bytes]) -> tuple[list[int], list[bool]]:
         """Nodes of each level that come before ``bound``, and whether the last of them is an ancestor of it."""
@@ -129,16 +129,16 @@ class Trie:
         lo, hi, here, before = 0, len(self.n[0]), True, 0
         for d in range(LEVELS):
             if not here or d >= len(bound):
-                before = int(np.searchsorted(self.up[d], before)) if d else before
+                before = int(np.searchsorted(self.up[d], np.int32(before))) if d else before
                 cuts.append(before)
                 context.append(False)
                 here = False
                 continue
             if d:
-                lo, hi = (int(x) for x in np.searchsorted(self.up[d], [lo, lo + 1]))
+                lo, hi = (int(x) for x in np.searchsorted(self.up[d], np.array([lo, lo + 1], np.int32)))
             names = words if d else langs
             rank = bisect.bisect_left(names, bound[d])
-            p = lo + int(np.searchsorted(self.word[d][lo:hi], rank))
+            p = lo + int(np.searchsorted(self.word[d][lo:hi], np.int32(rank)))
             same = rank < len(names) and names[rank] == bound[d] and p < hi and int(self.word[d][p]) == rank
             ancestor = same and d < len(bound) - 1
             cuts.append(p + ancestor)
@@ -162,12 +162,12 @@ class Trie:
         used, number = np.unique(np.concatenate(word[1:]), return_inverse=True)
         number = np.split(number, np.cumsum([len(w) for w in word[1:]])[:-1])
         names = self.words.take(pa.array(used))
-        sizes = pc.binary_length(names).to_numpy().astype(np.int64)
+        sizes, letters = pc.binary_length(names).to_numpy(), names.buffers()[2]
         langs = [self.langs[k] for k in word[0]]
         arrays = [np.array([len(x) for x in word] + [int(x) for x in context] + [len(used), len(langs)]), sizes, np.array([len(x) for x in langs])]
         for d in range(1, LEVELS):
             arrays += [np.diff(self.up[d][lo[d] : hi[d]] - lo[d - 1], prepend=0), number[d - 1]]
-        raw = b"".join([x.astype(np.int32).tobytes() for x in arrays] + [self.n[d][lo[d] : hi[d]].astype(np.int64).tobytes() for d in range(LEVELS)] + langs + names.to_pylist())
+        raw = b"".join([x.astype(np.int32).tobytes() for x in arrays] + [self.n[d][lo[d] : hi[d]].astype(np.int32).tobytes() for d in range(LEVELS)] + langs + [letters.to_pybytes()[: int(sizes.sum(dtype=np.int64))] if letters else b""])
         return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -177,23 +177,24 @@ class Segment:
     def __init__(self, blob: bytes) -> None:
         raw, at = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), 0
 
-        def take(n: int, kind=np.int32) -> np.ndarray:
+        def take(n: int) -> np.ndarray:
             nonlocal at
-            out = np.frombuffer(raw, kind, n, at)
+            out = np.frombuffer(raw, np.int32, n, at)
             at += out.nbytes
             return out
 
         head = take(2 * LEVELS + 2)
         count, self.context, n_words, n_langs = head[:LEVELS], head[LEVELS : 2 * LEVELS].astype(bool), int(head[-2]), int(head[-1])
         word_sizes, lang_sizes = take(n_words), take(n_langs)
-        self.up, self.word = [np.zeros(n_langs, np.int64)], [np.arange(n_langs)]
+        self.up, self.word = [np.zeros(n_langs, np.int32)], [np.arange(n_langs, dtype=np.int32)]
         for d in range(1, LEVELS):
-            self.up.append(np.cumsum(take(count[d]), dtype=np.int64))
+            self.up.append(np.cumsum(take(count[d]), dtype=np.int32))
             self.word.append(take(count[d]))
-        self.n = [take(count[d], np.int64) for d in range(LEVELS)]
-        ends = at + np.cumsum(np.append(lang_sizes, word_sizes))
-        names = [raw[b - s : b] for b, s in zip(ends, np.append(lang_sizes, word_sizes), strict=True)]
-        self.langs, self.words = names[:n_langs], pa.array(names[n_langs:], pa.large_binary())
+        self.n = [take(count[d]) for d in range(LEVELS)]
+        ends = at + np.cumsum(np.append(0, lang_sizes))
+        self.langs = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        offsets = np.cumsum(np.append(0, word_sizes), dtype=np.int64)
+        self.words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_words, [None, pa.py_buffer(offsets), pa.py_buffer(raw).slice(int(ends[-1]))])
 
 
 def merged(blobs: list[bytes], least: int) -> pa.RecordBatch | None:
@@ -211,7 +212,7 @@ def merged(blobs: list[bytes], least: int) -> pa.RecordBatch | None:
     for d in range(LEVELS):
         sizes = [len(s.n[d]) for s in segments]
         if d:
-            key = np.concatenate([np.where((p := own[k][s.up[d]]) < 0, -1, p * width + rank[first[k] + s.word[d]]) for k, s in enumerate(segments)])
+            key = np.concatenate([np.where((p := own[k][s.up[d]]) < 0, -1, p.astype(np.int64) * width + rank[first[k] + s.word[d]]) for k, s in enumerate(segments)])
         else:
             key = np.concatenate([np.array([number[x] for x in s.langs], np.int64) for s in segments])
         count = np.concatenate([s.n[d] for s in segments])
@@ -222,11 +223,11 @@ def merged(blobs: list[bytes], least: int) -> pa.RecordBatch | None:
         order = order[np.searchsorted(key[order], 0) :]
         key_, total = key[order], np.zeros(0, np.int64)
         begin = np.flatnonzero(np.append(True, key_[1:] != key_[:-1])) if len(key_) else np.zeros(0, np.int64)
-        node = np.full(len(key), -1, np.int64)
+        node = np.full(len(key), -1, np.int32)
         if len(begin):
-            total = np.add.reduceat(count[order], begin)
+            total = np.add.reduceat(count[order], begin, dtype=np.int64)
             enough = total >= least
-            renumbered = np.where(enough, np.cumsum(enough) - 1, -1)
+            renumbered = np.where(enough, np.cumsum(enough) - 1, -1).astype(np.int32)
             node[order] = np.repeat(renumbered, np.diff(np.append(begin, len(key_))))
             up.append(key_[begin][enough] // width if d else np.zeros(int(enough.sum()), np.int64))
             word.append(key_[begin][enough] % width if d else key_[begin][enough])
@@ -318,10 +319,13 @@ def frequent(docs: DataFrame, least: int, text: str = "text", lang: str = "lang"
 
     def count(batches):
         for words in shards(batches):
-            if words.n:
-                part, segment = zip(*Trie(words).segments(told.value), strict=True)
+            trie = Trie(words) if words.n else None
+            del words  # only one shard at a time
+            if trie:
+                part, segment = zip(*trie.segments(told.value), strict=True)
+                del trie
+                trim()
                 yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "segment": pa.array(segment, pa.binary())})
-        trim()
 
     def merge(table: pa.Table) -> pa.Table:
         batch = merged(table.column("segment").to_pylist(), least)

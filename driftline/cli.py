@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import text as tx
-from driftline.operators import cascade, detection, judging, sampling, setops
-from driftline.operators.seams import as_factory
+from driftline.operators import cascade, detection, judging, progress, sampling, setops
+from driftline.operators.seams import as_factory, in_flight
 from driftline.plans import reports as rp
 from driftline.plans import scoring
-from driftline.session import build_session
+from driftline.session import build_session, cut
 from driftline.sources import records
 from driftline.streaming import incremental
 
@@ -69,8 +69,9 @@ def write_report(out: str | None, record: dict, document: str) -> None:
 def write_set(df: DataFrame, folder: str, set_id: str, role: str, corpus: str, round_no: int | None = None) -> str:
     """Texts and manifest of a set, in the order of the frame's ord."""
     rows = df.orderBy("ord").select("pair_id", "text")
-    rows.coalesce(1).write.mode("overwrite").json(f"{folder}/{set_id}.jsonl")
-    ids = [r[0] for r in rows.toLocalIterator()]
+    rows.write.mode("overwrite").json(f"{folder}/{set_id}.jsonl")
+    # the manifest is one document that lists the ids
+    ids = [r[0] for r in rows.select("pair_id").toLocalIterator()]
     manifest = {"set_id": set_id, "role": role, "corpus": corpus, "pair_ids": ids, "provenance": {"texts_path": f"{set_id}.jsonl"}, "schema_version": records.SCHEMA_VERSION}
     if round_no is not None:
         manifest["round"] = round_no
@@ -94,10 +95,9 @@ def build_corpus(spark: SparkSession, a, clients) -> int:
         good = sampling.pool(sampling.qualified(docs), target, "doc_id")
         drawn = sampling.sample_by_generator(spark, good, target, a.seed, "doc_id")
         rows = drawn.select("position", "text", F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string")).alias("source"), "word_count", tx.register(F.lit("")).alias("register"))
-    planned = rows.withColumn("pair_id", sampling.stable_id(a.corpus, F.col("position")))
+    planned = cut(rows.withColumn("pair_id", sampling.stable_id(a.corpus, F.col("position"))), "planned-pairs")
     folder = f"{a.out}/{a.corpus}"
-    done = incremental.have(spark, f"{folder}/pairs", records.schema("pair"))
-    left = setops.remaining(planned, done)
+    left = setops.remaining(planned, incremental.have(spark, f"{folder}/pairs", records.schema("pair")))
     try:
         rp.gate(rp.estimate(left.count(), rp.CALL_COST), a.yes)
     except rp.CostError as e:  # this command's own code
@@ -107,18 +107,20 @@ def build_corpus(spark: SparkSession, a, clients) -> int:
     def run(frames):
         ask = make()
         for pdf in frames:
-            yield pdf.assign(prompt=[ask(t, i, judging.DEFAULT_JUDGE) for t, i in zip(pdf["text"], pdf["instruction"], strict=True)])
-
-    asked = left.select("pair_id", "text", tx.prompt_variant(F.col("position")).alias("instruction"))
-    made = asked.mapInPandas(run, "pair_id string, text string, instruction string, prompt string").select("pair_id", "prompt")
-    pairs = left.join(made, "pair_id").select(
-        "pair_id", F.lit(a.corpus).alias("corpus"), "prompt", F.col("text").alias("reference_text"), "source", "register", F.lit(judging.DEFAULT_JUDGE).alias("prompt_generator"), F.col("word_count").cast("int")
-    )
-    pairs.write.mode("append").parquet(f"{folder}/pairs")
+            yield pdf.assign(prompt=list(in_flight(lambda x: ask(x[0], x[1], judging.DEFAULT_JUDGE), zip(pdf["text"], pdf["instruction"], strict=True))))
+
+    def prompted(rows: DataFrame) -> DataFrame:
+        asked = rows.select("pair_id", "text", tx.prompt_variant(F.col("position")).alias("instruction"))
+        made = asked.mapInPandas(run, "pair_id string, text string, instruction string, prompt string").select("pair_id", "prompt")
+        return rows.join(made, "pair_id").select(
+            "pair_id", F.lit(a.corpus).alias("corpus"), "prompt", F.col("text").alias("reference_text"), "source", "register", F.lit(judging.DEFAULT_JUDGE).alias("prompt_generator"), F.col("word_count").cast("int")
+        )
+
+    done = progress.append(planned, f"{folder}/pairs", records.schema("pair"), prompted, per_batch=a.batch, others=True)
     all_ = spark.read.schema(records.schema("pair")).parquet(f"{folder}/pairs")
     own = planned.select("pair_id", F.col("position").alias("ord")).join(records.reference_set(all_), "pair_id")
     manifest = write_set(own, folder, f"{a.corpus}-{a.tier}", "human_reference", a.corpus)
-    emit({"command": "build-corpus", "status": "ok", "seed": a.seed, "pairs": own.count(), "manifest": manifest})
+    emit({"command": "build-corpus", "status": "ok", "seed": a.seed, "pairs": own.count(), "already_done": done.before, "prompted": done.new, "manifest": manifest})
     return EXIT["ok"]
 
 
@@ -129,16 +131,13 @@ def generate(spark: SparkSession, a, clients) -> int:
     if len(corpora) != 1:
         raise records.RecordError(f"one corpus is needed, not {corpora}")
     store, kind = f"{a.out}/drafts", records.T._parse_datatype_string("pair_id string, text string, seed long")
-    before = incremental.have(spark, store, kind)
-    if stray := setops.strays(before, pairs).limit(3).collect():
-        raise setops.SetError(f"drafts of pairs that the corpus lacks: {[r['pair_id'] for r in stray]}")
-    n_before = before.count()
-    cascade.generated(pairs, before, make, a.seed, a.temperature, a.top_p).write.mode("append").parquet(store)
+    done = progress.append(pairs, store, kind, lambda rows: cascade.drafted(rows, make, a.seed, a.temperature, a.top_p), per_batch=a.batch)
     all_ = spark.read.schema(kind).parquet(store)
     n = all_.count()
     own = all_.withColumn("ord", F.col("pair_id"))
     manifest = write_set(own, a.out, f"{corpora[0]}-{n}-draft", "instruct_draft", corpora[0])
-    emit({"command": "generate", "status": "ok", "pairs": n, "already_done": n_before, "generated": n - n_before, "skipped_truncated": 0, "manifest": manifest})
+    # what is kept is committed whole, so there are no torn records to skip
+    emit({"command": "generate", "status": "ok", "pairs": n, "already_done": done.before, "generated": done.new, "skipped_truncated": 0, "manifest": manifest})
     return EXIT["ok"]
 
 
@@ -163,12 +162,12 @@ def rewrite(spark: SparkSession, a, clients) -> int:
     if len(corpora) != 1:
         raise records.RecordError(f"drafts of one corpus are needed, not {corpora}")
 
-    def save(df, k):
-        path = f"{a.out}/rounds/k={k}"
-        df.drop("k").write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path).withColumn("k", F.lit(k)).select("pair_id", "k", "text", "report")
+    def rewritten(rows: DataFrame) -> DataFrame:
+        return cascade.run(rows, make, a.rounds, lambda df, k: cut(df, f"rounds-k{k}")).where("k > 0")
 
-    out = cascade.run(drafts.select("pair_id", "text"), make, a.rounds, save)
+    store, kind = f"{a.out}/rounds", f"pair_id string, text string, report {tx.DEGENERATION}, k int"
+    done = progress.append(drafts.select("pair_id", "text"), store, kind, rewritten, per_batch=a.batch, partition_by=["k"])
+    out = spark.read.schema(kind).parquet(store)
     n, sets = drafts.count(), []
     for k in range(1, a.rounds + 1):
         good = out.where((F.col("k") == k) & ~F.col("report.hard_tripped")).withColumn("ord", F.col("pair_id"))
@@ -178,7 +177,7 @@ def rewrite(spark: SparkSession, a, clients) -> int:
         if int(old.name.removesuffix(".manifest.json").rpartition("-k")[2]) > a.rounds:
             old.unlink()
     flagged = out.where("report.hard_tripped").count()
-    emit({"command": "rewrite", "status": "ok", "pairs": n, "already_done": 0, "rewritten": n, "skipped_truncated": 0, "flagged_degenerate": flagged, "adapter": a.adapter, "seed_applied": False, "sets": sets})
+    emit({"command": "rewrite", "status": "ok", "pairs": n, "already_done": done.before, "rewritten": done.new, "skipped_truncated": 0, "flagged_degenerate": flagged, "adapter": a.adapter, "seed_applied": False, "sets": sets})
     return EXIT["ok"]
 
 
@@ -208,7 +207,7 @@ def score(spark: SparkSession, a, clients) -> int:
         embedder = client(clients, "embedder") if "mmd" in asked and a.embedder != "stub" else None
         report = scoring.score(
             cand, ref, names=a.metrics, seed=a.seed, report_id=out_id or f"{cm['set_id']}-vs-{rm['set_id']}", sets=(cm["set_id"], rm["set_id"]), corpus=cm["corpus"], round_no=cm.get("round"),
-            judge_model=a.judge, embedder=embedder, embedder_id=a.embedder, **extra,
+            judge_model=a.judge, embedder=embedder, embedder_id=a.embedder, per_batch=a.batch, **extra,
         )
     write_report(a.out, report, rp.report_document(report))
     emit(report)
@@ -274,6 +273,7 @@ COMMANDS = {"build-corpus": build_corpus, "generate": generate, "rewrite": rewri
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="driftline", description="Build corpora, draft, rewrite, score and compare text sets.")
     p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--batch", type=int, default=progress.PER_BATCH, help="calls whose results are kept together: what a run that fails may lose")
     sub = p.add_subparsers(dest="command")
     c = sub.add_parser("build-corpus")
     c.add_argument("--tier", choices=list(sampling.TIERS), default="smoke")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import text as tx
+from driftline.operators.seams import IN_FLIGHT, in_flight
 from driftline.sources.records import RecordError
 
 #: Rounds that may be asked for, and without asking.
@@ -69,13 +70,13 @@ def run_summary(rounds: DataFrame, requested: int, done: DataFrame | None = None
     )
 
 
-def rewritten(texts: DataFrame, factory: Callable[[], Callable[[str, int], str]], k: int) -> DataFrame:
+def rewritten(texts: DataFrame, factory: Callable[[], Callable[[str, int], str]], k: int, workers: int = IN_FLIGHT) -> DataFrame:
     """(pair_id, text) after one batched round; a pair without a text that isn't blank is an error, not a trip."""
 
     def run(frames):
         client = factory()
         for pdf in frames:
-            yield pd.DataFrame({"pair_id": pdf["pair_id"], "text": [client(t, k) for t in pdf["text"]]})
+            yield pd.DataFrame({"pair_id": pdf["pair_id"], "text": list(in_flight(lambda t: client(t, k), pdf["text"], workers))})
 
     made = texts.select("pair_id", "text").mapInPandas(run, "pair_id string, text string")
     fail = F.raise_error(F.concat(F.lit(f"round {k}: no text for "), F.col("pair_id"))).cast("string")
@@ -119,16 +120,20 @@ def stale_rounds(names: DataFrame, requested: int) -> DataFrame:
     return names.where(tx.round_of_artifact("name") > requested)
 
 
-def generated(prompts: DataFrame, done: DataFrame, factory: Callable[[], Callable[[str, float, float, int], str]], seed: int, temperature: float = 0.7, top_p: float = 0.95) -> DataFrame:
-    """(pair_id, text, seed) of the pairs not yet drafted, each with a seed of its own; a blank draft is an error."""
-    left = prompts.join(done.select("pair_id"), "pair_id", "left_anti").withColumn("seed", tx.pair_seed("pair_id", seed))
+def drafted(prompts: DataFrame, factory: Callable[[], Callable[[str, float, float, int], str]], seed: int, temperature: float = 0.7, top_p: float = 0.95, workers: int = IN_FLIGHT) -> DataFrame:
+    """(pair_id, text, seed) of (pair_id, prompt), each with a seed of its own; a blank draft is an error."""
 
     def run_(frames):
         client = factory()
         for pdf in frames:
-            texts = [client(p, temperature, top_p, int(s)) for p, s in zip(pdf["prompt"], pdf["seed"], strict=True)]
+            texts = list(in_flight(lambda x: client(x[0], temperature, top_p, int(x[1])), zip(pdf["prompt"], pdf["seed"], strict=True), workers))
             if blank := [i for i, t in zip(pdf["pair_id"], texts, strict=True) if not (t or "").strip()]:
                 raise RecordError(f"no draft for {blank[:5]}")
             yield pd.DataFrame({"pair_id": pdf["pair_id"], "text": texts, "seed": pdf["seed"]})
 
-    return left.select("pair_id", "prompt", "seed").mapInPandas(run_, "pair_id string, text string, seed long")
+    return prompts.withColumn("seed", tx.pair_seed("pair_id", seed)).select("pair_id", "prompt", "seed").mapInPandas(run_, "pair_id string, text string, seed long")
+
+
+def generated(prompts: DataFrame, done: DataFrame, factory: Callable[[], Callable[[str, float, float, int], str]], seed: int, temperature: float = 0.7, top_p: float = 0.95) -> DataFrame:
+    """:func:`drafted` pairs of those that have no draft yet."""
+    return drafted(prompts.join(done.select("pair_id"), "pair_id", "left_anti"), factory, seed, temperature, top_p)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import text as tx
+from driftline.operators.seams import IN_FLIGHT, in_flight
 from driftline.sources.records import DIMENSIONS
 
 #: The protocol's judge, calls before giving up and the first pause.
@@ -35,11 +36,19 @@ def rendered(rows: DataFrame, templates: dict[str, str]) -> DataFrame:
     return rows.withColumn("rendered", tx.render_prompt(named[F.col("dimension")], F.col("prompt"), a, b))
 
 
-def judged(rows: DataFrame, factory: Callable[[], Callable[[str, str], str]], model: str = DEFAULT_JUDGE, attempts: int = ATTEMPTS, pause: float = PAUSE) -> DataFrame:
-    """Verdicts of the rendered tasks; the factory makes each worker's client, which takes (prompt, model).
+VERDICT = "pair_id string, dimension string, judge_model string, order string, raw_response string, choice string, retry_count int, model_won boolean"
 
-    A failing call is tried again, with pauses that double; a reply that can't be read is asked for
-    once more.  What fails in the end is an invalid verdict that says so, never an exception.
+
+def judged(
+    rows: DataFrame, factory: Callable[[], Callable[[str, str], str]], model: str = DEFAULT_JUDGE, attempts: int = ATTEMPTS, pause: float = PAUSE,
+    workers: int = IN_FLIGHT, per_second: float | None = None,
+) -> DataFrame:
+    """Verdicts of the rendered tasks; the factory makes each task's client, which takes (prompt, model) and must allow calls from several threads.
+
+    A task has up to ``workers`` calls under way, and starts at most ``per_second`` of them; verdicts
+    come in the rows' order all the same.  A failing call is tried again, with pauses that double; a
+    reply that can't be read is asked for once more.  What fails in the end is an invalid verdict that
+    says so, never an exception.
     """
 
     def ask(client, prompt: str) -> tuple[str, bool]:
@@ -54,21 +63,22 @@ def judged(rows: DataFrame, factory: Callable[[], Callable[[str, str], str]], mo
 
     def run(frames):
         client = factory()
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples(index=False):
+
+        def verdict(r):
+            reply, ok = ask(client, r.rendered)
+            retries = 0
+            if ok and _choice(reply) == "invalid":
                 reply, ok = ask(client, r.rendered)
-                retries = 0
-                if ok and _choice(reply) == "invalid":
-                    reply, ok = ask(client, r.rendered)
-                    retries = 1
-                choice = _choice(reply) if ok else "invalid"
-                won = None if choice == "invalid" else (choice == "A") == (r.order == "model_first")
-                out.append((r.pair_id, r.dimension, model, r.order, reply, choice, retries, won))
+                retries = 1
+            choice = _choice(reply) if ok else "invalid"
+            won = None if choice == "invalid" else (choice == "A") == (r.order == "model_first")
+            return r.pair_id, r.dimension, model, r.order, reply, choice, retries, won
+
+        for pdf in frames:
+            out = list(in_flight(verdict, pdf.itertuples(index=False), workers, per_second))
             yield pd.DataFrame(out, columns=["pair_id", "dimension", "judge_model", "order", "raw_response", "choice", "retry_count", "model_won"]).astype({"model_won": object})
 
-    kind = "pair_id string, dimension string, judge_model string, order string, raw_response string, choice string, retry_count int, model_won boolean"
-    return rows.select("pair_id", "dimension", "order", "rendered").mapInPandas(run, kind)
+    return rows.select("pair_id", "dimension", "order", "rendered").mapInPandas(run, VERDICT)
 
 
 def _choice(reply: str) -> str:

@@ -7,7 +7,11 @@ from __future__ import annotations
 
 import hashlib
 import inspect
-from collections.abc import Callable
+import threading
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,6 +28,51 @@ def as_factory(x) -> Callable:
     return lambda: x
 
 
+#: Calls that a task has under way at a time.
+IN_FLIGHT = 4
+
+
+class Pace:
+    """At most ``per_second`` starts a second, over all threads of a task; none without a rate."""
+
+    def __init__(self, per_second: float | None) -> None:
+        self.gap, self.next, self.lock = (1.0 / per_second if per_second else 0.0), 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if not self.gap:
+            return
+        with self.lock:
+            now = time.monotonic()
+            at = max(now, self.next)
+            self.next = at + self.gap
+        time.sleep(max(0.0, at - now))
+
+
+def in_flight(call: Callable, items: Iterable, workers: int = IN_FLIGHT, per_second: float | None = None) -> Iterator:
+    """``call`` of each item, in the items' order, with up to ``workers`` calls under way and as many results waiting.
+
+    What waits is bounded, however many items there are.  A call that raises ends the iteration where
+    its result would come; calls that haven't begun by then are not made.
+    """
+    pace, waiting = Pace(per_second), deque()
+
+    def paced(item):
+        pace.wait()
+        return call(item)
+
+    with ThreadPoolExecutor(workers) as pool:
+        try:
+            for item in items:
+                waiting.append(pool.submit(paced, item))
+                if len(waiting) >= 2 * workers:
+                    yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
+        finally:
+            for f in waiting:
+                f.cancel()
+
+
 def stub_prompter() -> Callable[[str, str, str], str]:
     return lambda document, instruction, model: f"Write about: {' '.join(document.split()[:8])}"
 

@@ -6,22 +6,23 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import text as tx
+from driftline.operators.seams import IN_FLIGHT, in_flight
 
 #: Bins of the histogram over [0, 1], and the rise that counts as a success.
 BINS, RISE = 10, 0.30
 
 
-def scored(texts: DataFrame, factory: Callable[[], Callable[[str], float]]) -> DataFrame:
+def scored(texts: DataFrame, factory: Callable[[], Callable[[str], float]], workers: int = IN_FLIGHT) -> DataFrame:
     """(set_id, role, pair_id, text_sha, human_prob); a call that fails or gives no probability fails the whole set."""
 
     def run(frames):
         client = factory()
         for pdf in frames:
-            yield pdf.assign(human_prob=[float(client(t)) for t in pdf["text"]])[["set_id", "role", "pair_id", "text", "human_prob"]]
+            yield pdf.assign(human_prob=list(in_flight(lambda t: float(client(t)), pdf["text"], workers)))[["set_id", "role", "pair_id", "text", "human_prob"]]
 
     raw = texts.select("set_id", "role", "pair_id", "text").mapInPandas(run, "set_id string, role string, pair_id string, text string, human_prob double")
     return checked(raw).select("set_id", "role", "pair_id", tx.content_sha256("text").alias("text_sha"), "human_prob")
@@ -38,36 +39,54 @@ def stub_probability(text="text"):
     return F.conv(F.substring(F.md5(tx.col(text).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-#: Bins of a group among which its quantiles are looked for.
-LOOK = 4096
+#: Accuracy of the sketch that brackets quantiles, how many of its errors a bracket is wide to either side, and ranks that it must be wide.
+ACCURACY, ERRORS, RANKS = 50_000, 4, 8
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)], F.lit(True))
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...], accuracy: int = ACCURACY) -> DataFrame:
     """(by..., q): the linear quantiles of each group, exact, without gathering a group's values anywhere.
 
-    Counts in LOOK even bins between a group's extremes tell which bins hold the ranks that are asked
-    for; only the distinct values of these are put in order, with how often they come.
+    A sketch, which merges as it is aggregated, brackets each quantile by rank, so outliers don't widen a
+    bracket.  One pass then counts the values below each bracket and, one by one, those inside: a few
+    in 10,000 of a group's values, which are put in order; groups so small that a bracket has only a few
+    ranks are ordered as they are.  Null values are left out; a group without others has no row.
     """
     v = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    ends = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / LOOK
-    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(LOOK - 1), F.floor((F.col("_v") - F.col("_lo")) / width))).otherwise(0).cast("int")
-    e = ends.select(*[F.col(c).alias(f"_e_{c}") for c in by], "_lo", "_hi", "_n")
-    binned = v.join(e, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in by], F.lit(True))).select(*by, "_v", "_n", bin_.alias("_bin"))
-    # one row a value from here on
-    counted = binned.groupBy(*by, "_bin", "_v").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
-    bins = counted.groupBy(*by, "_bin").agg(F.sum("_k").alias("_k"), F.first("_n").alias("_n"))
-    upto = Window.partitionBy(*by).orderBy("_bin")
-    place = lambda p: (F.col("_n") - 1) * F.lit(float(p))
-    ranks = F.array_distinct(F.array(*[x.cast("long") for p in shares for x in (F.floor(place(p)), F.ceil(place(p)))]))
-    held = bins.withColumn("_before", F.sum("_k").over(upto) - F.col("_k")).withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_k"))))
-    wanted = held.where(F.size("_ranks") > 0).select(*[F.col(c).alias(f"_w_{c}") for c in by], F.col("_bin").alias("_w_bin"), "_before", "_ranks")
-    inside = counted.join(wanted, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by], F.col("_bin") == F.col("_w_bin")))
-    within = Window.partitionBy(*by, "_bin").orderBy("_v")
-    at = inside.withColumn("_to", F.sum("_k").over(within) + F.col("_before")).withColumn("_hits", F.filter("_ranks", lambda r: (r < F.col("_to")) & (r >= F.col("_to") - F.col("_k"))))
-    found = at.select(*by, "_n", "_v", F.explode("_hits").alias("_rank")).groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"))
-    low, high = (lambda p: F.col("_m")[F.floor(place(p)).cast("long")]), (lambda p: F.col("_m")[F.ceil(place(p)).cast("long")])
-    return found.select(*by, F.array(*[low(p) + (place(p) - F.floor(place(p))) * (high(p) - low(p)) for p in shares]).alias("q"))
+    width = ERRORS / accuracy
+    ends = [min(1.0, max(0.0, p + w)) for p in shares for w in (-width, width)]
+    keys = [f"_e_{c}" for c in by]
+    told = v.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(x) for x in ends]), F.lit(accuracy)).alias("_e"))
+    told = told.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], "_n", "_e")
+    # a share's row: a value inside its bracket, or null for one below; -1 is a group that is ordered whole
+    row = lambda k, at: F.struct(F.lit(k).alias("share"), at.alias("at"))
+    mine = [
+        F.when(F.col("_v") < F.col("_e")[2 * k], row(k, F.lit(None).cast("double"))).when(F.col("_v") <= F.col("_e")[2 * k + 1], row(k, F.col("_v"))) for k in range(len(shares))
+    ]
+    rows_of = F.when(F.col("_n") * width < RANKS, F.array(row(-1, F.col("_v")))).otherwise(F.array_compact(F.array(*mine)))
+    seen = v.join(told, _same(by, keys)).select(*by, "_n", F.explode(rows_of).alias("_x")).select(*by, "_n", "_x.*")
+    counted = seen.groupBy(*by, "_n", "share", "at").agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*by, "share").orderBy(F.col("at").asc_nulls_first()))
+    ranked = counted.withColumn("_to", upto)
+    place = lambda k: (F.col("_n") - 1) * F.lit(float(shares[k]))
+
+    def value_at(rank: Column, k: int) -> Column:
+        here = F.col("share").isin(k, -1) & (rank >= F.col("_to") - F.col("_k")) & (rank < F.col("_to"))
+        return F.max(F.when(here, F.col("at")))
+
+    ends = [value_at(end(place(k)), k).alias(f"_{name}{k}") for k in range(len(shares)) for name, end in (("low", F.floor), ("high", F.ceil))]
+    found = ranked.groupBy(*by, "_n").agg(*ends)
+    missed = F.raise_error(F.lit("a quantile is outside of its bracket")).cast("double")
+
+    def linear(k: int) -> Column:
+        low, high = F.col(f"_low{k}"), F.col(f"_high{k}")
+        between = F.when(low == high, low).otherwise(low + (place(k) - F.floor(place(k))) * (high - low))
+        return F.when(low.isNull() | high.isNull(), missed).otherwise(between)
+
+    return found.select(*by, F.array(*[linear(k) for k in range(len(shares))]).alias("q"))
 
 
 def summary(rows: DataFrame, by: list[str], value: str = "human_prob") -> DataFrame:
@@ -76,7 +95,7 @@ def summary(rows: DataFrame, by: list[str], value: str = "human_prob") -> DataFr
     q = quantiles(rows, by, value, (0.25, 0.5, 0.75, 0.9))
     own = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stdev"), F.min(v).alias("minimum"), F.max(v).alias("maximum"))
     q = q.select(*[F.col(c).alias(f"_q_{c}") for c in by], "q")
-    out = own.join(q, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by], F.lit(True)), "left")
+    out = own.join(q, _same(by, [f"_q_{c}" for c in by]), "left")
     return out.select(*by, "n", "mean", F.col("q")[1].alias("median"), "stdev", "minimum", "maximum", *[F.col("q")[k].alias(f"p{p}") for k, p in enumerate((25, 50, 75, 90))])
 
 

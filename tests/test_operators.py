@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -163,6 +164,38 @@ def test_detector_summary(spark):
     assert got["u"]["stdev"] == 0.0 and got["u"]["p90"] == 0.3
 
 
+@pytest.mark.parametrize("accuracy", [detection.ACCURACY, 40])
+def test_quantiles_with_outliers_infinities_ties_and_nulls(spark, accuracy):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    groups = {
+        "even": r.random(4001), "outlier": np.append(r.random(3000), 1e12), "both": np.append(r.random(500), [np.inf, -np.inf]), "tied": np.append(np.full(5000, 3.25), r.random(1000)), "two": np.array([1.0, 2.0]),
+        "steps": r.integers(0, 5, 2000).astype(float), None: r.normal(size=777), "same": np.full(50, np.inf),
+    }
+    rows = [(g, float(x)) for g, x in ((g, x) for g, v in groups.items() for x in v)] + [("even", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {x["g"]: x["q"] for x in detection.quantiles(df, ["g"], "v", shares, accuracy).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        v = np.sort(v)
+        place = [(len(v) - 1) * p for p in shares]
+        want = [v[int(x)] if v[int(x)] == v[math.ceil(x)] else v[int(x)] + (x - int(x)) * (v[math.ceil(x)] - v[int(x)]) for x in place]
+        assert got[g] == pytest.approx(want, rel=1e-12)
+    alone = detection.quantiles(df.where("g = 'outlier'"), [], "v", (0.5,), accuracy).first()["q"]
+    assert alone == pytest.approx([got["outlier"][2]])
+
+
+def test_no_task_orders_more_than_a_bracket(spark):
+    """One value far off, which even bins between the extremes would give one bin with all others in it."""
+    df = spark.range(50_000).select((F.col("id") / 50_000).alias("v")).unionByName(spark.createDataFrame([(1e12,)], "v double"))
+    assert detection.quantiles(df, [], "v", (0.5,), 1000).first()["q"] == [0.5]
+    width = detection.ERRORS / 1000
+    ends = df.agg(F.percentile_approx("v", F.array(F.lit(0.5 - width), F.lit(0.5 + width)), 1000)).first()[0]
+    assert df.where(F.col("v").between(*ends)).count() <= 50_000 * 2 * 1.25 * width
+
+
 def test_histogram(spark):
     df = spark.createDataFrame([(v,) for v in (0.0, 0.05, 0.5, 0.95, 1.0)], "human_prob double")
     got = {r["bin"]: r["n"] for r in detection.histogram(df, []).collect()}

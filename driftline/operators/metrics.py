@@ -5,6 +5,8 @@ Every metric takes long rows with a group column, so that several comparisons sh
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from driftline.functions.text import words
 from driftline.session import cut
 
-#: Vectors of a block.
-BLOCK = 1024
+#: Vectors of a block, and bytes of vectors on each side of a tile.
+BLOCK, TILE_BYTES = 1024, 32_000_000
 #: Values among which the median is looked up at last; looks go by so many bits of the values, the first ones first.
 FEW, BITS = 200_000, (20, 16, 16, 12)
 
@@ -38,9 +40,7 @@ def token_l2(rows: DataFrame, by: list[str], side: str = "side", text: str = "te
         F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.sum(F.col("na").cast("double") ** 2).alias("aa"),
         F.sum(F.col("nb").cast("double") ** 2).alias("bb"), F.sum(F.col("na").cast("double") * F.col("nb")).alias("ab"), F.count("*").alias("vocab_size"),
     )
-    part = lambda x, y, z: F.when((F.col(y) > 0) & (F.col(z) > 0), F.col(x) / F.col(y) / F.col(z)).otherwise(0.0)
-    square = part("aa", "ta", "ta") + part("bb", "tb", "tb") - 2 * part("ab", "ta", "tb")
-    found = sums.select(*by, F.sqrt(F.greatest(square, F.lit(0.0))).alias("token_l2"), "vocab_size")
+    found = sums.select(*by, _distance().alias("token_l2"), "vocab_size")
     if by:
         groups = rows.select(*by).distinct()
         found = groups.join(found, by, "left")
@@ -57,27 +57,36 @@ def vector_problems(rows: DataFrame, group: str, vector: str = "embedding") -> D
     )
 
 
-def blocks(rows: DataFrame, group: str, side: str, vector: str, key: str, block: int = BLOCK) -> DataFrame:
-    """(g, b, sides, keys, v): vectors of a group packed into blocks of about ``block`` rows, dealt by hash of the key."""
-    sizes = rows.groupBy(F.col(group).alias("g")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
-    flat = rows.select(F.col(group).alias("g"), F.col(side).cast("string").alias("s"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    dealt = flat.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+def blocks(rows: DataFrame, group: str, side: str, vector: str, block: int = BLOCK) -> DataFrame:
+    """(g, b, s, v): vectors of a group, with what ``side`` says of each, packed into written blocks of about ``block`` rows.
+
+    Rows are dealt by number, not by what is in them, so blocks stay even whatever keys or vectors repeat.
+    """
+    flat = rows.select(F.col(group).alias("g"), F.col(side).alias("s"), F.col(vector).cast("array<double>").alias("v"))
+    numbered = cut(flat.withColumn("k", F.monotonically_increasing_id()), "vectors")
+    sizes = numbered.groupBy("g").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    dealt = numbered.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
     # a block is bounded, so it may be one row
-    return dealt.groupBy("g", "b").agg(F.sort_array(F.collect_list(F.struct("k", "s", "v"))).alias("rows")).select("g", "b", F.col("rows.s").alias("s"), F.col("rows.v").alias("v"))
+    packed = dealt.groupBy("g", "b").agg(F.sort_array(F.collect_list(F.struct("k", "s", "v"))).alias("rows"))
+    return cut(packed.select("g", "b", F.col("rows.s").alias("s"), F.col("rows.v").alias("v")), "vector-blocks")
 
 
-def block_pairs(made: DataFrame) -> DataFrame:
-    """(g, i, sa, va, j, sb, vb): each pair of blocks of a group once, i <= j.
+def tiles(made: DataFrame, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """(g, i, j, b, s, v): each block beside those that it meets, on the upper half of a grid of tiles (i, j), i <= j.
 
-    The kernel is a sum over all pairs of vectors, so all of them are needed.  Pairs are listed by
-    number and meet their blocks by (g, i) and (g, j), so a group spreads over as many tasks as it has
-    blocks.  ``made`` is read twice and should be written.
+    The kernel is a sum over all pairs of vectors, so all of them are needed.  A group's blocks are dealt
+    to bands, as many as keep two bands' vectors in a task's memory; band i and band j meet in tile
+    (i, j).  So a block moves once for each band, not once for each block.  ``made`` is read twice and
+    should be written.
     """
-    i = made.groupBy("g").agg(F.max("b").alias("last")).select("g", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    numbers = i.repartition("g", "i").select("g", "i", F.explode(F.sequence("i", "last")).alias("j"))
-    left = made.select("g", F.col("b").alias("i"), F.col("s").alias("sa"), F.col("v").alias("va"))
-    right = made.select("g", F.col("b").alias("j"), F.col("s").alias("sb"), F.col("v").alias("vb"))
-    return numbers.join(left, ["g", "i"]).join(right, ["g", "j"]).select("g", "i", "sa", "va", "j", "sb", "vb")
+    width = made.agg(F.max(F.size("v") * F.size(F.col("v")[0]) * 8)).first()[0] or 1
+    side = max(1, tile_bytes // width)
+    bands = made.groupBy("g").agg(F.ceil((F.max("b") + 1) / F.lit(side)).cast("int").alias("bands"))
+    own = made.join(bands, "g").withColumn("_band", F.col("b") % F.col("bands"))
+    met = F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("_other")
+    return own.select("g", "b", "s", "v", "_band", met).select(
+        "g", F.least("_band", "_other").alias("i"), F.greatest("_band", "_other").alias("j"), "_band", "b", "s", "v"
+    )
 
 
 def _stack(scalar) -> np.ndarray:
@@ -86,26 +95,38 @@ def _stack(scalar) -> np.ndarray:
     return rows.flatten().to_numpy().reshape(len(rows), -1)
 
 
-def squared(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """(squared distances, sides of the rows, of the columns, whether it is one block with itself)."""
-    a, b = _stack(batch.column("va")[r]), _stack(batch.column("vb")[r])
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(d, 0.0), np.array(batch.column("sa")[r].as_py()), np.array(batch.column("sb")[r].as_py()), batch.column("i")[r].as_py() == batch.column("j")[r].as_py()
+def block_pairs(tile: pa.Table) -> Iterator[tuple[np.ndarray, list, list, bool]]:
+    """(squared distances, what is said of the rows, of the columns, whether it is one block with itself) of each pair of a tile's blocks, once."""
+    i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+    own = [(tile.column("_band")[r].as_py(), tile.column("b")[r].as_py(), _stack(tile.column("v")[r]), tile.column("s")[r].as_py()) for r in range(tile.num_rows)]
+    squares = [(v * v).sum(1) for _, _, v, _ in own]
+    for x, (band, b, v, s) in enumerate(own):
+        if band != i:
+            continue
+        for y, (other, c, w, t) in enumerate(own):
+            if other == j and (i < j or b <= c):
+                d = squares[x][:, None] + squares[y][None, :]
+                d -= 2.0 * (v @ w.T)
+                yield np.maximum(d, 0.0, out=d), s, t, i == j and b == c
+
 
+def _distances(tile: pa.Table) -> Iterator[np.ndarray]:
+    for d, _, _, same in block_pairs(tile):
+        yield d[np.triu_indices(len(d), 1)] if same else d.ravel()
 
-def _distances(batch, r):
-    d, sa, sb, same = squared(batch, r)
-    return d[np.triu_indices(len(d), 1)] if same else d.ravel()
 
+def over_tiles(made: DataFrame, run: Callable[[pa.Table], pa.Table], kind: str) -> DataFrame:
+    return made.groupBy("g", "i", "j").applyInArrow(run, kind)
 
-def bandwidth(pairs: DataFrame) -> float:
-    """Square root of the median squared distance of all pairs; of those above 0 if the median is 0.
+
+def bandwidth(made: DataFrame) -> float:
+    """Square root of the median squared distance of all pairs of :func:`tiles`; of those above 0 if the median is 0.
 
     Exact at any size: counts by the first bits of the numbers lead to those that the median begins
     with, whose next bits are the next look's, until the values left are few enough to be sorted.
     """
     seen: dict = {}
-    first = _counts(pairs, 0, None, seen)
+    first = _counts(made, 0, None, seen)
     n, zeros = sum(first.values()), first.get(-1, 0)
     if not n:
         raise ValueError("a bandwidth needs two vectors")
@@ -113,7 +134,7 @@ def bandwidth(pairs: DataFrame) -> float:
         raise ValueError("all vectors coincide, so there is no bandwidth")
     positive = n - zeros
     ranks = (zeros + (positive - 1) // 2, zeros + positive // 2) if zeros > n // 2 else ((n - 1) // 2, n // 2)
-    return float(np.sqrt(sum(_value_at(pairs, r, seen) for r in ranks) / 2))
+    return float(np.sqrt(sum(_value_at(made, r, seen) for r in ranks) / 2))
 
 
 def _bits(d: np.ndarray) -> np.ndarray:
@@ -125,36 +146,34 @@ def _shift(look: int) -> int:
     return 64 - sum(BITS[: look + 1])
 
 
-def _counts(pairs: DataFrame, look: int, prefix: int | None, seen: dict) -> dict[int, int]:
+def _counts(made: DataFrame, look: int, prefix: int | None, seen: dict) -> dict[int, int]:
     """Squared distances by their first bits, as many as the look goes by: those that begin with ``prefix``; 0 counts as -1."""
     if (look, prefix) in seen:
         return seen[look, prefix]
 
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                key = _bits(_distances(batch, r))
-                if prefix is not None:
-                    key = key[key >> _shift(look - 1) == prefix]
-                zero = int((key == 0).sum()) if prefix is None else 0
-                key = (key[key != 0] if prefix is None else key) >> _shift(look)
-                if len(key):
-                    low = int(key.min())
-                    n = np.bincount(key - low)
-                    at = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(at + low, pa.int64()), "n": pa.array(n[at], pa.int64())})
-                if zero:
-                    yield pa.RecordBatch.from_pydict({"key": pa.array([-1], pa.int64()), "n": pa.array([zero], pa.int64())})
-
-    got = {r[0]: r[1] for r in pairs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n")).collect()}
+    def run(tile: pa.Table) -> pa.Table:
+        total: dict[int, int] = {}
+        for d in _distances(tile):
+            key = _bits(d)
+            if prefix is not None:
+                key = key[key >> _shift(look - 1) == prefix]
+            elif zero := int((key == 0).sum()):
+                total[-1] = total.get(-1, 0) + zero
+                key = key[key != 0]
+            at, n = np.unique(key >> _shift(look), return_counts=True)
+            for k, m in zip(at.tolist(), n.tolist(), strict=True):
+                total[k] = total.get(k, 0) + m
+        return pa.table({"key": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
+
+    got = {r[0]: r[1] for r in over_tiles(made, run, "key long, n long").groupBy("key").agg(F.sum("n")).collect()}
     return seen.setdefault((look, prefix), got)
 
 
-def _value_at(pairs: DataFrame, rank: int, seen: dict) -> float:
+def _value_at(made: DataFrame, rank: int, seen: dict) -> float:
     """The value at a rank among the squared distances."""
     prefix, before = None, 0
     for look in range(len(BITS)):
-        counts = _counts(pairs, look, prefix, seen)
+        counts = _counts(made, look, prefix, seen)
         for key in sorted(counts):
             if rank < before + counts[key]:
                 break
@@ -163,63 +182,60 @@ def _value_at(pairs: DataFrame, rank: int, seen: dict) -> float:
             return 0.0
         prefix = key
         if counts[key] <= FEW:
-            for d, n in _values(pairs, look, prefix, seen):
+            for d, n in _values(made, look, prefix, seen):
                 if rank < before + n:
                     return d
                 before += n
     return float(np.int64(prefix).view(np.float64))
 
 
-def _values(pairs: DataFrame, look: int, prefix: int, seen: dict) -> list[tuple[float, int]]:
+def _values(made: DataFrame, look: int, prefix: int, seen: dict) -> list[tuple[float, int]]:
     """(value, times) of the squared distances that begin with ``prefix``, in order."""
 
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                d = _distances(batch, r)
-                d, n = np.unique(d[_bits(d) >> _shift(look) == prefix], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"d": pa.array(d, pa.float64()), "n": pa.array(n, pa.int64())})
+    def run(tile: pa.Table) -> pa.Table:
+        d = np.concatenate([x[_bits(x) >> _shift(look) == prefix] for x in _distances(tile)] or [np.zeros(0)])
+        d, n = np.unique(d, return_counts=True)
+        return pa.table({"d": pa.array(d, pa.float64()), "n": pa.array(n, pa.int64())})
 
     if ("values", look, prefix) not in seen:
-        seen["values", look, prefix] = sorted((r[0], r[1]) for r in pairs.mapInArrow(run, "d double, n long").groupBy("d").agg(F.sum("n")).collect())
+        seen["values", look, prefix] = sorted((r[0], r[1]) for r in over_tiles(made, run, "d double, n long").groupBy("d").agg(F.sum("n")).collect())
     return seen["values", look, prefix]
 
 
-def kernel_sums(pairs: DataFrame, sigma: float) -> DataFrame:
-    """(g, x, y, total): sums of the Gaussian kernel over pairs of different vectors, by their sides, x <= y; each pair once."""
+def kernel_sums(made: DataFrame, sigma: float) -> DataFrame:
+    """(g, x, y, total): sums of the Gaussian kernel over pairs of different vectors of :func:`tiles`, by their sides, x <= y; each pair once."""
+    group = made.schema["g"].dataType
 
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                d, sa, sb, same = squared(batch, r)
-                k = np.exp(-d / (2.0 * sigma * sigma))
-                if same:
-                    k = np.triu(k, 1)
-                names = sorted({*sa.tolist(), *sb.tolist()})
-                sums: dict[tuple[str, str], float] = {}
-                for x in names:
-                    for y in names:
-                        s = float(k[np.ix_(sa == x, sb == y)].sum())
-                        sums[min(x, y), max(x, y)] = sums.get((min(x, y), max(x, y)), 0.0) + s
-                yield pa.RecordBatch.from_pydict({
-                    "g": pa.array([batch.column("g")[r].as_py()] * len(sums), batch.schema.field("g").type), "x": [p[0] for p in sums], "y": [p[1] for p in sums], "total": pa.array(list(sums.values())),
-                })
+    def run(tile: pa.Table) -> pa.Table:
+        sums: dict[tuple[str, str], float] = {}
+        for d, s, t, same in block_pairs(tile):
+            k = np.exp(d / (-2.0 * sigma * sigma))
+            if same:
+                k = np.triu(k, 1)
+            s, t = np.array(s), np.array(t)
+            by_row = {y: k[:, t == y].sum(1) for y in set(t.tolist())}
+            for x in set(s.tolist()):
+                for y, v in by_row.items():
+                    pair = min(x, y), max(x, y)
+                    sums[pair] = sums.get(pair, 0.0) + float(v[s == x].sum())
+        g = pa.array([tile.column("g")[0].as_py()] * len(sums), tile.schema.field("g").type)
+        return pa.table({"g": g, "x": pa.array([p[0] for p in sums], pa.string()), "y": pa.array([p[1] for p in sums], pa.string()), "total": pa.array(list(sums.values()), pa.float64())})
 
-    kind = pairs.schema["g"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"g {kind}, x string, y string, total double").groupBy("g", "x", "y").agg(F.sum("total").alias("total"))
+    return over_tiles(made, run, f"g {group.simpleString()}, x string, y string, total double").groupBy("g", "x", "y").agg(F.sum("total").alias("total"))
 
 
-def mmd2(rows: DataFrame, group: str, side: str, vector: str, key: str, sigma: float | None = None, block: int = BLOCK) -> DataFrame:
+def mmd2(rows: DataFrame, group: str, side: str, vector: str, key: str, sigma: float | None = None, block: int = BLOCK, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(group, mmd2, bandwidth, n, m): unbiased squared discrepancy of sides ``a`` and ``b`` in each group.
 
     Diagonal terms are left out, so the value may be below 0.  Without ``sigma`` the bandwidth is the
     median over the pool; then there must be one group.  A group with under two vectors on a side, or
-    with invalid ones, is an error.  Blocks of vectors meet block by block; no task holds a set.
+    with invalid ones, is an error.  Blocks of vectors meet tile by tile; no task holds a set.  ``key``
+    names the rows; repeated and null ones are rows of their own.
     """
     if sigma is not None and sigma <= 0:
         raise ValueError(f"a bandwidth must be positive, not {sigma}")
-    written = cut(blocks(rows, group, side, vector, key, block), "vector-blocks")  # read by every look and by the kernel
-    made = block_pairs(written)
+    written = blocks(rows.withColumn(side, F.col(side).cast("string")), group, side, vector, block)  # read by every look and by the kernel
+    made = tiles(written, tile_bytes)
     if sigma is None:
         if written.select("g").distinct().count() > 1:
             raise ValueError("one bandwidth for several groups must be given")
@@ -228,9 +244,72 @@ def mmd2(rows: DataFrame, group: str, side: str, vector: str, key: str, sigma: f
     sums = kernel_sums(made, sigma).groupBy("g").agg(
         *[F.coalesce(F.sum(F.when((F.col("x") == x) & (F.col("y") == y), F.col("total"))), F.lit(0.0)).alias(x + y) for x, y in ("aa", "bb", "ab")]
     )
-    few = F.raise_error(F.lit("a discrepancy needs two vectors on either side")).cast("double")
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
-    value = 2 * F.col("aa") / (n * (n - 1)) + 2 * F.col("bb") / (m * (m - 1)) - 2 * F.col("ab") / (n * m)
     return sizes.join(sums, "g").select(
-        F.col("g").alias(group), F.when((n < 2) | (m < 2), few).otherwise(value).alias("mmd2"), F.lit(sigma).alias("bandwidth"), F.col("n").cast("long").alias("n"), F.col("m").cast("long").alias("m")
+        F.col("g").alias(group), F.when((n < 2) | (m < 2), _few()).otherwise(_unbiased(n, m)).alias("mmd2"), F.lit(sigma).alias("bandwidth"), F.col("n").cast("long").alias("n"), F.col("m").cast("long").alias("m")
     )
+
+
+def _few() -> Column:
+    return F.raise_error(F.lit("a discrepancy needs two vectors on either side")).cast("double")
+
+
+def _unbiased(n: Column, m: Column) -> Column:
+    """From sums over pairs, each once."""
+    return 2 * F.col("aa") / (n * (n - 1)) + 2 * F.col("bb") / (m * (m - 1)) - 2 * F.col("ab") / (n * m)
+
+
+# --- many splits of one set
+
+
+def split_marks(halves: DataFrame, splits: int, split: str, key: str) -> DataFrame:
+    """(key, marks): what each split makes of a row, from (split, key, half): 1 for ``a``, 2 for ``b``, 0 for a row that it leaves out.  Splits are numbered from 0."""
+    side = F.when(F.col("half") == "a", 1).when(F.col("half") == "b", 2).otherwise(0).cast("byte")
+    own = halves.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(split).cast("int"), side))).alias("_m"))
+    return own.select(key, F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda k: F.coalesce(F.col("_m")[k], F.lit(0).cast("byte"))).alias("marks"))
+
+
+def mmd2_of_splits(rows: DataFrame, vector: str, splits: int, sigma: float, marks: str = "marks", block: int = BLOCK, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """(split, mmd2, n, m): the unbiased discrepancy of both halves of every split of one set, by :func:`split_marks`.
+
+    All splits share one pass: a kernel value is computed once, and a block of them is folded into the
+    sums of all splits by products with the halves' indicator matrices.
+    """
+    made = tiles(blocks(rows.withColumn("_g", F.lit(0)), "_g", marks, vector, block), tile_bytes)
+
+    def run(tile: pa.Table) -> pa.Table:
+        sums = np.zeros((3, splits))
+        for d, s, t, same in block_pairs(tile):
+            k = np.exp(d / (-2.0 * sigma * sigma))
+            if same:
+                k = np.triu(k, 1)
+            s, t = np.array(s), np.array(t)
+            a, b = k @ (t == 1).astype(float), k @ (t == 2).astype(float)
+            sums += [(a * (s == 1)).sum(0), (b * (s == 2)).sum(0), (b * (s == 1)).sum(0) + (a * (s == 2)).sum(0)]
+        return pa.table({"split": pa.array(range(splits), pa.int32()), "aa": sums[0], "bb": sums[1], "ab": sums[2]})
+
+    sums = over_tiles(made, run, "split int, aa double, bb double, ab double").groupBy("split").agg(*[F.sum(c).alias(c) for c in ("aa", "bb", "ab")])
+    sizes = rows.select(F.posexplode(marks).alias("split", "_s")).groupBy("split").agg(F.count_if(F.col("_s") == 1).alias("n"), F.count_if(F.col("_s") == 2).alias("m"))
+    n, m = F.col("n").cast("double"), F.col("m").cast("double")
+    return sizes.join(sums, "split").select("split", F.when((n < 2) | (m < 2), _few()).otherwise(_unbiased(n, m)).alias("mmd2"), "n", "m")
+
+
+def token_l2_of_splits(rows: DataFrame, splits: int, text: str = "text", marks: str = "marks", tokens: Column | None = None) -> DataFrame:
+    """(split, token_l2, vocab_size): :func:`token_l2` of both halves of every split.  Tokens are made and shuffled once, with their counts in all halves."""
+    flat = rows.select(marks, F.explode(words(text) if tokens is None else tokens).alias("tok"))
+    ones = [F.sum((F.col(marks)[k] == v).cast("long")).alias(f"{x}{k}") for k in range(splits) for x, v in (("a", 1), ("b", 2))]
+    counts = flat.groupBy("tok").agg(*ones)
+    per = []
+    for k in range(splits):
+        a, b = F.col(f"a{k}").cast("double"), F.col(f"b{k}").cast("double")
+        per.append(F.struct(
+            F.lit(k).alias("split"), F.sum(a).alias("ta"), F.sum(b).alias("tb"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.sum(a * b).alias("ab"), F.count_if((a > 0) | (b > 0)).alias("vocab_size")
+        ))
+    one = counts.agg(F.array(*per).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return one.select("split", F.coalesce(_distance(), F.lit(0.0)).alias("token_l2"), "vocab_size")
+
+
+def _distance() -> Column:
+    """From sums (ta, tb), sums of squares (aa, bb) and products (ab) of counts."""
+    part = lambda x, y, z: F.when((F.col(y) > 0) & (F.col(z) > 0), F.col(x) / F.col(y) / F.col(z)).otherwise(0.0)
+    return F.sqrt(F.greatest(part("aa", "ta", "ta") + part("bb", "tb", "tb") - 2 * part("ab", "ta", "tb"), F.lit(0.0)))

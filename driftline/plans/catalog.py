@@ -500,7 +500,7 @@ SELECT round(2 * aa / (n * (n - 1)) + 2 * bb / (m * (m - 1)) - 2 * ab / (n * m):
 
 @query(_V + _PAIR + _BW + "SELECT round(sigma, 9) AS bandwidth FROM bw")
 def mmd_bandwidth(spark, sf_dir):
-    made = metrics.block_pairs(cut(metrics.blocks(vectors(spark, sf_dir), "g", "side", "embedding", "vec_id"), "vector-blocks"))
+    made = metrics.tiles(metrics.blocks(vectors(spark, sf_dir), "g", "side", "embedding"))
     return spark.createDataFrame([(round(metrics.bandwidth(made), 9),)], "bandwidth double")
 
 
@@ -786,15 +786,14 @@ kn AS (SELECT seed, count_if(side = 'a') AS n FROM st GROUP BY seed),
 mm AS (SELECT seed, round(2 * aa / (n * (n - 1)) + 2 * bb / (n * (n - 1)) - 2 * ab / (n * n)::DOUBLE, 9) AS mmd2 FROM ks JOIN kn USING (seed))
 SELECT min(token_l2) AS lowest_l2, max(token_l2) AS highest_l2, min(mmd2) AS lowest_mmd, max(mmd2) AS highest_mmd, max(abs(mmd2)) AS largest_mmd, count(*) AS seeds FROM l2 JOIN mm USING (seed)""", views=True)
 def noise_envelope(spark, sf_dir):
-    """Both distances of half against half over several splits at once: rows carry their seeds, so all splits are one pass a metric."""
+    """Both distances of half against half over several splits: a row says which half it is in in each, so texts and kernel values are made once for all."""
     refs = b.references(spark, sf_dir)
     ids = refs.select("pair_id").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(_SEEDS - 1))))
-    sided = sampling.half_split_by_hash(ids, SEED, by=["seed"]).where("half is not null").select("seed", "pair_id", F.col("half").alias("side"))
-    own = sided.join(refs, "pair_id")  # a split orders ids, so texts join after the halves are known
-    l2 = rounded(metrics.token_l2(own, ["seed"]), "token_l2")
-    emb = sided.join(refs.select("pair_id", seams.stub_embedding().alias("v")), "pair_id")
-    mmd = rounded(metrics.mmd2(emb, "seed", "side", "v", "pair_id", sigma=1.0), "mmd2").select("seed", "mmd2")
-    return l2.join(mmd, "seed").agg(
+    marks = metrics.split_marks(sampling.half_split_by_hash(ids, SEED, by=["seed"]), _SEEDS, "seed", "pair_id")
+    own = cut(refs.join(marks, "pair_id").select("text", "marks", seams.stub_embedding().alias("v")), "splits")
+    l2 = rounded(metrics.token_l2_of_splits(own, _SEEDS), "token_l2")
+    mmd = rounded(metrics.mmd2_of_splits(own, "v", _SEEDS, 1.0), "mmd2").select("split", "mmd2")
+    return l2.join(mmd, "split").agg(
         F.min("token_l2").alias("lowest_l2"), F.max("token_l2").alias("highest_l2"), F.min("mmd2").alias("lowest_mmd"), F.max("mmd2").alias("highest_mmd"),
         F.max(F.abs("mmd2")).alias("largest_mmd"), F.count("*").alias("seeds"),
     )

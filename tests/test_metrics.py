@@ -37,7 +37,7 @@ def mmd(spark, x, y, sigma=None, block=3):
 
 def band(spark, pool, block=2):
     df = frame(spark, pool, [])
-    return metrics.bandwidth(metrics.block_pairs(metrics.blocks(df, "g", "side", "v", "id", block)))
+    return metrics.bandwidth(metrics.tiles(metrics.blocks(df, "g", "side", "v", block), 2 * block * 8))
 
 
 def test_mmd_by_hand(spark):
@@ -62,20 +62,56 @@ def test_bandwidth_by_narrowing(spark, monkeypatch):
         assert band(spark, pool.tolist(), block=8) == pytest.approx(math.sqrt(median), rel=1e-12)
 
 
-def test_pairs_of_one_group_spread_over_tasks(spark):
-    from pyspark.sql import functions as F
-
-    from driftline.session import cut
-
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        made = cut(metrics.blocks(frame(spark, range(240), []), "g", "side", "v", "id", 8), "test-blocks")
-        pairs = metrics.block_pairs(made)
-        n = made.count()
-        assert pairs.count() == n * (n + 1) // 2 == pairs.select("i", "j").distinct().count()
-        assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 1
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+def met(tile):
+    """(number of pairs of vectors, of pairs of blocks) of a tile, as a table."""
+    found = [len(d) * (len(d) - 1) // 2 if same else d.size for d, _, _, same in metrics.block_pairs(tile)]
+    return metrics.pa.table({"pairs": [sum(found)], "blocks": [len(found)]})
+
+
+@pytest.mark.parametrize("side", [1, 3, 100])
+def test_a_block_moves_once_a_band_and_every_pair_is_met_once(spark, side):
+    made = metrics.blocks(frame(spark, range(240), []), "g", "side", "v", 8)
+    n, width = made.count(), made.selectExpr("max(size(v)) * 8").first()[0]
+    tiles = metrics.tiles(made, side * width)
+    bands = -(-n // side)
+    assert tiles.count() == n * bands and tiles.select("i", "j").distinct().count() == bands * (bands + 1) // 2
+    got = metrics.over_tiles(tiles, met, "pairs long, blocks long").selectExpr("sum(pairs) AS p", "sum(blocks) AS b").first()
+    assert (got["p"], got["b"]) == (240 * 239 // 2, n * (n + 1) // 2)
+
+
+def test_what_moves_grows_with_blocks_and_bands(spark):
+    """Bytes of vectors on the grid: pairwise they would grow with the square of the blocks."""
+    moved = {}
+    for n in (256, 1024):
+        made = metrics.blocks(frame(spark, range(n), []), "g", "side", "v", 8)
+        blocks, bands = made.count(), -(-made.count() // 16)
+        moved[n] = metrics.tiles(made, 16 * made.selectExpr("max(size(v)) * 8").first()[0]).selectExpr("sum(size(v) * 8)").first()[0]
+        assert moved[n] == n * 8 * bands and bands <= blocks / 16 + 1
+    assert moved[1024] < 1024 * 8 * 1024 / 8 / 8
+
+
+def test_equal_rows_and_null_keys_fill_blocks_evenly(spark):
+    rows = [(0, "a", None, [1.0, 2.0])] * 3000 + [(0, "b", 7, [1.0, 2.0])] * 1000
+    made = metrics.blocks(spark.createDataFrame(rows, "g int, side string, id long, v array<double>"), "g", "side", "v", 100)
+    sizes = [r[0] for r in made.selectExpr("size(v)").collect()]
+    assert sum(sizes) == 4000 and len(sizes) == 40 and max(sizes) < 200
+
+
+def test_splits_in_one_pass_are_those_made_one_by_one(spark):
+    r, n, splits = np.random.default_rng(5), 37, 5
+    marks = [[int(x) for x in r.integers(0, 3, splits)] for _ in range(n)]
+    rows = [(f"p{k}", " ".join(r.choice(["a", "b", "c", "d e"], 6)), [float(x) for x in r.normal(size=3)], marks[k]) for k in range(n)]
+    df = spark.createDataFrame(rows, "pair_id string, text string, v array<double>, marks array<byte>")
+    mmd_ = {x["split"]: x for x in metrics.mmd2_of_splits(df, "v", splits, 1.5, block=8, tile_bytes=2 * 8 * 8 * 3).collect()}
+    l2_ = {x["split"]: x for x in metrics.token_l2_of_splits(df, splits).collect()}
+    for k in range(splits):
+        a, b = ([x for x in rows if x[3][k] == h] for h in (1, 2))
+        one = mmd(spark, [x[2] for x in a], [x[2] for x in b], 1.5)
+        assert mmd_[k]["mmd2"] == pytest.approx(one["mmd2"], abs=1e-12) and (mmd_[k]["n"], mmd_[k]["m"]) == (len(a), len(b))
+        got, vocab = l2(spark, [x[1] for x in a], [x[1] for x in b])
+        assert l2_[k]["token_l2"] == pytest.approx(got, abs=1e-9) and l2_[k]["vocab_size"] == vocab
+    halves = df.selectExpr("pair_id", "posexplode(marks) AS (split, m)").selectExpr("pair_id", "split", "CASE m WHEN 1 THEN 'a' WHEN 2 THEN 'b' END AS half")
+    assert sorted(map(tuple, metrics.split_marks(halves, splits, "split", "pair_id").collect())) == sorted((x[0], x[3]) for x in rows)
 
 
 def test_bandwidth_of_coinciding_vectors_is_an_error(spark):

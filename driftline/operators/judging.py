@@ -98,16 +98,24 @@ def verdicts(rows: DataFrame, reply: Column, model: str = DEFAULT_JUDGE) -> Data
     return out.withColumn("model_won", tx.model_won("choice", "order")).withColumn("judge_model", F.lit(model)).withColumn("retry_count", F.lit(0))
 
 
+def counts() -> list[Column]:
+    """Of verdicts: won, lost, unreadable."""
+    return [F.count_if("model_won").alias("wins"), F.count_if(~F.col("model_won")).alias("losses"), F.count_if(F.col("choice") == "invalid").alias("invalid")]
+
+
 def scores(v: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., dimension, wins, losses, invalid, n, win_rate, score): all six dimensions for each group; rate and score null without a valid verdict."""
     by = by or []
-    counted = v.groupBy(*by, "dimension").agg(
-        F.count_if("model_won").alias("wins"), F.count_if(~F.col("model_won")).alias("losses"), F.count_if(F.col("choice") == "invalid").alias("invalid")
-    )
+    counted = v.groupBy(*by, "dimension").agg(*counts())
     spark = v.sparkSession
     dims = F.explode(F.array(*[F.lit(d) for d in DIMENSIONS])).alias("dimension")
     frame = v.select(*by).distinct().select(*by, dims) if by else spark.range(1).select(dims)
-    out = frame.join(counted, [*by, "dimension"], "left").na.fill(0, ["wins", "losses", "invalid"]).withColumn("n", F.col("wins") + F.col("losses"))
+    return rated(frame, counted, [*by, "dimension"])
+
+
+def rated(frame: DataFrame, counted: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of ``frame`` with their counts, the number of valid verdicts, the share won and the score."""
+    out = frame.join(counted, by, "left").na.fill(0, ["wins", "losses", "invalid"]).withColumn("n", F.col("wins") + F.col("losses"))
     rate = F.when(F.col("n") > 0, F.col("wins") / F.col("n"))
     return out.withColumn("win_rate", rate).withColumn("score", 2 * F.col("win_rate"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.operators.setops import SetError, remaining, strays
-from driftline.session import fresh_path
+from driftline.session import intermediate_path, intermediates
 from driftline.streaming.incremental import have
 
 #: Rows of a batch, unless a caller knows better what a lost batch may cost.
@@ -42,7 +42,7 @@ def batches(rows: DataFrame, key: str, per_batch: int = PER_BATCH) -> Iterator[D
     parts = math.ceil(rows.count() / per_batch)
     if not parts:
         return
-    path = fresh_path(spark, "batches")
+    path = intermediate_path(spark, "batches")
     part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
     rows.withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(path)
     own = spark.read.schema(rows.withColumn("_part", part).schema).parquet(path)
@@ -74,7 +74,8 @@ def append(
     elif stray := strays(done, keys).limit(5).collect():
         raise SetError(f"{sink} has {key}s that the plan lacks: {sorted(r[0] for r in stray)}")
     before, all_ = done.count(), keys.count()
-    for rows in batches(remaining(planned.dropDuplicates([key]), done, key), key, per_batch):
-        out = step(rows).select(*kind.names).write.mode("append")
-        (out.partitionBy(*partition_by) if partition_by else out).parquet(sink)
+    with intermediates(spark):
+        for rows in batches(remaining(planned.dropDuplicates([key]), done, key), key, per_batch):
+            out = step(rows).select(*kind.names).write.mode("append")
+            (out.partitionBy(*partition_by) if partition_by else out).parquet(sink)
     return Done(all_, before, all_ - before)

@@ -116,16 +116,23 @@ def half_split_by_hash(ids: DataFrame, seed: int, key: str = "pair_id", by: list
     return ranked.select(*by, key, side.alias("half"), F.when(side == "b", F.col("rank") - half).otherwise(F.col("rank")).cast("int").alias("place"))
 
 
-def half_split_by_generator(spark: SparkSession, ids: list[str], seed: int) -> tuple[DataFrame, str | None]:
-    """((pair_id, half, place), the dropped id) after ``random.Random(seed).shuffle``; under four ids is an error."""
-    if len(ids) < 4:
-        raise ValueError(f"a split needs four pairs, not {len(ids)}")
-    mixed = list(ids)
+def half_split_by_generator(rows: DataFrame, seed: int, key: str = "pair_id") -> tuple[DataFrame, str | None]:
+    """((key, half, place), the dropped key) after ``random.Random(seed).shuffle`` of the keys in order; under four keys is an error.
+
+    The shuffle depends on the number of keys only, so the driver shuffles places, and keys, which are
+    unique, are joined by place.
+    """
+    own = places(rows.select(key), key)
+    n = own.count()
+    if n < 4:
+        raise ValueError(f"a split needs four pairs, not {n}")
+    mixed = list(range(n))
     random.Random(seed).shuffle(mixed)  # noqa: S311
-    dropped = mixed.pop() if len(mixed) % 2 else None
-    n = len(mixed) // 2
-    rows = [(p, "a" if k < n else "b", k % n) for k, p in enumerate(mixed)]
-    return spark.createDataFrame(rows, "pair_id string, half string, place int"), dropped
+    odd = mixed.pop() if n % 2 else None
+    half = len(mixed) // 2
+    at = rows.sparkSession.createDataFrame([(p, "a" if k < half else "b", k % half) for k, p in enumerate(mixed)], "place long, half string, _at int")
+    split = own.join(at, "place").select(key, "half", F.col("_at").alias("place"))
+    return split, None if odd is None else own.where(F.col("place") == odd).first()[key]
 
 
 def split_pairs(split: DataFrame, texts: DataFrame) -> DataFrame:

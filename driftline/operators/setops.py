@@ -76,10 +76,10 @@ def overlap(a: DataFrame, b: DataFrame, key: str = "pair_id") -> DataFrame:
 
 
 def cache_misses(texts: DataFrame, cache: DataFrame, embedder_id: str) -> DataFrame:
-    """(content_sha256, text) to embed: each content once, unless the cache has it for this embedder."""
+    """(content_sha256, text) to embed: each content once, unless the cache has it for this embedder; a null text has no content."""
     from driftline.functions.text import content_sha256
 
-    wanted = texts.select(content_sha256("text").alias("content_sha256"), "text").dropDuplicates(["content_sha256"])
+    wanted = texts.where("text is not null").select(content_sha256("text").alias("content_sha256"), "text").dropDuplicates(["content_sha256"])
     return wanted.join(cache.where(F.col("embedder_id") == embedder_id), "content_sha256", "left_anti")
 
 

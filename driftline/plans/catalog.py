@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -184,21 +182,7 @@ def doc_degeneration(spark, sf_dir):
     )
 
 
-#: Numbers of pairs for which values of generators and hashes that SQL lacks are listed: those of the tables that answers are compared on.
-_LISTED = 2000
-
-
-def listed(value, kind: str) -> str:
-    """SQL list of a function's values for the pairs of numbers 0, 1, ..."""
-    return "[" + ", ".join(str(value(f"{b.CORPUS}-{k:05d}")) for k in range(_LISTED)) + f"]::{kind}[]"
-
-
-_NUMBER = "(regexp_extract(pair_id, '-(\\d+)$', 1)::INTEGER + 1)"
-_PAIR_SEEDS = listed(lambda p: int.from_bytes(hashlib.blake2b(f"{SEED}:{p}".encode(), digest_size=8).digest(), "big") % (1 << 32), "BIGINT")
-_COINS = listed(lambda p: int(random.Random(f"{SEED}:{p}").random() < 0.5), "INTEGER")  # noqa: S311
-
-
-@query(f"SELECT pair_id, ({_PAIR_SEEDS})[{_NUMBER}] AS seed FROM pairs", views=True)
+@query()
 def pair_seed_blake2b(spark, sf_dir):
     return b.pairs(spark, sf_dir).select("pair_id", tx.pair_seed("pair_id", SEED).alias("seed"))
 
@@ -337,18 +321,26 @@ def judge_order_hash(spark, sf_dir):
     return b.pairs(spark, sf_dir).select("pair_id", tx.order_by_hash("pair_id", SEED).alias("order"))
 
 
-@query(f"""SELECT pair_id, CASE WHEN ({_COINS})[{_NUMBER}] = 1 THEN 'model_first' ELSE 'human_first' END AS "order" FROM pairs""", views=True)
+@query()
 def judge_order_mersenne(spark, sf_dir):
     return b.pairs(spark, sf_dir).select("pair_id", tx.order_by_mersenne("pair_id", SEED).alias("order"))
 
 
-_REPLIES = ("A", " b ", "A.", "B.\n", "", "The answer is A", "A or B", "a..", "A. .", " B ", "AB", ".", "b")
+#: Ways to say a letter, or not to; each task gets one of them, with its own letter in place of the tilde.
+_REPLIES = ("~", " ~ ", "~.", "~.\n", "", "The answer is ~", "A or B", "~..", "~. .", " ~ ", "~B", ".", "~?")
+_SAYS = "[" + ", ".join("'" + r.replace("\n", "' || chr(10) || '") + "'" for r in _REPLIES) + "]"
 
 
-@query("WITH r AS (SELECT unnest(range(13)) AS i, unnest(['A', ' b ', 'A.', 'B.' || chr(10), '', 'The answer is A', 'A or B', 'a..', 'A. .', chr(160) || 'B' || chr(8195), 'AB', '.', 'b']) AS reply) "
-       f"SELECT i, {sub(_CHOICE, 'reply')} AS choice FROM r")
+@query(_JUDGE + f""", said AS (SELECT pair_id, dimension, ('0x' || substr(md5(pair_id || dimension), 1, 4))::INTEGER AS h FROM jt),
+r AS (SELECT pair_id, dimension, replace(({_SAYS})[h % 13 + 1], '~', ['A', 'b', 'B', 'a'][h // 13 % 4 + 1]) AS reply FROM said)
+SELECT pair_id, dimension, {sub(_CHOICE, 'reply')} AS choice FROM r""", views=True)
 def judge_parse(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(_REPLIES)), "i long, reply string").select("i", tx.parse_choice("reply").alias("choice"))
+    """What is read from replies in all kinds of forms, one for every task."""
+    t = judging.tasks(joined(spark, sf_dir), SEED)
+    h = F.conv(F.substring(F.md5(F.concat("pair_id", "dimension").cast("binary")), 1, 4), 16, 10).cast("int")
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
+    reply = F.replace(pick(_REPLIES, h % 13), F.lit("~"), pick(("A", "b", "B", "a"), F.floor(h / 13) % 4))
+    return t.select("pair_id", "dimension", tx.parse_choice(reply).alias("choice"))
 
 
 def stub_verdicts(spark, sf_dir):
@@ -391,6 +383,20 @@ def jmq_recompute(spark, sf_dir):
     return rounded(judging.scores(records.read_strict(spark, path, "verdict")), "win_rate", "score")
 
 
+@query(_VERDICTS + _SCORES, views=True)
+def jmq_stream(spark, sf_dir):
+    """Scores of a verdict log that comes in three deliveries, the second of which brings the first one's verdicts again."""
+    from driftline.streaming import verdicts as live
+
+    base = fresh_path(spark, "verdict-log")
+    cols = [c.split()[0] for c in records.ENTITIES["verdict"].split(", ")]
+    own = cut(stub_verdicts(spark, sf_dir).select(*cols), "verdicts").withColumn("_digit", F.substring(F.md5(F.concat("pair_id", "dimension").cast("binary")), 1, 1))
+    for part in ("_digit < '5'", "_digit < 'a'", "_digit >= 'a'"):
+        records.write_lines(own.where(part).drop("_digit"), f"{base}/log", "verdict")
+        live.keep_scores(live.log(spark, f"{base}/log"), f"{base}/out", f"{base}/state")
+    return rounded(spark.read.parquet(f"{base}/out/scores"), "win_rate", "score")
+
+
 @query(_VERDICTS + """, named AS (SELECT pair_id, dimension, CASE WHEN dimension = 'overall' AND substr(md5(pair_id), 1, 1) = '0' THEN 'another-judge' ELSE 'gpt-5.4-mini' END AS m FROM verdicts),
 sets AS (SELECT 'all' AS verdicts, * FROM named UNION ALL SELECT 'clarity', * FROM named WHERE dimension = 'clarity' UNION ALL SELECT 'second', * FROM named WHERE m = 'another-judge')
 SELECT verdicts, CASE WHEN count(DISTINCT m) = 1 THEN min(m) ELSE 'mixed:' || string_agg(DISTINCT m, ',' ORDER BY m) END AS judge_model, count(DISTINCT pair_id) AS n FROM sets GROUP BY verdicts""", views=True)
@@ -646,19 +652,40 @@ def cascade_live(spark, sf_dir):
     return out.select("pair_id", "k", tx.content_sha256("text").alias("sha"), F.col("report.hard_tripped").alias("hard_tripped"))
 
 
-@query("""SELECT n AS name FROM (SELECT unnest(['rewrite-k1.jsonl', 'rewrite-k2.manifest.json', 'rewrite-k3.jsonl', 'rewrite-k4.jsonl', 'draft.jsonl']) AS n)
-WHERE TRY_CAST(regexp_extract(n, '^rewrite-k(\\d+)', 1) AS INTEGER) > 2""")
+_KINDS_OF_FILE = ("jsonl", "manifest.json", "tmp")
+
+
+@query(f""", names AS (SELECT DISTINCT CASE WHEN k = 0 THEN 'draft' ELSE 'rewrite-k' || k END || '.' || unnest({list(_KINDS_OF_FILE)}) AS name FROM rounds)
+SELECT name FROM names WHERE TRY_CAST(regexp_extract(name, '^rewrite-k(\\d+)\\.', 1) AS INTEGER) > 1""", views=True)
 def cascade_stale(spark, sf_dir):
-    names = ["rewrite-k1.jsonl", "rewrite-k2.manifest.json", "rewrite-k3.jsonl", "rewrite-k4.jsonl", "draft.jsonl"]
-    return cascade.stale_rounds(spark.createDataFrame([(n,) for n in names], "name string"), 2)
+    """Files of the table's rounds that a run of one round leaves behind."""
+    name = F.when(F.col("k") == 0, "draft").otherwise(F.concat(F.lit("rewrite-k"), F.col("k").cast("string")))
+    kinds = F.explode(F.array(*[F.lit(x) for x in _KINDS_OF_FILE]))
+    names = b.rounds(spark, sf_dir).select(name.alias("stem"), kinds.alias("kind")).distinct().select(F.concat_ws(".", "stem", "kind").alias("name"))
+    return cascade.stale_rounds(names, 1)
 
 
-@query(f""", left_ AS (SELECT pair_id, prompt, ({_PAIR_SEEDS})[{_NUMBER}] AS seed FROM pairs WHERE pair_id NOT IN (SELECT pair_id FROM drafts))
-SELECT pair_id, prompt || ' [draft ' || (seed % 1000) || ']' AS text, seed FROM left_""", views=True)
+@query(""", left_ AS (SELECT pair_id, prompt FROM pairs WHERE pair_id NOT IN (SELECT pair_id FROM drafts))
+SELECT pair_id, prompt AS told, true AS own_seed FROM left_""", views=True)
 def drafts_live(spark, sf_dir):
-    """Drafts of the stand-in model for the pairs that have none."""
-    p = b.pairs(spark, sf_dir)
-    return cascade.generated(p, b.drafts(spark, sf_dir), seams.stub_drafter, SEED)
+    """Drafts of the stand-in model for the pairs that have none: what it was told, and whether it was with the pair's own seed."""
+    made = cascade.generated(b.pairs(spark, sf_dir), b.drafts(spark, sf_dir), seams.stub_drafter, SEED)
+    own = F.concat(F.lit(" [draft "), (tx.pair_seed("pair_id", SEED) % 1000).cast("string"), F.lit("]"))
+    return made.select("pair_id", F.regexp_replace("text", r" \[draft \d+\]$", "").alias("told"), (F.endswith("text", own) & (F.col("seed") == tx.pair_seed("pair_id", SEED))).alias("own_seed"))
+
+
+@query(", fo AS (SELECT count(*) AS pairs, count_if(substr(md5(pair_id), 1, 1) < '8')::BIGINT AS half FROM drafts) SELECT pairs, half AS first, half AS already_done, pairs - half AS second, 2 * pairs AS rows FROM fo", views=True)
+def rewrite_resumed(spark, sf_dir):
+    """A rewriting run over half of the drafts, then over all of them into the same place: the finished half is not rewritten again."""
+    from driftline.operators import progress
+
+    drafts, store, kind = b.drafts(spark, sf_dir), fresh_path(spark, "resumed"), "pair_id string, text string, k int"
+    step = lambda rows: cascade.run(rows, seams.stub_rewriter, 2, lambda df, k: cut(df, f"rounds-k{k}")).select("pair_id", "text", "k")
+    half = drafts.where(F.substring(F.md5(F.col("pair_id").cast("binary")), 1, 1) < "8")
+    first = progress.append(half, store, kind, step, partition_by=["k"])
+    second = progress.append(drafts, store, kind, step, partition_by=["k"])
+    rows = spark.read.parquet(store).where("k < 2").count()
+    return spark.createDataFrame([(second.planned, first.new, second.before, second.new, rows)], "pairs long, first long, already_done long, second long, rows long")
 
 
 # --- reports ------------------------------------------------------------------------------------
@@ -722,15 +749,25 @@ def trajectory(spark, sf_dir):
     return r.withColumn("place", F.row_number().over(Window.orderBy(F.col("round").asc_nulls_last(), "input_index")) - 1).select("report_id", "round", "place")
 
 
-@query("SELECT * FROM (VALUES ('14B SFT superbaseline', 0.037::DOUBLE, 0.49::DOUBLE, 0.0039::DOUBLE), ('14B DFT', 0.018, 0.80, 0.0036), ('8B DFT', 0.023, 0.56, 0.0031), ('4B DFT', 0.025, 0.40, 0.0042)) t(model, mmd, jmq, token_l2)")
+@query(_REPORTS + """SELECT report_id AS model, mmd, jmq, token_l2, false AS published FROM reports
+UNION ALL SELECT *, true FROM (VALUES ('14B SFT superbaseline', 0.037::DOUBLE, 0.49::DOUBLE, 0.0039::DOUBLE), ('14B DFT', 0.018, 0.80, 0.0036), ('8B DFT', 0.023, 0.56, 0.0031), ('4B DFT', 0.025, 0.40, 0.0042)) t(model, mmd, jmq, token_l2)""", views=True)
 def benchmark_rows(spark, sf_dir):
-    return rp.published(spark)
+    """Measured rounds and the published rows in one table."""
+    own = round_reports(spark, sf_dir).select(F.col("report_id").alias("model"), "mmd", "jmq", "token_l2", F.lit(False).alias("published"))
+    return own.unionByName(rp.published(spark).withColumn("published", F.lit(True)))
+
+
+_TAGGED = "CASE WHEN substr(md5(doc_id::VARCHAR), 1, 1) < '4' THEN lang WHEN substr(md5(doc_id::VARCHAR), 1, 1) < '6' THEN '' END"
+_CANDIDATE = "CASE WHEN substr(md5(doc_id::VARCHAR), 2, 1) < '4' THEN 'personal-' ELSE 'web-' END || doc_id"
 
 
-@query("""SELECT set_id, corpus FROM (VALUES ('a-1', 'web'), ('personal-3', 'personal'), ('b-2', NULL)) t(set_id, corpus)""")
+@query(f"SELECT doc_id, coalesce(nullif({_TAGGED}, ''), CASE WHEN starts_with({_CANDIDATE}, 'personal-') THEN 'personal' END) AS corpus FROM documents")
 def report_corpus_tags(spark, sf_dir):
-    rows = spark.createDataFrame([("a-1", "web"), ("personal-3", None), ("b-2", "")], "set_id string, tag string")
-    return rows.select("set_id", tx.report_corpus(F.col("tag"), F.col("set_id"), F.lit("x")).alias("corpus"))
+    """The corpus that a report is on, from its tag or its sets' names; a document each stands for a report."""
+    digit = lambda k: F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), k, 1)
+    tag = F.when(digit(1) < "4", F.col("lang")).when(digit(1) < "6", "")
+    candidate = F.concat(F.when(digit(2) < "4", "personal-").otherwise("web-"), F.col("doc_id").cast("string"))
+    return docs(spark, sf_dir).select("doc_id", tx.report_corpus(tag, candidate, F.lit("reference")).alias("corpus"))
 
 
 # --- self-check ---------------------------------------------------------------------------------
@@ -751,8 +788,7 @@ def self_check_split_hash(spark, sf_dir):
 
 @query()
 def self_check_split_mersenne(spark, sf_dir):
-    ids = [r[0] for r in b.references(spark, sf_dir).select("pair_id").orderBy("pair_id").toLocalIterator()]
-    return sampling.half_split_by_generator(spark, ids, SEED)[0]
+    return sampling.half_split_by_generator(b.references(spark, sf_dir), SEED)[0]
 
 
 @query(_SPLIT + ", st AS (SELECT side, text FROM sp WHERE side IS NOT NULL)" + _l2("st", "") + "SELECT token_l2, vocab_size FROM l2", views=True)
@@ -767,10 +803,12 @@ def self_check_pairs(spark, sf_dir):
     return p.select("pair_id", tx.content_sha256("model_text").alias("model_sha"), tx.content_sha256("human_text").alias("human_sha"))
 
 
-@query("SELECT n, round(greatest(0, 0.5 - 3 * sqrt(0.25 / n)), 9) AS lo, round(least(1, 0.5 + 3 * sqrt(0.25 / n)), 9) AS hi FROM (SELECT unnest([1, 9, 25, 200, 2000])::BIGINT AS n)")
+@query("SELECT source, n, round(greatest(0, 0.5 - 3 * sqrt(0.25 / n)), 9) AS lo, round(least(1, 0.5 + 3 * sqrt(0.25 / n)), 9) AS hi FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 def self_check_window(spark, sf_dir):
+    """Win rates that chance allows a set as large as each source."""
     lo, hi = rp.window(F.col("n"))
-    return rounded(spark.createDataFrame([(n,) for n in (1, 9, 25, 200, 2000)], "n long").select("n", lo.alias("lo"), hi.alias("hi")), "lo", "hi")
+    sizes = docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+    return rounded(sizes.select("source", "n", lo.alias("lo"), hi.alias("hi")), "lo", "hi")
 
 
 #: Fixed value: splits of the envelope.
@@ -821,18 +859,29 @@ def tolerant_read_last_wins(spark, sf_dir):
     path = fresh_path(spark, "tolerant")
     t = b.references(spark, sf_dir).select("pair_id", "text")
     first = t.select(F.to_json(F.struct("pair_id", F.lit("old").alias("text"))).alias("value")).unionByName(spark.createDataFrame([("{broken",)], "value string"))
-    first.coalesce(1).write.mode("overwrite").text(path + "/a")
-    t.select(F.to_json(F.struct("pair_id", "text")).alias("value")).coalesce(1).write.mode("overwrite").text(path + "/b")
+    first.write.mode("overwrite").text(path + "/a")
+    t.select(F.to_json(F.struct("pair_id", "text")).alias("value")).write.mode("overwrite").text(path + "/b")
     lines = records.numbered(spark, path + "/a").withColumn("line_no", F.col("line_no") - (1 << 60)).unionByName(records.numbered(spark, path + "/b"))
     good = records.last_wins(records.parsed(lines, "text").where("problem is null").select("record.*", "line_no"), "pair_id", "line_no")
     return good.select("pair_id", tx.content_sha256("text").alias("sha"))
 
 
-@query("SELECT * FROM (VALUES (NULL, 1::BIGINT), ('keys', 2), ('json', 2)) t(problem, n)")
+_DEFECT = "substr(md5(pair_id), 1, 1)"
+
+
+@query(f"""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN {_DEFECT} < '2' THEN 'json' WHEN {_DEFECT} < '6' THEN 'keys' END AS problem FROM refs WHERE {_DEFECT} >= '6' OR {_DEFECT} < '6' AND {_DEFECT} <> '5') GROUP BY problem""", views=True)
 def strict_read_errors(spark, sf_dir):
-    """Kinds of problems of lines that a strict read refuses."""
-    lines = ['{"pair_id": "p", "text": "t"}', '{"pair_id": "p"}', "{broken", '{"pair_id": "p", "text": "t", "more": 1}', "   ", "[1]"]
-    return records.parsed(spark.createDataFrame([(x,) for x in lines], "value string"), "text").groupBy("problem").agg(F.count("*").alias("n"))
+    """Kinds of problems that a strict read refuses, of every reference's line, spoilt by the first digit of its name's MD5."""
+    digit = F.substring(F.md5(F.col("pair_id").cast("binary")), 1, 1)
+    whole = F.to_json(F.struct("pair_id", "text"))
+    spoilt = (
+        F.when(digit == "0", F.concat(F.lit("{"), whole)).when(digit == "1", F.concat(F.lit("["), whole, F.lit("]")))
+        .when(digit == "2", F.to_json(F.struct("pair_id"))).when(digit == "3", F.to_json(F.struct("text"))).when(digit == "4", F.to_json(F.struct("pair_id", "text", F.lit(1).alias("more"))))
+        .when(digit == "5", F.lit("   ")).otherwise(whole)
+    )
+    path = fresh_path(spark, "spoilt")
+    b.references(spark, sf_dir).select(spoilt.alias("value")).write.text(path)
+    return records.parsed(records.numbered(spark, path), "text").groupBy("problem").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS first, 0::BIGINT AS second, count(*) AS rows FROM drafts", views=True)

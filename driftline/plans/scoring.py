@@ -104,8 +104,7 @@ def self_check(
     templates: dict[str, str] | None = None, verdicts_path: str | None = None, judge_model: str = judging.DEFAULT_JUDGE,
 ) -> dict:
     """Half of a human set scored against the other half: values, bounds and every bound that is broken."""
-    ids = [r[0] for r in reference.select("pair_id").orderBy("pair_id").toLocalIterator()]
-    split, dropped = sampling.half_split_by_generator(reference.sparkSession, ids, seed)
+    split, dropped = sampling.half_split_by_generator(reference, seed)
     pairs = sampling.split_pairs(split, reference)
     a, b = pairs.select("pair_id", F.col("model_text").alias("text")), pairs.select("pair_id", F.col("human_text").alias("text"))
     prompts = pairs.select("pair_id", F.concat(F.lit(PLACEHOLDER), F.col("pair_id")).alias("prompt"))
@@ -118,7 +117,7 @@ def self_check(
     broken = rp.violations(report["mmd"], report["token_l2"], rate, n, embedder_id, skip_judge)
     return {
         "report": report, "mmd": report["mmd"], "token_l2": report["token_l2"], "jmq_win_rate": rate, "jmq_n": n, "jmq_window": rp.fair_window(n) if n else None,
-        "half_size": len(ids) // 2, "dropped_pair_id": dropped, "violations": broken,
+        "half_size": report["compared"]["n"], "dropped_pair_id": dropped, "violations": broken,
     }
 
 

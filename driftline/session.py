@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; an own one only where none is named."""
+    """The folder all executors share, as the session names it; an own one only where none is named and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="driftline-"))
 
 
@@ -27,6 +32,45 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def intermediate_path(spark: SparkSession, name: str) -> str:
+    """A :func:`fresh_path` for what is no result; see :func:`intermediates`."""
+    _MADE.append(path := fresh_path(spark, name))
+    return path
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Remove what is cut in the block as it ends; frames that are read from it must be done with by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in _MADE[before:]:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        del _MADE[before:]
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
+    """The session with other settings (dots written as two underscores) until the block ends."""
+    before = {}
+    try:
+        for k, v in wanted.items():
+            key = k.replace("__", ".")
+            before[key] = spark.conf.get(key, None)
+            spark.conf.set(key, v)
+        yield
+    finally:
+        for key, v in before.items():
+            spark.conf.unset(key) if v is None else spark.conf.set(key, v)
+
+
+#: Keyed state of streams on disk, as it grows with the keys.
+STATE_ON_DISK = {"spark__sql__streaming__stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -34,7 +78,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     executor.  Unlike a cached or locally checkpointed frame it cannot be half lost.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = intermediate_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.session import STATE_ON_DISK, settings
+
 
 def documents(spark: SparkSession, folder: str, schema: T.StructType, kind: str = "parquet", per_batch: int = 100) -> DataFrame:
     """An unbounded source of the files that come into a folder."""
@@ -25,29 +27,19 @@ def have(spark: SparkSession, sink: str, schema: T.StructType) -> DataFrame:
 def append_new(stream: DataFrame, sink: str, checkpoint: str, key: str = "pair_id", step: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """Run what has come since the last call to its end; returns the number of new rows.
 
-    A batch keeps one row of each key, drops keys that the sink has, applies ``step`` to the rest and
-    appends the result.  The sink is the state: a batch that is repeated after a failure finds its keys
-    there.  ``step`` must keep the key.
+    One row of each key goes through ``step``, which must keep rows one by one, into the Parquet
+    ``sink``.  The keys that were seen live in the stream's state on disk, so a call costs what is new,
+    however much the sink holds; the sink takes each batch's files once, also if a batch is repeated
+    after a failure.  A null key is a key.
     """
-    new = 0
-
-    def write(batch: DataFrame, _: int) -> None:
-        nonlocal new
-        spark = batch.sparkSession
-        out_schema = (step(batch.limit(0)) if step else batch).schema
-        fresh = batch.dropDuplicates([key]).join(have(spark, sink, out_schema).select(key), key, "left_anti").select(*batch.columns)
-        out = (step(fresh) if step else fresh).persist()
-        try:
-            n = out.count()
-            if n:
-                out.write.mode("append").parquet(sink)
-            new += n
-        finally:
-            out.unpersist()
-
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return new
+    fresh = stream.dropDuplicates([key])
+    with settings(stream.sparkSession, **STATE_ON_DISK):
+        query = (
+            (step(fresh) if step else fresh).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return sum(s.numRowsUpdated for p in query.recentProgress for s in p.stateOperators)
 
 
 def progress(spark: SparkSession, sink: str, schema: T.StructType, planned: DataFrame, key: str = "pair_id") -> DataFrame:

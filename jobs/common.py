@@ -1,4 +1,4 @@
-"""What the jobs share: configuration files, logging, settings that are put back, the command line's session."""
+"""What the jobs share: configuration files, logging, the command line's session."""
 
 from __future__ import annotations
 
@@ -33,21 +33,6 @@ def read_config(spark: SparkSession, kind: type, path: str | None) -> Any:
     return configured(kind, json.loads(spark.read.text(path, wholetext=True).first()[0]))
 
 
-@contextlib.contextmanager
-def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
-    """The session with other settings (dots written as two underscores) until the block ends."""
-    before = {}
-    try:
-        for k, v in wanted.items():
-            key = k.replace("__", ".")
-            before[key] = spark.conf.get(key, None)
-            spark.conf.set(key, v)
-        yield
-    finally:
-        for key, v in before.items():
-            spark.conf.unset(key) if v is None else spark.conf.set(key, v)
-
-
 @contextlib.contextmanager
 def session(name: str) -> Iterator[SparkSession]:
     """The command line's session, as a launcher configures it or else local; it ends with the block."""

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from driftline.operators import cascade, detection, judging, metrics, seams
 from driftline.plans import bindings
-from driftline.session import cut, ship
+from driftline.session import cut, intermediates, ship
 from jobs.common import log, read_config, session
 
 #: ``k`` is a folder.
@@ -107,10 +107,11 @@ def round_scores(
     ship(spark)
     conv, docs = spark.read.parquet(conversations), spark.read.parquet(documents)
     pairs, all_rounds = bindings.pairs_of(conv, docs), bindings.rounds_of(conv.where("conv_id is not null"))
-    found = measured(all_rounds, pairs, config, instruments or Instruments(), rounds)
-    # a round has a handful of rows
-    writer = found.repartition("k").write.mode("overwrite").option("partitionOverwriteMode", "static" if rounds is None else "dynamic")
-    writer.partitionBy("k").parquet(scores)
+    with intermediates(spark):
+        found = measured(all_rounds, pairs, config, instruments or Instruments(), rounds)
+        # a round has a handful of rows
+        writer = found.repartition("k").write.mode("overwrite").option("partitionOverwriteMode", "static" if rounds is None else "dynamic")
+        writer.partitionBy("k").parquet(scores)
     own = read_scores(spark, scores)
     done = own if rounds is None else own.where(F.col("k").isin(*rounds))
     told = {r["k"]: r["pairs"] for r in done.where("metric = 'pairs'").select("k", F.col("n").alias("pairs")).collect()}

@@ -99,10 +99,14 @@ def test_half_splits(spark, n):
     rows = sampling.half_split_by_hash(df, 3).collect()
     halves = {h: {r["pair_id"] for r in rows if r["half"] == h} for h in ("a", "b")}
     assert len(halves["a"]) == len(halves["b"]) == n // 2 and not halves["a"] & halves["b"]
-    split, dropped = sampling.half_split_by_generator(spark, ids, 3)
-    assert split.count() == n - n % 2 and (dropped is not None) == bool(n % 2)
+    split, dropped = sampling.half_split_by_generator(df.repartition(3), 3)
+    mixed = sorted(ids)
+    random.Random(3).shuffle(mixed)
+    assert dropped == (mixed.pop() if n % 2 else None)
+    want = {(p, "a" if k < n // 2 else "b", k % (n // 2)) for k, p in enumerate(mixed)}
+    assert {(r["pair_id"], r["half"], r["place"]) for r in split.collect()} == want
     with pytest.raises(ValueError, match="four"):
-        sampling.half_split_by_generator(spark, ids[:3], 0)
+        sampling.half_split_by_generator(df.limit(3), 0)
 
 
 def test_qualification(spark):

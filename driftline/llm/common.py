@@ -89,8 +89,8 @@ class Forest:
         return True
 
 
-#: Most nodes that count as hubs at a time, and fewest edges of one.
-HUBS, HUB_EDGES = 1 << 16, 100
+#: Most nodes that count as hubs at a time, and fewest edges of one: narrow rows that any task takes at once.
+HUBS, HUB_EDGES = 1 << 16, 50_000
 
 
 def most_rows(total: int) -> int:
@@ -105,6 +105,8 @@ def joined(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame
     of which there are at most HUBS, the table's rows are broadcast and the rows stay where they are.
     """
     most, cols = most_rows(total), [c for c in table.columns if c not in (key, "n")]
+    if total <= most:  # no key can have more
+        return rows.join(table.select(key, *cols), key).select(*rows.columns, *cols)
     hot = table.where(F.col("n") > most).select(key, F.struct(*cols).alias("_hot"))
     told = rows.join(F.broadcast(hot), key, "left")
     rest = told.where("_hot is null").drop("_hot").join(table.where(F.col("n") <= most).select(key, *cols), key)
@@ -165,5 +167,16 @@ def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return own.where(F.expr("bit_get(_bits, cast(_h % 64 as int)) = 1")).select(*rows.columns)
 
 
+#: Rows that one array lists when rows are repeated.
+REPEAT = 1 << 16
+
+
+def repeated(rows: DataFrame, times: str, nth: str) -> DataFrame:
+    """Each row as often as ``times`` says, numbered from 0 in ``nth``; no array is longer than REPEAT, however often a row comes."""
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / REPEAT))).alias("_part")
+    first = F.col("_part") * REPEAT
+    return rows.where(F.col(times) > 0).select("*", part).withColumn(nth, F.explode(F.sequence(first, F.least(first + REPEAT, F.col(times)) - 1))).drop("_part")
+
+
 def any_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds)

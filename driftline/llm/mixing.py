@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut
+from driftline.llm.common import cut, repeated
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -131,12 +131,13 @@ def mix(
     histogram = lengths.join(a, lengths["source"].eqNullSafe(a["source"])).select(lengths["source"], "size", "n", "source_size", "target", "passes")
     chosen = histogram.groupBy("source").applyInPandas(plan, f"source {kind}, size long, take long").where("take > 0")
 
-    # the seeded rank of a row within its length, counted by salt
+    # equal rows are one with a count; the seeded rank of a row within its length is counted by salt
     draw = F.xxhash64(F.lit(seed), F.col("key"), F.col("size"))
     common = lengths.where("size > 0").agg(F.max("n")).first()[0] or 0
     salts = max(SALTS, -(-common // SALT_ROWS))
-    salted = rows.where("size > 0").withColumn("draw", draw).withColumn("salt", F.pmod(F.shiftrightunsigned("draw", 3), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
+    equal = rows.where("size > 0").groupBy("source", "size", "key").agg(F.count("*").alias("n"))
+    salted = equal.withColumn("draw", draw).withColumn("salt", F.pmod(F.shiftrightunsigned("draw", 3), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("source", "size", "salt").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy("source", "size").orderBy("salt")
     c = counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
     t = chosen.alias("t")
@@ -144,10 +145,13 @@ def mix(
         c["source"], c["size"], c["salt"], F.greatest(F.lit(0), F.least(c["n"], F.col("take") - F.col("before"))).alias("quota")
     ).where("quota > 0")
     inside = Window.partitionBy("source", "size", "salt").orderBy("draw", "key")
-    ranked = salted.withColumn("at", F.row_number().over(inside))
-    extra = ranked.join(quota, same(ranked, quota, ["source", "size", "salt"]), "left").select(
-        ranked["key"], ranked["source"].alias("src"), ranked["size"], F.when(F.col("at") <= F.col("quota"), 1).otherwise(0).alias("extra")
-    ).unionByName(rows.where("size = 0").select("key", F.col("source").alias("src"), "size", F.lit(0).alias("extra")))
+    ranked = salted.withColumn("at", F.sum("n").over(inside) - F.col("n"))
+    some = ranked.join(quota, same(ranked, quota, ["source", "size", "salt"]), "left").select(
+        ranked["key"], ranked["source"].alias("src"), ranked["size"], ranked["n"].alias("times"), F.coalesce(F.col("quota"), F.lit(0)).alias("left"), ranked["at"]
+    )
+    extra = repeated(some, "times", "nth").select("key", "src", "size", F.when(F.col("at") + F.col("nth") < F.col("left"), 1).otherwise(0).alias("extra")).unionByName(
+        rows.where("size = 0").select("key", F.col("source").alias("src"), "size", F.lit(0).alias("extra"))
+    )
     out = extra.join(aims, extra["src"].eqNullSafe(aims["source"]))
     return out.select(
         F.col("key").alias(key), "size", F.col("source_size").cast("long").alias("source_size"), "target",

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut
+from driftline.llm.common import cut, joined, repeated
 
-#: Groups that one cell differences in memory.
-CELL_GROUPS = 40_000
+#: Groups that one cell differences in memory, and rows that are numbered in one task, about.
+CELL_GROUPS, RUN_ROWS = 40_000, 1_000_000
 
 
 def difference(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,21 +127,25 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
             F.col(key).alias("key"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
-            F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"),
+            # no digest is empty, so that is the null texts'
+            F.coalesce(F.unhex(F.md5(F.col(text).cast("binary"))), F.lit(b"")).alias("digest"),
         ),
         "shard-rows",
     )
-    groups = cut(rows.groupBy("digest").agg(F.sum("size").alias("size")), "shard-groups")
-    where = divided(groups, np.zeros(shards, np.int64), cell_groups)[0].select("digest", "shard")
-
-    # slots: counts of (shard, run) give each run its first slot, so no shard is ranked in one task
-    run = F.pmod(F.xxhash64("key"), F.lit(8 * max(1, -(-groups.count() // cell_groups)))).cast("int")
-    out = rows.join(where, rows["digest"].eqNullSafe(where["digest"])).select("key", "size", "text_crc32", "shard", run.alias("run"))
-    out = cut(out, "shard-out")
+    groups = cut(rows.groupBy("digest").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "shard-groups")
+    where = divided(groups, np.zeros(shards, np.int64), cell_groups)[0].select("digest", "shard").join(groups.select("digest", "n"), "digest")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+
+    # equal rows are one with a count, so that neither a key nor a text puts many into one task
+    same = joined(rows, where, "digest", total).groupBy("key", "text_crc32", "size", "shard").agg(F.count("*").alias("n"))
+    # counts of (shard, run) give each run its first slot, so no shard is numbered in one task
+    run = F.pmod(F.xxhash64("key", "text_crc32"), F.lit(8 * max(1, -(-total // RUN_ROWS)))).cast("int")
+    out = cut(same.withColumn("run", run), "shard-out")
     before = Window.partitionBy("shard").orderBy("run")
-    first = out.groupBy("shard", "run").agg(F.count("*").alias("n")).select("shard", "run", (F.sum("n").over(before) - F.col("n")).alias("first"))
+    first = out.groupBy("shard", "run").agg(F.sum("n").alias("n")).select("shard", "run", (F.sum("n").over(before) - F.col("n")).alias("first"))
     inside = Window.partitionBy("shard", "run").orderBy("key", "text_crc32", "size")
-    return out.withColumn("at", F.row_number().over(inside) - 1).join(first, ["shard", "run"]).select(
+    placed = out.withColumn("at", F.sum("n").over(inside) - F.col("n")).join(first, ["shard", "run"])
+    return repeated(placed, "n", "nth").select(
         F.col("key").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("first") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("first") + F.col("at") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -228,3 +228,43 @@ def test_mix_of_odd_and_empty_tables(odd):
 def test_word_counts(odd):
     got = [(r["text"], r["n"]) for r in odd.select("text", mixing.word_total().alias("n")).collect()]
     assert all(n == len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t, n in got)
+
+
+def hot(make):
+    """A third of the rows have no key, a text has very many copies, and a row comes again and again."""
+    rows = [(None, f"text {k} " + "x " * (k % 9), None, f"s{k % 3}") for k in range(900)] + [(10_000 + k, "the same text", None, "s1") for k in range(900)]
+    return rows + [(7, "again and again", None, None)] * 700 + [(20_000 + k, f"own text {k}", None, "s2") for k in range(500)]
+
+
+def test_hot_keys_texts_and_rows_are_numbered_in_parts(make, monkeypatch):
+    from driftline.llm import common
+
+    monkeypatch.setattr(common, "HUB_EDGES", 50)
+    monkeypatch.setattr(common, "REPEAT", 64)
+    rows = hot(make)
+    docs = make(rows)
+    got = sharding.shard(docs, 4).collect()
+    check([r for r in got], docs.collect())
+    again = sharding.shard(docs.repartition(7), 4).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def test_mixing_takes_equal_rows_by_their_number(make, monkeypatch):
+    from driftline.llm import common
+
+    monkeypatch.setattr(common, "REPEAT", 64)
+    docs = make(hot(make))
+    got = mixing.mix(docs).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(5)).collect())) and len(got) == 3000
+    by = defaultdict(lambda: [0, 0.0])
+    assert all(r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 3 * r["size"] for r in got)
+    for r in got:
+        by[r["source_size"], r["target"]][0] += r["taken"]
+    for (size, target), (taken, _) in by.items():
+        assert taken <= target and target - taken < 20, (size, target, taken)
+
+
+@pytest.mark.parametrize("run", [sharding.shard, mixing.mix])
+def test_clashing_columns_are_not_looked_at(odd, run):
+    more = odd.selectExpr("*", "1 AS key", "2 AS n", "3 AS size", "4 AS shard", "5 AS run", "6 AS nth", "7 AS taken", "8 AS draw", "9 AS target", "'x' AS digest", "10 AS at", "11 AS salt")
+    assert sorted(map(repr, run(more).collect())) == sorted(map(repr, run(odd).collect()))

@@ -19,6 +19,8 @@ from driftline.session import cut
 BLOCK, TILE_BYTES = 1024, 32_000_000
 #: Values among which the median is looked up at last; looks go by so many bits of the values, the first ones first.
 FEW, BITS = 200_000, (20, 16, 16, 12)
+#: Bins of the values between two ends.
+BINS = 1 << 16
 
 
 def token_counts(rows: DataFrame, by: list[str], text: str = "text", tokens: Column | None = None) -> DataFrame:
@@ -119,12 +121,40 @@ def over_tiles(made: DataFrame, run: Callable[[pa.Table], pa.Table], kind: str)
     return made.groupBy("g", "i", "j").applyInArrow(run, kind)
 
 
-def bandwidth(made: DataFrame) -> float:
+def bracket(written: DataFrame) -> tuple[float, float] | None:
+    """Two values that have the median squared distance of all pairs between them, nearly always; none for too few vectors.
+
+    The vectors of a block are a random part of their group, so neighbours in it are pairs that have
+    nothing to do with each other.  A sketch of their distances is taken where the blocks are; the
+    bracket is five standard errors wide to either side.
+    """
+    n = written.agg(F.sum(F.floor(F.size("v") / 2))).first()[0] or 0
+    if n < 100:
+        return None
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                v = _stack(batch.column(0)[r])
+                x, y = v[0 : len(v) // 2 * 2 : 2], v[1::2]
+                yield pa.RecordBatch.from_pydict({"d": pa.array(((x - y) ** 2).sum(1), pa.float64())})
+
+    wide = min(0.5, 2.5 / n**0.5)
+    ends = written.select("v").mapInArrow(run, "d double").agg(F.percentile_approx("d", F.array(F.lit(0.5 - wide), F.lit(0.5 + wide)), 10_000)).first()[0]
+    return (ends[0], ends[1]) if 0 < ends[0] < ends[1] else None
+
+
+def bandwidth(made: DataFrame, ends: tuple[float, float] | None = None) -> float:
     """Square root of the median squared distance of all pairs of :func:`tiles`; of those above 0 if the median is 0.
 
-    Exact at any size: counts by the first bits of the numbers lead to those that the median begins
-    with, whose next bits are the next look's, until the values left are few enough to be sorted.
+    Exact at any size.  With ``ends`` that have the median between them, as :func:`bracket` finds them,
+    two passes over the pairs do: one counts what is below, and what is inside in fine bins, the other
+    fetches the values of the median's bin.  Without, or if the bracket misses, counts by the first bits
+    of the numbers lead to those that the median begins with, whose next bits are the next look's, until
+    the values left are few enough to be sorted.
     """
+    if ends is not None and (found := _within(made, *ends)) is not None:
+        return found
     seen: dict = {}
     first = _counts(made, 0, None, seen)
     n, zeros = sum(first.values()), first.get(-1, 0)
@@ -137,6 +167,49 @@ def bandwidth(made: DataFrame) -> float:
     return float(np.sqrt(sum(_value_at(made, r, seen) for r in ranks) / 2))
 
 
+def _within(made: DataFrame, lo: float, hi: float) -> float | None:
+    """:func:`bandwidth` from the values between two ends; none if they don't hold the median, or too many values as one."""
+
+    def bins(d: np.ndarray) -> np.ndarray:
+        # never falls as d rises, so bins are in order of their values
+        at = np.floor(np.clip((d - lo) / (hi - lo), -1.0, 2.0) * BINS).astype(np.int64)
+        return np.where(d < lo, -1, np.where(d > hi, BINS, np.clip(at, 0, BINS - 1)))
+
+    def count(tile: pa.Table) -> pa.Table:
+        total = np.zeros(BINS + 2, np.int64)
+        for d in _distances(tile):
+            total += np.bincount(bins(d) + 1, minlength=BINS + 2)
+        at = np.flatnonzero(total)
+        return pa.table({"bin": pa.array(at - 1, pa.int32()), "n": pa.array(total[at], pa.int64())})
+
+    got = sorted((r[0], r[1]) for r in over_tiles(made, count, "bin int, n long").groupBy("bin").agg(F.sum("n")).collect())
+    n, held, before = sum(m for _, m in got), {}, 0
+    ranks = (n - 1) // 2, n // 2
+    for k, m in got:
+        for r in ranks:
+            if before <= r < before + m:
+                held[r] = k, r - before, m
+        before += m
+    if not n or any(k in (-1, BINS) or m > FEW for k, _, m in held.values()):
+        return None
+    wanted = sorted({k for k, _, _ in held.values()})
+
+    def fetch(tile: pa.Table) -> pa.Table:
+        parts = [(d[i := np.isin(at := bins(d), wanted)], at[i]) for d in _distances(tile)]
+        d, at = (np.concatenate([p[x] for p in parts]) if parts else np.zeros(0) for x in (0, 1))
+        return pa.table({"bin": pa.array(at, pa.int32()), "d": pa.array(d, pa.float64())})
+
+    values = over_tiles(made, fetch, "bin int, d double").groupBy("bin", "d").agg(F.count("*").alias("n")).collect()
+    by = {k: _spread([(r["d"], r["n"]) for r in values if r["bin"] == k]) for k in wanted}
+    return float(np.sqrt(sum(by[k][at] for k, at, _ in (held[r] for r in ranks)) / 2))
+
+
+def _spread(counted: list[tuple[float, int]]) -> np.ndarray:
+    """Values in order, each as often as it comes."""
+    counted = sorted(counted)
+    return np.repeat([d for d, _ in counted], [n for _, n in counted])
+
+
 def _bits(d: np.ndarray) -> np.ndarray:
     """Numbers that are not negative as whole numbers in the same order."""
     return d.astype(np.float64, copy=False).view(np.int64)
@@ -239,7 +312,7 @@ def mmd2(rows: DataFrame, group: str, side: str, vector: str, key: str, sigma: f
     if sigma is None:
         if written.select("g").distinct().count() > 1:
             raise ValueError("one bandwidth for several groups must be given")
-        sigma = bandwidth(made)
+        sigma = bandwidth(made, bracket(written))
     sizes = rows.groupBy(F.col(group).alias("g")).agg(*[F.count_if(F.col(side) == s).alias(n) for s, n in (("a", "n"), ("b", "m"))])
     sums = kernel_sums(made, sigma).groupBy("g").agg(
         *[F.coalesce(F.sum(F.when((F.col("x") == x) & (F.col("y") == y), F.col("total"))), F.lit(0.0)).alias(x + y) for x, y in ("aa", "bb", "ab")]

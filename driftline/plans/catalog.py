@@ -506,8 +506,9 @@ SELECT round(2 * aa / (n * (n - 1)) + 2 * bb / (m * (m - 1)) - 2 * ab / (n * m):
 
 @query(_V + _PAIR + _BW + "SELECT round(sigma, 9) AS bandwidth FROM bw")
 def mmd_bandwidth(spark, sf_dir):
-    made = metrics.tiles(metrics.blocks(vectors(spark, sf_dir), "g", "side", "embedding"))
-    return spark.createDataFrame([(round(metrics.bandwidth(made), 9),)], "bandwidth double")
+    written = metrics.blocks(vectors(spark, sf_dir), "g", "side", "embedding")
+    sigma = metrics.bandwidth(metrics.tiles(written), metrics.bracket(written))
+    return spark.createDataFrame([(round(sigma, 9),)], "bandwidth double")
 
 
 @query(_V + _PAIR + _BW + _MMD)

@@ -62,6 +62,35 @@ def test_bandwidth_by_narrowing(spark, monkeypatch):
         assert band(spark, pool.tolist(), block=8) == pytest.approx(math.sqrt(median), rel=1e-12)
 
 
+@pytest.mark.parametrize("miss", [None, (0.0, 1e-9), (1e8, 1e9), (0.5, 0.5000001)])
+def test_a_bracket_saves_passes_and_one_that_misses_costs_only_time(spark, monkeypatch, miss):
+    x = np.random.default_rng(8).normal(size=(401, 5))
+    written = metrics.blocks(frame(spark, x, []), "g", "side", "v", 64)
+    made, ends, passes = metrics.tiles(written), metrics.bracket(written), []
+    assert 0 < ends[0] < ends[1]
+    run = metrics.over_tiles
+    monkeypatch.setattr(metrics, "over_tiles", lambda *a: passes.append(1) or run(*a))
+    d = ((x[:, None] - x[None]) ** 2).sum(2)[np.triu_indices(len(x), 1)]
+    assert ends[0] < np.median(d) < ends[1]
+    assert metrics.bandwidth(made, miss or ends) == pytest.approx(math.sqrt(np.median(d)), rel=1e-12)
+    assert len(passes) == (2 if miss is None else len(passes)) and (miss is None or len(passes) > 2)
+
+
+def test_a_bracket_of_ties_and_of_many_values_in_one_bin(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    for pool in (r.integers(0, 3, 300).astype(float), np.append(r.random(300), 1e6), np.zeros(300)):
+        written = metrics.blocks(frame(spark, pool, []), "g", "side", "v", 64)
+        d = np.maximum((pool * pool)[:, None] + (pool * pool)[None] - 2 * pool[:, None] * pool[None], 0)[np.triu_indices(len(pool), 1)]
+        if not d.any():
+            assert metrics.bracket(written) is None
+            continue
+        want = np.median(d) or np.median(d[d > 0])
+        for few in (metrics.FEW, 5):
+            monkeypatch.setattr(metrics, "FEW", few)
+            assert metrics.bandwidth(metrics.tiles(written), metrics.bracket(written)) == pytest.approx(math.sqrt(want), rel=1e-9)
+        monkeypatch.undo()
+
+
 def met(tile):
     """(number of pairs of vectors, of pairs of blocks) of a tile, as a table."""
     found = [len(d) * (len(d) - 1) // 2 if same else d.size for d, _, _, same in metrics.block_pairs(tile)]

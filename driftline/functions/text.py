@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -42,6 +43,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and in which branches ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(SPACES))
 
@@ -70,12 +76,14 @@ def boilerplate_fraction(c: Column | str) -> Column:
 
     Lines are counted, not cut out, and looked through only in texts that hold a phrase at all.
     """
-    low = F.lower(col(c))
     ends = LINE_END.partition("|")[2][1:-1]
-    lines = F.regexp_count(low, F.lit(f"[^{SPACE}][^{ends}]*"))
-    any_phrase = reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in BOILERPLATE])
-    hits = F.regexp_count(low, F.lit(f"(?<![^{ends}])[^{ends}]*?(?:{'|'.join(BOILERPLATE)})"))
-    return F.when(lines > 0, F.when(any_phrase, hits).otherwise(0) / lines)
+
+    def share(low: Column) -> Column:
+        any_phrase = reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in BOILERPLATE])
+        hits = F.regexp_count(low, F.lit(f"(?<![^{ends}])[^{ends}]*?(?:{'|'.join(BOILERPLATE)})"))
+        return let(F.regexp_count(low, F.lit(f"[^{SPACE}][^{ends}]*")), lambda lines: F.when(lines > 0, F.when(any_phrase, hits).otherwise(0) / lines))
+
+    return let(F.lower(col(c)), share)
 
 
 def boilerplate_heavy(c: Column | str) -> Column:
@@ -182,15 +190,17 @@ def degeneration(text: Column | str, prior_length: Column) -> Column:
     empty = F.char_length(strip(t)) == 0
     ratio = F.when(prior_length > 0, F.char_length(t) / prior_length)
     ratio_trip = F.coalesce((ratio < RATIO_MIN) | (ratio > RATIO_MAX), F.lit(False))
-    fraction = non_ascii_fraction(t)
-    burst = fraction > BURST
-    repeated = repetition_run(t) >= REPEATED_STARTS
-    flags = F.filter(
-        F.array(F.when(ratio_trip, "length_ratio"), F.when(burst, "non_ascii_burst"), F.when(repeated, "repetition")), lambda x: x.isNotNull()
-    )
     no, nothing = F.lit(False), F.lit(None).cast("double")
+
+    def checked(fraction: Column, repeated: Column) -> Column:
+        burst = fraction > BURST
+        flags = F.filter(
+            F.array(F.when(ratio_trip, "length_ratio"), F.when(burst, "non_ascii_burst"), F.when(repeated, "repetition")), lambda x: x.isNotNull()
+        )
+        return F.struct(no, ratio, ratio_trip, repeated, fraction, burst, ratio_trip | burst, flags).cast(DEGENERATION)
+
     blank = F.struct(F.lit(True), nothing, no, no, F.lit(0.0), no, F.lit(True), F.array(F.lit("empty"))).cast(DEGENERATION)
-    full = F.struct(no, ratio, ratio_trip, repeated, fraction, burst, ratio_trip | burst, flags).cast(DEGENERATION)
+    full = let(non_ascii_fraction(t), lambda fraction: let(repetition_run(t) >= REPEATED_STARTS, lambda repeated: checked(fraction, repeated)))
     return F.when(empty, blank).otherwise(full)
 
 

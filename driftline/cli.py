@@ -151,13 +151,24 @@ def rewriter_ready(checkout: str | None, make: Callable) -> None:
         raise Missing(f"the rewriter doesn't answer: {e}") from e
 
 
+def _drafts(spark: SparkSession, a) -> tuple[DataFrame, int]:
+    """(drafts, lines that were skipped): a file's, a run's own, or those of another program's bundle log in the run's folder."""
+    log = Path(a.run or "", "bundles.jsonl")
+    if a.draft_file:
+        return records.import_drafts(spark, a.draft_file), 0
+    if not log.exists():
+        return spark.read.parquet(f"{a.run}/drafts"), 0
+    good = records.nascent_bundles(spark, str(log))
+    return good.select("pair_id", "prompt", F.col("draft.text").alias("text")), records.read_tolerant(spark, str(log), "bundle")[1].first()["bad_lines"]
+
+
 def rewrite(spark: SparkSession, a, clients) -> int:
     cascade.check_rounds(a.rounds)
     if bool(a.run) == bool(a.draft_file):
         raise ValueError("give one of --run and --draft-file")
     make = client(clients, "rewriter")
     rewriter_ready(a.hip_repo, make)
-    drafts = records.import_drafts(spark, a.draft_file) if a.draft_file else spark.read.parquet(f"{a.run}/drafts")
+    drafts, skipped = _drafts(spark, a)
     corpora = [r[0] for r in drafts.select(tx.corpus_of("pair_id")).distinct().limit(2).collect()]
     if len(corpora) != 1:
         raise records.RecordError(f"drafts of one corpus are needed, not {corpora}")
@@ -177,7 +188,7 @@ def rewrite(spark: SparkSession, a, clients) -> int:
         if int(old.name.removesuffix(".manifest.json").rpartition("-k")[2]) > a.rounds:
             old.unlink()
     flagged = out.where("report.hard_tripped").count()
-    emit({"command": "rewrite", "status": "ok", "pairs": n, "already_done": done.before, "rewritten": done.new, "skipped_truncated": 0, "flagged_degenerate": flagged, "adapter": a.adapter, "seed_applied": False, "sets": sets})
+    emit({"command": "rewrite", "status": "ok", "pairs": n, "already_done": done.before, "rewritten": done.new, "skipped_truncated": skipped, "flagged_degenerate": flagged, "adapter": a.adapter, "seed_applied": False, "sets": sets})
     return EXIT["ok"]
 
 
@@ -207,7 +218,7 @@ def score(spark: SparkSession, a, clients) -> int:
         embedder = client(clients, "embedder") if "mmd" in asked and a.embedder != "stub" else None
         report = scoring.score(
             cand, ref, names=a.metrics, seed=a.seed, report_id=out_id or f"{cm['set_id']}-vs-{rm['set_id']}", sets=(cm["set_id"], rm["set_id"]), corpus=cm["corpus"], round_no=cm.get("round"),
-            judge_model=a.judge, embedder=embedder, embedder_id=a.embedder, per_batch=a.batch, **extra,
+            judge_model=a.judge, embedder=embedder, embedder_id=a.embedder, per_batch=a.batch, resume=a.resume, **extra,
         )
     write_report(a.out, report, rp.report_document(report))
     emit(report)
@@ -304,6 +315,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--embedder", default="stub")
     c.add_argument("--out")
     c.add_argument("--recompute-jmq-from")
+    c.add_argument("--resume", action="store_true", help="keep the verdicts that the log has, and ask for the others only")
     c.add_argument("--prompts")
     c.add_argument("--yes", action="store_true")
     c = sub.add_parser("self-check")

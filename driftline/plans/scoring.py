@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from driftline.functions import text as tx
 from driftline.operators import judging, metrics, progress, sampling, seams, setops
 from driftline.plans import reports as rp
+from driftline.session import intermediates
 from driftline.sources import records
+from driftline.streaming import incremental
 
 #: The metrics in the order they are reported.
 ALL_METRICS = ("mmd", "token_l2", "jmq")
@@ -44,12 +46,13 @@ def score(
     candidate: DataFrame, reference: DataFrame, *, names: str = ",".join(ALL_METRICS), prompts: DataFrame | None = None, seed: int = 0, report_id: str = "report",
     sets: tuple[str, str] = ("candidate", "reference"), corpus: str | None = None, round_no: int | None = None, judge: Callable | None = None, judge_model: str = judging.DEFAULT_JUDGE,
     embedder: Callable | None = None, embedder_id: str = "stub", templates: dict[str, str] | None = None, verdicts_path: str | None = None, thresholds: dict | None = None,
-    per_batch: int = progress.PER_BATCH,
+    per_batch: int = progress.PER_BATCH, resume: bool = False,
 ) -> dict:
     """A report (a dict) of a candidate set of (pair_id, text) against a reference set; metrics that don't run are None.
 
     The sets must name the same pairs, with texts that aren't blank; that is checked before any model
-    is called.  Verdicts are written batch by batch, so those that were finished outlive a failure.
+    is called.  Verdicts are written batch by batch, so those that were finished outlive a failure;
+    with ``resume`` they stand and only the others are asked for, else the log begins anew.
     """
     asked, started = selected(names), rp.now()
     n = setops.check_pairing(candidate, reference)
@@ -68,8 +71,12 @@ def score(
         if pairs.count() != n:
             raise setops.SetError("there is no prompt for some pairs")
         rendered = judging.rendered(judging.tasks(pairs, seed, by_generator=True), templates or {})
-        for k, rows in enumerate(progress.batches(rendered, "pair_id", per_batch)):
-            records.write_lines(judging.judged(rows, judge, judge_model), verdicts_path, "verdict", "append" if k else "overwrite")
+        if resume:
+            done = incremental.have(candidate.sparkSession, verdicts_path, records.schema("verdict"), "json")
+            rendered = rendered.join(done.select("pair_id", "dimension"), ["pair_id", "dimension"], "left_anti")
+        with intermediates(candidate.sparkSession):
+            for k, rows in enumerate(progress.batches(rendered, "pair_id", per_batch)):
+                records.write_lines(judging.judged(rows, judge, judge_model), verdicts_path, "verdict", "append" if k or resume else "overwrite")
         jmq = judged_block(records.read_strict(candidate.sparkSession, verdicts_path, "verdict"))
     return assembled(report_id, sets, n, seed, judge_model, embedder_id, sigma, mmd, l2, jmq, "mmd" in asked, "jmq" in asked, corpus, round_no, thresholds, started)
 

@@ -16,12 +16,12 @@ def documents(spark: SparkSession, folder: str, schema: T.StructType, kind: str
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).format(kind).load(folder)
 
 
-def have(spark: SparkSession, sink: str, schema: T.StructType) -> DataFrame:
+def have(spark: SparkSession, sink: str, schema: T.StructType, kind: str = "parquet") -> DataFrame:
     """The sink's rows; none before the first batch."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(sink)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(schema).parquet(sink) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(kind).load(sink) if there else spark.createDataFrame([], schema)
 
 
 def append_new(stream: DataFrame, sink: str, checkpoint: str, key: str = "pair_id", step: Callable[[DataFrame], DataFrame] | None = None) -> int:

@@ -97,6 +97,49 @@ def test_rewrite_goes_on_where_it_failed(spark, capsys, tmp_path):
     assert code == 2 and "the plan lacks" in err
 
 
+def test_rewrite_of_another_programs_bundles_counts_torn_lines(spark, capsys, tmp_path):
+    def bundle(k):
+        full = {f.name: None for f in records.schema("bundle")} | {"pair_id": f"web-{k:05d}", "draft": {"text": f"text number {k} of several words"}, "prompt": "q", "schema_version": 1}
+        return json.dumps(full)
+
+    (tmp_path / "bundles.jsonl").write_text("\n".join([bundle(0), bundle(1), bundle(0), '{"run_id": "torn'] ))
+    code, out, _ = run(spark, capsys, "rewrite", "--run", str(tmp_path), "--rounds", "1", "--out", f"{tmp_path}/out", clients={"rewriter": counting(str(tmp_path))})
+    assert code == 0 and (out["pairs"], out["rewritten"], out["skipped_truncated"]) == (2, 2, 1)
+
+
+def judge(folder, bad):
+    def factory():
+        def ask(prompt, model):
+            if bad in prompt and Path(folder, "fail").exists():
+                raise SystemExit("killed")  # no failed call, but the end of the worker
+            Path(folder, "calls").mkdir(exist_ok=True)
+            Path(folder, "calls", uuid.uuid4().hex).write_text(prompt)
+            return "A"
+
+        return ask
+
+    return factory
+
+
+def test_verdicts_outlive_a_failure_and_are_not_asked_for_again(spark, tmp_path):
+    from driftline.plans import scoring
+
+    cand, ref = texts(spark, 8), texts(spark, 8).withColumn("text", F.concat(F.lit("human "), "text"))
+    prompts = cand.select("pair_id", F.concat(F.lit("prompt of "), "pair_id").alias("prompt"))
+    how = {"names": "jmq", "prompts": prompts, "judge": judge(str(tmp_path), "web-00003"), "templates": {d: d + "|{prompt}|{candidate_a}|{candidate_b}" for d in records.DIMENSIONS}, "verdicts_path": f"{tmp_path}/verdicts", "per_batch": 2}
+    (tmp_path / "fail").touch()
+    with pytest.raises(Exception, match="."):
+        scoring.score(cand, ref, **how)
+    kept = records.read_strict(spark, f"{tmp_path}/verdicts", "verdict").count() if (tmp_path / "verdicts").exists() else 0
+    (tmp_path / "fail").unlink()
+    before = len(calls(tmp_path))
+    out = scoring.score(cand, ref, resume=True, **how)
+    assert out["jmq"]["overall"]["n"] == 8 and records.read_strict(spark, f"{tmp_path}/verdicts", "verdict").count() == 48
+    assert len(calls(tmp_path)) <= 48 and sum(calls(tmp_path).values()) - before == 48 - kept
+    scoring.score(cand, ref, **how)  # begins anew
+    assert records.read_strict(spark, f"{tmp_path}/verdicts", "verdict").count() == 48
+
+
 def test_generate_goes_on_where_it_failed(spark, capsys, tmp_path):
     pairs = texts(spark, 10).select("pair_id", F.lit("web").alias("corpus"), F.col("text").alias("prompt"), F.col("text").alias("reference_text"))
     for f in records.schema("pair"):

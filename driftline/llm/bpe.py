@@ -27,7 +27,7 @@ from driftline.llm.common import cut, shuffle_parts, trim, trimmed
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A block is closed once it holds so many code points; its words and numbers fit a task's memory.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 24_000_000
 #: Word numbers in one shuffled row.
 CHUNK_WORDS = 300_000
 #: Bytes of text to a bucket at most; its blocks list about an eighth of it as distinct words.
@@ -308,6 +308,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         meta = right.select(["n", "total"]).to_pydict()
         width = np.concatenate([unpack(b, c) for b, c in zip(right["sizes"].to_pylist(), meta["n"], strict=True)] or [np.zeros(0, np.uint32)]).astype(np.int64)
         flat = np.concatenate([unpack(b, c) for b, c in zip(right["ids"].to_pylist(), meta["total"], strict=True)] or [np.zeros(0, np.uint32)])
+        del right
         left = left.sort_by("bucket")
         if left["bucket"][0].as_py() != -1 or left["distinct"][0].as_py() != len(width):
             raise ValueError("a block and its words don't belong together")
@@ -324,7 +325,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             ends = np.concatenate([[0], np.cumsum(w)])[np.concatenate([[0], np.cumsum(counts)])]
             out_keys.append(pa.array(left["keys"][k].as_py(), two_key))
             out_n.append(pa.array(np.diff(ends), pa.int64()))
-            out_ids.append(pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends * 4), pa.py_buffer(ids)]).cast(pa.binary()))
+            out_ids.append(pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids)]))
         return pa.table({"key": pa.chunked_array(out_keys, two_key), "n_tokens": pa.chunked_array(out_n, pa.int64()), "ids": pa.chunked_array(out_ids, pa.binary())})
 
     blocks = cut(

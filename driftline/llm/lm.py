@@ -127,7 +127,7 @@ def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         def block(names, keys, texts):
             numbers, words = np.concatenate(texts), list(names)
             return pa.RecordBatch.from_arrays([
-                pa.array([f"{task}-{number}"]), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
+                pa.array([task << 32 | number], pa.int64()), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
                 pa.array([numbers.tobytes()], pa.binary()), pa.array([words], pa.list_(pa.binary())), pa.array([np.bincount(numbers, minlength=len(words)).tolist()], pa.list_(pa.int64())),
                 pa.array([np.fromiter(map(bucket_of, words), np.int16, len(words)).tobytes()], pa.binary()),
             ], names=["block", "keys", "n", "numbers", "words", "counts", "buckets"])
@@ -146,7 +146,7 @@ def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         if keys:
             yield block(names, keys, texts)
 
-    shape = f"block string, keys array<{kind}>, n array<long>, numbers binary, words array<binary>, counts array<long>, buckets binary"
+    shape = f"block long, keys array<{kind}>, n array<long>, numbers binary, words array<binary>, counts array<long>, buckets binary"
     return cut(two.mapInArrow(lambda batches: trimmed(run(batches)), shape), "lm-blocks")
 
 
@@ -281,35 +281,43 @@ class Scorer:
         self.first_bias, self.second_bias = net.first[-1], net.second[:, -1]
 
     def log_probs(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log probability of the id at each position given both sides."""
+        """Log probability of the id at each position given both sides.
+
+        All positions are put in order of their ids' groups first, so that products are few and large; sums
+        are exact in any order, so nothing depends on that.
+        """
         out = np.empty(len(at), np.float64)
+        place = flat[at].astype(np.int32) - (1 + DIRECT)
+        group = np.where(place < 0, -1, place // WIDTH).astype(np.int16)
+        order = group.argsort(kind="stable")
         for lo in range(0, len(at), CHUNK):
-            p = at[lo : lo + CHUNK]
-            place = flat[p].astype(np.int32) - (1 + DIRECT)
-            group = np.where(place < 0, -1, place // WIDTH).astype(np.int16)
-            order = group.argsort(kind="stable")
-            p, place, group = p[order], place[order], group[order]
-            h = self.sides[0][flat[p + OFFSETS[0]]]
-            for t, k in zip(self.sides[1:], OFFSETS[1:], strict=True):
-                h += t[flat[p + k]]
-            np.tanh(h, out=h)
-            h *= PARTS_H
-            np.rint(h, out=h)
-            h /= PARTS_H
-            z = h @ self.first
-            z += self.first_bias
-            own = log_of(z, np.where(group < 0, place + DIRECT, DIRECT + group))
-            edges = np.searchsorted(group, np.arange(GROUPS + 1))
-            if edges[0] < len(p):
-                z = np.empty((len(p) - edges[0], WIDTH), np.float32)
-                for g in range(GROUPS):
-                    if edges[g] < edges[g + 1]:
-                        np.matmul(h[edges[g] : edges[g + 1]], self.second[g], out=z[edges[g] - edges[0] : edges[g + 1] - edges[0]])
-                z += self.second_bias[group[edges[0] :]]
-                own[edges[0] :] += log_of(z, place[edges[0] :] % WIDTH)
-            out[lo + order] = own
+            mine = order[lo : lo + CHUNK]
+            out[mine] = self._log_probs(flat, at[mine], place[mine], group[mine])
         return out
 
+    def _log_probs(self, flat: np.ndarray, p: np.ndarray, place: np.ndarray, group: np.ndarray) -> np.ndarray:
+        h = self.sides[0][flat[p + OFFSETS[0]]]
+        for t, k in zip(self.sides[1:], OFFSETS[1:], strict=True):
+            h += t[flat[p + k]]
+        np.tanh(h, out=h)
+        h *= PARTS_H
+        np.rint(h, out=h)
+        h /= PARTS_H
+        z = h @ self.first
+        z += self.first_bias
+        own = log_of(z, np.where(group < 0, place + DIRECT, DIRECT + group))
+        edges = np.searchsorted(group, np.arange(GROUPS + 1))
+        if edges[0] < len(p):
+            z = np.empty((len(p) - edges[0], WIDTH), np.float32)
+            for g in range(max(0, int(group[0])), int(group[-1]) + 1):
+                a, b = edges[g], edges[g + 1]
+                if a < b:
+                    stretch = z[a - edges[0] : b - edges[0]]
+                    np.matmul(h[a:b], self.second[g], out=stretch)
+                    stretch += self.second_bias[g]
+            own[edges[0] :] += log_of(z, place[edges[0] :] % WIDTH)
+        return own
+
 
 def log_of(z: np.ndarray, column: np.ndarray) -> np.ndarray:
     """Log of the softmax of each row at its column; ``z`` is used up."""
@@ -337,8 +345,8 @@ def padded(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat, starts
 
 
-def pieces(blocks: DataFrame, vocab: Vocabulary, shards: int, turn: int, rounds: int) -> DataFrame:
-    """(shard, hash, weight, flat): training pieces of the shards whose turn it is, equal ones put together as far as a task sees them.
+def pieces(blocks: DataFrame, vocab: Vocabulary, shards: int) -> DataFrame:
+    """(shard, hash, weight, flat): training pieces, written, equal ones put together as far as a task sees them.
 
     A piece has up to PIECE tokens of a text and SIDE ids, 0 outside the text, on either side.  Pieces
     start at fixed places of a text and are dealt by their own hash.
@@ -363,8 +371,6 @@ def pieces(blocks: DataFrame, vocab: Vocabulary, shards: int, turn: int, rounds:
                     for lo in range(0, k, PIECE):
                         x = flat[a + lo - SIDE : a + min(k, lo + PIECE) + SIDE].tobytes()
                         h = hashlib.blake2b(x, digest_size=16).digest()
-                        if int.from_bytes(h[:8], "little") % shards % rounds != turn:
-                            continue
                         if h in held:
                             held[h] = (held[h][0] + 1, x)
                         else:
@@ -376,7 +382,8 @@ def pieces(blocks: DataFrame, vocab: Vocabulary, shards: int, turn: int, rounds:
         if held:
             yield out(held)
 
-    return blocks.select("n", "numbers", "words", "buckets").mapInArrow(lambda batches: trimmed(run(batches)), "shard long, hash binary, weight long, flat binary")
+    made = blocks.select("n", "numbers", "words", "buckets").mapInArrow(lambda batches: trimmed(run(batches)), "shard long, hash binary, weight long, flat binary")
+    return cut(made, "lm-pieces")
 
 
 def rows_of(flat: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -427,9 +434,9 @@ def train(blocks: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Net:
     occurrences = vocab.occurrences()
     net, total = Net.start(occurrences), int(occurrences.sum())
     shards = max(SHARDS, -(-total // SHARD))
-    kind = "n long, net binary"
+    kind, made = "n long, net binary", pieces(blocks, vocab, shards)
     for turn in range(rounds):
-        each = pieces(blocks, vocab, shards, turn, rounds).groupBy("shard").applyInArrow(trainer(net.flat()), kind)
+        each = made.where(F.col("shard") % rounds == turn).groupBy("shard").applyInArrow(trainer(net.flat()), kind)
         got = each.mapInArrow(added, kind).repartition(4).mapInArrow(added, kind).collect()
         if got:
             whole = sum(np.frombuffer(r["net"], np.int64) for r in got)
@@ -488,15 +495,15 @@ def scored(blocks: DataFrame, vocab: Vocabulary, net: Net) -> DataFrame:
                     pa.array([sums(rest, n).astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([numbers[rest].tobytes()], pa.binary()), pa.array([row["buckets"]], pa.binary()),
                 ], names=["block", "keys", "n", "pll", "n_rest", "rest", "buckets"])
 
-    shape = f"block string, keys array<{kind}>, n array<long>, pll array<double>, n_rest array<long>, rest binary, buckets binary"
+    shape = f"block long, keys array<{kind}>, n array<long>, pll array<double>, n_rest array<long>, rest binary, buckets binary"
     through = blocks.select("block", "keys", "n", "numbers", "words", "buckets").mapInArrow(lambda batches: trimmed(run(batches)), shape)
     asked = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("pos", "word"))
-    counts = asked.join(vocab.counts, "word", "left").select("of", "pos", F.coalesce("n", F.lit(1)).alias("count"))
+    # what isn't told of has a count of 1; the counts are far fewer than the askers, so only they are put into tables
+    counts = asked.join(vocab.counts.where("n > 1").hint("shuffle_hash"), "word").select("of", "pos", F.col("n").alias("count"))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        share = np.zeros(right.num_rows)
-        share[right.column("pos").to_numpy()] = np.log(right.column("count").to_numpy())
-        share -= behind[np.frombuffer(left.column("buckets")[0].as_py(), np.int16)]
+        share = -behind[np.frombuffer(left.column("buckets")[0].as_py(), np.int16)]
+        share[right.column("pos").to_numpy()] += np.log(right.column("count").to_numpy())
         keys, n, pll, n_rest = (left.column(c).combine_chunks().flatten() for c in ("keys", "n", "pll", "n_rest"))
         pll = pll.to_numpy() + sums(share[np.frombuffer(left.column("rest")[0].as_py(), np.int32)], n_rest.to_numpy())
         mean = [round(p / k, 6) if k else None for p, k in zip(pll.tolist(), n.to_pylist(), strict=True)]

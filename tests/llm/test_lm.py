@@ -69,16 +69,15 @@ def test_odd_and_empty_tables(make, odd):
 
 
 def windows(docs, shards=3):
-    """All training windows with their weights, over the rounds."""
+    """All training windows with their weights."""
     blocks = lm.numbered(docs)
     vocab = lm.frequent(blocks)
     out = Counter()
-    for turn in range(2):
-        for r in lm.pieces(blocks, vocab, shards, turn, 2).collect():
-            rows, weight = lm.rows_of([bytes(r["flat"])], np.array([r["weight"]]))
-            out.update({tuple(x): 0 for x in rows.tolist()})
-            for x, w in zip(rows.tolist(), weight.tolist(), strict=True):
-                out[tuple(x)] += int(w)
+    for r in lm.pieces(blocks, vocab, shards).collect():
+        rows, weight = lm.rows_of([bytes(r["flat"])], np.array([r["weight"]]))
+        out.update({tuple(x): 0 for x in rows.tolist()})
+        for x, w in zip(rows.tolist(), weight.tolist(), strict=True):
+            out[tuple(x)] += int(w)
     return vocab, out
 
 

@@ -67,8 +67,13 @@ def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
             spark.conf.unset(key) if v is None else spark.conf.set(key, v)
 
 
-#: Keyed state of streams on disk, as it grows with the keys.
-STATE_ON_DISK = {"spark__sql__streaming__stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+def state_on_disk(spark: SparkSession) -> dict[str, str]:
+    """:func:`settings` of streams whose keyed state grows: on disk, in no more parts than keep all cores busy, as each part is a store of its own."""
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return {
+        "spark__sql__streaming__stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark__sql__shuffle__partitions": str(parts),
+    }
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

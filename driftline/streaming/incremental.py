@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.session import STATE_ON_DISK, settings
+from driftline.session import settings, state_on_disk
 
 
 def documents(spark: SparkSession, folder: str, schema: T.StructType, kind: str = "parquet", per_batch: int = 100) -> DataFrame:
@@ -33,7 +33,7 @@ def append_new(stream: DataFrame, sink: str, checkpoint: str, key: str = "pair_i
     after a failure.  A null key is a key.
     """
     fresh = stream.dropDuplicates([key])
-    with settings(stream.sparkSession, **STATE_ON_DISK):
+    with settings(stream.sparkSession, **state_on_disk(stream.sparkSession)):
         query = (
             (step(fresh) if step else fresh).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start()

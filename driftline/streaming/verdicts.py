@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators import judging
-from driftline.session import STATE_ON_DISK, settings
+from driftline.session import settings, state_on_disk
 from driftline.sources import records
 
 
@@ -40,7 +40,7 @@ def keep_scores(verdicts: DataFrame, out: str, checkpoint: str) -> None:
         share = F.when(F.col("pairs") > 0, F.col("model_first") / F.col("pairs"))
         one.withColumn("model_first_fraction", share).write.mode("overwrite").parquet(f"{out}/order")
 
-    with settings(spark, **STATE_ON_DISK):
+    with settings(spark, **state_on_disk(spark)):
         started = [
             df.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
             for name, df, put in (("scores", counted, scores), ("order", shown, order))

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from driftline.functions import text as tx
 from driftline.operators import sampling
-from driftline.session import STATE_ON_DISK, settings, ship
+from driftline.session import settings, ship, state_on_disk
 from jobs.common import log, read_config, session
 
 #: What is read of a document file; a file without one of these columns has nulls there.
@@ -71,7 +71,7 @@ def ingest(spark: SparkSession, documents: str, corpus: str, checkpoint: str, co
     counted = own.observe("documents", F.count(F.lit(1)).alias("read"))
     # one row a content and source of those that the state doesn't know
     fresh = references(counted, config).dropDuplicates(["content_sha256", "source"])
-    with settings(spark, **STATE_ON_DISK):
+    with settings(spark, **state_on_disk(spark)):
         query = (
             fresh.writeStream.format("parquet").option("path", corpus).option("checkpointLocation", checkpoint).partitionBy("shard")
             .outputMode("append").trigger(availableNow=True).start()

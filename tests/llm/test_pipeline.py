@@ -70,7 +70,7 @@ def test_an_empty_table_goes_through(spark, make, tmp_path):
 
 def test_queries_are_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.ORACLE) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 13)) and set(queries.ORACLE) <= set(queries.QUERIES)
 
 
 def test_near_dedup_keeps_one_row_a_group_whatever_its_doc_id(spark, make):

@@ -666,13 +666,46 @@ def cascade_stale(spark, sf_dir):
     return cascade.stale_rounds(names, 1)
 
 
-@query(""", left_ AS (SELECT pair_id, prompt FROM pairs WHERE pair_id NOT IN (SELECT pair_id FROM drafts))
-SELECT pair_id, prompt AS told, true AS own_seed FROM left_""", views=True)
+#: BLAKE2b in SQL: its start values, and the order in which each of the ten permutations takes a block's words.
+_B2_IV = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
+_B2_ORDER = (
+    "0123456789abcdef", "ea489fd61c02b753", "b8c052fdae367194", "7931dcbe265a40f8", "905724afe1bc683d",
+    "2c6a0b834d75fe19", "c51fed4a0763928b", "db7ec13950f4862a", "6fe9b308c2d714a5", "a2847615fb9e3cd0",
+)
+
+
+def _pair_seeds(source: str) -> str:
+    """``seeds`` (pair_id, seed) of ``source``: the 8-byte BLAKE2b of its short names behind the seed, step by step, as SQL has no such hash."""
+    u = lambda xs: "[" + ", ".join(f"{x}::UBIGINT" for x in xs) + "]"
+    each = lambda x: f"list_transform(range(1, 5), lambda j: {x})"
+    add = lambda *xs: each(f"(({' + '.join(f'{x}::UHUGEINT' for x in xs)}) % 18446744073709551616::UHUGEINT)::UBIGINT")
+    # turned right by n places: what falls out comes in on the left
+    turn = lambda x, y, n: each(f"(xor({x}[j], {y}[j]) >> {n}) | (xor({x}[j], {y}[j]) % {1 << n}::UBIGINT) * {1 << (64 - n)}::UBIGINT")
+    word = lambda odd: f"m[orders[i // 2 % 10 + 1][8 * (i % 2) + 2 * j - {1 - odd}] + 1]"
+    mix = f"SELECT *, {add('a[j]', 'b[j]', word(0))} AS a1 FROM b2, b2_orders WHERE i < 24"
+    for k, (made, x, y, n) in enumerate((("d1", "d", "a1", 32), ("c1", "c", "d1", 0), ("b1", "b", "c1", 24), ("a2", "a1", "b1", 0), ("d2", "d1", "a2", 16), ("c2", "c1", "d2", 0), ("b2", "b1", "c2", 63))):
+        now = turn(x, y, n) if n else add(f"{x}[j]", f"{y}[j]", *([word(1)] if made == "a2" else []))
+        mix = f"SELECT *, {now} AS {made} FROM ({mix})"
+    # columns and diagonals take turns: the rows are shifted against each other, and back
+    shifted = ", ".join(f"{each(f'{row}2[(j - 1 + CASE WHEN i % 2 = 0 THEN {by} ELSE {4 - by} END) % 4 + 1]')}" for row, by in (("b", 1), ("c", 2), ("d", 3)))
+    start = [_B2_IV[0] ^ 0x01010008, *_B2_IV[1:]]
+    orders = "[" + ", ".join("[" + ", ".join(str(int(x, 16)) for x in o) + "]" for o in _B2_ORDER) + "]"
+    word64 = lambda i: "('0x' || " + " || ".join(f"substr(h, 16 * {i} + {2 * k + 1}, 2)" for k in range(7, -1, -1)) + ")::UBIGINT"
+    return f"""b2_orders AS (SELECT {orders} AS orders),
+b2_texts AS (SELECT pair_id, rpad(hex(encode('{SEED}:' || pair_id)), 256, '0') AS h, strlen('{SEED}:' || pair_id)::UBIGINT AS n FROM (SELECT DISTINCT pair_id FROM {source})),
+b2 AS (SELECT pair_id, list_transform(range(0, 16), lambda i: {word64("i")}) AS m, 0 AS i, {u(start[:4])} AS a, {u(start[4:])} AS b, {u(_B2_IV[:4])} AS c,
+  [xor({_B2_IV[4]}::UBIGINT, n), {_B2_IV[5]}::UBIGINT, {_B2_IV[6] ^ (2**64 - 1)}::UBIGINT, {_B2_IV[7]}::UBIGINT] AS d FROM b2_texts
+  UNION ALL SELECT pair_id, m, i + 1, a2, {shifted} FROM ({mix})),
+b2_ends AS (SELECT pair_id, printf('%016x', xor(xor({start[0]}::UBIGINT, a[1]), c[1])) AS h FROM b2 WHERE i = 24),
+seeds AS (SELECT pair_id, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT AS seed FROM b2_ends)
+"""
+
+
+@query(b.SQL.replace("WITH", "WITH RECURSIVE", 1) + ", left_ AS (SELECT pair_id, prompt FROM pairs WHERE pair_id NOT IN (SELECT pair_id FROM drafts)), " + _pair_seeds("left_")
+       + "SELECT pair_id, prompt || ' [draft ' || (seed % 1000) || ']' AS text, seed FROM left_ JOIN seeds USING (pair_id)")
 def drafts_live(spark, sf_dir):
-    """Drafts of the stand-in model for the pairs that have none: what it was told, and whether it was with the pair's own seed."""
-    made = cascade.generated(b.pairs(spark, sf_dir), b.drafts(spark, sf_dir), seams.stub_drafter, SEED)
-    own = F.concat(F.lit(" [draft "), (tx.pair_seed("pair_id", SEED) % 1000).cast("string"), F.lit("]"))
-    return made.select("pair_id", F.regexp_replace("text", r" \[draft \d+\]$", "").alias("told"), (F.endswith("text", own) & (F.col("seed") == tx.pair_seed("pair_id", SEED))).alias("own_seed"))
+    """Drafts of the stand-in model for the pairs that have none, each with the pair's own seed."""
+    return cascade.generated(b.pairs(spark, sf_dir), b.drafts(spark, sf_dir), seams.stub_drafter, SEED)
 
 
 @query(", fo AS (SELECT count(*) AS pairs, count_if(substr(md5(pair_id), 1, 1) < '8')::BIGINT AS half FROM drafts) SELECT pairs, half AS first, half AS already_done, pairs - half AS second, 2 * pairs AS rows FROM fo", views=True)

@@ -1,5 +1,6 @@
 """Every query of the reference's part against its SQL, at the smallest size."""
 
+import hashlib
 import math
 from pathlib import Path
 
@@ -55,3 +56,17 @@ def test_a_query_gives_the_same_again_in_one_session(spark, name):
     second = catalog.QUERIES[name](spark, str(DATA))
     rows = [sorted(map(repr, df.collect())) for df in (second, first)]
     assert rows[0] == rows[1] and rows[0]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_drafts_live_gives_every_text_and_seed(spark, duck):
+    """Seeds by Python's hash, in the query and in its SQL."""
+    df = catalog.QUERIES["drafts_live"](spark, str(DATA))
+    assert df.columns == ["pair_id", "text", "seed"]
+    got = {r["pair_id"]: (r["text"], r["seed"]) for r in df.collect()}
+    assert got == {r[0]: r[1:] for r in duck.execute(catalog.ORACLE["drafts_live"]).fetchall()}
+    prompts = {r["pair_id"]: r["prompt"] for r in catalog.b.pairs(spark, str(DATA)).collect()}
+    assert got
+    for pair, (text, seed) in got.items():
+        want = int.from_bytes(hashlib.blake2b(f"{catalog.SEED}:{pair}".encode(), digest_size=8).digest(), "big") & 0xFFFFFFFF
+        assert (text, seed) == (f"{prompts[pair]} [draft {want % 1000}]", want)

@@ -9,14 +9,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions.text import words
 from driftline.session import cut
 
 #: Vectors of a block, and bytes of vectors on each side of a tile.
 BLOCK, TILE_BYTES = 1024, 32_000_000
+#: Blocks on each side of a tile at most, as a tile's work grows with their product; tiles for each core at least, where blocks allow.
+TILE_BLOCKS, TILES_A_CORE = 32, 4
+#: Rows and columns of distances that are made at a time, as many as a core's cache holds.
+STRIP = 256
+#: Partitions of tiles at most.
+MOST_PARTS = 10_000
 #: Values among which the median is looked up at last; looks go by so many bits of the values, the first ones first.
 FEW, BITS = 200_000, (20, 16, 16, 12)
 #: Bins of the values between two ends.
@@ -64,7 +72,10 @@ def blocks(rows: DataFrame, group: str, side: str, vector: str, block: int = BLO
 
     Rows are dealt by number, not by what is in them, so blocks stay even whatever keys or vectors repeat.
     """
-    flat = rows.select(F.col(group).alias("g"), F.col(side).alias("s"), F.col(vector).cast("array<double>").alias("v"))
+    kind = rows.select(vector).schema[0].dataType
+    # single precision moves as such; tasks reckon in double precision
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    flat = rows.select(F.col(group).alias("g"), F.col(side).alias("s"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v"))
     numbered = cut(flat.withColumn("k", F.monotonically_increasing_id()), "vectors")
     sizes = numbered.groupBy("g").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
     dealt = numbered.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
@@ -73,43 +84,64 @@ def blocks(rows: DataFrame, group: str, side: str, vector: str, block: int = BLO
     return cut(packed.select("g", "b", F.col("rows.s").alias("s"), F.col("rows.v").alias("v")), "vector-blocks")
 
 
-def tiles(made: DataFrame, tile_bytes: int = TILE_BYTES) -> DataFrame:
+def tiles(made: DataFrame, tile_bytes: int | None = None) -> DataFrame:
     """(g, i, j, b, s, v): each block beside those that it meets, on the upper half of a grid of tiles (i, j), i <= j.
 
     The kernel is a sum over all pairs of vectors, so all of them are needed.  A group's blocks are dealt
-    to bands, as many as keep two bands' vectors in a task's memory; band i and band j meet in tile
-    (i, j).  So a block moves once for each band, not once for each block.  ``made`` is read twice and
-    should be written.
+    to bands; band i and band j meet in tile (i, j).  So a block moves once for each band, not once for
+    each other block.  Bands hold at most TILE_BLOCKS blocks and TILE_BYTES of vectors, so no tile takes
+    longer as the input grows, and fewer where there would be too few tiles for all cores; with
+    ``tile_bytes`` as many as these bytes hold.  There are as many partitions as tiles.  ``made`` is read
+    several times and should be written.
     """
-    width = made.agg(F.max(F.size("v") * F.size(F.col("v")[0]) * 8)).first()[0] or 1
-    side = max(1, tile_bytes // width)
-    bands = made.groupBy("g").agg(F.ceil((F.max("b") + 1) / F.lit(side)).cast("int").alias("bands"))
+    each = made.groupBy("g").agg((F.max("b") + 1).alias("n"), F.max(F.size("v") * F.size(F.col("v")[0]) * 8).alias("width"))
+    found = each.agg(F.max("width"), F.sum(F.col("n").cast("double") * (F.col("n") + 1) / 2)).first()
+    width, met = found[0] or 1, found[1] or 0.0
+    side = max(1, (tile_bytes or TILE_BYTES) // width)
+    if tile_bytes is None:
+        side = max(1, min(side, TILE_BLOCKS, int((met / TILES_A_CORE / made.sparkSession.sparkContext.defaultParallelism) ** 0.5)))
+    bands = each.select("g", F.ceil(F.col("n") / F.lit(side)).cast("int").alias("bands"))
+    parts = bands.agg(F.sum(F.col("bands").cast("long") * (F.col("bands") + 1) / 2)).first()[0] or 1
     own = made.join(bands, "g").withColumn("_band", F.col("b") % F.col("bands"))
-    met = F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("_other")
-    return own.select("g", "b", "s", "v", "_band", met).select(
+    other = F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("_other")
+    dealt = own.select("g", "b", "s", "v", "_band", other).select(
         "g", F.least("_band", "_other").alias("i"), F.greatest("_band", "_other").alias("j"), "_band", "b", "s", "v"
     )
+    return dealt.repartition(int(min(parts, MOST_PARTS)), "g", "i", "j")
 
 
 def _stack(scalar) -> np.ndarray:
     """The rows of a list of lists of one length."""
     rows = scalar.values
-    return rows.flatten().to_numpy().reshape(len(rows), -1)
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(rows), -1)
 
 
-def block_pairs(tile: pa.Table) -> Iterator[tuple[np.ndarray, list, list, bool]]:
-    """(squared distances, what is said of the rows, of the columns, whether it is one block with itself) of each pair of a tile's blocks, once."""
+def block_pairs(tile: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(squared distances, what is said of the rows, of the columns, whether rows are columns) of each pair of a tile's blocks, once.
+
+    Blocks of more than STRIP rows come in strips, of a block with itself those on and above the diagonal.
+    The distances' memory is used again for the next ones.
+    """
     i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
-    own = [(tile.column("_band")[r].as_py(), tile.column("b")[r].as_py(), _stack(tile.column("v")[r]), tile.column("s")[r].as_py()) for r in range(tile.num_rows)]
-    squares = [(v * v).sum(1) for _, _, v, _ in own]
-    for x, (band, b, v, s) in enumerate(own):
-        if band != i:
-            continue
-        for y, (other, c, w, t) in enumerate(own):
-            if other == j and (i < j or b <= c):
-                d = squares[x][:, None] + squares[y][None, :]
-                d -= 2.0 * (v @ w.T)
-                yield np.maximum(d, 0.0, out=d), s, t, i == j and b == c
+    rows, columns, room = [], [], np.empty(STRIP * STRIP)
+    for r in range(tile.num_rows):
+        band, b, v, s = tile.column("_band")[r].as_py(), tile.column("b")[r].as_py(), _stack(tile.column("v")[r]), np.array(tile.column("s")[r].as_py())
+        square, one = (v * v).sum(1)[:, None], np.ones((len(v), 1))
+        # one product of these gives |v|^2 + |w|^2 - 2 vw
+        if band == i:
+            rows.append((b, np.hstack([-2.0 * v, square, one]), s))
+        if band == j:
+            columns.append((b, np.hstack([v, one, square]), s))
+    for b, v, s in rows:
+        for c, w, t in columns:
+            if i == j and b > c:
+                continue
+            same = i == j and b == c
+            for x in range(0, len(v), STRIP):
+                for y in range(x if same else 0, len(w), STRIP):
+                    p, q = v[x : x + STRIP], w[y : y + STRIP]
+                    d = np.matmul(p, q.T, out=room[: len(p) * len(q)].reshape(len(p), len(q)))
+                    yield np.maximum(d, 0.0, out=d), s[x : x + STRIP], t[y : y + STRIP], same and x == y
 
 
 def _distances(tile: pa.Table) -> Iterator[np.ndarray]:
@@ -172,13 +204,18 @@ def _within(made: DataFrame, lo: float, hi: float) -> float | None:
 
     def bins(d: np.ndarray) -> np.ndarray:
         # never falls as d rises, so bins are in order of their values
-        at = np.floor(np.clip((d - lo) / (hi - lo), -1.0, 2.0) * BINS).astype(np.int64)
-        return np.where(d < lo, -1, np.where(d > hi, BINS, np.clip(at, 0, BINS - 1)))
+        return np.clip(np.floor((d - lo) / (hi - lo) * BINS).astype(np.int64), 0, BINS - 1)
+
+    def inside(d: np.ndarray) -> np.ndarray:
+        return d[(d >= lo) & (d <= hi)]
 
     def count(tile: pa.Table) -> pa.Table:
         total = np.zeros(BINS + 2, np.int64)
         for d in _distances(tile):
-            total += np.bincount(bins(d) + 1, minlength=BINS + 2)
+            below, held = np.count_nonzero(d < lo), inside(d)
+            total[0] += below
+            total[-1] += d.size - below - held.size
+            np.add.at(total, bins(held) + 1, 1)
         at = np.flatnonzero(total)
         return pa.table({"bin": pa.array(at - 1, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
@@ -195,7 +232,7 @@ def _within(made: DataFrame, lo: float, hi: float) -> float | None:
     wanted = sorted({k for k, _, _ in held.values()})
 
     def fetch(tile: pa.Table) -> pa.Table:
-        parts = [(d[i := np.isin(at := bins(d), wanted)], at[i]) for d in _distances(tile)]
+        parts = [(d[i := np.isin(at := bins(d), wanted)], at[i]) for d in map(inside, _distances(tile))]
         d, at = (np.concatenate([p[x] for p in parts]) if parts else np.zeros(0) for x in (0, 1))
         return pa.table({"bin": pa.array(at, pa.int32()), "d": pa.array(d, pa.float64())})
 
@@ -275,29 +312,31 @@ def _values(made: DataFrame, look: int, prefix: int, seen: dict) -> list[tuple[f
     return seen["values", look, prefix]
 
 
+def _kernel(d: np.ndarray, sigma: float, same: bool) -> np.ndarray:
+    """Values of the kernel in place of squared distances; of rows with themselves each pair once."""
+    np.multiply(d, -0.5 / (sigma * sigma), out=d)
+    np.exp(d, out=d)
+    return np.triu(d, 1) if same else d
+
+
 def kernel_sums(made: DataFrame, sigma: float) -> DataFrame:
     """(g, x, y, total): sums of the Gaussian kernel over pairs of different vectors of :func:`tiles`, by their sides, x <= y; each pair once."""
     group = made.schema["g"].dataType
 
     def run(tile: pa.Table) -> pa.Table:
-        sums: dict[tuple[str, str], float] = {}
+        names = np.array(sorted(pc.unique(pc.list_flatten(tile.column("s"))).to_pylist()))
+        total = np.zeros((len(names), len(names)))
         for d, s, t, same in block_pairs(tile):
-            k = np.exp(d / (-2.0 * sigma * sigma))
-            if same:
-                k = np.triu(k, 1)
-            s, t = np.array(s), np.array(t)
-            by_row = {y: k[:, t == y].sum(1) for y in set(t.tolist())}
-            for x in set(s.tolist()):
-                for y, v in by_row.items():
-                    pair = min(x, y), max(x, y)
-                    sums[pair] = sums.get(pair, 0.0) + float(v[s == x].sum())
+            k = _kernel(d, sigma, same)
+            total += (s[:, None] == names).T.astype(float) @ (k @ (t[:, None] == names).astype(float))
+        sums = {(str(names[x]), str(names[y])): float(total[x, y] + (total[y, x] if x < y else 0.0)) for x in range(len(names)) for y in range(x, len(names))}
         g = pa.array([tile.column("g")[0].as_py()] * len(sums), tile.schema.field("g").type)
         return pa.table({"g": g, "x": pa.array([p[0] for p in sums], pa.string()), "y": pa.array([p[1] for p in sums], pa.string()), "total": pa.array(list(sums.values()), pa.float64())})
 
     return over_tiles(made, run, f"g {group.simpleString()}, x string, y string, total double").groupBy("g", "x", "y").agg(F.sum("total").alias("total"))
 
 
-def mmd2(rows: DataFrame, group: str, side: str, vector: str, key: str, sigma: float | None = None, block: int = BLOCK, tile_bytes: int = TILE_BYTES) -> DataFrame:
+def mmd2(rows: DataFrame, group: str, side: str, vector: str, key: str, sigma: float | None = None, block: int = BLOCK, tile_bytes: int | None = None) -> DataFrame:
     """(group, mmd2, bandwidth, n, m): unbiased squared discrepancy of sides ``a`` and ``b`` in each group.
 
     Diagonal terms are left out, so the value may be below 0.  Without ``sigma`` the bandwidth is the
@@ -342,7 +381,7 @@ def split_marks(halves: DataFrame, splits: int, split: str, key: str) -> DataFra
     return own.select(key, F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda k: F.coalesce(F.col("_m")[k], F.lit(0).cast("byte"))).alias("marks"))
 
 
-def mmd2_of_splits(rows: DataFrame, vector: str, splits: int, sigma: float, marks: str = "marks", block: int = BLOCK, tile_bytes: int = TILE_BYTES) -> DataFrame:
+def mmd2_of_splits(rows: DataFrame, vector: str, splits: int, sigma: float, marks: str = "marks", block: int = BLOCK, tile_bytes: int | None = None) -> DataFrame:
     """(split, mmd2, n, m): the unbiased discrepancy of both halves of every split of one set, by :func:`split_marks`.
 
     All splits share one pass: a kernel value is computed once, and a block of them is folded into the
@@ -353,10 +392,7 @@ def mmd2_of_splits(rows: DataFrame, vector: str, splits: int, sigma: float, mark
     def run(tile: pa.Table) -> pa.Table:
         sums = np.zeros((3, splits))
         for d, s, t, same in block_pairs(tile):
-            k = np.exp(d / (-2.0 * sigma * sigma))
-            if same:
-                k = np.triu(k, 1)
-            s, t = np.array(s), np.array(t)
+            k = _kernel(d, sigma, same)
             a, b = k @ (t == 1).astype(float), k @ (t == 2).astype(float)
             sums += [(a * (s == 1)).sum(0), (b * (s == 2)).sum(0), (b * (s == 1)).sum(0) + (a * (s == 2)).sum(0)]
         return pa.table({"split": pa.array(range(splits), pa.int32()), "aa": sums[0], "bb": sums[1], "ab": sums[2]})

@@ -180,3 +180,32 @@ def test_vector_problems(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [float("nan"), 1.0]), (1, []), (1, None), (2, [1.0])], "g int, embedding array<double>")
     got = {r["g"]: r for r in metrics.vector_problems(df, "g").collect()}
     assert (got[1]["n"], got[1]["empty"], got[1]["not_finite"], got[1]["dim_max"]) == (4, 2, 1, 2)
+
+
+def test_no_tile_takes_longer_as_the_input_grows(spark):
+    """Narrow vectors once put half a million rows in one tile; many blocks meet in more tiles, each in a task of its own."""
+    tasks = {}
+    for n in (16, 200, 800):
+        made = spark.range(n).selectExpr("0 AS g", "cast(id AS int) AS b", "array('a') AS s", "array(array(cast(id AS double))) AS v")
+        dealt = metrics.tiles(made)
+        sizes = [r[0] for r in dealt.groupBy("i", "j").count().select("count").collect()]
+        assert max(sizes) <= 2 * metrics.TILE_BLOCKS and dealt.rdd.getNumPartitions() == len(sizes)
+        tasks[n] = len(sizes)
+        got = metrics.over_tiles(dealt, met, "pairs long, blocks long").selectExpr("sum(blocks) AS b").first()
+        assert got["b"] == n * (n + 1) // 2
+    assert tasks[16] >= 2 * spark.sparkContext.defaultParallelism and tasks[800] > 4 * tasks[200] > 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_blocks_longer_than_a_strip(spark, monkeypatch, kind):
+    monkeypatch.setattr(metrics, "TILE_BLOCKS", 2)
+    r = np.random.default_rng(4)
+    x, y = (r.normal(size=(n, 5)).astype(np.float32).astype(float) for n in (500, 420))
+    rows = frame(spark, x, y).withColumn("v", metrics.F.col("v").cast(f"array<{kind}>"))
+    want, sigma = oracle(x, y)
+    for block in (1024, 300):
+        got = metrics.mmd2(rows, "g", "side", "v", "id", None, block).first()
+        assert got["mmd2"] == pytest.approx(want, abs=1e-9) and got["bandwidth"] == pytest.approx(sigma, abs=1e-9)
+    written = metrics.blocks(rows, "g", "side", "v")
+    assert dict(written.dtypes)["v"] == f"array<array<{kind}>>"
+    assert all(len(d) <= metrics.STRIP for d, *_ in metrics.block_pairs(metrics.tiles(written).toArrow()))

@@ -23,12 +23,12 @@ DIM = 1024
 GRAM = 3
 #: Letters other than a-z share so many vectors, chosen by code point.
 OTHER = 229
-#: Labelled rows that training reads, a language: at most about so many, chosen by hash of the key.
-TRAIN_ROWS = 3000
 #: Languages at most: each has a prototype that every task holds.
 LABELS = 4096
 SEED = 5
 UNKNOWN = "und"
+#: Sums of directions are whole multiples of 1 / GRAIN, so they are the same in whatever order tasks are added up.
+GRAIN = float(1 << 32)
 #: n-grams whose vectors a worker keeps; others are bound anew in each batch.
 KEPT_GRAMS = 8_000
 
@@ -108,28 +108,28 @@ class Profiler:
         return out
 
 
-def training_rows(docs: DataFrame, key: str, text: str, lang: str, rows: int, seed: int) -> DataFrame:
-    """(lang, text): of each language all labelled rows, or about ``rows`` of them by hash of key and text."""
+def training_rows(docs: DataFrame, key: str, text: str, lang: str, rows: int | None, seed: int) -> DataFrame:
+    """(lang, text): of each language all labelled rows, or, if a caller says so, about ``rows`` of them by hash of key and text."""
     labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
     have = labelled.groupBy("lang").count().limit(LABELS + 1).collect()
     if len(have) > LABELS:
         raise ValueError(f"more than {LABELS} languages")
-    if not have:
+    if not have or rows is None:
         return labelled.select("lang", "text")
     share = F.create_map(*[F.lit(x) for r in have for x in (r["lang"], min(1.0, rows / r["count"]))])
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("key"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
     return labelled.where(draw < share[F.col("lang")]).select("lang", "text")
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, dim: int = DIM, seed: int = SEED) -> tuple[list[str], np.ndarray]:
-    """(languages, prototypes of length 1) from the rows with a text and a label.
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int | None = None, dim: int = DIM, seed: int = SEED) -> tuple[list[str], np.ndarray]:
+    """(languages, prototypes of length 1) from all rows with a text and a label.
 
-    A language with more than ``rows`` labelled rows is trained on about so many, chosen by hash of
-    key and text, so null keys do no harm and repeated rows are chosen together; what comes to the
-    driver is one vector a language and training task, eight tasks in all.  Texts without letters teach
-    nothing.  No labelled rows: no languages; more than LABELS languages are an error.
+    Texts stay where they are; each task adds up its own, and what comes to the driver is one vector a
+    language.  With ``rows`` a language that has more labelled rows is trained on about so many, chosen
+    by hash of key and text, so null keys do no harm and repeated rows are chosen together.  Texts
+    without letters teach nothing.  No labelled rows: no languages; more than LABELS languages are an error.
     """
-    sample = training_rows(docs, key, text, lang, rows, seed).repartition(8)
+    chosen = training_rows(docs, key, text, lang, rows, seed)
 
     def run(batches):
         prof, sums = Profiler(dim, seed), {}
@@ -140,11 +140,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                     norm = float(np.linalg.norm(v))
                     if norm:
                         sums[k] = sums.get(k, 0) + v.astype(np.float64) / norm
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "v": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "v": pa.array([np.rint(x * GRAIN).astype(np.int64).tobytes() for x in sums.values()], pa.binary())})
 
-    total: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(lambda batches: trimmed(run(batches)), "lang string, v binary").collect():
-        total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["v"], np.float64)
+    def add(own: pa.Table) -> pa.Table:
+        v = sum(np.frombuffer(x, np.int64) for x in own.column("v").to_pylist())
+        return pa.table({"lang": own.column("lang")[:1], "v": pa.array([v.tobytes()], pa.binary())})
+
+    kind = "lang string, v binary"
+    found = chosen.mapInArrow(lambda batches: trimmed(run(batches)), kind).groupBy("lang").applyInArrow(add, kind).collect()
+    total = {r["lang"]: np.frombuffer(r["v"], np.int64) / GRAIN for r in found}
     names = sorted(total)
     made = np.stack([total[k] / np.linalg.norm(total[k]) for k in names]) if names else np.zeros((0, dim))
     return names, np.round(made, 7).astype(np.float32)
@@ -159,10 +163,10 @@ def size_class(text: Column) -> Column:
     return F.floor(F.log2(F.greatest(F.char_length(text), F.lit(1)))).cast("int")
 
 
-def limits(docs: DataFrame, names: list[str], prototypes: np.ndarray, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, dim: int = DIM, seed: int = SEED) -> list[float]:
+def limits(docs: DataFrame, names: list[str], prototypes: np.ndarray, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int | None = None, dim: int = DIM, seed: int = SEED) -> list[float]:
     """The least score of each class of lengths that is no surprise in a learned language; one row a class comes to the driver.
 
-    The scores of the rows that :func:`train` reads, by their lengths: DEVIATIONS standard deviations
+    The scores of all rows that :func:`train` reads, by their lengths: DEVIATIONS standard deviations
     below their mean, and 0 where that is negative.  A class with too few rows takes the limit of the next
     shorter one that has enough, and 0 if there is none.  No rows: no limits.
     """

@@ -101,3 +101,23 @@ def test_profiles_are_those_of_a_plain_loop(make):
         cos = {k: sum(x * y for x, y in zip(v, m, strict=True)) / norm(v) / norm(m) for k, m in means.items()}
         best = max(sorted(cos), key=cos.get)
         assert got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - cos[best]) < 1e-4
+
+
+def test_every_labelled_row_counts(spark, make):
+    """Of thousands of rows of a language, more than once were read, the few that are unlike the others move both the prototype and the limits."""
+    r = random.Random(11)
+    rows = [(k, "kato miro", "aa") for k in range(3500)]
+    odd_ones = [(10_000 + k, text(r, "bb", 2), "aa") for k in range(1500)]
+    docs = make(rows + odd_ones).repartition(3)
+    names, protos = langid.train(docs)
+    bundles = [langid.Profiler().bundles([x[1]])[0] for x in [rows[0], *odd_ones]]
+    one = [v / langid.np.linalg.norm(v) for v in bundles]
+    want = 3500 * one[0].astype(float) + sum(v.astype(float) for v in one[1:])
+    assert names == ["aa"] and abs(protos[0] - want / langid.np.linalg.norm(want)).max() < 1e-5
+    assert (langid.train(docs.repartition(7))[1] == protos).all()
+    least = langid.limits(docs, names, protos)
+    scores = langid.predict(docs, names, protos).groupBy(langid.size_class(langid.F.col("text")).alias("c")).agg(langid.F.count("*").alias("n"), langid.F.avg("score").alias("m"), langid.F.stddev_pop("score").alias("d")).collect()
+    assert sum(x["n"] for x in scores) == 5000
+    for x in scores:
+        if x["n"] >= langid.LEAST_ROWS:
+            assert abs(least[x["c"]] - max(0.0, x["m"] - langid.DEVIATIONS * x["d"])) < 1e-9

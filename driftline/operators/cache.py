@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.text import content_sha256
-from driftline.operators.progress import PER_BATCH, batches
+from driftline.operators.progress import batches
 from driftline.operators.seams import embedded
 from driftline.operators.setops import cache_audit, cache_misses
 from driftline.session import intermediates
@@ -44,7 +44,7 @@ def validate(cache: DataFrame, embedder_id: str) -> int | None:
     return own.select(F.size("vector")).first()[0]
 
 
-def embed(texts: DataFrame, path: str, embedder_id: str, factory: Callable, key: str = "pair_id", per_batch: int = PER_BATCH) -> DataFrame:
+def embed(texts: DataFrame, path: str, embedder_id: str, factory: Callable, key: str = "pair_id", per_batch: int | None = None) -> DataFrame:
     """(key, vector) of all texts; contents that the cache lacks are embedded, each once, and appended first.
 
     They are appended batch by batch, so what is embedded outlives a failure.  A null text has a null

@@ -19,8 +19,8 @@ from driftline.operators.setops import SetError, remaining, strays
 from driftline.session import intermediate_path, intermediates
 from driftline.streaming.incremental import have
 
-#: Rows of a batch, unless a caller knows better what a lost batch may cost.
-PER_BATCH = 1000
+#: Rows of a batch at least, and batches at most, unless a caller knows better what a lost batch may cost: each costs a few seconds whatever is in it.
+PER_BATCH, MOST_BATCHES = 1000, 48
 
 
 @dataclass(frozen=True)
@@ -32,28 +32,33 @@ class Done:
     new: int
 
 
-def batches(rows: DataFrame, key: str, per_batch: int = PER_BATCH) -> Iterator[DataFrame]:
+def batches(rows: DataFrame, key: str, per_batch: int | None = None) -> Iterator[DataFrame]:
     """``rows`` in parts of about ``per_batch``, dealt by hash of the key; rows of one key stay together.
 
+    Without a size, parts have PER_BATCH rows, and more where there would be over MOST_BATCHES parts.
     The rows are written once, a folder a part, so every part reads its own rows only and stays as it
     was if what ``rows`` came from changes meanwhile.
     """
     spark = rows.sparkSession
-    parts = math.ceil(rows.count() / per_batch)
+    n = rows.count()
+    per_batch = per_batch or max(PER_BATCH, math.ceil(n / MOST_BATCHES))
+    parts = math.ceil(n / per_batch)
     if not parts:
         return
     path = intermediate_path(spark, "batches")
     part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-    rows.withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(path)
+    # a large part is several files, so no task writes or reads it alone
+    files = F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(math.ceil(per_batch / PER_BATCH)))
+    rows.withColumn("_part", part).repartition("_part", files).write.partitionBy("_part").parquet(path)
     own = spark.read.schema(rows.withColumn("_part", part).schema).parquet(path)
     tasks = spark.sparkContext.defaultParallelism
     for k in range(parts):
-        # a part is one file, and its calls are worth spreading
+        # a part may be one file, and its calls are worth spreading
         yield own.where(F.col("_part") == k).drop("_part").repartition(min(tasks, per_batch))
 
 
 def append(
-    planned: DataFrame, sink: str, schema: T.StructType | str, step: Callable[[DataFrame], DataFrame], key: str = "pair_id", per_batch: int = PER_BATCH, partition_by: list[str] | None = None,
+    planned: DataFrame, sink: str, schema: T.StructType | str, step: Callable[[DataFrame], DataFrame], key: str = "pair_id", per_batch: int | None = None, partition_by: list[str] | None = None,
     others: bool = False,
 ) -> Done:
     """Run ``step`` over what is planned and not yet in the Parquet ``sink``, batch by batch, and append what it gives.

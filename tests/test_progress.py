@@ -217,3 +217,14 @@ def test_judging_overlaps_within_a_task(spark):
     assert time.monotonic() - began < 24 * 0.1
     assert [r["pair_id"] for r in got] == [r[0] for r in rows]
     assert [r["choice"] for r in got] == ["A", "B", "invalid"] * 8
+
+
+def test_batches_without_a_size_stay_few(spark, monkeypatch):
+    """A batch costs seconds whatever is in it, so with many rows batches grow, not their number."""
+    monkeypatch.setattr(progress, "PER_BATCH", 10)
+    monkeypatch.setattr(progress, "MOST_BATCHES", 4)
+    for n, most in ((25, 3), (400, 4)):
+        own = spark.range(n).selectExpr("cast(id AS string) AS pair_id")
+        parts = [[r["pair_id"] for r in b.collect()] for b in progress.batches(own, "pair_id")]
+        assert len(parts) == most and sorted(x for p in parts for x in p) == sorted(str(k) for k in range(n))
+    assert len(list(progress.batches(spark.range(40).selectExpr("cast(id AS string) AS pair_id"), "pair_id", 5))) == 8

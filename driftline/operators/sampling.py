@@ -30,11 +30,15 @@ class ShortageError(RuntimeError):
 def qualified(docs: DataFrame, text: str = "text", lang: str = "lang", word_min: int = tx.WORDS_MIN, word_max: int = tx.WORDS_MAX) -> DataFrame:
     """``docs`` with stripped text and word_count, only those in the word band, in English and not heavy with boilerplate.
 
-    The cheap checks come first; a label decides the language where there is one.
+    The cheap checks come first; a label decides the language where there is one.  Words are counted
+    once, only in texts that passed these and are long enough to hold ``word_min`` words.
     """
-    out = docs.withColumn(text, tx.strip(F.coalesce(F.col(text), F.lit("")))).withColumn("word_count", tx.word_count(text))
-    out = out.where(F.char_length(text) > 0).where(F.col("word_count").between(word_min, word_max))
-    return out.where(tx.language_ok(lang, text)).where(~tx.boilerplate_heavy(text))
+    out = docs.withColumn(text, tx.strip(F.coalesce(F.col(text), F.lit(""))))
+    # words are a character at least and have one between them
+    out = out.where(F.col(lang).isNull() | (F.col(lang) == "en")).where(F.char_length(text) >= max(1, 2 * word_min - 1))
+    out = out.where(tx.let(tx.word_count(text), lambda n: n.between(word_min, word_max)))
+    out = out.where(tx.language_ok(lang, text)).where(~tx.boilerplate_heavy(text))
+    return out.withColumn("word_count", tx.word_count(text))
 
 
 def pool_cap(target: int) -> int:
@@ -67,7 +71,9 @@ def sample_by_generator(spark: SparkSession, rows: DataFrame, target: int, seed:
     """``target`` rows as ``random.Random(seed).sample`` draws them from the rows in order, with position from 0.
 
     The draw depends on the number of rows only, so the driver draws places, and rows are joined by place.
+    ``rows`` are made once, however long that takes, and counted and put in order as written.
     """
+    rows = cut(rows, "drawn-from")
     have = rows.count()
     if have < target:
         raise ShortageError(target, have)

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.functions import text as tx
 from driftline.operators import cascade, detection, judging, sampling, seams, setops
 from driftline.sources.records import DIMENSIONS
 
@@ -278,3 +279,28 @@ def test_drafts_resume_with_their_own_seeds(spark):
     assert got == again
     with pytest.raises(Exception, match="no draft"):
         cascade.generated(prompts, done, lambda: lambda *a: " ", 5).collect()
+
+
+def test_qualification_counts_words_once_and_last_of_the_cheap_checks(spark):
+    """Filters that repeat an expression work it out as often; here it once was twice in the filter, for texts of any label."""
+    rows = [(k, " ".join(["word"] * n), lang) for k, (n, lang) in enumerate([(149, "en"), (150, "en"), (1200, None), (1201, "en"), (300, "de"), (300, None)])]
+    rows += [(10, " ".join(["w"] * 150), "en"), (11, " ".join(["w"] * 149), "en"), (12, None, "en"), (13, "　" * 400, None)]
+    own = sampling.qualified(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    assert {(r["doc_id"], r["word_count"]) for r in own.collect()} == {(1, 150), (2, 1200), (5, 300), (10, 150)}
+    plan = own.select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    counted = f"[^{tx.SPACE}]+"
+    assert plan.count(counted) == 1 and plan.index("= en)") < plan.index(counted)
+
+
+def test_a_generator_sample_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for pdf in frames:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(40).mapInPandas(count, "id long")
+    got = sampling.sample_by_generator(spark, rows, 5, 3, "id").collect()
+    assert {r["id"]: r["position"] for r in got} == {k: p for p, k in enumerate(random.Random(3).sample(range(40), 5))}
+    assert made.value == 40

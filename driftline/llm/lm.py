@@ -21,10 +21,11 @@ from __future__ import annotations
 import hashlib
 import zlib
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +53,10 @@ STEPS, STEP = 400, (64, 4096)
 RATE, SEED = 0.2, 3
 #: A block of documents is scored at once and is complete with so many tokens.
 BLOCK = 2_000_000
-#: Tokens put through the network at once.
-CHUNK = 8192
+#: Bytes of text that are split into words at once.
+SPLIT = 1_000_000
+#: Rows put through the network at once: their logits stay in a core's cache.
+CHUNK = 2048
 #: Parts of 1 that hidden values and weights are rounded to, and bound of the weights: products of both add up to less than 2^24 parts.
 PARTS_H, PARTS_W, BOUND_W = 512, 128, 7.99
 
@@ -79,12 +82,33 @@ def shared_id(bucket: int) -> int:
     return 1 + DIRECT + bucket % GROUPS * WIDTH + OWN + bucket // GROUPS
 
 
-class Numbers(dict):
-    """Numbers words as they come."""
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(:func:`words_of` all texts one after the other, words of each text)."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    parts = pc.ascii_split_whitespace(bare)
+    words, some = parts.flatten(), pc.binary_length(bare).to_numpy() > 0
+    if not some.all():  # a text without words is split into one empty word
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    return words.cast(pa.binary()), np.where(some, pc.list_value_length(parts).to_numpy(), 0)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+
+def stretches(texts: pa.Array) -> list[tuple[int, int]]:
+    """(first row, rows) of stretches of some SPLIT bytes of text, of one row at least."""
+    place = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)) // SPLIT
+    edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(texts)]
+    return [(a, b - a) for a, b in pairwise(edges) if a < b]
+
+
+def buckets_of(words: pa.Array) -> np.ndarray:
+    """:func:`bucket_of` each word."""
+    _, offsets, data = words.buffers()
+    data, ends = (data or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    return (np.fromiter((zlib.crc32(data[a:b]) for a, b in pairwise(ends)), np.uint32, len(words)) % SHARED).astype(np.int16)
+
+
+def listed(values) -> pa.Array:
+    """A column of one row that lists all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 class Vocabulary(list):
@@ -124,27 +148,28 @@ def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
         number, task = 0, TaskContext.get().partitionId()
 
-        def block(names, keys, texts):
-            numbers, words = np.concatenate(texts), list(names)
+        def block(keys, words, n):
+            told = pa.concat_arrays(words).dictionary_encode()
+            numbers, own = told.indices.to_numpy(), told.dictionary
             return pa.RecordBatch.from_arrays([
-                pa.array([task << 32 | number], pa.int64()), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                pa.array([numbers.tobytes()], pa.binary()), pa.array([words], pa.list_(pa.binary())), pa.array([np.bincount(numbers, minlength=len(words)).tolist()], pa.list_(pa.int64())),
-                pa.array([np.fromiter(map(bucket_of, words), np.int16, len(words)).tobytes()], pa.binary()),
+                pa.array([task << 32 | number], pa.int64()), listed(pa.concat_arrays(keys)), listed(pa.array(np.concatenate(n), pa.int64())), pa.array([numbers.tobytes()], pa.binary()),
+                listed(own), listed(pa.array(np.bincount(numbers, minlength=len(own)), pa.int64())), pa.array([buckets_of(own).tobytes()], pa.binary()),
             ], names=["block", "keys", "n", "numbers", "words", "counts", "buckets"])
 
-        names, keys, texts, held = Numbers(), [], [], 0
+        keys, words, n, held = [], [], [], 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                w = words_of(batch.column(1)[k].as_py())
-                keys.append(batch.column(0).slice(k, 1))
-                texts.append(np.fromiter(map(names.__getitem__, w), np.int32, len(w)))
-                held += len(w) + 10
+            for first, rows in stretches(batch.column(1)):
+                w, k = split(batch.column(1).slice(first, rows))
+                keys.append(batch.column(0).slice(first, rows))
+                words.append(w)
+                n.append(k)
+                held += len(w) + 10 * rows
                 if held >= BLOCK:
-                    yield block(names, keys, texts)
+                    yield block(keys, words, n)
                     number += 1
-                    names, keys, texts, held = Numbers(), [], [], 0
+                    keys, words, n, held = [], [], [], 0
         if keys:
-            yield block(names, keys, texts)
+            yield block(keys, words, n)
 
     shape = f"block long, keys array<{kind}>, n array<long>, numbers binary, words array<binary>, counts array<long>, buckets binary"
     return cut(two.mapInArrow(lambda batches: trimmed(run(batches)), shape), "lm-blocks")
@@ -204,6 +229,7 @@ class Net:
         grad, moments, spare = np.zeros_like(flat), np.full_like(flat, 1e-8), np.empty_like(flat)
         embed, inner, inner_bias, first, second = views(flat)
         g_embed, g_inner, g_inner_bias, g_first, g_second = views(grad)
+        logits = np.empty((CHUNK, DIRECT + GROUPS), np.float32)
         size = min(max(len(rows) // STEPS, STEP[0]), STEP[1])
         for lo in range(0, len(rows), size):
             part = rows[lo : lo + size]
@@ -214,29 +240,38 @@ class Net:
             order = group.argsort(kind="stable")
             part, share, place, group = part[order], share[order], place[order], group[order]
             context = part[:, :-1].ravel()
-            x = embed[context].reshape(len(part), -1)
+            x = embed.take(context, 0).reshape(len(part), -1)
             h = np.ones((len(part), HIDDEN + 1), np.float32)
             np.tanh(x @ inner + inner_bias, out=h[:, :-1])
-            z = h @ first
-            softmax(z, share)
-            z[np.arange(len(part)), np.where(group < 0, place + DIRECT, DIRECT + group)] -= share
-            np.matmul(h.T, z, out=g_first)
-            dh = z @ first[:-1].T
-            edges = np.searchsorted(group, np.arange(GROUPS + 1))
-            direct = edges[0]
+            dh = np.empty_like(h)
+            target = np.where(group < 0, place + DIRECT, DIRECT + group)
+            g_first[:] = 0
+            for a in range(0, len(part), CHUNK):
+                b = min(a + CHUNK, len(part))
+                z = logits[: b - a]
+                np.matmul(h[a:b], first, out=z)
+                by = slopes(z, target[a:b], share[a:b])
+                g_first += (h[a:b] * by).T @ z
+                np.matmul(z, first.T, out=dh[a:b])
+                dh[a:b] *= by
+            edges = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
             g_second[:] = 0
-            if direct < len(part):
-                z = np.empty((len(part) - direct, WIDTH), np.float32)
-                stretches = [(g, edges[g], edges[g + 1]) for g in range(GROUPS) if edges[g] < edges[g + 1]]
-                for g, a, b in stretches:
-                    np.matmul(h[a:b], second[g], out=z[a - direct : b - direct])
-                softmax(z, share[direct:])
-                z[np.arange(len(z)), place[direct:] % WIDTH] -= share[direct:]
-                for g, a, b in stretches:
-                    own = z[a - direct : b - direct]
-                    dh[a:b] += own @ second[g, :-1].T
-                    np.matmul(h[a:b].T, own, out=g_second[g])
-            dh *= 1 - h[:, :-1] * h[:, :-1]
+            for groups in runs(edges):
+                a, b = edges[groups[0]], edges[groups[-1] + 1]
+                z, back = np.empty((b - a, WIDTH), np.float32), np.empty((b - a, HIDDEN + 1), np.float32)
+                own = [(g, h[edges[g] : edges[g + 1]], z[edges[g] - a : edges[g + 1] - a], edges[g] - a, edges[g + 1] - a) for g in groups]
+                for g, hg, zg, _, _ in own:
+                    np.matmul(hg, second[g], out=zg)
+                by = slopes(z, place[a:b] % WIDTH, share[a:b])
+                weighed = h[a:b] * by
+                for g, _, zg, i, j in own:
+                    np.matmul(zg, second[g].T, out=back[i:j])
+                    np.matmul(weighed[i:j].T, zg, out=g_second[g])
+                back *= by
+                dh[a:b] += back
+            # nothing comes back from the constant, whose slope is 0
+            dh *= 1 - h * h
+            dh = np.ascontiguousarray(dh[:, :-1])
             np.matmul(x.T, dh, out=g_inner)
             dh.sum(0, out=g_inner_bias)
             dx = np.ascontiguousarray((dh @ inner.T).reshape(-1, EMBED).T, np.float64)
@@ -262,12 +297,27 @@ def views(flat: np.ndarray) -> list[np.ndarray]:
     return [x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
 
 
-def softmax(z: np.ndarray, share: np.ndarray) -> None:
-    """Each row's softmax times its share, in place."""
+def slopes(z: np.ndarray, target: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Turns logits in place into the slopes of each row's loss but for a factor, which it returns: the row's share by its sum."""
     if z.max() > 60:
         z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z *= (share / z.sum(1))[:, None]
+    total = z @ np.ones(z.shape[1], np.float32)
+    z[np.arange(len(z)), target] -= total
+    return (share / total)[:, None]
+
+
+def runs(edges: list[int]) -> list[list[int]]:
+    """Runs of groups that have rows between their ``edges``, of some CHUNK rows each or of one group."""
+    out, start = [], None
+    for g, (a, b) in enumerate(pairwise(edges)):
+        if a == b:
+            continue
+        if start is None or b - start > CHUNK:
+            out.append([])
+            start = a
+        out[-1].append(g)
+    return out
 
 
 class Scorer:
@@ -290,32 +340,31 @@ class Scorer:
         place = flat[at].astype(np.int32) - (1 + DIRECT)
         group = np.where(place < 0, -1, place // WIDTH).astype(np.int16)
         order = group.argsort(kind="stable")
+        one, two = np.empty((CHUNK, DIRECT + GROUPS), np.float32), np.empty((CHUNK, WIDTH), np.float32)
         for lo in range(0, len(at), CHUNK):
             mine = order[lo : lo + CHUNK]
-            out[mine] = self._log_probs(flat, at[mine], place[mine], group[mine])
+            out[mine] = self._log_probs(flat, at[mine], place[mine], group[mine], one[: len(mine)], two[: len(mine)])
         return out
 
-    def _log_probs(self, flat: np.ndarray, p: np.ndarray, place: np.ndarray, group: np.ndarray) -> np.ndarray:
-        h = self.sides[0][flat[p + OFFSETS[0]]]
+    def _log_probs(self, flat: np.ndarray, p: np.ndarray, place: np.ndarray, group: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        h = self.sides[0].take(flat[p + OFFSETS[0]], 0)
         for t, k in zip(self.sides[1:], OFFSETS[1:], strict=True):
-            h += t[flat[p + k]]
+            h += t.take(flat[p + k], 0)
         np.tanh(h, out=h)
         h *= PARTS_H
         np.rint(h, out=h)
         h /= PARTS_H
-        z = h @ self.first
-        z += self.first_bias
-        own = log_of(z, np.where(group < 0, place + DIRECT, DIRECT + group))
-        edges = np.searchsorted(group, np.arange(GROUPS + 1))
+        np.matmul(h, self.first, out=one)
+        one += self.first_bias
+        own = log_of(one, np.where(group < 0, place + DIRECT, DIRECT + group))
+        low = max(0, int(group[0]))
+        edges = np.searchsorted(group, np.arange(low, int(group[-1]) + 2)).tolist()
         if edges[0] < len(p):
-            z = np.empty((len(p) - edges[0], WIDTH), np.float32)
-            for g in range(max(0, int(group[0])), int(group[-1]) + 1):
-                a, b = edges[g], edges[g + 1]
+            for g, (a, b) in enumerate(pairwise(edges), low):
                 if a < b:
-                    stretch = z[a - edges[0] : b - edges[0]]
-                    np.matmul(h[a:b], self.second[g], out=stretch)
-                    stretch += self.second_bias[g]
-            own[edges[0] :] += log_of(z, place[edges[0] :] % WIDTH)
+                    np.matmul(h[a:b], self.second[g], out=two[a:b])
+                    two[a:b] += self.second_bias[g]
+            own[edges[0] :] += log_of(two[edges[0] :], place[edges[0] :] % WIDTH)
         return own
 
 
@@ -328,13 +377,22 @@ def log_of(z: np.ndarray, column: np.ndarray) -> np.ndarray:
         z -= rest[:, None]
         own -= rest
     np.exp(z, out=z)
-    return own - np.log(z.sum(1).astype(np.float64))
+    return own - np.log(np.einsum("ij->i", z).astype(np.float64))
 
 
-def ids_of(row: dict, own: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of a block's words, whether they are their own)."""
-    ids = np.fromiter(map(own.get, row["words"], repeat(0)), np.int32, len(row["words"]))
-    return np.where(ids > 0, ids, shared_id(np.frombuffer(row["buckets"], np.int16).astype(np.int32))).astype(np.uint16), ids > 0
+def blocks_of(batches):
+    """(batch, row, n, numbers, words, buckets) of each block."""
+    for batch in batches:
+        n, numbers, words, buckets = (batch.column(c) for c in ("n", "numbers", "words", "buckets"))
+        for k in range(batch.num_rows):
+            yield batch, k, n[k].values.to_numpy(), np.frombuffer(numbers[k].as_buffer(), np.int32), words[k].values, np.frombuffer(buckets[k].as_buffer(), np.int16)
+
+
+def ids_of(words: pa.Array, buckets: np.ndarray, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of a block's words, whether they are their own); ``own`` has the words with ids by rank."""
+    rank = pc.index_in(words, value_set=pa.array(own, pa.binary())).fill_null(-1).to_numpy()
+    ids = np.append(np.array([own_id(k) for k in range(len(own))], np.int32), 0)[rank]
+    return np.where(rank >= 0, ids, shared_id(buckets.astype(np.int32))).astype(np.uint16), rank >= 0
 
 
 def padded(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -358,27 +416,24 @@ def pieces(blocks: DataFrame, vocab: Vocabulary, shards: int) -> DataFrame:
             "weight": pa.array([w for w, _ in held.values()], pa.int64()), "flat": pa.array([x for _, x in held.values()], pa.binary()),
         })
 
-    own = vocab.ids()
+    own = list(vocab)
 
     def run(batches):
         held, size = {}, 0
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                n = np.array(row["n"], np.int64)
-                flat, starts = padded(ids_of(row, own)[0][np.frombuffer(row["numbers"], np.int32)], n)
-                for a, k in zip(starts.tolist(), n.tolist(), strict=True):
-                    for lo in range(0, k, PIECE):
-                        x = flat[a + lo - SIDE : a + min(k, lo + PIECE) + SIDE].tobytes()
-                        h = hashlib.blake2b(x, digest_size=16).digest()
-                        if h in held:
-                            held[h] = (held[h][0] + 1, x)
-                        else:
-                            held[h] = (1, x)
-                            size += len(x) + 100
-                    if size > HELD:
-                        yield out(held)
-                        held, size = {}, 0
+        for _, _, n, numbers, words, buckets in blocks_of(batches):
+            flat, starts = padded(ids_of(words, buckets, own)[0][numbers], n)
+            for a, k in zip(starts.tolist(), n.tolist(), strict=True):
+                for lo in range(0, k, PIECE):
+                    x = flat[a + lo - SIDE : a + min(k, lo + PIECE) + SIDE].tobytes()
+                    h = hashlib.blake2b(x, digest_size=16).digest()
+                    if h in held:
+                        held[h] = (held[h][0] + 1, x)
+                    else:
+                        held[h] = (1, x)
+                        size += len(x) + 100
+                if size > HELD:
+                    yield out(held)
+                    held, size = {}, 0
         if held:
             yield out(held)
 
@@ -480,20 +535,18 @@ def scored(blocks: DataFrame, vocab: Vocabulary, net: Net) -> DataFrame:
     shares of their ids return to the block by position.
     """
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
-    rounded, behind, own = net.rounded(), np.log(vocab.behind + 1.0), vocab.ids()
+    rounded, behind, own = net.rounded(), np.log(vocab.behind + 1.0), list(vocab)
 
     def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.select(["n", "numbers", "words", "buckets"]).slice(k, 1).to_pylist()[0]
-                n, numbers = np.array(row["n"], np.int64), np.frombuffer(row["numbers"], np.int32)
-                ids, theirs = ids_of(row, own)
-                flat, _ = padded(ids[numbers], n)
-                pll, rest = sums(rounded.log_probs(flat, np.flatnonzero(flat)), n), ~theirs[numbers]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("block").slice(k, 1), batch.column("keys").slice(k, 1), batch.column("n").slice(k, 1), pa.array([pll.tolist()], pa.list_(pa.float64())),
-                    pa.array([sums(rest, n).astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([numbers[rest].tobytes()], pa.binary()), pa.array([row["buckets"]], pa.binary()),
-                ], names=["block", "keys", "n", "pll", "n_rest", "rest", "buckets"])
+        for batch, k, n, numbers, words, buckets in blocks_of(batches):
+            ids, theirs = ids_of(words, buckets, own)
+            flat, _ = padded(ids[numbers], n)
+            pll, rest = sums(rounded.log_probs(flat, np.flatnonzero(flat)), n), ~theirs[numbers]
+            row = batch.slice(k, 1)
+            yield pa.RecordBatch.from_arrays([
+                row.column("block"), row.column("keys"), row.column("n"), listed(pa.array(pll)),
+                listed(pa.array(sums(rest, n).astype(np.int64))), pa.array([numbers[rest].tobytes()], pa.binary()), row.column("buckets"),
+            ], names=["block", "keys", "n", "pll", "n_rest", "rest", "buckets"])
 
     shape = f"block long, keys array<{kind}>, n array<long>, pll array<double>, n_rest array<long>, rest binary, buckets binary"
     through = blocks.select("block", "keys", "n", "numbers", "words", "buckets").mapInArrow(lambda batches: trimmed(run(batches)), shape)

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftline.llm import lm
@@ -206,3 +207,57 @@ def test_both_sides_tell_order(make):
     mixed = random.Random(1).sample(line, 60)
     got = {x["doc_id"]: x for x in lm.score(make([(1, " ".join(line)), (2, " ".join(mixed))]), *lm.fit(docs)).collect()}
     assert got[1]["pll_per_token"] > got[2]["pll_per_token"] + 1.0
+
+
+def test_texts_are_split_as_one_by_one():
+    texts = [None, "", " ", " \t\n", "A\x0bB\x0cC\rD\nE\tF  g ", "\x1c a\x1d", "\x00 x\x00y", "ÀÉ Éa\u0085b c İ K", *(f"x{chr(k)}Y{chr(k)}" for k in range(256))]
+    for some in (texts, texts[3:9], [None], []):
+        words, n = lm.split(pa.array(["cut off", *some], pa.string()).slice(1))
+        assert words.to_pylist() == [w for t in some for w in lm.words_of(t)] and n.tolist() == [len(lm.words_of(t)) for t in some]
+        assert lm.buckets_of(words).tolist() == [lm.bucket_of(w) for w in words.to_pylist()]
+    assert lm.buckets_of(words.slice(0, 0)).tolist() == [] and lm.buckets_of(pa.array([b"p", b"qq", b"r"]).slice(1)).tolist() == [lm.bucket_of(b"qq"), lm.bucket_of(b"r")]
+
+
+def test_no_stretch_of_texts_is_much_longer_than_wanted(monkeypatch):
+    monkeypatch.setattr(lm, "SPLIT", 10)
+    texts = pa.array(["abc", None, "d" * 35, "", "e" * 9, "f", "g"])
+    got = lm.stretches(texts)
+    assert [k for a, n in got for k in range(a, a + n)] == list(range(7)) and len(got) > 2 and all(sum(len(t or "") for t in texts.slice(a + 1, n - 1).to_pylist()) < 10 for a, n in got)
+    assert lm.stretches(texts.slice(0, 0)) == []
+
+
+def test_blocks_tell_all_words(make, odd, monkeypatch):
+    """In small blocks too, whatever the words are."""
+    docs = odd.unionByName(corpus(make, 50))
+    want = Counter((r["doc_id"], *lm.words_of(r["text"])) for r in docs.collect())
+    for block, split in ((lm.BLOCK, lm.SPLIT), (200, 100)):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        monkeypatch.setattr(lm, "SPLIT", split)
+        got = Counter()
+        for r in lm.numbered(docs.coalesce(1)).collect():
+            words, numbers = [bytes(w) for w in r["words"]], np.frombuffer(r["numbers"], np.int32)
+            assert len(set(words)) == len(words) and Counter(numbers.tolist()) == dict(enumerate(r["counts"])) and np.frombuffer(r["buckets"], np.int16).tolist() == [lm.bucket_of(w) for w in words]
+            for key, a, n in zip(r["keys"], np.cumsum(r["n"]) - r["n"], r["n"], strict=True):
+                got[key, *(words[k] for k in numbers[a : a + n])] += 1
+        assert got == want
+
+
+def test_logits_stay_in_a_cache_and_strips_change_nothing(monkeypatch):
+    r = np.random.default_rng(4)
+    rows = np.minimum(r.zipf(1.2, (20_000, 5)), lm.VOCAB - 1).astype(np.uint16)
+    flat = np.concatenate([np.zeros(2, np.uint16), rows.ravel(), np.zeros(2, np.uint16)])
+    sizes, log_of, slopes = [], lm.log_of, lm.slopes
+    monkeypatch.setattr(lm, "log_of", lambda z, k: (sizes.append(z.nbytes), log_of(z, k))[1])
+    monkeypatch.setattr(lm, "slopes", lambda z, *x: (sizes.append(z.nbytes), slopes(z, *x))[1])
+    monkeypatch.setattr(lm, "STEPS", 5)
+    nets, scores = [], []
+    for chunk in (lm.CHUNK, 7, 8192):
+        monkeypatch.setattr(lm, "CHUNK", chunk)
+        net = lm.Net.start()
+        net.train(rows)
+        nets.append(net.flat())
+        scores.append(lm.Net.from_flat(nets[0]).rounded().log_probs(flat, np.flatnonzero(flat)))
+        if chunk == 2048:
+            assert max(sizes) <= 1 << 20
+    assert np.abs(nets[0] - nets[1]).max() < 1e-2 and np.abs(nets[0] - nets[2]).max() < 1e-2
+    assert (scores[0] == scores[1]).all() and (scores[0] == scores[2]).all()
